@@ -6,16 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import secret_scan, sentencepiece_bpe, simhash
+from corpusloom.llm import chat_format, lang_id, secret_scan, sentencepiece_bpe, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_lang_id": lang_id.query,
         "op3_sentencepiece": sentencepiece_bpe.query,
         "op4_secret_scan": secret_scan.query,
+        "op5_chat_format": chat_format.query,
         "op7_simhash": simhash.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_chat_format": chat_format.SQL}
