@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import chat_format, lang_id, secret_scan, sentencepiece_bpe, simhash
+from corpusloom.llm import chat_format, fingerprint, lang_id, secret_scan, sentencepiece_bpe, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_secret_scan": secret_scan.query,
         "op5_chat_format": chat_format.query,
         "op7_simhash": simhash.query,
+        "op10_fingerprint": fingerprint.query,
     }
 
 
