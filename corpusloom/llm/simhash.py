@@ -78,8 +78,10 @@ def planes(prints: np.ndarray) -> np.ndarray:
 
 def near(queries: np.ndarray, lanes: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs (query, lane) at ``radius`` or fewer differing bits, at most 7."""
-    sliced = planes(lanes)
     found_q, found_l = [], []
+    if not len(queries) or not len(lanes):
+        return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+    sliced = planes(lanes)
     step = max(1, (1 << 17) // sliced.shape[1])
     for q0 in range(0, len(queries), step):
         block = queries[q0 : q0 + step]
