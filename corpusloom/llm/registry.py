@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import chat_format, fingerprint, lang_id, secret_scan, sentencepiece_bpe, simhash
+from corpusloom.llm import chat_format, decontaminate, fingerprint, lang_id, secret_scan, sentencepiece_bpe, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_sentencepiece": sentencepiece_bpe.query,
         "op4_secret_scan": secret_scan.query,
         "op5_chat_format": chat_format.query,
+        "op6_decontaminate": decontaminate.query,
         "op7_simhash": simhash.query,
         "op10_fingerprint": fingerprint.query,
     }
