@@ -22,8 +22,8 @@ from corpusloom.llm.common import fold, hash_fraction, table
 
 #: Labelled texts that are learned from, about; picked by a hash of the id.
 MAX_LABELLED = 12_000
-#: Lexicon entries at most, and in how many labelled toxic texts one must stand.
-MAX_ENTRIES, MIN_TEXTS = 400, 4
+#: Lexicon entries at most; in how many toxic texts of the sample, and in what share of them, one must stand.
+MAX_ENTRIES, MIN_TEXTS, MIN_SHARE = 400, 4, 0.01
 #: Letters of a word's beginning that stand for its forms.
 STEM_LETTERS = 5
 ANNOTATOR_ACCURACY = 0.97
@@ -177,7 +177,7 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
     size, positive = texts.agg(F.count("*"), F.sum("toxic")).first()
     if not size or not positive or positive == size:
         return Model([], None, float(share))
-    counted = texts.mapInArrow(distinct, "entry string, toxic int").groupBy("entry").agg(F.sum("toxic").alias("t"), F.count("*").alias("n")).filter(F.col("t") >= MIN_TEXTS)
+    counted = texts.mapInArrow(distinct, "entry string, toxic int").groupBy("entry").agg(F.sum("toxic").alias("t"), F.count("*").alias("n")).filter(F.col("t") >= max(MIN_TEXTS, MIN_SHARE * positive))
     rate = positive / size
     odds = F.log((F.col("t") + 0.5) / (F.col("n") - F.col("t") + 0.5)) - float(np.log(rate / (1 - rate)))
     # Seldom in clean texts: a toxic share far above the usual one, by more than chance.
