@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import chat_format, decontaminate, fingerprint, lang_id, secret_scan, sentencepiece_bpe, simhash, toxicity
+from corpusloom.llm import chat_format, decontaminate, fingerprint, lang_id, secret_scan, sentencepiece_bpe, simhash, substring_dedup, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_chat_format": chat_format.query,
         "op6_decontaminate": decontaminate.query,
         "op7_simhash": simhash.query,
+        "op8_substring_dedup": substring_dedup.query,
         "op9_toxicity": toxicity.query,
         "op10_fingerprint": fingerprint.query,
     }

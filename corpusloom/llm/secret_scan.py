@@ -142,8 +142,8 @@ def secrets(docs: DataFrame) -> DataFrame:
     """Counts and spans of each row of ``docs``; other columns than doc_id and text are not read."""
     found = docs.select("doc_id", scan(F.col("text")).alias("s"))
     base = F.filter("s", lambda s: s["kind"].isin(*KINDS[:3]))
-    counts = [F.size(F.filter("s", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS[:3]]
-    return found.select("doc_id", *counts, F.sha2(_listed(base).cast("binary"), 256).alias("base_sha256"), _listed(F.col("s")).alias("spans"))
+    number = lambda kind: F.size(F.filter("s", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *map(number, KINDS[:3]), F.sha2(_listed(base).cast("binary"), 256).alias("base_sha256"), _listed(F.col("s")).alias("spans"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
