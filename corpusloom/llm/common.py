@@ -28,13 +28,18 @@ def _local_checkpoint_folder() -> str:
     return tempfile.mkdtemp(prefix="spark-checkpoints-")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and read it from there.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``, which all executors share.
 
-    The folder is the cluster's ``spark.checkpoint.dir``. Only where that is unset
-    (tests on one machine) a temporary folder stands in for it.
+    Only where that is unset (tests on one machine) a temporary folder stands in for it.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or _local_checkpoint_folder())
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or _local_checkpoint_folder())
+    return spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared folder as a checkpoint and read it from there."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()

@@ -22,7 +22,7 @@ from corpusloom.llm.common import fold, hash_fraction, table
 
 #: Labelled texts that are learned from, about; picked by a hash of the id.
 MAX_LABELLED = 12_000
-#: Lexicon entries at most; in how many toxic texts of the sample, and in what share of them, one must stand.
+#: Lexicon entries at most; in how many contexts of toxic texts, and how many for each such text, one must stand.
 MAX_ENTRIES, MIN_TEXTS, MIN_SHARE = 400, 4, 0.01
 #: Letters of a word's beginning that stand for its forms.
 STEM_LETTERS = 5
@@ -32,13 +32,14 @@ _WORD = re.compile(r"[^\W\d_]+")
 _SHOUT = re.compile(r"\b[^\W\d_a-z]{3,}\b[^\w\s]*!")
 
 
-def entries_of(text: str | None) -> list[str]:
-    """Words and, with a star, beginnings of longer words, in order."""
+def entries_of(text: str | None) -> list[tuple[str, str]]:
+    """Words and, with a star, beginnings of longer words, each with the word after, in order."""
     out = []
-    for w in _WORD.findall((text or "").lower()):
-        out.append(w)
+    words = _WORD.findall((text or "").lower())
+    for w, after in zip(words, [*words[1:], ""], strict=True):
+        out.append((w, after))
         if len(w) > STEM_LETTERS:
-            out.append(w[:STEM_LETTERS] + "*")
+            out.append((w[:STEM_LETTERS] + "*", after))
     return out
 
 
@@ -165,19 +166,17 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
     sample = marks.filter(hash_fraction("doc_id", 5) < min(1.0, max_labelled / n))
     texts = docs.select("doc_id", "text").join(sample, "doc_id").select("doc_id", "text", "toxic")
 
-    def distinct(batches):
+    def contexts(batches):
         for batch in batches:
-            words, toxic = [], []
-            for text, mark in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-                found = set(entries_of(text))
-                words += found
-                toxic += [mark] * len(found)
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(toxic, pa.int32())], names=["entry", "toxic"])
+            found = {(w, after, mark) for text, mark in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True) for w, after in entries_of(text)}
+            yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], t) for i, t in enumerate((pa.string(), pa.string(), pa.int32()))], names=["entry", "after", "toxic"])
 
     size, positive = texts.agg(F.count("*"), F.sum("toxic")).first()
     if not size or not positive or positive == size:
         return Model([], None, float(share))
-    counted = texts.mapInArrow(distinct, "entry string, toxic int").groupBy("entry").agg(F.sum("toxic").alias("t"), F.count("*").alias("n")).filter(F.col("t") >= max(MIN_TEXTS, MIN_SHARE * positive))
+    # An entry counts once for each word that follows it: copies of a text add nothing.
+    once = texts.mapInArrow(contexts, "entry string, after string, toxic int").groupBy("entry", "after").agg(F.max("toxic").alias("toxic"))
+    counted = once.groupBy("entry").agg(F.sum("toxic").alias("t"), F.count("*").alias("n")).filter(F.col("t") >= max(MIN_TEXTS, MIN_SHARE * positive))
     rate = positive / size
     odds = F.log((F.col("t") + 0.5) / (F.col("n") - F.col("t") + 0.5)) - float(np.log(rate / (1 - rate)))
     # Seldom in clean texts: a toxic share far above the usual one, by more than chance.
