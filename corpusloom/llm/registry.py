@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import chat_format, decontaminate, fingerprint, lang_id, secret_scan, sentencepiece_bpe, simhash, substring_dedup, toxicity
+from corpusloom.llm import chat_format, decontaminate, fingerprint, html_extract, lang_id, secret_scan, sentencepiece_bpe, simhash, substring_dedup, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_html_extract": html_extract.query,
         "op2_lang_id": lang_id.query,
         "op3_sentencepiece": sentencepiece_bpe.query,
         "op4_secret_scan": secret_scan.query,
