@@ -64,7 +64,6 @@ def _log2(x: Column) -> Column:
 def _association() -> dict[str, Column]:
     f, fo, fa, n = (F.col(c).cast("double") for c in ("f", "fo", "fa", "ftotal"))
     fot, ft, na, nobj = (F.col(c).cast("double") for c in ("fot", "ft", "na", "nobj"))
-    expected = fo * fa / n
     p, po, pa = f / n, fo / n, fa / n
     mi = _log2(p / (po * pa))
     ttest = (p - po * pa) / F.sqrt(po * pa)
@@ -94,16 +93,20 @@ def _association() -> dict[str, Column]:
         "ttestcutlog": F.greatest(F.lit(0.0), ttest * log),
         "tfidf": f / na,
         "tfidf2": log / _log2(1 + F.col("nattr") / na),
-        "expected": expected,
     }
 
 
 WEIGHTS = tuple(k for k in ("identity zero freq relfreq chi2 lr lin98b lin98c dice dicelog grefenstette mi milog micut micutlog ttest ttestlog ttestcut ttestcutlog tfidf tfidf2".split()))
 
 
+def association(weight: str) -> Column:
+    """A weight as an expression over the columns of relation_counts."""
+    return _association()[weight]
+
+
 def weigh(counts: DataFrame, weight: str = "ttestcut") -> DataFrame:
     """``counts`` (of relation_counts) with the weight ``w``."""
-    return counts.withColumn("w", _association()[weight])
+    return counts.withColumn("w", association(weight))
 
 
 def relweight(weighted: DataFrame) -> DataFrame:
