@@ -1,11 +1,13 @@
-"""Rules."""
+"""Rules: retrieval by inverted-index joins, phrases, labels, alignments, questions."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from corpusloom.functions.text import polarity_signature
+from corpusloom.functions.similarity import positive_cosine
+from corpusloom.functions.text import contains_phrase, polarity_signature
 
 
 def polarity_lookup(words: DataFrame, lexicon: DataFrame) -> DataFrame:
@@ -18,3 +20,338 @@ def polarity_lookup(words: DataFrame, lexicon: DataFrame) -> DataFrame:
     entries = words.join(lexicon, ["lemma", "pos"]).filter(fits)
     best = entries.groupBy("id").agg(F.min(F.struct((-F.size("required")).alias("k"), "signature")).alias("m")).select("id", F.col("m.signature").alias("signature"))
     return words.join(best, "id", "left").select("id", "lemma", "pos", polarity_signature(F.col("signature")).alias("s")).select("id", "lemma", "pos", "s.*")
+
+
+def match_any_token(queries: DataFrame, rules: DataFrame, cap: int | None = None) -> DataFrame:
+    """(pair_id, rule_id) where a query ``(pair_id, token)`` and a rule ``(rule_id, token)`` share a token.
+
+    ``cap`` keeps a query's first rules by id, where a report wants no more.
+    """
+    hits = queries.select("pair_id", "token").distinct().join(rules.select("rule_id", "token").distinct(), "token").select("pair_id", "rule_id").distinct()
+    if cap is None:
+        return hits
+    return hits.withColumn("place", F.row_number().over(W.partitionBy("pair_id").orderBy("rule_id"))).filter(F.col("place") <= cap).drop("place")
+
+
+def match_both_sides(texts: DataFrame, hyps: DataFrame, lhs: DataFrame, rhs: DataFrame) -> DataFrame:
+    """(pair_id, rule_id) with a token of the text in the left side and one of the hypothesis in the right."""
+    return match_any_token(texts, lhs).join(match_any_token(hyps, rhs), ["pair_id", "rule_id"])
+
+
+def match_exact_phrase(texts: DataFrame, phrases: DataFrame, longest: int = 5) -> DataFrame:
+    """(pair_id, rule_id) where the phrase ``(rule_id, tokens)`` is a run of ``texts(pair_id, tokens)``.
+
+    Phrases and runs meet by an equi-join on the run's text, for each length up to ``longest``.
+    """
+    n = F.size("tokens")
+    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), n)), lambda k: F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.array_join(F.slice("tokens", i, k), " "))))
+    keys = texts.filter(n > 0).select("pair_id", F.explode(F.array_distinct(runs)).alias("run"))
+    return keys.join(phrases.filter(n.between(1, longest)).select("rule_id", F.array_join("tokens", " ").alias("run")), "run").select("pair_id", "rule_id").distinct()
+
+
+def filter_rules_contained(candidates: DataFrame) -> DataFrame:
+    """``candidates(text, hyp, lhs, rhs)`` with ``direction``: Implication, BackwardImplication; others drop out."""
+    c = lambda a, b: contains_phrase(F.col(a), F.col(b))
+    direction = F.when(c("text", "lhs") & c("hyp", "rhs"), "Implication").when(c("hyp", "lhs") & c("text", "rhs"), "BackwardImplication")
+    return candidates.withColumn("direction", direction).filter("direction is not null")
+
+
+def score_distributional(rules: DataFrame, mode: str = "weight") -> DataFrame:
+    """``rules(w, gsw, prob_con, prob_neu, prob_ent)`` with score and direction.
+
+    gs takes the gold weight, hard 1 where entailment is likeliest and -1 where contradiction is,
+    weight the given one, noNeu entailment against contradiction. Negative scores turn to Opposite.
+    """
+    ent, con, neu = (F.col(f"prob_{k}") for k in ("ent", "con", "neu"))
+    raw = {
+        "gs": F.col("gsw"),
+        "weight": F.col("w"),
+        "hard": F.when((ent >= con) & (ent >= neu), 1.0).when((con >= ent) & (con >= neu), -1.0).otherwise(0.0),
+        "noNeu": F.coalesce((ent - con) / F.nullif(ent + con, F.lit(0.0)), F.lit(0.0)),
+    }[mode]
+    return rules.withColumn("raw", raw).withColumn("direction", F.when(F.col("raw") < 0, "Opposite").otherwise("Implication")).withColumn("score", F.abs("raw")).drop("raw")
+
+
+def phrase_pair_scores(texts: DataFrame, hyps: DataFrame, phrases: DataFrame, longest: int = 3) -> DataFrame:
+    """(pair_id, lhs_id, rhs_id, score): positive cosine of phrases found in the text and in the hypothesis.
+
+    phrases(rule_id, tokens, vec). A phrase right after "some" doesn't count.
+    """
+    some = lambda t: t.withColumn("tokens", F.filter("tokens", lambda x, i: (i == 0) | (F.get("tokens", i - 1) != "some")))
+    found = lambda t, name: match_exact_phrase(some(t), phrases, longest).join(phrases.select("rule_id", "vec"), "rule_id").select("pair_id", F.col("rule_id").alias(f"{name}_id"), F.col("vec").alias(f"{name}_vec"))
+    both = found(texts, "lhs").join(found(hyps, "rhs"), "pair_id").filter("lhs_id <> rhs_id")
+    return both.select("pair_id", "lhs_id", "rhs_id", positive_cosine(F.col("lhs_vec"), F.col("rhs_vec")).alias("score"))
+
+
+def lexical_rules(text_preds: DataFrame, hyp_preds: DataFrame, relations: DataFrame) -> DataFrame:
+    """(pair_id, lhs, rhs, direction) of predicates ``(pair_id, name, pos)`` that ``relations(lhs, rhs, pos, relation)`` link.
+
+    Synonyms and hypernyms imply, hyponyms imply backwards, antonyms oppose, but not nouns. The
+    hypothesis name must not stand in the text. Weights of such rules are infinite.
+    """
+    new = hyp_preds.join(text_preds.select("pair_id", "name").distinct(), ["pair_id", "name"], "left_anti")
+    both = text_preds.select("pair_id", F.col("name").alias("lhs"), "pos").distinct().join(new.select("pair_id", F.col("name").alias("rhs"), "pos").distinct(), ["pair_id", "pos"])
+    linked = both.join(relations, ["lhs", "rhs", "pos"]).filter("lhs <> rhs")
+    direction = F.when(F.col("relation").isin("synonym", "hypernym"), "Implication").when(F.col("relation") == "hyponym", "BackwardImplication").when((F.col("relation") == "antonym") & (F.col("pos") != "n"), "Opposite")
+    return linked.withColumn("direction", direction).filter("direction is not null").select("pair_id", "lhs", "rhs", "direction").distinct().withColumn("weight", F.lit(float("inf")))
+
+
+def scale_and_union_rules(*sources: tuple[DataFrame, float], scale: float = 1.0) -> DataFrame:
+    """Different rules of several tables, weights times their factor over ``scale``."""
+    out = None
+    for rules, factor in sources:
+        rows = rules.withColumn("weight", F.col("weight") * (factor / scale))
+        out = rows if out is None else out.unionByName(rows)
+    return out.distinct()
+
+
+#: Order of words in a phrase by part of speech.
+PHRASE_ORDER = {"meta": 0, "a": 1, "n": 2, "v": 2}
+
+
+def assemble_simple_phrases(preds: DataFrame) -> DataFrame:
+    """(pair_id, side, var, phrase, pos): names of a variable by meta noun, adjective, head."""
+    order = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in PHRASE_ORDER.items() for x in kv)), F.col("pos")), F.lit(3))
+    rows = preds.select("pair_id", "side", "var", F.struct(order.alias("o"), "tok_idx", "name", "pos").alias("x"))
+    grouped = rows.groupBy("pair_id", "side", "var").agg(F.array_sort(F.collect_set("x")).alias("xs"))
+    return grouped.select("pair_id", "side", "var", F.array_join(F.transform("xs", lambda x: x["name"]), " ").alias("phrase"), F.element_at("xs", -1)["pos"].alias("pos"))
+
+
+def assemble_relational_phrases(phrases: DataFrame, rels: DataFrame, kind: str) -> DataFrame:
+    """(pair_id, side, var, phrase): a variable's phrase with those its relations reach.
+
+    noun: relations between nouns; prep: a preposition and its noun; verb: a verb with exactly one
+    agent and one patient; relational: any relation with both ends.
+    """
+    ends = lambda c, n: phrases.select("pair_id", "side", F.col("var").alias(c), F.col("phrase").alias(n), F.col("pos").alias(f"{n}_pos"))
+    rows = rels.join(ends("event", "head"), ["pair_id", "side", "event"]).join(ends("arg", "tail"), ["pair_id", "side", "arg"])
+    if kind == "verb":
+        one = lambda name: rows.filter((F.col("name") == name) & (F.col("head_pos") == "v")).groupBy("pair_id", "side", "event", "head").agg(F.count("*").alias("k"), F.min("tail").alias(name)).filter("k = 1").drop("k")
+        both = one("agent").join(one("patient"), ["pair_id", "side", "event", "head"])
+        return both.select("pair_id", "side", F.col("event").alias("var"), F.concat_ws(" ", "agent", "head", "patient").alias("phrase"))
+    keep = {"noun": (F.col("head_pos") == "n") & (F.col("tail_pos") == "n"), "prep": ~F.col("name").isin("agent", "patient"), "relational": F.lit(True)}[kind]
+    shown = F.concat_ws(" ", "head", "tail") if kind == "noun" else F.concat_ws(" ", "head", "name", "tail")
+    return rows.filter(keep).select("pair_id", "side", F.col("event").alias("var"), shown.alias("phrase")).distinct()
+
+
+def assemble_rel_phrases(phrases: DataFrame, rels: DataFrame) -> DataFrame:
+    """Relational phrases, and the phrases of variables that no relation uses."""
+    used = rels.select("pair_id", "side", F.explode(F.array("event", "arg")).alias("var")).distinct()
+    lone = phrases.join(used, ["pair_id", "side", "var"], "left_anti").select("pair_id", "side", "var", "phrase")
+    return assemble_relational_phrases(phrases, rels, "relational").unionByName(lone)
+
+
+def cross_phrase_rules(phrases: DataFrame, weights: DataFrame | None = None) -> DataFrame:
+    """(pair_id, lhs, rhs): a text's phrases against its hypothesis's, of compatible classes and different words.
+
+    ``weights(lhs, rhs, weight)`` keeps those with a weight above 0.
+    """
+    side = lambda s, n: phrases.filter(F.col("side") == s).select("pair_id", F.col("phrase").alias(n), phrase_class(F.col("pos")).alias("class")).distinct()
+    both = side("T", "lhs").join(side("H", "rhs"), ["pair_id", "class"]).filter("lhs <> rhs").drop("class")
+    return both if weights is None else both.join(weights.filter("weight > 0"), ["lhs", "rhs"])
+
+
+def phrase_class(pos: Column) -> Column:
+    """Nouns and prepositions go together, verbs with verbs; others go with their like."""
+    return F.when(pos.isin("n", "p"), "N").when(pos == "v", "V").otherwise(pos)
+
+
+def classify_rule_pattern(rules: DataFrame, patterns: dict[str, str]) -> DataFrame:
+    """``rules(lhs_pos, rhs_pos)`` with ``class``: M(atch), P(atient) or I(gnore), which unknown patterns are."""
+    table = F.create_map(*(F.lit(x) for kv in patterns.items() for x in kv))
+    return rules.withColumn("class", F.coalesce(F.try_element_at(table, F.concat_ws("--", "lhs_pos", "rhs_pos")), F.lit("I")))
+
+
+def consolidate_rule_labels(rules: DataFrame) -> DataFrame:
+    """An unsure label 0 becomes 1 where a sure 1 of the same (lhs, rhs) exists. rules(lhs, rhs, label, sure)."""
+    best = F.max(F.when(F.col("sure"), F.col("label"))).over(W.partitionBy("lhs", "rhs"))
+    return rules.withColumn("label", F.when(~F.col("sure") & (F.col("label") == 0) & (best == 1), 1).otherwise(F.col("label")))
+
+
+def known_rules(rules: DataFrame, known: DataFrame) -> DataFrame:
+    return rules.join(known.select("lhs", "rhs").distinct(), ["lhs", "rhs"], "left_semi")
+
+
+def rule_overlap_counts(rules: DataFrame, relations: DataFrame) -> DataFrame:
+    """(rule_id, n_rhs, identical, lemma, related, unmatched): how the right side's words match the left's.
+
+    rules(rule_id, side, word, lemma); relations(lhs, rhs) are synonyms and hypernyms.
+    """
+    left = rules.filter("side = 'lhs'")
+    right = rules.filter("side = 'rhs'").select("rule_id", "word", "lemma").distinct()
+    flag = lambda rows, name: rows.distinct().withColumn(name, F.lit(True))
+    by_word = flag(left.select("rule_id", "word"), "w")
+    by_lemma = flag(left.select("rule_id", "lemma"), "l")
+    by_rel = flag(left.select("rule_id", F.col("lemma").alias("lhs")).join(relations, "lhs").select("rule_id", F.col("rhs").alias("lemma")), "r")
+    rows = right.join(by_word, ["rule_id", "word"], "left").join(by_lemma, ["rule_id", "lemma"], "left").join(by_rel, ["rule_id", "lemma"], "left")
+    kind = F.when(F.col("w"), "w").when(F.col("l"), "l").when(F.col("r"), "r").otherwise("u")
+    count = lambda k, n: F.count_if(kind == k).alias(n)
+    return rows.groupBy("rule_id").agg(F.count("*").alias("n_rhs"), count("w", "identical"), count("l", "lemma"), count("r", "related"), count("u", "unmatched"))
+
+
+def rule_relation_label(rules: DataFrame, relations: DataFrame, words: DataFrame) -> DataFrame:
+    """``rules(lhs, rhs)`` with label: Phrasal, a relation's name in a fixed order, or NotInWN."""
+    order = F.array(*map(F.lit, ("synonym", "hypernym", "hyponym", "antonym")))
+    best = relations.groupBy("lhs", "rhs").agg(F.min(F.array_position(order, F.col("relation"))).alias("k"))
+    known = words.select("word").distinct().withColumn("known", F.lit(True))
+    rows = rules.join(best, ["lhs", "rhs"], "left").join(known.withColumnRenamed("word", "lhs").withColumnRenamed("known", "kl"), "lhs", "left").join(known.withColumnRenamed("word", "rhs").withColumnRenamed("known", "kr"), "rhs", "left")
+    phrasal = F.contains("lhs", F.lit(" ")) | F.contains("rhs", F.lit(" "))
+    label = F.when(phrasal, "Phrasal").when(F.col("k").isNotNull(), F.initcap(F.get(order, (F.col("k") - 1).cast("int")))).when(F.col("kl") & F.col("kr"), "None").otherwise("NotInWN")
+    return rows.withColumn("label", label).drop("k", "kl", "kr")
+
+
+def rule_label_counts(rules: DataFrame) -> DataFrame:
+    return rules.groupBy("lhs", "rhs").agg(F.count_if(F.col("label") > 0).alias("pos"), F.count_if(F.col("label") <= 0).alias("neg"))
+
+
+def drop_contradicted_negatives(rows: DataFrame) -> DataFrame:
+    """Rows ``(features, label)`` without the negatives whose features also occur as positive."""
+    positive = rows.filter("label > 0").select("features").distinct()
+    return rows.filter("label > 0").unionByName(rows.filter("label <= 0").join(positive, "features", "left_anti"))
+
+
+def achievable_bound(rows: DataFrame) -> DataFrame:
+    """Best accuracy, precision, recall, f1 that a function of the features can reach on ``rows(features, label)``."""
+    g = rows.groupBy("features").agg(F.count_if(F.col("label") > 0).alias("p"), F.count_if(F.col("label") <= 0).alias("n"))
+    yes = F.col("p") > F.col("n")
+    sums = g.agg(F.sum(F.when(yes, F.col("p")).otherwise(0)).alias("tp"), F.sum(F.when(yes, F.col("n")).otherwise(0)).alias("fp"), F.sum("p").alias("pos"), F.sum(F.greatest("p", "n")).alias("right"), F.sum(F.col("p") + F.col("n")).alias("total"))
+    ratio = lambda a, b: F.coalesce(a / F.nullif(b, F.lit(0)), F.lit(0.0))
+    tp, fp, pos = F.col("tp"), F.col("fp"), F.col("pos")
+    return sums.select(ratio(F.col("right"), F.col("total")).alias("accuracy"), ratio(tp, tp + fp).alias("precision"), ratio(tp, pos).alias("recall"), ratio(2 * tp, tp + fp + pos).alias("f1"))
+
+
+def match_entities(hyp: DataFrame, text: DataFrame, candidates: DataFrame, ignored: tuple[str, ...] = ("male", "female", "topic")) -> DataFrame:
+    """(pair_id, hyp_var, text_var) that share a name, or where a placeholder meets a candidate."""
+    h = hyp.filter(~F.col("name").isin(*ignored)).select("pair_id", F.col("var").alias("hyp_var"), "name")
+    t = text.select("pair_id", F.col("var").alias("text_var"), "name")
+    named = h.join(t, ["pair_id", "name"]).select("pair_id", "hyp_var", "text_var")
+    holes = h.filter("name = '@placeholder'").select("pair_id", "hyp_var").join(t.join(candidates.select("pair_id", "name"), ["pair_id", "name"], "left_semi").select("pair_id", "text_var"), "pair_id")
+    return named.unionByName(holes).distinct()
+
+
+def greedy_align(candidates: DataFrame, least: float = 0.01) -> DataFrame:
+    """(rule_id, lhs, rhs, score): one to one, the best score above ``least`` first, of equals by names.
+
+    A rule's candidates are one group: two sides' words, which bound it.
+    """
+    import pandas as pd
+
+    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
+        left, right, rows = set(), set(), []
+        for r in pdf.sort_values(["score", "lhs", "rhs"], ascending=[False, True, True]).itertuples(index=False):
+            if r.lhs not in left and r.rhs not in right:
+                left.add(r.lhs)
+                right.add(r.rhs)
+                rows.append(r)
+        return pd.DataFrame(rows, columns=pdf.columns)
+
+    rows = candidates.filter(F.col("score") > least).select("rule_id", "lhs", "rhs", "score")
+    return rows.groupBy("rule_id").applyInPandas(pick, rows.schema)
+
+
+def paraphrase_augment(tokens: DataFrame, synonyms: DataFrame, vocabulary: DataFrame, seed: int = 0) -> DataFrame:
+    """(id, text): each token replaced by a hashed choice of its synonyms in the vocabulary. tokens(id, place, token)."""
+    usable = synonyms.join(vocabulary.select(F.col("word").alias("synonym")).distinct(), "synonym", "left_semi")
+    order = F.xxhash64(F.lit(seed), "id", "place", "synonym")
+    chosen = tokens.join(usable.withColumnRenamed("word", "token"), "token").groupBy("id", "place").agg(F.max_by("synonym", F.struct(order, "synonym")).alias("synonym"))
+    rows = tokens.join(chosen, ["id", "place"], "left").select("id", F.struct("place", F.coalesce("synonym", "token").alias("t")).alias("x"))
+    return rows.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["t"]), " ").alias("text"))
+
+
+def constraint_table(rows: DataFrame, a: str, b: str) -> DataFrame:
+    return rows.select(a, b).distinct()
+
+
+def satisfies_constraints(rows: DataFrame, constraints: DataFrame) -> DataFrame:
+    return rows.join(constraints, constraints.columns, "left_semi")
+
+
+def search_alignment(cliques: DataFrame, beam: int = 50) -> DataFrame:
+    """(qid, weight, choice): the best assignment of a question's entities to different text entities.
+
+    cliques(qid, entity, target, weight); best first over entities by name, partial assignments
+    kept to ``beam``; entities may stay unassigned. A question's cliques are one group.
+    """
+    import pandas as pd
+
+    def search(pdf: pd.DataFrame) -> pd.DataFrame:
+        states = [(0.0, ())]
+        for _, group in pdf.groupby("entity", sort=True):
+            options = sorted(zip(group["target"], group["weight"], group["entity"], strict=True))
+            grown = list(states)
+            for w, chosen in states:
+                used = {t for _, t in chosen}
+                grown += [(w + x, (*chosen, (e, t))) for t, x, e in options if t not in used]
+            states = sorted(grown, key=lambda s: (-s[0], s[1]))[:beam]
+        w, chosen = states[0]
+        return pd.DataFrame({"qid": [pdf["qid"].iloc[0]], "weight": [w], "choice": [",".join(f"{e}={t}" for e, t in chosen)]})
+
+    rows = cliques.select("qid", F.col("entity").cast("string").alias("entity"), F.col("target").cast("string").alias("target"), F.col("weight").cast("double").alias("weight"))
+    return rows.groupBy("qid").applyInPandas(search, f"qid {dict(rows.dtypes)['qid']}, weight double, choice string")
+
+
+def path_rules(hyp_paths: DataFrame, text_paths: DataFrame, matches: DataFrame, limit: int = 4) -> DataFrame:
+    """(pair_id, lhs_path, rhs_path): a hypothesis path between entities and the text path between their matches.
+
+    Paths are ``(pair_id, a, b, path)``; both have at most ``limit`` edges.
+    """
+    short = lambda p: p.filter((F.size("path") - 1 <= limit) & (F.size("path") > 1))
+    m = lambda h, t: matches.select("pair_id", F.col("hyp_var").alias(h), F.col("text_var").alias(t))
+    rows = short(hyp_paths).withColumnRenamed("path", "rhs_path").join(m("a", "ta"), ["pair_id", "a"]).join(m("b", "tb"), ["pair_id", "b"])
+    text = short(text_paths).select("pair_id", F.col("a").alias("ta"), F.col("b").alias("tb"), F.col("path").alias("lhs_path"))
+    return rows.join(text, ["pair_id", "ta", "tb"]).select("pair_id", "lhs_path", "rhs_path").distinct()
+
+
+def path_rule_score(rules: DataFrame, labels: DataFrame | None = None, scores: DataFrame | None = None) -> DataFrame:
+    """1 / (1 + the gap of the paths' directed lengths), overridden by a label, then by a score, of ``(lhs, rhs)``."""
+    base = 1 / (1 + F.abs(F.col("lhs_length") - F.col("rhs_length")))
+    rows, order = rules, []
+    for extra, name in ((labels, "label"), (scores, "score_given")):
+        if extra is not None:
+            rows = rows.join(extra.withColumnRenamed(extra.columns[2], name), ["lhs", "rhs"], "left")
+            order.append(F.col(name).cast("double"))
+    out = rows.withColumn("score", F.coalesce(*order, base))
+    return out.drop("label", "score_given")
+
+
+def question_triples(deps: DataFrame, tokens: DataFrame, subject: str = "nsubj", objects: tuple[str, ...] = ("dobj", "pobj")) -> DataFrame:
+    """(sent, subj, verb, obj): a root with a named subject and exactly one named object.
+
+    deps(sent, head, dep, rel), tokens(sent, idx, word, ne); ``ne`` is O for no name.
+    """
+    named = tokens.filter("ne <> 'O'").select("sent", F.col("idx").alias("dep"), "word")
+    root = deps.filter("rel = 'root'").select("sent", F.col("dep").alias("head"))
+    args = deps.join(root, ["sent", "head"]).join(named, ["sent", "dep"])
+    subj = args.filter(F.col("rel") == subject).groupBy("sent", "head").agg(F.min_by("word", "dep").alias("subj"))
+    obj = args.filter(F.col("rel").isin(*objects)).groupBy("sent", "head").agg(F.count("*").alias("k"), F.min("word").alias("obj")).filter("k = 1").drop("k")
+    verb = tokens.select("sent", F.col("idx").alias("head"), F.col("word").alias("verb"))
+    return subj.join(obj, ["sent", "head"]).join(verb, ["sent", "head"]).select("sent", "subj", "verb", "obj")
+
+
+def classify_question(rows: DataFrame, stop_relations: tuple[str, ...] = ("be", "have"), stop_chars: str = "[0-9%$]") -> DataFrame:
+    """``rows(subj, verb, obj, title, article)`` with ``kind``, the first that fits."""
+    subj, obj, title, article = (F.lower(F.col(c)) for c in ("subj", "obj", "title", "article"))
+    sentences = F.size(F.filter(F.split("article", "[.!?]"), lambda s: F.trim(s) != ""))
+    kind = (
+        F.when(F.col("verb").isin(*stop_relations), "StopRel")
+        .when(F.concat("subj", "obj").rlike(stop_chars), "StopChar")
+        .when(sentences <= 1, "ONESEN")
+        .when(F.contains(article, F.concat_ws(" ", F.lower("subj"), F.lower("verb"), F.lower("obj"))), "TRIVIAL")
+        .when((subj == title) & F.contains(article, F.concat_ws(" ", F.lower("verb"), F.lower("obj"))), "COREFTRIV")
+        .when(F.contains(article, subj) & (obj == title), "SubjFound")
+        .when(F.contains(article, obj) & (subj == title), "ObjFound")
+    )
+    return rows.withColumn("kind", kind)
+
+
+def make_cloze(rows: DataFrame, placeholder: str = "@placeholder") -> DataFrame:
+    """``rows(subj, verb, obj, title)`` with question and answer: the side equal to the title is hidden."""
+    is_obj = F.lower("obj") == F.lower("title")
+    is_subj = F.lower("subj") == F.lower("title")
+    question = F.when(is_obj, F.concat_ws(" ", "subj", "verb", F.lit(placeholder))).when(is_subj, F.concat_ws(" ", F.lit(placeholder), "verb", "obj"))
+    return rows.withColumn("question", question).withColumn("answer", F.when(is_obj, F.col("obj")).when(is_subj, F.col("subj"))).filter("question is not null")
+
+
+def max_over_parses(rows: DataFrame, keys: list[str], scores: list[str]) -> DataFrame:
+    """The best of each score over parses; negative scores are failures, -1 where all failed."""
+    return rows.groupBy(*keys).agg(*(F.coalesce(F.max(F.when(F.col(s) >= 0, F.col(s))), F.lit(-1.0)).alias(s) for s in scores))
