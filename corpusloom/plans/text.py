@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from corpusloom.functions import logic as L
 from corpusloom.functions import similarity as M
 from corpusloom.functions import text as X
+from corpusloom.operators.corpus import lemmatize
+from corpusloom.operators.rules import polarity_lookup
 from corpusloom.plans.inputs import PAIRS_SQL, WORDS_SQL, letters, pairs, r6, table
 
 _T = F.col("text")
@@ -32,8 +34,6 @@ _WT = f"wt AS (SELECT DISTINCT unnest({WORDS_SQL}) AS word FROM documents)"
 
 
 def x6(s, d):
-    from corpusloom.operators.corpus import lemmatize
-
     exceptions = words_table(s, d).filter("length(word) = 4").select(F.col("word").alias("form"), F.substring("word", 1, 3).alias("lemma"))
     tok = docs(s, d).select("doc_id", F.posexplode(letters(_T)).alias("place", "token"))
     return lemmatize(tok, exceptions).groupBy("lemma").agg(F.count("*").alias("n"))
@@ -176,7 +176,7 @@ QUERIES = {
         "SELECT l_orderkey, round(ln(sum(l_quantity)), 6) AS s, round(ln(max(l_quantity) + min(l_quantity)), 6) AS t FROM lineitem GROUP BY 1",
     ),
     "X21_polarity_lookup": (
-        lambda s, d: __import__("corpusloom.operators.rules", fromlist=["x"]).polarity_lookup(
+        lambda s, d: polarity_lookup(
             table(s, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_type").alias("lemma"), F.lit("n").alias("pos"), F.array(F.lower("p_brand"), F.col("p_name")).alias("relations")),
             table(s, d, "part").select(F.col("p_type").alias("lemma"), F.lit("n").alias("pos"), F.array(F.lit("brand#1")).alias("required"), F.lit("+/-").alias("signature")).distinct(),
         ),
