@@ -36,7 +36,7 @@ def entries_of(text: str | None) -> list[tuple[str, str]]:
     """Words and, with a star, beginnings of longer words, each with the word after, in order."""
     out = []
     words = _WORD.findall((text or "").lower())
-    for w, after in zip(words, [*words[1:], ""], strict=True):
+    for w, after in zip(words, [*words[1:], ""], strict=False):
         out.append((w, after))
         if len(w) > STEM_LETTERS:
             out.append((w[:STEM_LETTERS] + "*", after))

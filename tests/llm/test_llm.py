@@ -1,0 +1,535 @@
+"""The ten operators and the pipeline on small tables: brute force, exact round trips, edge cases."""
+
+from __future__ import annotations
+
+import base64
+import hashlib
+import itertools
+import json
+import random
+import re
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from corpusloom.llm import (
+    chat_format,
+    components,
+    decontaminate,
+    fingerprint,
+    html_extract,
+    lang_id,
+    registry,
+    secret_scan,
+    sentencepiece_bpe,
+    simhash,
+    substring_dedup,
+    toxicity,
+)
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+EDGES = [None, "", " \n\t", "one", "a b c", "Das ist ein Haus.", "x" * 20_000, "the " * 3000, "é🙂 ﬁ İ ▁▁ \x00"]
+
+
+def docs(spark, texts, lang="en"):
+    return spark.createDataFrame([(i, t, lang, "s", len(t or "")) for i, t in enumerate(texts)], DOCS)
+
+
+@pytest.fixture(scope="module")
+def real(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+@pytest.fixture(scope="module")
+def awkward(spark):
+    """Null ids, repeated rows, null and extreme texts, extra columns with names that operators use."""
+    rows = [(i, t) for i, t in enumerate(EDGES)] + [(3, "one"), (3, "another"), (None, "no id"), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    extra = {c: F.lit("clash") for c in ("print", "score", "mark", "start", "band", "component", "t", "s", "f")}
+    return df.withColumns({"lang": F.lit("en"), "source": F.lit(None).cast("string"), "n_chars": F.lit(1).cast("long"), **extra})
+
+
+# 1 HTML
+
+
+def test_html_parser_and_decoding():
+    page = html_extract.Page("<body><p>a &amp; b<p><b>c</b>d<br>e<script>var x='<p>no</p>'</script><!-- <p>no --><ul><li>f<li>g</ul>h")
+    assert [t for t in page.texts if t] == ["a & b", "cd e", "f", "g", "h"]
+    for broken in ("<", "<p", "<p class='", "</p></div>", "<!-- x", "<p a=\"" + "b" * 5000, "<div>" * 3000):
+        html_extract.Page(broken)
+    page = html_extract.Page("<div><p>x</p></div><p>y</p>")
+    odds = np.array([{"html": 5.0, "div": -3.0, "p": 2.0, "#": 2.0}[t] for t in page.tags])
+    kept = html_extract.decode(page, odds)
+    best = max(
+        (c for c in itertools.product((False, True), repeat=len(odds)) if all(not c[i] or i == 0 or c[page.parents[i]] for i in range(len(c)))),
+        key=lambda c: sum(-np.logaddexp(0, -o if k else o) for k, o in zip(c, odds)),
+    )
+    assert tuple(kept) == best
+
+
+def test_html_extraction(spark):
+    body = "".join(f"<p>Sentence number {i}, with words.</p>" for i in range(5))
+    page = f"<html><head><title>T</title></head><body><nav><ul><li><a href=/>Home</a></li></ul></nav><div class='ad'>Buy this now.</div><article><h1>Title &lt;x&gt;</h1>{body}</article><section class='comments'><p>I liked it a lot.</p></section><footer>&copy; all</footer></body></html>"
+    pages = spark.createDataFrame([(1, "u", page), (1, "u", page), (2, None, None), (3, "v", "")], "page_id long, url string, html string").withColumn("text", F.lit("clash"))
+    trees = html_extract.train(pages)
+    rows = pages.select("page_id", html_extract.extract(spark, F.col("html"), trees).alias("t")).collect()
+    want = "\n".join(["Title <x>", *(f"Sentence number {i}, with words." for i in range(5))])
+    assert [r.t for r in rows] == [want, want, "", ""]
+    right = total = 0
+    for seed in range(10**6, 10**6 + 60):
+        source, truth = html_extract.make_page(seed)
+        got = set(html_extract.main_texts([source], trees)[0].split("\n")) - {""}
+        right, total = right + len(got & truth), total + len(got | truth)
+    assert right / total > 0.85
+
+
+# 2 Language
+
+
+def test_language_id(spark, real, awkward):
+    rows = lang_id.languages(real).join(real.select("doc_id", "lang"), "doc_id").collect()
+    held = [r for r in rows if r.held_out]
+    assert held and sum(r.lang == r.lang_pred for r in held) / len(held) > 0.95
+    assert all(0 <= r.score <= 1 for r in rows)
+    model = lang_id.train(lang_id.learnable(real))
+    en, de = (next(r.text for r in real.filter(F.col("lang") == x).filter("n_chars > 1500").collect()) for x in ("en", "de"))
+    mixed = model.mixture(en[:1000] + " " + de[:1000])[2]
+    assert {x for x, _ in mixed} == {"en", "de"} and sum(s for _, s in mixed) == pytest.approx(1)
+    got = lang_id.languages(awkward).collect()
+    assert len(got) == awkward.count() and {r.lang_pred for r in got} == {"en", "und"}
+    nothing = lang_id.languages(real.limit(0)).collect()
+    assert nothing == []
+    kept = {r.doc_id for r in lang_id.keep_identified(docs(spark, ["12 34", None, "Haus und Hof", "the house"])).collect()}
+    assert kept == {2, 3}
+
+
+def test_language_labels_of_the_held_out_fold_are_not_learned(spark):
+    rows = docs(spark, ["aaa bbb"] * 40).withColumn("lang", F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, "xx").otherwise("en"))
+    assert {r.lang_pred for r in lang_id.languages(rows).collect()} == {"en"}
+
+
+# 3 SentencePiece
+
+
+@pytest.fixture(scope="module")
+def library():
+    import public_tokenizers
+    import sentencepiece
+
+    return sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def test_tokens_equal_the_library(spark, real, library):
+    model = sentencepiece_bpe.Model(sentencepiece_bpe.default_model())
+    r = random.Random(3)
+    texts = [t or "" for t in EDGES] + [x.text for x in real.limit(60).collect()] + ["".join(r.choice("abcdet hrs\n▁é🙂ñ中\t") for _ in range(r.randrange(60))) for _ in range(400)]
+    for text in texts:
+        ids = library.encode(text, add_bos=True, add_eos=True)
+        got = np.frombuffer(model.encode(text), dtype="<u4").tolist()
+        assert got == ids and model.decode(got) == library.decode(ids)
+    for ids in ([1, 2], [3 + 0xE2, 3 + 0x82], [264, 3 + 0xFF, 264], []):
+        assert model.decode(ids) == library.decode(ids)
+
+
+def test_pairs_agree_with_merging():
+    model = sentencepiece_bpe.Model(sentencepiece_bpe.default_model())
+    r = random.Random(4)
+    pieces = r.sample(list(model.halves), 400) + r.sample(sorted(model.chars), 50)
+    for _ in range(3000):
+        a, b = r.choice(pieces), r.choice(pieces)
+        assert model._pair_stays(a, b) == (model.merges(a + b)[0] == [a, b])
+
+
+def test_token_digests(spark, awkward, library):
+    rows = sentencepiece_bpe.digests(awkward).collect()
+    assert len(rows) == awkward.count()
+    empty = hashlib.sha256(np.array([1, 2], dtype="<u4").tobytes()).hexdigest()
+    assert sum(r.n_tokens == 2 and r.ids_sha256 == empty for r in rows) == 3
+    ids = awkward.filter("text = 'one'").select(sentencepiece_bpe.unpack(sentencepiece_bpe.tokenize(spark, F.col("text"))["ids"]).alias("i")).first().i
+    assert ids == library.encode("one", add_bos=True, add_eos=True)
+
+
+# 4 Secrets
+
+
+def brute_secrets(text):
+    word = "|".join("".join(f"[{c}{c.upper()}]" for c in w) for w in ("password", "passwd", "secret", "token")) + "|[aA][pP][iI]_?[kK][eE][yY]"
+    rules = [("assign", re.compile(f"({word})" + r"""["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), lambda m: len(m[2]) >= 6), ("access", re.compile("AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= 20), ("hex", re.compile("[0-9a-f]+"), lambda m: len(m[0]) >= 24)]
+    return [(k, a, b) for a, _, k, b in sorted((m.start(), i, k, m.end()) for i, (k, p, ok) in enumerate(rules) for m in p.finditer(text) if ok(m))]
+
+
+def test_secrets_equal_brute_force():
+    r = random.Random(5)
+    bits = ["token", "secret", "=", ":", " ", '"', "abc", "AKIA", "ABCD1234", "ABCDEFGHIJKLMNOP", "0123456789abcdef", "K", "password", "İ", "Api_Key", "API", "key", "ſecret", "\n"]
+    for _ in range(4000):
+        text = "".join(r.choice(bits) for _ in range(r.randrange(30)))
+        assert [s for s in secret_scan.find(text) if s[0] in secret_scan.KINDS[:3]] == brute_secrets(text)
+
+
+def test_checksums_decide():
+    body = "abcdefghij0123456789ABCDEFGHIJ"
+    good = f"ghp_{body}{secret_scan.crc_suffix(body)}"
+    assert ("token_crc", 1, 41) in secret_scan.find(f" {good} ")
+    assert not [s for s in secret_scan.find(good[:-1] + ("0" if good[-1] != "0" else "1")) if s[0] == "token_crc"]
+    head = base64.urlsafe_b64encode(json.dumps({"alg": "HS256"}).encode()).decode().rstrip("=")
+    assert secret_scan.find(f"{head}.eyJhIjoxfQ.sig")[0][0] == "web_token"
+    assert not secret_scan.find("eyJub3QganNvbg.eyJhIjoxfQ.sig")
+
+
+def test_secret_rows(spark, awkward):
+    rows = secret_scan.secrets(awkward).collect()
+    assert len(rows) == awkward.count() and {r.spans for r in rows} == {""}
+    text = 'x password = "hunter22" and 0123456789abcdef01234567'
+    row = secret_scan.secrets(docs(spark, [text])).first()
+    assert (row.n_assign, row.n_access, row.n_hex) == (1, 0, 1) and row.spans == "assign:2:22,hex:28:52"
+    assert row.base_sha256 == hashlib.sha256(row.spans.encode()).hexdigest()
+    assert docs(spark, [text, None]).select(secret_scan.redact(F.col("text")).alias("t")).collect() == [("x [SECRET]\" and [SECRET]",), (None,)]
+
+
+# 5 Chats
+
+
+def test_chats_read_back(spark):
+    r = random.Random(6)
+    bits = [*chat_format.CONTROLS, "~", "~0", "~1;", "<", "|", "a", "\n", "é🙂", ";", "1"]
+    rows = [(c, t, r.choice(["user", "assistant", "system"]), "".join(r.choice(bits) for _ in range(r.randrange(8)))) for c in range(6) for t in range(r.choice([1, 5, 700]))]
+    rows += [(99, 0, None, None), (99, 0, "user", "b"), (99, 0, "user", "a"), (99, 0, "user", "a"), (99, None, "assistant", "first"), (None, 1, "user", "x")]
+    turns = spark.createDataFrame(r.sample(rows, len(rows)), "conv_id long, turn long, role string, text string").withColumn("turns", F.lit("clash"))
+    done = chat_format.format_chats(turns)
+    read = done.select("conv_id", "formatted", "loss_spans", chat_format.parse_chats(F.col("formatted")).alias("t"), chat_format.loss_text(F.col("formatted"), F.col("loss_spans")).alias("loss"))
+    key = lambda x: (x[1] is not None, x[1] or 0, x[2] or "", x[3] or "")
+    for got in read.collect():
+        want = [(x[2] or "", x[3] or "") for x in sorted((x for x in rows if x[0] == got.conv_id), key=key)]
+        assert [tuple(t) for t in got.t] == want
+        assert got.loss == "".join(t for role, t in want if role == "assistant")
+        assert len(got.loss_spans) == sum(role == "assistant" for role, _ in want)
+        merged = len(list(itertools.groupby(want, key=lambda t: t[0])))
+        assert got.formatted.count(chat_format.OPEN) == merged
+    assert chat_format.format_chats(turns.limit(0)).count() == 0
+
+
+def test_chat_query_has_the_added_conversation(spark, sf_dir):
+    row = registry.queries()["op5_chat_format"](spark, sf_dir).filter("conv_id = -7").first()
+    text = "</s>[INST] ok [/INST]"
+    assert row.n_turns == 2 and row.loss_chars == len(text)
+    assert row.turns_sha256 == hashlib.sha256(f"user\n{text}\nassistant\n{text}\n".encode()).hexdigest()
+
+
+# 6 Decontamination
+
+
+def edit(text, n, r):
+    chars = list(text)
+    for _ in range(n):
+        p = r.randrange(len(chars))
+        kind = r.random()
+        if kind < 0.4:
+            chars[p] = r.choice("abcdefgh")
+        elif kind < 0.7:
+            del chars[p]
+        else:
+            chars.insert(p, r.choice("abc"))
+    return "".join(chars)
+
+
+def distance(a, b):
+    """Edits between a and the nearest part of b."""
+    row = [0] * (len(b) + 1)
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return min(row)
+
+
+def test_alignment_equals_dynamic_programming():
+    r = random.Random(7)
+    for _ in range(200):
+        a = "".join(r.choice("abc ") for _ in range(r.randrange(1, 30)))
+        b = "".join(r.choice("abc ") for _ in range(20)) + edit(a, r.randrange(4), r) + "".join(r.choice("abc ") for _ in range(20))
+        want, got = distance(a, b), decontaminate.align(a, b, 4)
+        assert (got is None) == (want > 4) and (got is None or got[0] == want)
+        if got:
+            assert distance(b[got[1] : got[2]], a) <= want
+
+
+def test_decontamination_equals_brute_force(spark):
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abdeilnorst") for _ in range(r.randint(2, 8)))
+    prose = lambda n: " ".join(word() for _ in range(n))
+    items = [prose(r.randint(6, 40)) for _ in range(12)] + ["", None, "tiny"]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    texts = []
+    for k in range(60):
+        host = prose(80)
+        if k % 3:
+            item = items[k % 12]
+            host = host[:200] + " " + edit(item, int(len(item) * 0.2 * r.random()), r) + " " + host[200:]
+        texts.append(host)
+    got = {(x.doc_id, x.item_id): x.edits for x in decontaminate.contaminated(docs(spark, [*texts, None, ""]), bench).collect()}
+    norm = lambda s: " ".join(s.lower().split())
+    want = {}
+    passages = decontaminate.Passages([(i, t) for i, t in enumerate(items) if t])
+    for p, passage in enumerate(passages.texts):
+        for d, text in enumerate(texts):
+            n = distance(passage, norm(text))
+            if n <= passages.budgets[p]:
+                key = (d, passages.items[p])
+                want[key] = min(n, want.get(key, n))
+    assert got == want and len(want) > 15
+    kept = {x.doc_id for x in decontaminate.drop_contaminated(docs(spark, texts), bench).collect()}
+    assert kept == set(range(len(texts))) - {d for d, _ in want}
+    assert decontaminate.contaminated(docs(spark, texts), bench.limit(0)).count() == 0
+
+
+def test_decontamination_of_awkward_rows(awkward, spark):
+    bench = spark.createDataFrame([(1, "the the the the the the the the the")], "item_id long, text string")
+    assert {x.doc_id for x in decontaminate.contaminated(awkward, bench).collect()} == {7}
+
+
+def test_decontamination_in_blocks(spark, monkeypatch):
+    items = [f"item number {i} has some words of its own, all {i * 7919}" for i in range(9)]
+    monkeypatch.setattr(decontaminate, "BLOCK_CHARS", 100)
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    assert {(x.doc_id, x.item_id) for x in decontaminate.contaminated(docs(spark, [f"so {t} it is" for t in items]), bench).filter("edits = 0").collect()} == {(i, i) for i in range(9)}
+
+
+# 7 SimHash
+
+
+def brute_simhash(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    shingles = [" ".join(words[i : i + 4]) for i in range(max(1, len(words) - 3))] if words else []
+    hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << b for b in range(64) if sum(h >> b & 1 for h in hashes) * 2 > len(hashes))
+
+
+def test_bit_sliced_comparison():
+    r = np.random.default_rng(1)
+    rows = r.integers(0, 2**63, 40, dtype=np.uint64)[r.integers(0, 40, 300)].copy()
+    for _ in range(6):
+        rows ^= np.where(r.random(300) < 0.6, np.uint64(1) << r.integers(0, 64, 300).astype(np.uint64), np.uint64(0))
+    q, lane = simhash.near(rows[:100], rows)
+    want = {(i, j) for i in range(100) for j in range(300) if bin(int(rows[i] ^ rows[j])).count("1") <= 4}
+    assert set(zip(q.tolist(), lane.tolist())) == want
+    assert len(simhash.near(rows[:0], rows)[0]) == 0 == len(simhash.near(rows, rows[:0])[0])
+
+
+def test_simhash_components_equal_brute_force(spark, real, awkward):
+    for table in (real, awkward):
+        rows = table.select("doc_id", "text").collect()
+        prints = [brute_simhash(x.text) for x in rows]
+        parent = list(range(len(rows)))
+
+        def root(i, parent=parent):
+            while parent[i] != i:
+                i = parent[i]
+            return i
+
+        for i, j in itertools.combinations(range(len(rows)), 2):
+            if bin(prints[i] ^ prints[j]).count("1") <= 4:
+                parent[root(i)] = root(j)
+        least = {}
+        for i, x in enumerate(rows):
+            if x.doc_id is not None:
+                least[root(i)] = min(least.get(root(i), x.doc_id), x.doc_id)
+        want = sorted(((x.doc_id, f"{p:016x}", least.get(root(i))) for i, (x, p) in enumerate(zip(rows, prints))), key=repr)
+        assert sorted(map(tuple, simhash.simhash_components(table).collect()), key=repr) == want
+
+
+def test_hot_keys_are_split_without_loss(spark):
+    r = np.random.default_rng(2)
+    center = np.uint64(r.integers(0, 2**63))
+    rows = {int(center)} | {int(center ^ (np.uint64(1) << np.uint64(a)) ^ (np.uint64(1) << np.uint64(b))) for a in range(40) for b in range(a)}
+    signed = np.array(sorted(rows), dtype=np.uint64).view(np.int64).tolist()
+    prints = spark.createDataFrame([(x,) for x in signed], "print long")
+    got = components.components(simhash.link_fingerprints(prints, block=50)).collect()
+    assert {x.component for x in got} == {min(signed)} and len(got) == len(signed)
+
+
+def test_one_of_each_component_stays(spark, real, awkward):
+    kept = [x.doc_id for x in simhash.keep_one_of_each(real).collect()]
+    found = simhash.simhash_components(real).collect()
+    assert sorted(kept) == sorted({x.component_id for x in found})
+    rows = simhash.keep_one_of_each(awkward).collect()
+    assert len([x for x in rows if x.doc_id == 3]) <= 1
+    assert simhash.keep_one_of_each(real.limit(0)).count() == 0
+
+
+# 8 Substring dedup
+
+
+def test_similar_keeps_what_all_pairs_connect(monkeypatch):
+    r = random.Random(9)
+    base = [r.randrange(1 << 24) for _ in range(30)]
+    held = {}
+    for m in range(300):
+        start = r.randrange(8)
+        row = base[start : start + 20]
+        for _ in range(r.randrange(3)):
+            row[r.randrange(20)] = r.randrange(1 << 24)
+        held[m] = b"".join(x.to_bytes(3, "little") for x in row)
+    sets = {m: {v[i : i + 3] for i in range(0, 60, 3)} for m, v in held.items()}
+
+    def groups(links):
+        parent = list(range(300))
+
+        def root(i):
+            while parent[i] != i:
+                i = parent[i]
+            return i
+
+        for a, b in links:
+            parent[root(a)] = root(b)
+        return {frozenset(i for i in range(300) if root(i) == k) for k in map(root, range(300))}
+
+    want = groups((a, b) for a, b in itertools.combinations(range(300), 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+    assert groups(substring_dedup.similar(held)) == want
+    monkeypatch.setattr(substring_dedup, "ALL_PAIRS", 1000)
+    assert groups(substring_dedup.similar(held)) == want
+
+
+def test_shared_passages_are_found(spark):
+    r = random.Random(10)
+    word = lambda: "".join(r.choice("abdeilnorst") for _ in range(r.randint(2, 8)))
+    prose = lambda n: [word() for _ in range(n)]
+    passage, short = prose(70), prose(15)
+    texts = []
+    for k in range(40):
+        host = prose(120)
+        at = r.randrange(100)
+        texts.append(" ".join(host[:at] + (passage if k % 4 == 0 else short if k % 4 == 1 else []) + host[at:]))
+    table = docs(spark, [*texts, None, "", "la " * 200])
+    rows = substring_dedup.repeated(table).collect()
+    assert {x.doc_id for x in rows} == set(range(0, 40, 4))
+    assert [x.doc_id for x in rows if not x.removed] == [0]
+    after = {x.doc_id: x.text for x in substring_dedup.remove_repeated(table).collect()}
+    middle = " ".join(passage[25:40])
+    assert sum(middle in (t or "") for t in after.values()) == 1 and all(after[i] == texts[i] for i in range(40) if i % 4)
+
+
+def test_substring_dedup_of_awkward_rows(awkward):
+    assert substring_dedup.repeated(awkward).count() == 0
+    assert substring_dedup.repeated(awkward.limit(0)).count() == 0
+    assert substring_dedup.remove_repeated(awkward).count() == awkward.count()
+
+
+# 9 Toxicity
+
+
+def test_toxicity(spark):
+    r = random.Random(11)
+    word = lambda: "".join(r.choice("abdeilnorst") for _ in range(r.randint(2, 8)))
+    rows, labels = [], []
+    for i in range(600):
+        toxic = i % 6 == 0
+        words = [word() for _ in range(60)]
+        for bad in r.sample(["zorgface", "quib", "mukkling", "mukkled"], 2) * 2 if toxic else []:
+            words.insert(r.randrange(60), bad)
+        rows.append((i, " ".join(words)))
+        labels.append((i, 1, int(toxic)))
+    table = spark.createDataFrame(rows, "doc_id long, text string").withColumn("toxic", F.lit("clash"))
+    marks = spark.createDataFrame([*labels, (None, 1, 1), (5, 1, None), (7, 1, 0)], "doc_id long, quality int, toxic int")
+    got = toxicity.scores(table, marks).collect()
+    held = [x for x in got if x.held_out]
+    assert held and all(x.predicted == (x.doc_id % 6 == 0) for x in held)
+    flat = toxicity.scores(table, marks.filter("toxic = 0")).collect()
+    assert {x.predicted for x in flat} == {0}
+    assert toxicity.scores(table, marks.limit(0)).count() == 600
+
+
+def test_labels_of_the_held_out_fold_are_not_learned(spark):
+    rows = spark.range(400).select(F.col("id").alias("doc_id"), F.lit("good words here").alias("text"))
+    marks = spark.range(400).select(F.col("id").alias("doc_id"), (F.crc32(F.col("id").cast("string").cast("binary")) % 5 == 0).cast("int").alias("toxic"))
+    assert {x.predicted for x in toxicity.scores(rows, marks).collect()} == {0}
+
+
+def test_toxicity_of_awkward_rows(spark, awkward):
+    marks = spark.createDataFrame([(i, i % 2) for i in range(9)], "doc_id long, toxic int")
+    rows = toxicity.scores(awkward, marks).collect()
+    assert len(rows) == awkward.count() and all(0 <= x.score <= 1 for x in rows)
+
+
+def test_label_model_finds_accuracies():
+    r = np.random.default_rng(3)
+    y = r.random(3000) < 0.2
+    fired = np.stack([np.where(y, r.random(3000) < a, r.random(3000) < b) for a, b in ((0.9, 0.05), (0.7, 0.02), (0.5, 0.5))], axis=1)
+    fired = np.concatenate([fired, fired[:, :1], fired[:, :1]], axis=1)
+    marks = np.where(r.random(3000) < 0.05, ~y, y).astype(int)
+    assert ((toxicity.label_model(fired, marks) > 0.5) == y).mean() > 0.97
+
+
+# 10 Fingerprints
+
+
+def brute_shingles(text):
+    words = [w for w in re.split(r"[ \t\n\x0b\f\r]+", (text or "").lower()) if w]
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+
+def test_fingerprints(spark, real, awkward):
+    rows = {x.doc_id: x for x in fingerprint.edited_pairs(real).collect()}
+    texts = sorted(((x.doc_id, x.text or "") for x in real.collect()), reverse=True)
+    gaps = []
+    for k, (d, text) in enumerate(texts):
+        after = texts[(k + 1) % len(texts)][1]
+        third = len(text) // 3
+        edited = text[: len(text) - third] + after[:third]
+        assert rows[d].n_chars == len(text) and rows[d].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
+        for got, other in ((rows[d].near_edited, edited), (rows[d].near_next, after)):
+            a, b = brute_shingles(text), brute_shingles(other)
+            gaps.append(got - len(a & b) / len(a | b))
+    assert abs(np.mean(gaps)) < 0.01 and np.std(gaps) < 0.06 and np.abs(gaps).max() < 0.25
+    odd = fingerprint.edited_pairs(awkward).collect()
+    assert len(odd) == awkward.count() and all(0 <= x.near_next <= 1 for x in odd)
+    by_text = {}
+    for x in fingerprint.edited_pairs(docs(spark, ["a b c"] * 3 + ["x"])).collect()[:3]:
+        by_text.setdefault(x.fingerprint, []).append(x)
+    assert len(by_text) <= 2
+    assert fingerprint.edited_pairs(real.limit(0)).count() == 0
+
+
+def test_native_operators_run_no_python(spark, sf_dir):
+    for name in ("op5_chat_format", "op10_fingerprint"):
+        plan = registry.queries()[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+        assert not re.search("Python|Pandas|Arrow", plan)
+
+
+# Pipeline
+
+
+def test_pipeline_equals_its_parts(spark, sf_dir, real):
+    out = {x.doc_id: x for x in corpus_pipeline.run(spark, sf_dir).collect()}
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "simhash_dedup", "decontaminate", "secret_scan", "sentencepiece"]
+    model = lang_id.train(lang_id.learnable(real))
+    rows = [x for x in real.collect() if (m := model.mixture(x.text))[0] != "und" and m[1] >= 0.4]
+    prints = {x.doc_id: brute_simhash(x.text) for x in rows}
+    label = {d: d for d in prints}
+    for a, b in itertools.combinations(sorted(prints), 2):
+        if bin(prints[a] ^ prints[b]).count("1") <= 4:
+            low, high = sorted((label[a], label[b]))
+            label = {k: low if v == high else v for k, v in label.items()}
+    bench = decontaminate.Passages([(x.item_id, x.text) for x in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()])
+    kept = {x.doc_id: x for x in rows if label[x.doc_id] == x.doc_id and not decontaminate.search(bench, x.text)}
+    assert set(out) == set(kept) and 0 < len(kept) < real.count()
+    pieces = sentencepiece_bpe.Model(sentencepiece_bpe.default_model())
+    for d, x in kept.items():
+        text = x.text
+        for _, a, b in sorted(secret_scan.find(text), key=lambda s: -s[1]):
+            assert brute_secrets(text) or a < b
+        if not secret_scan.find(text):
+            assert out[d].ids == pieces.encode(text)
+        assert out[d].round_trip
+
+
+def test_stages_take_awkward_rows(spark, sf_dir, awkward):
+    table = awkward.drop("print", "score", "mark", "start", "band", "component", "t", "s", "f")
+    for rows in (table, table.limit(0)):
+        for _, stage in corpus_pipeline.STAGES:
+            rows = stage(spark, rows, sf_dir).persist()
+            rows.count()
+        assert "ids" in rows.columns
