@@ -11,7 +11,6 @@ from corpusloom.operators.corpus import lemmatize
 from corpusloom.operators.rules import polarity_lookup
 from corpusloom.plans.inputs import PAIRS_SQL, WORDS_SQL, letters, pairs, r6, table
 
-_T = F.col("text")
 
 
 def docs(s, d):
@@ -19,7 +18,7 @@ def docs(s, d):
 
 
 def toks(s, d):
-    return docs(s, d).select("doc_id", letters(_T).alias("w"))
+    return docs(s, d).select("doc_id", letters(F.col("text")).alias("w"))
 
 
 _TOKS = f"t AS (SELECT doc_id, {WORDS_SQL} AS w FROM documents)"
@@ -27,7 +26,7 @@ _SPLIT = "list_filter(string_split_regex({}, '\\s+'), lambda x: x <> '')"
 
 
 def words_table(s, d):
-    return docs(s, d).select(F.explode(letters(_T)).alias("word")).distinct()
+    return docs(s, d).select(F.explode(letters(F.col("text"))).alias("word")).distinct()
 
 
 _WT = f"wt AS (SELECT DISTINCT unnest({WORDS_SQL}) AS word FROM documents)"
@@ -35,7 +34,7 @@ _WT = f"wt AS (SELECT DISTINCT unnest({WORDS_SQL}) AS word FROM documents)"
 
 def x6(s, d):
     exceptions = words_table(s, d).filter("length(word) = 4").select(F.col("word").alias("form"), F.substring("word", 1, 3).alias("lemma"))
-    tok = docs(s, d).select("doc_id", F.posexplode(letters(_T)).alias("place", "token"))
+    tok = docs(s, d).select("doc_id", F.posexplode(letters(F.col("text"))).alias("place", "token"))
     return lemmatize(tok, exceptions).groupBy("lemma").agg(F.count("*").alias("n"))
 
 
@@ -100,15 +99,15 @@ _LI = "x AS (SELECT l_orderkey, l_linenumber, least(1, greatest(0, l_discount *
 
 QUERIES = {
     "X01_tokenize_simple": (
-        lambda s, d: docs(s, d).select("doc_id", X.tokenize_simple(_T).alias("tokens")).select("doc_id", F.size("tokens").alias("n"), F.md5(F.array_join("tokens", " ").cast("binary")).alias("h")),
+        lambda s, d: docs(s, d).select("doc_id", X.tokenize_simple(F.col("text")).alias("tokens")).select("doc_id", F.size("tokens").alias("n"), F.md5(F.array_join("tokens", " ").cast("binary")).alias("h")),
         f"WITH t AS (SELECT doc_id, {_SPLIT.format(_SIMPLE)} AS w FROM documents) SELECT doc_id, len(w)::INT AS n, md5(array_to_string(w, ' ')) AS h FROM t",
     ),
     "X02_tokenize_punct": (
-        lambda s, d: docs(s, d).select("doc_id", X.tokenize_punct(_T).alias("tokens")).select("doc_id", F.size("tokens").alias("n"), F.md5(F.array_join("tokens", " ").cast("binary")).alias("h")),
+        lambda s, d: docs(s, d).select("doc_id", X.tokenize_punct(F.col("text")).alias("tokens")).select("doc_id", F.size("tokens").alias("n"), F.md5(F.array_join("tokens", " ").cast("binary")).alias("h")),
         "WITH t AS (SELECT doc_id, " + _SPLIT.format("regexp_replace(text, '([?!()\";|\\[\\].,''])', ' \\1 ', 'g')") + " AS w FROM documents) SELECT doc_id, len(w)::INT AS n, md5(array_to_string(w, ' ')) AS h FROM t",
     ),
     "X03_tokenize_language": (
-        lambda s, d: docs(s, d).filter("lang = 'de'").select("doc_id", X.tokenize_language(F.col("lang"), _T).alias("tokens")).select("doc_id", F.size("tokens").alias("n"), F.md5(F.array_join("tokens", " ").cast("binary")).alias("h")),
+        lambda s, d: docs(s, d).filter("lang = 'de'").select("doc_id", X.tokenize_language(F.col("lang"), F.col("text")).alias("tokens")).select("doc_id", F.size("tokens").alias("n"), F.md5(F.array_join("tokens", " ").cast("binary")).alias("h")),
         "WITH t AS (SELECT doc_id, " + _SPLIT.format("regexp_replace(text, '([.,;:!?()\"])', ' \\1 ', 'g')") + " AS w FROM documents WHERE lang = 'de') SELECT doc_id, len(w)::INT AS n, md5(array_to_string(w, ' ')) AS h FROM t",
     ),
     "X04_filter_stopwords": (
@@ -122,7 +121,7 @@ QUERIES = {
         "SELECT p_partkey, p_brand AS word, p_type AS pos, p_size AS index FROM part",
     ),
     "X08_clean_name": (
-        lambda s, d: docs(s, d).select("doc_id", F.md5(X.clean_name(_T).cast("binary")).alias("h")),
+        lambda s, d: docs(s, d).select("doc_id", F.md5(X.clean_name(F.col("text")).cast("binary")).alias("h")),
         "SELECT doc_id, md5(regexp_replace(regexp_replace(text, '[''\"]', ' ', 'g'), '[^A-Za-z0-9_ ]', '_', 'g')) AS h FROM documents",
     ),
     "X09_strip_transparent_nouns": (
@@ -133,7 +132,7 @@ QUERIES = {
         lambda s, d: pairs(s, d).select("conv_id", "turn", X.contains_phrase(F.col("text_b"), F.lit("the thti")).alias("a"), X.contains_phrase(F.col("text_b"), F.lit("the")).alias("b")),
         f"WITH {PAIRS_SQL}, q AS (SELECT *, '#' || array_to_string({_SPLIT.format('text_b')}, '#') || '#' AS f FROM pairs) SELECT conv_id, turn, contains(f, '#the#thti#') AS a, contains(f, '#the#') AS b FROM q",
     ),
-    "X11_is_intelligible": (lambda s, d: docs(s, d).select("doc_id", X.is_intelligible(_T).alias("ok")), "SELECT doc_id, regexp_full_match(text, '[\\x00-\\x7F]*') AND len(" + _SPLIT.format("text") + ") >= 3 AS ok FROM documents"),
+    "X11_is_intelligible": (lambda s, d: docs(s, d).select("doc_id", X.is_intelligible(F.col("text")).alias("ok")), "SELECT doc_id, regexp_full_match(text, '[\\x00-\\x7F]*') AND len(" + _SPLIT.format("text") + ") >= 3 AS ok FROM documents"),
     "X12_word_ngrams": (
         lambda s, d: toks(s, d).select(F.explode(X.word_ngrams(F.col("w"), 3)).alias("gram")).groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1"),
         f"WITH {_TOKS}, g AS (SELECT w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS gram FROM (SELECT w, unnest(range(1, len(w) - 1)) AS i FROM t)) SELECT gram, count(*) AS n FROM g GROUP BY gram HAVING n > 1",
