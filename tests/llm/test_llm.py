@@ -391,6 +391,8 @@ def test_similar_keeps_what_all_pairs_connect(monkeypatch):
     assert groups(substring_dedup.similar(held)) == want
     monkeypatch.setattr(substring_dedup, "ALL_PAIRS", 1000)
     assert groups(substring_dedup.similar(held)) == want
+    monkeypatch.setattr(substring_dedup, "FEW", 1000)
+    assert groups(substring_dedup.similar(held)) == want
 
 
 def test_shared_passages_are_found(spark):
