@@ -148,7 +148,7 @@ def parse_doc_dump(records: DataFrame) -> DataFrame:
     head = F.regexp_extract("value", "^([^>]*)>", 1)
     body = F.regexp_extract("value", "(?s)^[^>]*>(.*?)</doc>", 1)
     out = records.filter(F.contains("value", F.lit("</doc>"))).select(F.regexp_extract(head, 'id="([^"]*)"', 1).alias("id"), F.regexp_extract(head, 'title="([^"]*)"', 1).alias("title"), body.alias("body"))
-    return out.select("id", "title", F.concat(F.col("title"), F.lit(".\n"), F.trim("body")).alias("text"))
+    return out.select("id", "title", F.concat(F.col("title"), F.lit(".\n"), F.regexp_replace("body", "^\\s+|\\s+$", "")).alias("text"))
 
 
 def filter_docs_by_title(docs: DataFrame, titles: DataFrame) -> DataFrame:
