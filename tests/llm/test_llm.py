@@ -414,6 +414,18 @@ def test_shared_passages_are_found(spark):
     assert sum(middle in (t or "") for t in after.values()) == 1 and all(after[i] == texts[i] for i in range(40) if i % 4)
 
 
+def test_passages_of_words_that_go_round_are_found(spark):
+    r = random.Random(11)
+    word = lambda: "".join(r.choice("abdeilnorst") for _ in range(r.randint(2, 8)))
+    prose = lambda n: [word() for _ in range(n)]
+    rounds = [["la"] * 60, ["ti", "ta", "to"] * 20]
+    texts = [" ".join(prose(r.randrange(40)) + passage + prose(30)) for passage in rounds for _ in range(8)]
+    found = {x.doc_id: (x.start_word, x.end_word, x.class_id) for x in substring_dedup.repeated(docs(spark, [*texts, " ".join(prose(200))])).collect()}
+    assert set(found) == set(range(16))
+    assert all("".join(sorted(set(texts[i].split()[a:b]))) in ("la", "tatito") for i, (a, b, _) in found.items())
+    assert [len({found[i][2] for i in half}) for half in (range(8), range(8, 16))] == [1, 1]
+
+
 def test_substring_dedup_of_awkward_rows(awkward):
     assert substring_dedup.repeated(awkward).count() == 0
     assert substring_dedup.repeated(awkward.limit(0)).count() == 0
