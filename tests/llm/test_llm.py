@@ -395,6 +395,73 @@ def test_similar_keeps_what_all_pairs_connect(monkeypatch):
     assert groups(substring_dedup.similar(held)) == want
 
 
+def test_edited_paragraphs_share_a_band():
+    r = np.random.default_rng(12)
+    n, found, pairs = substring_dedup.WORDS, 0, 0
+    with np.errstate(over="ignore"):
+        for edited in range(n):
+            for _ in range(60):
+                a = r.integers(0, 2**63, n, dtype=np.uint64)
+                b = a.copy()
+                b[edited] += np.uint64(1)
+                both = [substring_dedup.shingles(x, np.array([0])) for x in (a, b)]
+                if len(np.intersect1d(*both)) >= substring_dedup.SIMILARITY * len(np.union1d(*both)):
+                    pairs += 1
+                    found += (substring_dedup.bands_of(both[0]) == substring_dedup.bands_of(both[1])).any()
+    assert pairs == 240 and found / pairs >= 0.98
+
+
+def test_near_marks_of_bands_over_batches(monkeypatch):
+    r = np.random.default_rng(13)
+    maps = [int(x) for x in r.integers(0, 2**62, 5)]
+    rows = sorted((int(b), 5 * int(m) + k, maps[k] ^ (1 << int(f))) for b, m, k, f in zip(r.integers(0, 30, 150), r.integers(0, 3, 150), r.integers(0, 5, 150), r.integers(0, 62, 150)))
+    near = {x[:2] for x in rows for y in rows if x[0] == y[0] and x[1] != y[1] and bin(x[2] ^ y[2]).count("1") <= 4}
+    some = None
+    for size, held in ((1, 1000), (2, 1000), (7, 1000), (150, 1000), (2, 3), (7, 3)):
+        monkeypatch.setattr(substring_dedup, "HELD", held)
+        batches = [substring_dedup.pa.RecordBatch.from_pydict({c: [x[i] for x in rows[k : k + size]] for i, c in enumerate(("band", "mark", "bits"))}) for k in range(0, 150, size)]
+        got = {(x["band"], x["mark"]) for y in substring_dedup._met(iter(batches)) for x in y.to_pylist()}
+        assert near and near <= got
+        if held == 1000:
+            assert some in (None, got)
+            some = got
+    assert len(some) < len({x[:2] for x in rows})
+
+
+def test_links_equal_all_pairs_that_share_a_band(spark):
+    r = random.Random(14)
+    word = lambda: "".join(r.choice("abdeilnorst") for _ in range(r.randint(2, 8)))
+    base = [word() for _ in range(90)]
+    texts = []
+    for _ in range(60):
+        words = list(base)
+        for _ in range(r.randrange(6)):
+            words[r.randrange(90)] = word()
+        texts.append(" ".join(words))
+    sets = {}
+    with np.errstate(over="ignore"):
+        for text in texts:
+            words = substring_dedup.word_hashes(text)
+            for start in substring_dedup.anchors(words):
+                row = substring_dedup.shingles(words, np.array([start]))
+                sets[tuple(words[start : start + substring_dedup.WORDS].tolist())] = (set(row[0].tolist()), set(substring_dedup.bands_of(row)[0].tolist()))
+    values = list(sets.values())
+    near = [(i, j) for i, j in itertools.combinations(range(len(values)), 2) if len(values[i][0] & values[j][0]) >= 0.8 * len(values[i][0] | values[j][0])]
+    parent = list(range(len(values)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, j in near:
+        if values[i][1] & values[j][1]:
+            parent[root(i)] = root(j)
+    want = sorted(n for n in map([root(i) for i in range(len(values))].count, range(len(values))) if n > 1)
+    got = components.components(substring_dedup.links(docs(spark, texts))).groupBy("component").count().collect()
+    assert near and sorted(x["count"] for x in got) == want
+
+
 def test_shared_passages_are_found(spark):
     r = random.Random(10)
     word = lambda: "".join(r.choice("abdeilnorst") for _ in range(r.randint(2, 8)))
