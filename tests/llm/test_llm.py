@@ -481,6 +481,34 @@ def test_shared_passages_are_found(spark):
     assert sum(middle in (t or "") for t in after.values()) == 1 and all(after[i] == texts[i] for i in range(40) if i % 4)
 
 
+def test_passages_with_one_changed_word_are_found(spark):
+    r = random.Random(15)
+    word = lambda: "".join(r.choice("abdeilnorst") for _ in range(r.randint(2, 8)))
+    prose = lambda n: [word() for _ in range(n)]
+    texts = []
+    for k in range(102):
+        passage = prose(51)
+        edited = list(passage)
+        edited[k % 51] = "changed"
+        texts += [" ".join(prose(r.randrange(60)) + p + prose(40)) for p in (passage, edited)]
+    got = substring_dedup.repeated(docs(spark, [*texts, " ".join(prose(200))])).collect()
+    assert {x.doc_id for x in got} == set(range(204))
+    assert {x.doc_id for x in got if x.removed} == set(range(1, 204, 2))
+
+
+def test_shared_words_have_a_window_in_common():
+    r = np.random.default_rng(16)
+    n = substring_dedup.RUN + substring_dedup.SPAN - 1
+    with np.errstate(over="ignore"):
+        for size in (2, 2**63):
+            for _ in range(300):
+                run = r.integers(0, size, n, dtype=np.uint64)
+                a, b = (np.concatenate([r.integers(0, 2**63, r.integers(0, 30), dtype=np.uint64), run, r.integers(0, 2**63, r.integers(0, 30), dtype=np.uint64)]) for _ in range(2))
+                assert set(substring_dedup.runs(a)[1].tolist()) & set(substring_dedup.runs(b)[1].tolist())
+        for words in (np.zeros(400, dtype=np.uint64), np.tile(r.integers(0, 2**63, 3, dtype=np.uint64), 130)):
+            assert 20 < len(substring_dedup.runs(words)[0]) < 60
+
+
 def test_passages_of_words_that_go_round_are_found(spark):
     r = random.Random(11)
     word = lambda: "".join(r.choice("abdeilnorst") for _ in range(r.randint(2, 8)))
