@@ -81,3 +81,53 @@ def test_products_over_all_words(spark, sf_dir, run, pairs):
             want[conv * 100 + turn, c] = sum(math.log(v[c]) for v in vectors)
     got = {(x.id, x.dim): x.w for x in run("V02_compose_mul_whole")}
     assert want and set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-5 for k in want)
+
+
+# Questions
+
+
+def test_answers_from_whole_texts(run, pairs):
+    scores, features, bow, embed = {}, {}, {}, collections.Counter()
+    asked = [(f"{c}-{t}", words(a), words(b)) for c, t, a, b in pairs if len(words(a)) > 2]
+    counts = collections.Counter(w for _, _, a in asked for w in a)
+    for qid, q, a in asked:
+        places = collections.defaultdict(list)
+        for i, w in enumerate(a):
+            places[w].append(i)
+        entities = {w for w in a if len(w) > 5}
+        for e in entities:
+            scores[qid, e] = sum(max(1 / (1 + abs(x - y - 1 + i)) for x in places[e] for y in places[w]) for i, w in enumerate(q) if i != 1 and w in places)
+            beside = lambda off: int(any(0 <= x + off < len(a) and a[x + off] == q[1 + off] for x in places[e]))  # noqa: B023, E731
+            features[qid, e] = (True, e in q[:1] + q[2:], len(places[e]), places[e][0], beside(-1), beside(1))
+        best = []
+        for k in range(0, len(a), 8):
+            inside = a[k : k + 8]
+            shared, held = set(inside) & set(q), [w for w in inside if w in entities]
+            if shared and held:
+                best.append((-round(sum(counts.total() / counts[w] for w in shared), 9), k, held[0]))
+        if best:
+            bow[qid] = min(best)[2]
+        at = [i for i, w in enumerate(a) if w in entities]
+        for i, w in enumerate(a):
+            if w not in entities:
+                sim = sum(1.0 if w == o else 0.5 for o in set(q) if o[:2] == w[:2])
+                for spot in ([max(x for x in at if x < i)] if at and at[0] < i else []) + ([min(x for x in at if x > i)] if at and at[-1] > i else []):
+                    if sim:
+                        embed[qid, a[spot]] += sim / (1 + abs(spot - i))
+    close = lambda got, want: set(got) == set(want) and all(abs(got[k] - want[k]) < 2e-6 for k in want)
+    assert len(asked) > 0 and max(len(a) for _, _, a in asked) > 40
+    assert close({(x.qid, x.entity): x.score for x in run("Q01_word_proximity_whole")}, scores)
+    assert close({(x.qid, x.entity): x.score for x in run("Q02_embed_proximity_whole")}, embed)
+    assert {x.qid: x.entity for x in run("Q03_bow_overlap_whole")} == bow
+    assert {(x.qid, x.entity): (x["exists"], x.in_question, x.frequency, x["first"], x.left, x.right) for x in run("Q04_candidate_features_whole")} == features
+    names = collections.defaultdict(list)
+    for qid, e in scores:
+        names[qid].append(e)
+    order = {qid: sorted(es, key=lambda e: (-round(scores[qid, e], 6), e)) for qid, es in names.items()}
+    right = {qid: min(es, key=lambda e: (len(e), e)) for qid, es in names.items()}
+    compat = {qid: min(es, key=lambda e: (-round(scores[qid, e], 6), e != right[qid], e)) for qid, es in names.items()}
+    assert {x.qid: x.entity for x in run("Q05_pick_answer_whole")} == {k: v[0] for k, v in order.items()}
+    assert {x.qid: x.entity for x in run("Q05_pick_answer_compat_whole")} == compat
+    ranks = collections.Counter(order[k].index(right[k]) + 1 for k in order)
+    assert {x["rank"]: x.n for x in run("Q06_answer_rank_whole")} == ranks
+    assert abs(run("Q07_qa_accuracy_whole")[0].accuracy - ranks[1] / len(order)) < 1e-5
