@@ -193,6 +193,11 @@ QUERIES = {
         lambda s, d: pairs(s, d).select("conv_id", "turn", r6(M.substring_sim(F.substring("text_a", 1, 3), F.col("text_b"))).alias("v")),
         f"WITH {PAIRS_SQL}, q AS (SELECT conv_id, turn, lower(substr(text_a, 1, 3)) AS x, lower(text_b) AS y FROM pairs), z AS (SELECT conv_id, turn, CASE WHEN length(x) <= length(y) THEN x ELSE y END AS a, CASE WHEN length(x) <= length(y) THEN y ELSE x END AS b FROM q) SELECT conv_id, turn, round(CASE WHEN contains(b, a) THEN length(a)::DOUBLE / length(b) ELSE 0 END, 6) AS v FROM z",
     ),
+    # Over whole texts of every pair; SQL's levenshtein counts bytes.
+    "M01_edit_distance_whole": (lambda s, d: pairs(s, d).select("conv_id", "turn", M.edit_distance(F.col("text_a"), F.col("text_b")).alias("n")), None),
+    "M02_levenshtein_sim_whole": (lambda s, d: pairs(s, d).select("conv_id", "turn", r6(M.levenshtein_sim(F.col("text_a"), F.col("text_b"), 0.2)).alias("v")), None),
+    "M03_substring_sim_whole": (lambda s, d: pairs(s, d).select("conv_id", "turn", r6(M.substring_sim(F.col("text_a"), F.col("text_b"))).alias("v")), None),
+    "M05_charset_sim_whole": (lambda s, d: pairs(s, d).select("conv_id", "turn", r6(M.charset_sim(F.col("text_a"), F.col("text_b"))).alias("v")), None),
     "M04_sparse_cosine": (m4, _M4),
     "M05_charset_sim": (
         lambda s, d: sp(s, d).select("conv_id", "turn", r6(M.charset_sim(F.col("a"), F.col("b"))).alias("v")),

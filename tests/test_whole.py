@@ -131,3 +131,37 @@ def test_answers_from_whole_texts(run, pairs):
     ranks = collections.Counter(order[k].index(right[k]) + 1 for k in order)
     assert {x["rank"]: x.n for x in run("Q06_answer_rank_whole")} == ranks
     assert abs(run("Q07_qa_accuracy_whole")[0].accuracy - ranks[1] / len(order)) < 1e-5
+
+
+# Texts
+
+
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_similarities_of_whole_texts(spark, tmp_path):
+    long = "the answer is in the last words of a long text, "
+    given = [(long + "here", long + "there"), ("größer als é🙂", "grosser als e🙂, ja"), (long, "so: " + long + "!"), ("", ""), ("abc", ""), (long + "xyz", long[::-1]), ("日本語のテキスト" * 5, "日本語のテキスト" * 4)]
+    rows = [(k, t, role, x[t]) for k, x in enumerate(given) for t, role in enumerate(("user", "assistant"))]
+    rows += [(90 + k, t + 2, role, x[t]) for k, x in enumerate(given) for t, role in enumerate(("user", "assistant"))]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    run = lambda name, column: {(x.conv_id, x.turn): x[column] for x in plans.queries()[name](spark, str(tmp_path)).collect()}
+    n, v, sub, chars = {}, {}, {}, {}
+    for key, (a, b) in [((k, 0), x) for k, x in enumerate(given)] + [((90 + k, 2), x) for k, x in enumerate(given)]:
+        n[key] = distance(a, b)
+        sim = 1 - n[key] / max(len(a), len(b)) if a or b else 1
+        v[key] = round(sim if sim > 0.2 else 0, 6)
+        short, other = sorted((a.lower(), b.lower()), key=len)
+        sub[key] = round(len(short) / len(other) if other and short in other else float(not other), 6)
+        jac = min(0.99, len(set(a) & set(b)) / len(set(a) | set(b))) if a or b else 0
+        chars[key] = round(jac if min(len(a), len(b)) >= 5 and jac > 0.5 else 0, 6)
+    assert run("M01_edit_distance_whole", "n") == n
+    assert run("M02_levenshtein_sim_whole", "v") == v
+    assert run("M03_substring_sim_whole", "v") == sub
+    assert run("M05_charset_sim_whole", "v") == chars
