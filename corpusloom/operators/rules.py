@@ -38,12 +38,18 @@ def match_both_sides(texts: DataFrame, hyps: DataFrame, lhs: DataFrame, rhs: Dat
     return match_any_token(texts, lhs).join(match_any_token(hyps, rhs), ["pair_id", "rule_id"])
 
 
-def match_exact_phrase(texts: DataFrame, phrases: DataFrame, longest: int = 5) -> DataFrame:
+def match_exact_phrase(texts: DataFrame, phrases: DataFrame, longest: int | None = 5) -> DataFrame:
     """(pair_id, rule_id) where the phrase ``(rule_id, tokens)`` is a run of ``texts(pair_id, tokens)``.
 
-    Phrases and runs meet by an equi-join on the run's text, for each length up to ``longest``.
+    Phrases and runs meet by an equi-join on the run's text, for each length up to ``longest``; without
+    it phrases of any length meet by their first two tokens, and the whole is looked for where these are.
     """
     n = F.size("tokens")
+    if longest is None:
+        line = F.concat(F.lit(" "), F.array_join("tokens", " "), F.lit(" "))
+        heads = match_exact_phrase(texts, phrases.withColumn("tokens", F.slice("tokens", 1, 2)), 2)
+        held = heads.join(texts.select("pair_id", line.alias("text")), "pair_id").join(phrases.select("rule_id", line.alias("phrase")), "rule_id")
+        return held.filter(F.contains("text", "phrase")).select("pair_id", "rule_id").distinct()
     runs = F.flatten(F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), n)), lambda k: F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.array_join(F.slice("tokens", i, k), " "))))
     keys = texts.filter(n > 0).select("pair_id", F.explode(F.array_distinct(runs)).alias("run"))
     return keys.join(phrases.filter(n.between(1, longest)).select("rule_id", F.array_join("tokens", " ").alias("run")), "run").select("pair_id", "rule_id").distinct()
@@ -72,7 +78,7 @@ def score_distributional(rules: DataFrame, mode: str = "weight") -> DataFrame:
     return rules.withColumn("raw", raw).withColumn("direction", F.when(F.col("raw") < 0, "Opposite").otherwise("Implication")).withColumn("score", F.abs("raw")).drop("raw")
 
 
-def phrase_pair_scores(texts: DataFrame, hyps: DataFrame, phrases: DataFrame, longest: int = 3) -> DataFrame:
+def phrase_pair_scores(texts: DataFrame, hyps: DataFrame, phrases: DataFrame, longest: int | None = 3) -> DataFrame:
     """(pair_id, lhs_id, rhs_id, score): positive cosine of phrases found in the text and in the hypothesis.
 
     phrases(rule_id, tokens, vec). A phrase right after "some" doesn't count.

@@ -36,6 +36,10 @@ def phrases(s, d):
     return w.filter(F.size("tokens") > 0)
 
 
+def whole_phrases(s, d):
+    return table(s, d, "benchmark").select(F.col("item_id").alias("rule_id"), letters(F.col("text")).alias("tokens")).filter(F.size("tokens") > 0)
+
+
 def texts(s, d, column):
     return pair_ids(s, d).select("pair_id", letters(F.col(column)).alias("tokens"))
 
@@ -174,6 +178,10 @@ def _augment(s, d):
 QUERIES = {
     "R01_match_any_token": (lambda s, d: R.match_any_token(side(s, d, "text_a"), rule_tokens(s, d, 0)), f"{_Q} {_ANY.format('qa', 0)}"),
     "R02_match_both_sides": (lambda s, d: R.match_both_sides(side(s, d, "text_a"), side(s, d, "text_b"), rule_tokens(s, d, 0), rule_tokens(s, d, 1)), f"{_Q} SELECT * FROM ({_ANY.format('qa', 0)}) JOIN ({_ANY.format('qb', 1)}) USING (pair_id, rule_id)"),
+    # Over tokens of any length and whole phrases.
+    "R01_match_any_token_whole": (lambda s, d: R.match_any_token(side(s, d, "text_a", 0), rule_tokens(s, d, 0, 0)), None),
+    "R02_match_both_sides_whole": (lambda s, d: R.match_both_sides(side(s, d, "text_a", 0), side(s, d, "text_b", 0), rule_tokens(s, d, 0, 0), rule_tokens(s, d, 1, 0)), None),
+    "R03_match_exact_phrase_whole": (lambda s, d: R.match_exact_phrase(texts(s, d, "text_b"), whole_phrases(s, d), None), None),
     "R03_match_exact_phrase": (lambda s, d: R.match_exact_phrase(texts(s, d, "text_b"), phrases(s, d), 2), f"{_Q}, {_PH} SELECT DISTINCT pair_id, rule_id FROM q JOIN ph ON contains(' ' || array_to_string(r, ' ') || ' ', ' ' || run || ' ')"),
     "R04_filter_rules_contained": (
         lambda s, d: R.filter_rules_contained(pair_ids(s, d).select("pair_id", F.col("text_a").alias("text"), F.col("text_b").alias("hyp"), F.lit("the").alias("lhs"), F.lit("of").alias("rhs"))).select("pair_id", "direction"),
@@ -187,7 +195,7 @@ QUERIES = {
         lambda s, d: rnd(R.score_distributional(distributional(s, d), "noNeu").select("l_orderkey", "l_linenumber", "l_suppkey", "score", "direction")),
         f"WITH {_RU}, x AS (SELECT l_orderkey, l_linenumber, l_suppkey, coalesce((l_tax - l_discount) / nullif(l_tax + l_discount, 0), 0) AS v FROM ru) SELECT l_orderkey, l_linenumber, l_suppkey, round(abs(v), 6) AS score, CASE WHEN v < 0 THEN 'Opposite' ELSE 'Implication' END AS direction FROM x",
     ),
-    "R06_phrase_pair_scores": (lambda s, d: rnd(R.phrase_pair_scores(texts(s, d, "text_a"), texts(s, d, "text_b"), phrases(s, d).join(table(s, d, "embeddings").select(F.col("vec_id").alias("rule_id"), F.col("embedding").alias("vec")), "rule_id"), 2)), None),
+    "R06_phrase_pair_scores": (lambda s, d: rnd(R.phrase_pair_scores(texts(s, d, "text_a"), texts(s, d, "text_b"), whole_phrases(s, d).join(table(s, d, "embeddings").select(F.col("vec_id").alias("rule_id"), F.col("embedding").alias("vec")), "rule_id"), None)), None),
     "R07_lexical_rules": (
         lambda s, d: R.lexical_rules(preds(s, d, 1, "T"), preds(s, d, 0, "H"), with_pos(s, d)).select("pair_id", "lhs", "rhs", "direction"),
         f"{_B}, {_TR}, nw AS (SELECT DISTINCT pair_id, name, pos FROM pr h WHERE side = 'H' AND NOT EXISTS (SELECT 1 FROM pr t WHERE t.side = 'T' AND t.pair_id = h.pair_id AND t.name = h.name)), x AS (SELECT DISTINCT t.pair_id, tr.lhs, tr.rhs, t.pos, relation FROM pr t JOIN nw ON nw.pair_id = t.pair_id AND nw.pos = t.pos JOIN tr ON tr.lhs = t.name AND tr.rhs = nw.name WHERE t.side = 'T') SELECT DISTINCT pair_id, lhs, rhs, CASE WHEN relation IN ('synonym', 'hypernym') THEN 'Implication' WHEN relation = 'hyponym' THEN 'BackwardImplication' ELSE 'Opposite' END AS direction FROM x WHERE relation <> 'antonym' OR pos <> 'n'",

@@ -165,3 +165,27 @@ def test_similarities_of_whole_texts(spark, tmp_path):
     assert run("M02_levenshtein_sim_whole", "v") == v
     assert run("M03_substring_sim_whole", "v") == sub
     assert run("M05_charset_sim_whole", "v") == chars
+
+
+# Rules
+
+
+def test_rules_over_all_tokens_and_whole_phrases(spark, tmp_path):
+    phrase = "we go to the old mill by the river at noon"
+    given = [("we go", f"and {phrase} said he"), ("the cat sat", "we go to the old mill by"), (f"some {phrase}", f"x {phrase}"), ("to be", "a dog"), ("", "mill")]
+    rows = [(k, t, role, x[t]) for k, x in enumerate(given) for t, role in enumerate(("user", "assistant"))]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    items = [(0, phrase), (1, "A dog!"), (2, "the"), (3, "mill by"), (4, "go to the"), (5, "to the old mill by the"), (6, "...")]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(i, [1.0, float(i)]) for i in range(7)], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    run = lambda name: plans.queries()[name](spark, str(tmp_path)).collect()
+    hits = lambda column, parity: {(100 * k, i // 2) for k, x in enumerate(given) for i, t in items if i % 2 == parity and set(words(x[column])) & set(words(t))}
+    inside = lambda text, t: bool(words(t)) and any(words(text)[i : i + len(words(t))] == words(t) for i in range(len(words(text))))
+    assert {tuple(x) for x in run("R01_match_any_token_whole")} == hits(0, 0)
+    assert {(x.pair_id, x.rule_id) for x in run("R02_match_both_sides_whole")} == hits(0, 0) & hits(1, 1)
+    assert {(x.pair_id, x.rule_id) for x in run("R03_match_exact_phrase_whole")} == {(100 * k, i) for k, x in enumerate(given) for i, t in items if inside(x[1], t)}
+    # After "some" the first word doesn't count, so the whole phrase isn't in that text.
+    left = lambda text: " ".join(w for i, w in enumerate(words(text)) if i == 0 or words(text)[i - 1] != "some")
+    want = {(100 * k, i, j) for k, x in enumerate(given) for i, t in items for j, u in items if i != j and inside(left(x[0]), t) and inside(left(x[1]), u)}
+    got = {(x.pair_id, x.lhs_id, x.rhs_id) for x in run("R06_phrase_pair_scores")}
+    assert got == want and (200, 5, 0) in got and not any(x[:2] == (200, 0) for x in got)
