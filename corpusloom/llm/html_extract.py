@@ -226,6 +226,7 @@ def _kinds(attributes: str) -> frozenset[int]:
 
 
 _PUNCTUATION = re.compile(r"[.,;:!?]")
+_DIGIT = re.compile(r"\d")
 N_FEATURES = N_GROUPS + 2 * N_KINDS + 22
 
 
@@ -237,7 +238,7 @@ def features(page: Page) -> np.ndarray:
         text = page.texts[i]
         if text is not None:
             chars[i], marks[i], blocks[i], linked[i] = len(text), len(_PUNCTUATION.findall(text)), 1, page.link_chars[i]
-            digits[i] = sum(c.isdigit() for c in text[:200])
+            digits[i] = len(_DIGIT.findall(text))
         else:
             elements[i] += 1
             paras[i] += page.tags[i] == "p"

@@ -55,6 +55,13 @@ def awkward(spark):
 # 1 HTML
 
 
+def test_digits_of_long_runs_all_count():
+    # A run twice as long with the same share of digits differs only in its length.
+    rows = [html_extract.features(html_extract.Page(f"<body><p>{'ab12 ' * n}z</p>"))[-1] for n in (30, 300)]
+    share = [np.isclose(row, 2 * n / (5 * n + 1), atol=1e-4).any() for row, n in zip(rows, (30, 300))]
+    assert share == [True, True]
+
+
 def test_html_parser_and_decoding():
     page = html_extract.Page("<body><p>a &amp; b<p><b>c</b>d<br>e<script>var x='<p>no</p>'</script><!-- <p>no --><ul><li>f<li>g</ul>h")
     assert [t for t in page.texts if t] == ["a & b", "cd e", "f", "g", "h"]
