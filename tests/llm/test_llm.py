@@ -469,6 +469,15 @@ def test_links_equal_all_pairs_that_share_a_band(spark):
     assert near and sorted(x["count"] for x in got) == want
 
 
+def test_large_bands_are_split_without_loss(spark):
+    rows = [(1, m) for m in range(200)] + [(2, m) for m in range(3)]
+    groups = {}
+    for x in substring_dedup.placed(spark.createDataFrame(rows, "band long, mark long"), 20).collect():
+        groups.setdefault(x.band, set()).add(x.mark)
+    assert groups.pop(2) == {0, 1, 2} and max(map(len, groups.values())) < 100
+    assert {p for g in groups.values() for p in itertools.combinations(sorted(g), 2)} == set(itertools.combinations(range(200), 2))
+
+
 def test_shared_passages_are_found(spark):
     r = random.Random(10)
     word = lambda: "".join(r.choice("abdeilnorst") for _ in range(r.randint(2, 8)))
