@@ -449,7 +449,7 @@ def test_links_equal_all_pairs_that_share_a_band(spark):
     with np.errstate(over="ignore"):
         for text in texts:
             words = substring_dedup.word_hashes(text)
-            for start in substring_dedup.anchors(words):
+            for start in substring_dedup.paragraphs(words)[0]:
                 row = substring_dedup.shingles(words, np.array([start]))
                 sets[tuple(words[start : start + substring_dedup.WORDS].tolist())] = (set(row[0].tolist()), set(substring_dedup.bands_of(row)[0].tolist()))
     values = list(sets.values())
@@ -491,7 +491,7 @@ def test_shared_passages_are_found(spark):
     table = docs(spark, [*texts, None, "", "la " * 200])
     rows = substring_dedup.repeated(table).collect()
     assert {x.doc_id for x in rows} == set(range(0, 40, 4))
-    assert [x.doc_id for x in rows if not x.removed] == [0]
+    assert 0 in {x.doc_id for x in rows if not x.removed} and 0 not in {x.doc_id for x in rows if x.removed}
     after = {x.doc_id: x.text for x in substring_dedup.remove_repeated(table).collect()}
     middle = " ".join(passage[25:40])
     assert sum(middle in (t or "") for t in after.values()) == 1 and all(after[i] == texts[i] for i in range(40) if i % 4)
@@ -525,6 +525,84 @@ def test_shared_words_have_a_window_in_common():
             assert 20 < len(substring_dedup.runs(words)[0]) < 60
 
 
+def test_shared_words_have_a_paragraph_in_common():
+    r = np.random.default_rng(17)
+    n = substring_dedup.WORDS + substring_dedup.REACH - 1
+    with np.errstate(over="ignore"):
+        for size in (2, 2**63):
+            for _ in range(300):
+                run = r.integers(0, size, n, dtype=np.uint64)
+                a, b = (np.concatenate([r.integers(0, 2**63, r.integers(0, 30), dtype=np.uint64), run, r.integers(0, 2**63, r.integers(0, 30), dtype=np.uint64)]) for _ in range(2))
+                assert n == 51 and set(substring_dedup.paragraphs(a)[1].tolist()) & set(substring_dedup.paragraphs(b)[1].tolist())
+
+
+def test_least_of_each_window():
+    r = np.random.default_rng(18)
+    for n, span in ((1, 4), (3, 10), (40, 1), (40, 7), (100, 28), (60, 16)):
+        value = r.integers(0, 12, n).astype(np.uint64)
+        want = {int(i + np.argmin(value[i : i + span])) for i in range(max(1, n - span + 1))}
+        assert substring_dedup.least_of_each(value, span).tolist() == sorted(want)
+
+
+def test_words_are_hashed_alike_wherever_they_stand():
+    texts = ["The the THE\u00a0the\nthe\x1cthe", "a" * 3000 + " " + "a" * 3001, "é🙂 \u2003É🙂", " \t", "x"]
+    for text in texts:
+        words = text.lower().split()
+        with np.errstate(over="ignore"):
+            got = substring_dedup.word_hashes(text).tolist()
+        assert len(got) == len(words) and len(set(got)) == len(set(words))
+        assert all(got[i] == got[words.index(w)] for i, w in enumerate(words))
+
+
+def test_runs_leave_first_places_whole():
+    r = random.Random(19)
+    for _ in range(300):
+        places = [(a, a + r.randint(1, 12), r.randrange(9), r.random() < 0.6) for a in (r.randrange(60) for _ in range(r.randrange(1, 12)))]
+        rows = substring_dedup.runs_of(places)
+        kept = {w for a, b, _, gone in places if not gone for w in range(a, b)}
+        gone = {w for a, b, _, gone in places if gone for w in range(a, b)} - {w + i for w in kept for i in range(-2, 3)}
+        for want, flag in ((kept, False), (gone, True)):
+            words = [w for a, b, _, x in rows if x == flag for w in range(a, b)]
+            assert len(words) == len(set(words)) and set(words) == want
+
+
+def test_no_last_copy_is_removed(spark):
+    r = random.Random(20)
+    word = lambda: "".join(r.choice("abdeilnorst") for _ in range(r.randint(3, 9)))
+    prose = lambda n: [word() for _ in range(n)]
+    long = prose(400)
+    texts = [prose(30) + long[150:300] + prose(30), prose(20) + long[:300] + prose(20), prose(9) + long[:220] + prose(30)]
+    for _ in range(60):
+        a = r.randrange(340)
+        texts.append(prose(r.randrange(40)) + long[a : a + r.randint(30, 200)] + prose(r.randrange(40)))
+    texts += [texts[-1], long[:20], long[:20], long[:4], long[:4]]
+    table = docs(spark, [" ".join(t) for t in texts])
+    after = [(x.text or "").split() for x in table.join(substring_dedup.remove_repeated(table).withColumnRenamed("text", "__t"), "doc_id").select("doc_id", F.col("__t").alias("text")).orderBy("doc_id").collect()]
+    holds = lambda words, part: any(words[i : i + len(part)] == part for i in range(len(words) - len(part) + 1))
+    places = []
+    for words in texts:
+        with np.errstate(over="ignore"):
+            starts, _, size = substring_dedup.paragraphs(substring_dedup.word_hashes(" ".join(words)))
+        places += [{tuple(words[start : start + size]) for start in starts.tolist()}]
+    shared = [part for part in set().union(*places) if sum(part in p for p in places) > 1]
+    copies = [sum(holds(t, list(part)) for t in after) for part in shared]
+    assert len(shared) > 20 and min(copies) >= 1 and sum(c == 1 for c in copies) > 0.8 * len(shared)
+    assert set(sum(texts, [])) == set(sum(after, []))
+    assert sum(map(len, after)) < 0.5 * sum(map(len, texts))
+    assert after[-4:] == [long[:20], [], long[:4], long[:4]] or holds(long[:20], after[-4])
+
+
+def test_rows_of_one_id_are_cut_each_in_its_own_text(spark):
+    r = random.Random(21)
+    word = lambda: "".join(r.choice("abdeilnorst") for _ in range(r.randint(3, 9)))
+    passage, tail = [word() for _ in range(60)], [word() for _ in range(5)]
+    rows = [(1, " ".join(passage)), (2, " ".join(tail)), (2, " ".join([*tail, *passage])), (2, " ".join([*tail, *passage]))]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [x.text.split() for x in substring_dedup.remove_repeated(table).collect()]
+    assert sorted(map(len, got))[0] == 5 and passage in got and len(got) == 4
+    assert all(t[:5] == tail for t in got if t != passage) and max(len(t) for t in got if t != passage) < 25
+
+
 def test_passages_of_words_that_go_round_are_found(spark):
     r = random.Random(11)
     word = lambda: "".join(r.choice("abdeilnorst") for _ in range(r.randint(2, 8)))
