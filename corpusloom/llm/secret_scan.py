@@ -31,6 +31,7 @@ _ASSIGN = re.compile(
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _TOKEN_CRC = re.compile(r"(?:gh[pousr]|npm)_([A-Za-z0-9]{30})([A-Za-z0-9]{6})(?![A-Za-z0-9])")
+_WEB_RUN = re.compile(r"[A-Za-z0-9_-]+")
 _WEB_TOKEN = re.compile(r"(eyJ[A-Za-z0-9_-]+)\.(eyJ[A-Za-z0-9_-]+)\.[A-Za-z0-9_-]+")
 _PRIVATE_KEY = re.compile(r"-----BEGIN ((?:[A-Z]+ )?PRIVATE KEY)-----[A-Za-z0-9+/=\s]+-----END \1-----")
 _API_KEY = re.compile(r"AIza[A-Za-z0-9_-]{35}(?![A-Za-z0-9_-])|[sr]k_live_[A-Za-z0-9]{24,}|xox[abprs]-[A-Za-z0-9-]{10,}")
@@ -54,7 +55,7 @@ def _crc_holds(m: re.Match) -> bool:
 def _header_holds(m: re.Match) -> bool:
     try:
         head = json.loads(base64.urlsafe_b64decode(m[1] + "=" * (-len(m[1]) % 4)))
-    except ValueError:
+    except (ValueError, RecursionError):  # nested deeper than any header
         return False
     return isinstance(head, dict) and "alg" in head
 
@@ -94,10 +95,14 @@ def _anchored(text: str, hits: list) -> list[tuple[str, int, int]]:
     free = dict.fromkeys(KINDS, 0)
     spans = []
     for start, kind, pattern, test in hits:
-        if start >= free[kind] and (m := pattern.match(text, start)):
+        if start < free[kind]:
+            continue
+        if m := pattern.match(text, start):
             free[kind] = m.end()  # a match that fails its test still takes its place
             if test(m):
                 spans.append((kind, start, m.end()))
+        elif kind == "web_token" and (run := _WEB_RUN.match(text, start)):
+            free[kind] = run.end()  # what follows the run is the same for every hit in it
     spans += [("hex", *m.span()) for m in _HEX.finditer(text)]
     return sorted(spans, key=lambda s: (s[1], KINDS.index(s[0])))
 
