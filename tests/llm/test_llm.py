@@ -289,41 +289,67 @@ def test_alignment_equals_dynamic_programming():
     for _ in range(200):
         a = "".join(r.choice("abc ") for _ in range(r.randrange(1, 30)))
         b = "".join(r.choice("abc ") for _ in range(20)) + edit(a, r.randrange(4), r) + "".join(r.choice("abc ") for _ in range(20))
-        want, got = distance(a, b), decontaminate.align(a, b, 4)
+        want, got = distance(a, b), decontaminate.align(a, b, 0, len(b), 4)
         assert (got is None) == (want > 4) and (got is None or got[0] == want)
         if got:
             assert distance(b[got[1] : got[2]], a) <= want
 
 
+def test_alignment_keeps_to_its_diagonals():
+    r = random.Random(23)
+    for _ in range(200):
+        a = "".join(r.choice("abc ") for _ in range(r.randrange(8, 30)))
+        before = r.randrange(40)
+        b = "".join(r.choice("xyz") for _ in range(before)) + edit(a, r.randrange(3), r) + "".join(r.choice("xyz") for _ in range(r.randrange(30)))
+        want, got = distance(a, b), decontaminate.align(a, b, before - 2, before + 3, 3)
+        assert (got is None) == (want > 3) and (got is None or got[0] == want)
+
+
 def test_decontamination_equals_brute_force(spark):
     r = random.Random(8)
     word = lambda: "".join(r.choice("abdeilnorst") for _ in range(r.randint(2, 8)))
     prose = lambda n: " ".join(word() for _ in range(n))
-    items = [prose(r.randint(6, 40)) for _ in range(12)] + ["", None, "tiny"]
+    items = [prose(r.randint(6, 40)) for _ in range(12)] + ["", None, "tiny"] + [prose(9)[:n].strip() for n in range(3, 41)]
     bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
     texts = []
-    for k in range(60):
+    for k in range(90):
         host = prose(80)
         if k % 3:
-            item = items[k % 12]
+            item = items[k % 12] if k < 60 else items[15 + k % 38]
             host = host[:200] + " " + edit(item, int(len(item) * 0.2 * r.random()), r) + " " + host[200:]
         texts.append(host)
     got = {(x.doc_id, x.item_id): x.edits for x in decontaminate.contaminated(docs(spark, [*texts, None, ""]), bench).collect()}
     norm = lambda s: " ".join(s.lower().split())
     want = {}
-    passages = decontaminate.Passages([(i, t) for i, t in enumerate(items) if t])
-    for p, passage in enumerate(passages.texts):
-        for d, text in enumerate(texts):
-            n = distance(passage, norm(text))
-            if n <= passages.budgets[p]:
-                key = (d, passages.items[p])
-                want[key] = min(n, want.get(key, n))
+    for i, item in enumerate(items):
+        whole = norm(item or "")
+        starts = sorted({*range(0, max(0, len(whole) - 256), 128), max(0, len(whole) - 256)}) if whole else []
+        for passage in (whole[a : a + 256] for a in starts):
+            for d, text in enumerate(texts):
+                n = distance(passage, norm(text))
+                if n <= len(passage) // 10:
+                    want[d, i] = min(n, want.get((d, i), n))
     assert got == want and len(want) > 15
     kept = {x.doc_id for x in decontaminate.drop_contaminated(docs(spark, texts), bench).collect()}
     assert kept == set(range(len(texts))) - {d for d, _ in want}
     assert decontaminate.contaminated(docs(spark, texts), bench.limit(0)).count() == 0
 
 
+def test_every_length_has_its_whole_budget():
+    for m in range(1, 300):
+        q, step = decontaminate.grams_of(m)
+        grams = len(range(0, m - q + 1, step))
+        assert decontaminate.budget_of(m) == m // 10 and grams - m // 10 * -(-q // step) >= 1
+
+
+def test_many_like_items_in_a_repetitive_text():
+    items = [(i, ("abc " * 60 + str(i)) * 2) for i in range(300)]
+    passages = decontaminate.Passages(items)
+    start = time.perf_counter()
+    found = decontaminate.search(passages, "abc " * 2000)
+    assert {x[0] for x in found} == set(range(300)) and time.perf_counter() - start < 60
+
+
 def test_decontamination_of_awkward_rows(awkward, spark):
     bench = spark.createDataFrame([(1, "the the the the the the the the the")], "item_id long, text string")
     assert {x.doc_id for x in decontaminate.contaminated(awkward, bench).collect()} == {7}
