@@ -1,7 +1,7 @@
 """Chat formatting in Spark expressions only.
 
-Turns are collected as structs, sorted, and neighbours of one role are merged by an array
-aggregation into one block. A formatted conversation is::
+Turns are collected as structs, sorted, and neighbours of one role are merged by array
+expressions into one block: a block is the slice from one change of role to the next. A formatted conversation is::
 
     <|open|>role<|text|>first text<|next|>second text<|close|>...
 
@@ -11,7 +11,9 @@ left in a text begins an escape, so unescaping in the opposite order gives the t
 
 Turns are first merged within ranges of turn numbers, then the ranges of a conversation are
 put together: one very long conversation is escaped and merged in many tasks, and only its
-finished blocks meet in the row that is the result.
+finished blocks meet in the row that is the result. All work on that row is in proportion to its
+length: places come from sums within groups of GROUP pieces and sums of whole groups, and texts are
+cut out of slices of slices.
 """
 
 from __future__ import annotations
@@ -28,6 +30,8 @@ OPEN, TEXT, NEXT, CLOSE = "<|open|>", "<|text|>", "<|next|>", "<|close|>"
 CONTROLS = (OPEN, TEXT, NEXT, CLOSE, "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<|im_start|>", "<|im_end|>", "<|endoftext|>")
 #: Turns of a conversation that are merged in one task before they meet the others.
 RANGE = 256
+#: Pieces of a conversation whose lengths are added up together, and spans that are cut out of one slice.
+GROUP = 64
 
 
 def escape(text: Column) -> Column:
@@ -43,17 +47,26 @@ def unescape(text: Column) -> Column:
     return F.replace(text, F.lit("~0"), F.lit("~"))
 
 
-def _merge(blocks: Column) -> Column:
-    """Neighbouring blocks of one role become one with all their texts."""
-    empty = F.array().cast("array<struct<role: string, texts: array<string>>>")
+def _merge(rows: DataFrame, *keys: str) -> DataFrame:
+    """``rows(*keys, blocks)`` with neighbouring blocks of one role as one with all their texts."""
+    changes = F.filter(
+        F.sequence(F.lit(0), F.size("blocks") - 1),
+        lambda i: (i == 0) | (F.get("blocks", i)["role"] != F.get("blocks", i - 1)["role"]),
+    )
+    block = lambda at, n: F.struct(
+        F.get("blocks", at)["role"].alias("role"),
+        F.flatten(F.transform(F.slice("blocks", at + 1, F.coalesce(F.get("changes", n + 1), F.size("blocks")) - at), lambda b: b["texts"])).alias("texts"),
+    )
+    return rows.select(*keys, "blocks", changes.alias("changes")).select(*keys, F.transform("changes", block).alias("blocks"))
+
 
-    def step(done: Column, block: Column) -> Column:
-        last = F.element_at(done, -1)
-        joined = F.struct(block["role"].alias("role"), F.concat(last["texts"], block["texts"]).alias("texts"))
-        same = (F.size(done) > 0) & (F.try_element_at(done, F.lit(-1))["role"] == block["role"])
-        return F.when(same, F.concat(F.slice(done, 1, F.size(done) - 1), F.array(joined))).otherwise(F.concat(done, F.array(F.struct(block["role"].alias("role"), block["texts"].alias("texts")))))
+def _grouped(array: Column, size: Column) -> Column:
+    """An array in slices of GROUP."""
+    return F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(size / F.lit(float(GROUP))).cast("int") - 1, F.lit(0))), lambda g: F.slice(array, g * GROUP + 1, GROUP))
 
-    return F.aggregate(blocks, empty, step)
+
+def _total(lengths: Column) -> Column:
+    return F.aggregate(lengths, F.lit(0), lambda a, x: a + x)
 
 
 def format_chats(turns: DataFrame, loss_roles: tuple[str, ...] = ("assistant",)) -> DataFrame:
@@ -68,34 +81,41 @@ def format_chats(turns: DataFrame, loss_roles: tuple[str, ...] = ("assistant",))
     parts = (
         rows.groupBy("conv_id", F.floor(F.col("turn") / RANGE).alias("range"))
         .agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
-        .select("conv_id", "range", _merge(F.transform("turns", lambda t: F.struct(escape(t["role"]).alias("role"), F.array(escape(t["text"])).alias("texts")))).alias("blocks"))
+        .select("conv_id", "range", F.transform("turns", lambda t: F.struct(escape(t["role"]).alias("role"), F.array(escape(t["text"])).alias("texts"))).alias("blocks"))
     )
-    whole = parts.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("range", "blocks"))).alias("parts")).select("conv_id", _merge(F.flatten(F.col("parts.blocks"))).alias("blocks"))
+    ranges = _merge(parts, "conv_id", "range").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("range", "blocks"))).alias("parts"))
+    whole = _merge(ranges.select("conv_id", F.flatten("parts.blocks").alias("blocks")), "conv_id")
     head = lambda b: F.concat(F.lit(OPEN), b["role"], F.lit(TEXT))
     formatted = F.concat_ws("", F.transform("blocks", lambda b: F.concat(head(b), F.array_join(b["texts"], NEXT), F.lit(CLOSE))))
-    pieces = F.flatten(
-        F.transform(
-            "blocks",
-            lambda b: F.transform(
-                b["texts"],
-                lambda t, i: F.struct(
-                    F.length(F.when(i == 0, head(b)).otherwise(F.lit(NEXT))).alias("before"),
-                    F.length(t).alias("size"),
-                    F.when(i == F.size(b["texts"]) - 1, len(CLOSE)).otherwise(0).alias("after"),
-                    b["role"].isin(*loss_roles).alias("learnt"),
-                ),
-            ),
-        )
+    piece = lambda b: lambda t, i: F.struct(
+        F.length(F.when(i == 0, head(b)).otherwise(F.lit(NEXT))).alias("before"),
+        F.length(t).alias("size"),
+        F.when(i == F.size(b["texts"]) - 1, len(CLOSE)).otherwise(0).alias("after"),
+        b["role"].isin(*loss_roles).alias("learnt"),
+    )
+    pieces = F.flatten(F.transform("blocks", lambda b: F.transform(b["texts"], piece(b))))
+    chars = lambda p: p["before"] + p["size"] + p["after"]
+    # What a lambda looks up for each element is its argument or short, as Spark may put an expression in a column's place.
+    spans = F.zip_with(
+        "groups",
+        "begins",
+        lambda group, begin: F.transform(
+            group,
+            lambda p, i: F.struct(p["learnt"].alias("learnt"), (begin + _total(F.transform(F.slice(group, 1, i), chars)) + p["before"]).alias("start"), p["size"].alias("size")),
+        ),
+    )
+    begins = F.transform("sums", lambda _, g: _total(F.slice("higher", 1, F.floor(g / GROUP).cast("int"))) + _total(F.slice("sums", F.floor(g / GROUP).cast("int") * GROUP + 1, g % GROUP)))
+    learnt = F.transform(F.filter(F.flatten("spans"), lambda s: s["learnt"]), lambda s: F.struct(s["start"].alias("start"), (s["start"] + s["size"]).alias("end")))
+    kept = ("conv_id", "formatted")
+    return (
+        whole.select("conv_id", formatted.alias("formatted"), pieces.alias("pieces"))
+        .select(*kept, _grouped(F.col("pieces"), F.size("pieces")).alias("groups"))
+        .select(*kept, "groups", F.transform("groups", lambda group: _total(F.transform(group, chars))).alias("sums"))
+        .select(*kept, "groups", "sums", F.transform(_grouped(F.col("sums"), F.size("sums")), _total).alias("higher"))
+        .select(*kept, "groups", begins.alias("begins"))
+        .select(*kept, spans.alias("spans"))
+        .select(*kept, learnt.alias("loss_spans"))
     )
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start: int, end: int>>").alias("spans"))
-
-    def span(done: Column, p: Column) -> Column:
-        begin = done["at"] + p["before"]
-        end = begin + p["size"]
-        spans = F.when(p["learnt"], F.concat(done["spans"], F.array(F.struct(begin.alias("start"), end.alias("end"))))).otherwise(done["spans"])
-        return F.struct((end + p["after"]).alias("at"), spans.alias("spans"))
-
-    return whole.select("conv_id", formatted.alias("formatted"), F.aggregate(pieces, start, span, lambda done: done["spans"]).alias("loss_spans"))
 
 
 def parse_chats(formatted: Column) -> Column:
@@ -113,14 +133,31 @@ def _quoted(text: str) -> str:
     return functools.reduce(lambda s, c: s.replace(c, "\\" + c), "|", text)
 
 
-def loss_text(formatted: Column, spans: Column) -> Column:
-    """All text under the loss mask, unescaped, in order."""
-    return F.concat_ws("", F.transform(spans, lambda s: unescape(F.substr(formatted, s["start"] + 1, s["end"] - s["start"]))))
+def loss_text(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``loss``, all text of ``formatted`` under its ``loss_spans``, unescaped, in order.
+
+    To find a character in a string takes time in proportion to its place, so spans are cut out of the
+    slice that GROUP of them share, and that out of the slice of GROUP such groups.
+    """
+    names = rows.columns
+
+    def cut(text: Column, base: Column, spans: Column) -> Column:
+        """A slice from the first to the last of ``spans``, and where it starts."""
+        start, end = F.get(spans, F.lit(0))["start"], F.element_at(spans, -1)["end"]
+        return F.struct(F.substr(text, start - base + 1, end - start).alias("text"), start.alias("start"), spans.alias("spans"))
+
+    groups = _grouped(F.col("loss_spans"), F.size("loss_spans"))
+    large = F.transform("__groups", lambda many: cut(F.col("formatted"), F.lit(0), F.flatten(many)))
+    small = F.flatten(F.transform("__large", lambda s: F.transform(F.transform(F.sequence(F.lit(0), F.ceil(F.size(s["spans"]) / F.lit(float(GROUP))).cast("int") - 1), lambda g: F.slice(s["spans"], g * GROUP + 1, GROUP)), lambda spans: cut(s["text"], s["start"], spans))))
+    texts = F.flatten(F.transform("__small", lambda s: F.transform(s["spans"], lambda x: unescape(F.substr(s["text"], x["start"] - s["start"] + 1, x["end"] - x["start"])))))
+    grouped = rows.withColumn("__groups", groups)
+    grouped = grouped.withColumn("__groups", F.filter(_grouped(F.col("__groups"), F.size("__groups")), lambda many: F.size(F.flatten(many)) > 0))
+    return grouped.withColumn("__large", large).withColumn("__small", small).withColumn("loss", F.concat_ws("", texts)).select(*names, "loss")
 
 
 def digests(turns: DataFrame) -> DataFrame:
     done = format_chats(turns)
-    read = done.select("conv_id", "formatted", parse_chats(F.col("formatted")).alias("turns"), loss_text(F.col("formatted"), F.col("loss_spans")).alias("loss"))
+    read = loss_text(done).select("conv_id", "formatted", parse_chats(F.col("formatted")).alias("turns"), "loss")
     listed = F.concat_ws("", F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))))
     return read.select(
         "conv_id",

@@ -237,7 +237,7 @@ def test_chats_read_back(spark):
     rows += [(99, 0, None, None), (99, 0, "user", "b"), (99, 0, "user", "a"), (99, 0, "user", "a"), (99, None, "assistant", "first"), (None, 1, "user", "x")]
     turns = spark.createDataFrame(r.sample(rows, len(rows)), "conv_id long, turn long, role string, text string").withColumn("turns", F.lit("clash"))
     done = chat_format.format_chats(turns)
-    read = done.select("conv_id", "formatted", "loss_spans", chat_format.parse_chats(F.col("formatted")).alias("t"), chat_format.loss_text(F.col("formatted"), F.col("loss_spans")).alias("loss"))
+    read = chat_format.loss_text(done).withColumn("t", chat_format.parse_chats(F.col("formatted")))
     key = lambda x: (x[1] is not None, x[1] or 0, x[2] or "", x[3] or "")
     for got in read.collect():
         want = [(x[2] or "", x[3] or "") for x in sorted((x for x in rows if x[0] == got.conv_id), key=key)]
@@ -249,6 +249,19 @@ def test_chats_read_back(spark):
     assert chat_format.format_chats(turns.limit(0)).count() == 0
 
 
+def test_long_conversations_take_time_in_proportion(spark):
+    seconds = []
+    for n in (1_000, 10_000, 100_000):
+        turns = spark.range(n).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("é~ some words "), F.col("id")).alias("text"))
+        start = time.perf_counter()
+        row = chat_format.digests(turns).first()
+        seconds.append(time.perf_counter() - start)
+        texts = [f"é~ some words {i}" for i in range(n)]
+        assert row.n_turns == n and row.loss_sha256 == hashlib.sha256("".join(texts[1::2]).encode()).hexdigest()
+        assert row.turns_sha256 == hashlib.sha256("".join(f"{'assistant' if i % 2 else 'user'}\n{t}\n" for i, t in enumerate(texts)).encode()).hexdigest()
+    assert seconds[2] < 25 * seconds[1] + 5
+
+
 def test_chat_query_has_the_added_conversation(spark, sf_dir):
     row = registry.queries()["op5_chat_format"](spark, sf_dir).filter("conv_id = -7").first()
     text = "</s>[INST] ok [/INST]"
