@@ -4,9 +4,11 @@ A text becomes a 64-bit fingerprint. Distinct fingerprints, not documents, are c
 exact copies cost one row. Fingerprints within ``RADIUS`` bits agree on two of six bit groups,
 so each is dealt to the 15 pairs of groups and compared within the rows that share a key.
 Comparison is bit-sliced: the 64 bits stand as planes of machine words, one lane a fingerprint;
-carry-save counters add up differing planes for many queries and lanes at a time, and a block
-is given up once every lane has passed the radius. A block returns a spanning forest of its
-links, so a group of near copies gives as many rows as members and not all pairs.
+carry-save counters add up differing planes for many queries and lanes at a time. A block is one
+query against the 64 lanes of a word: once all of these have passed the radius it is given up, and
+only the blocks left are gone on with. Rows compared with themselves are compared above the
+diagonal. What is found comes as a spanning forest, so a group of near copies gives as many rows
+as members and not all pairs.
 """
 
 from __future__ import annotations
@@ -32,6 +34,8 @@ GROUPS = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))
 BLOCK = 4096
 #: Rows of small keys that are compared in one go.
 TILE = 512
+#: Blocks of 64 lanes that are compared at once, and the bits after which those beyond the radius are given up.
+STEP_CELLS, LOOKS = 1 << 15, (19, 27, 35, 43, 51)
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -76,74 +80,75 @@ def planes(prints: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(np.packbits(bits.T, axis=1, bitorder="little")).view(np.uint64)
 
 
-def near(queries: np.ndarray, lanes: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs (query, lane) at ``radius`` or fewer differing bits, at most 7."""
-    found_q, found_l = [], []
+def _beyond(low: np.ndarray, mid: np.ndarray, high: np.ndarray, over: np.ndarray, radius: int) -> np.ndarray:
+    """Lanes whose count, three bits and an overflow, is larger than ``radius``, bit by bit from the top."""
+    more, same = over.copy(), ~over
+    for counter, place in ((high, 4), (mid, 2), (low, 1)):
+        if radius & place:
+            same &= counter
+        else:
+            more |= same & counter
+            same &= ~counter
+    return more
+
+
+def near(queries: np.ndarray, lanes: np.ndarray, radius: int = RADIUS, own: bool = False, left: list[int] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs (query, lane) at ``radius`` or fewer differing bits, at most 7, some queries at a time.
+
+    With ``own`` the queries are the lanes, and each pair comes once, the smaller index first.
+    ``left`` gets how many blocks there were, and how many were left after each look.
+    """
     if not len(queries) or not len(lanes):
-        return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+        return
     sliced = planes(lanes)
-    step = max(1, (1 << 17) // sliced.shape[1])
+    words = np.arange(sliced.shape[1])
+    step = max(1, STEP_CELLS // sliced.shape[1])
     for q0 in range(0, len(queries), step):
         block = queries[q0 : q0 + step]
-        shape = (len(block), sliced.shape[1])
-        low, mid, high, over = (np.zeros(shape, dtype=np.uint64) for _ in range(4))
+        rows = np.arange(q0, q0 + len(block))
+        query, word = np.nonzero(words[None, :] * 64 + 63 > rows[:, None]) if own else np.divmod(np.arange(len(block) * len(words)), len(words))
+        flips = [np.where((block >> np.uint64(bit)) & np.uint64(1), _ONES, np.uint64(0)) for bit in range(64)]
+        count = [np.zeros(len(query), dtype=np.uint64) for _ in range(4)]
+        # Lanes that don't count are over from the start: those past the end, and those up to the diagonal.
+        if len(lanes) % 64:
+            count[3][word == words[-1]] = _ONES << np.uint64(len(lanes) % 64)
+        if own:
+            on = word == rows[query] // 64
+            count[3][on] |= _ONES >> (np.uint64(63) - (rows[query[on]] % 64).astype(np.uint64))
+        looks = [len(query)]
         for bit in range(64):
-            flip = np.where((block >> np.uint64(bit)) & np.uint64(1), _ONES, np.uint64(0))
-            carry = flip[:, None] ^ sliced[bit][None, :]
-            for counter in (low, mid, high):
-                carry_on = counter & carry
-                counter ^= carry
-                carry = carry_on
-            over |= carry
-            if bit % 8 == 7 and bit > 7 and (over == _ONES).all():
-                break
-        else:
-            far = over
-            # A lane is within the radius if its 3-bit count is no larger, bit by bit from the top.
-            less, same = np.zeros(shape, dtype=np.uint64), np.full(shape, _ONES)
-            for counter, place in ((high, 4), (mid, 2), (low, 1)):
-                if radius & place:
-                    less |= same & ~counter
-                    same &= counter
-                else:
-                    same &= ~counter
-            hit = (less | same) & ~far
-            q, word = np.nonzero(hit)
-            if len(q):
-                bits = np.unpackbits(hit[q, word].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-                row, lane = np.nonzero(bits)
-                lane = word[row] * 64 + lane
-                inside = lane < len(lanes)
-                found_q.append(q[row][inside] + q0)
-                found_l.append(lane[inside])
-    if not found_q:
-        return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
-    return np.concatenate(found_q), np.concatenate(found_l)
-
-
-def forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
-    """Of the links (a[i], b[i]) those that join two trees so far."""
-    parent: dict[int, int] = {}
-
-    def root(x: int) -> int:
-        while (up := parent.get(x, x)) != x:
-            parent[x] = parent.get(up, up)
-            x = up
-        return x
-
-    kept = []
-    for x, y in zip(a.tolist(), b.tolist(), strict=True):
-        rx, ry = root(x), root(y)
-        if rx != ry:
-            parent[max(rx, ry)] = min(rx, ry)
-            kept.append((x, y))
-    return kept
-
-
-def _block_links(left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
-    q, lane = near(left, right)
-    a, b = left[q].view(np.int64), right[lane].view(np.int64)
-    return forest(a[a != b], b[a != b])
+            carry = flips[bit][query] ^ sliced[bit][word]
+            for counter in count[:3]:
+                carry, counter[:] = counter & carry, counter ^ carry
+            count[3] |= carry
+            if bit in LOOKS:
+                alive = _beyond(*count, radius) != _ONES
+                query, word, count = query[alive], word[alive], [c[alive] for c in count]
+                looks.append(len(query))
+        if left is not None:
+            left[:] = looks if not left else [a + b for a, b in zip(left, looks, strict=True)]
+        hit = ~_beyond(*count, radius)
+        bits = np.unpackbits(hit.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        cell, lane = np.nonzero(bits)
+        yield query[cell] + q0, word[cell] * 64 + lane
+
+
+def _block_links(left: np.ndarray, right: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """A spanning forest of the links within ``left``, or between it and ``right``; no print is on both sides."""
+    prints = left if right is None else np.concatenate([left, right])
+    tree = np.arange(len(prints))
+    found = []
+    for query, lane in near(left, left if right is None else right, own=right is None):
+        lane = lane if right is None else lane + len(left)
+        edges = [*np.flatnonzero(np.diff(query, prepend=-1)).tolist(), len(query)]
+        for start, end in itertools.pairwise(edges):
+            q, others = query[start], lane[start:end]
+            others = others[tree[others] != tree[q]]
+            if len(others):
+                roots, first = np.unique(tree[others], return_index=True)
+                found += [(int(prints[q]), int(prints[x])) for x in others[first]]
+                tree[np.isin(tree, roots)] = tree[q]
+    return np.array(found, dtype=np.uint64).reshape(-1, 2).view(np.int64).tolist()
 
 
 def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,7 +166,7 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nonlocal waiting, held
         rows = np.unique(np.concatenate(waiting)) if waiting else np.empty(0, dtype=np.uint64)
         waiting, held = [], 0
-        return _block_links(rows, rows)
+        return _block_links(rows)
 
     def done() -> list[tuple[int, int]]:
         nonlocal part, held
@@ -172,7 +177,7 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if len(left) < 2:
             return []
         if len(left) > TILE:
-            return _block_links(left, left)
+            return _block_links(left)
         waiting.append(left)
         held += len(left)
         return tile() if held >= TILE else []
@@ -238,11 +243,16 @@ def simhash_components(docs: DataFrame) -> DataFrame:
     such rows alone has a null. Repeated rows each give a row. Other columns are not read.
     """
     prints = cut(docs.select("doc_id", fingerprint_udf()(F.col("text")).alias("print")))
-    distinct = prints.groupBy("print").agg(F.min("doc_id").alias("first_id"))
-    joined = components(link_fingerprints(distinct.select("print")))
-    rooted = distinct.join(joined.withColumnRenamed("node", "print"), "print", "left").withColumn("component", F.coalesce("component", "print"))
-    least = rooted.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    of_print = rooted.select("print", "component").join(least, "component").select("print", "component_id")
+    distinct = cut(prints.groupBy("print").agg(F.min("doc_id").alias("first_id")))
+    # A node is a fingerprint with its smallest doc_id before it, nulls last, so that the least node of a component names it.
+    node = F.struct(F.col("first_id").isNull().alias("nameless"), "first_id", "print")
+    nodes = distinct.select("print", node.alias("node"))
+    edges = link_fingerprints(distinct.select("print"))
+    for side in ("a", "b"):
+        edges = edges.join(nodes.select(F.col("print").alias(side), F.col("node").alias(f"{side}_node")), side)
+    joined = components(edges.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")))
+    named = joined.select("node.print", F.col("component.first_id").alias("component_id"), F.lit(True).alias("linked"))
+    of_print = distinct.join(named, "print", "left").select("print", F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("first_id")).alias("component_id"))
     return prints.join(of_print, "print").select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
 
 

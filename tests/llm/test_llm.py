@@ -390,10 +390,29 @@ def test_bit_sliced_comparison():
     rows = r.integers(0, 2**63, 40, dtype=np.uint64)[r.integers(0, 40, 300)].copy()
     for _ in range(6):
         rows ^= np.where(r.random(300) < 0.6, np.uint64(1) << r.integers(0, 64, 300).astype(np.uint64), np.uint64(0))
-    q, lane = simhash.near(rows[:100], rows)
-    want = {(i, j) for i in range(100) for j in range(300) if bin(int(rows[i] ^ rows[j])).count("1") <= 4}
-    assert set(zip(q.tolist(), lane.tolist())) == want
-    assert len(simhash.near(rows[:0], rows)[0]) == 0 == len(simhash.near(rows, rows[:0])[0])
+    pairs = lambda *a, **k: {(int(i), int(j)) for q, lane in simhash.near(*a, **k) for i, j in zip(q, lane)}
+    alike = lambda i, j, most: bin(int(rows[i] ^ rows[j])).count("1") <= most
+    for most in range(8):
+        assert pairs(rows[:100], rows, most) == {(i, j) for i in range(100) for j in range(300) if alike(i, j, most)}
+    assert pairs(rows, rows, own=True) == {(i, j) for i in range(300) for j in range(i + 1, 300) if alike(i, j, 4)}
+    assert pairs(rows[:0], rows) == set() == pairs(rows, rows[:0])
+
+
+def test_blocks_beyond_the_radius_are_given_up():
+    rows = np.random.default_rng(4).integers(0, 2**63, 2048, dtype=np.uint64)
+    left = []
+    for _ in simhash.near(rows, rows, own=True, left=left):
+        pass
+    assert left[0] < 0.52 * 2048 * 32 and left[2] < 0.1 * left[0] and left[3] < 0.01 * left[0]
+
+
+def test_dense_blocks_give_a_forest():
+    r = np.random.default_rng(5)
+    center = np.uint64(r.integers(0, 2**63))
+    rows = np.unique(np.array([center ^ (np.uint64(1) << np.uint64(a)) ^ (np.uint64(1) << np.uint64(b)) for a in range(64) for b in range(a)], dtype=np.uint64))
+    for links in (simhash._block_links(rows), simhash._block_links(rows[:1000], rows[1000:])):
+        assert len(links) == len(rows) - 1 and {x for link in links for x in link} == set(rows.view(np.int64).tolist())
+    assert simhash._block_links(rows[:1]) == []
 
 
 def test_simhash_components_equal_brute_force(spark, real, awkward):
