@@ -3,10 +3,11 @@
 Voters look at a text: one for each lexicon entry (words, and word beginnings that stand for
 inflected forms), and patterns such as several different entries, dense entries or shouting.
 The lexicon itself comes from the labelled texts. A generative label model takes the votes and
-the annotators' marks as noisy views of a hidden class: expectation-maximisation estimates how
-often each voter fires in either class, then correlations that the class doesn't explain, and
-voters that repeat one another share their weight. A linear classifier is trained on the
-posterior labels and scores every text.
+the annotators' marks, one voter among the others, as noisy views of a hidden class:
+expectation-maximisation estimates how often each voter fires in either class. Voters whose firing
+the class doesn't explain are then linked in a forest, and the model has a factor for each linked
+pair: a voter fires with a probability for each class and each vote of the one it hangs on. A
+linear classifier is trained on the posterior labels and scores every text.
 """
 
 from __future__ import annotations
@@ -20,13 +21,17 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.common import fold, hash_fraction, table
 
-#: Labelled texts that are learned from, about; picked by a hash of the id.
+#: Labelled texts that are learned from, about; picked by a hash of the id, one text an id.
 MAX_LABELLED = 12_000
-#: Lexicon entries at most; in how many contexts of toxic texts, and how many for each such text, one must stand.
-MAX_ENTRIES, MIN_TEXTS, MIN_SHARE = 400, 4, 0.01
+#: In how many contexts of toxic texts, and how many for each such text, a lexicon entry must stand. A lexicon
+#: so has at most the contexts of a toxic text, on average, by 1 / MIN_SHARE entries, whatever the input.
+MIN_TEXTS, MIN_SHARE = 4, 0.01
 #: Letters of a word's beginning that stand for its forms.
 STEM_LETTERS = 5
+#: How often an annotator is right, before the model has estimated it.
 ANNOTATOR_ACCURACY = 0.97
+#: Voters are linked if what the class leaves of them correlates more than LINKED; at first, as marks err too, more than COPIED.
+LINKED, COPIED = 0.1, 0.4
 
 _WORD = re.compile(r"[^\W\d_]+")
 _SHOUT = re.compile(r"\b[^\W\d_a-z]{3,}\b[^\w\s]*!")
@@ -98,38 +103,53 @@ def votes(rows: np.ndarray) -> np.ndarray:
     return rows[:, keep] > 0
 
 
-def label_model(fired: np.ndarray, marks: np.ndarray, rounds: int = 25) -> np.ndarray:
-    """Posterior of the positive class for each row of votes and annotators' marks.
+def label_model(fired: np.ndarray, marks: np.ndarray, rounds: int = 50) -> tuple[np.ndarray, np.ndarray]:
+    """Posterior of the positive class for each row of votes and annotators' marks, and each voter's accuracy, the annotators' last.
 
-    A voter fires with one probability in each class. Of voters whose firing still correlates
-    given the posterior, each counts by one over the summed correlations of its set.
+    Each voter hangs on one other voter at most, so the votes' probability given the class is a
+    product of one factor for each voter.
     """
-    n, k = fired.shape
-    noise = np.log(ANNOTATOR_ACCURACY / (1 - ANNOTATOR_ACCURACY))
-    marked = np.where(marks > 0, noise, -noise)
+    x = np.concatenate([fired, marks[:, None] > 0], axis=1).astype(np.float64)
+    n = len(x)
     post = np.where(marks > 0, ANNOTATOR_ACCURACY, 1 - ANNOTATOR_ACCURACY)
-    share = np.ones(k)
-    x = fired.astype(np.float64)
-    for turn in range(2):
+    for least in (COPIED, LINKED):  # first by the marks, then by what the model makes of them
+        parent = _forest(_rest(x, post), least)
+        above = np.where(parent >= 0, x[:, parent], 0.0)
         for _ in range(rounds):
-            p1 = (post @ x + 0.5) / (post.sum() + 1)
-            p0 = ((1 - post) @ x + 0.5) / ((1 - post).sum() + 1)
-            on = np.log(p1 / p0)
-            off = np.log((1 - p1) / (1 - p0))
-            prior = np.clip(post.mean(), 1e-4, 1 - 1e-4)
-            logit = np.log(prior / (1 - prior)) + marked + x @ (share * (on - off)) + (share * off).sum()
+            logit = np.full(n, np.log(np.clip(post.mean(), 1e-4, 1 - 1e-4)) - np.log(np.clip(1 - post.mean(), 1e-4, 1)))
+            for sign, weight in ((1, post), (-1, 1 - post)):
+                for vote, held in ((1, above), (0, 1 - above)):
+                    total = weight @ held
+                    rate = (weight @ (x * held) + 0.5) / (total + 1)
+                    logit += sign * ((x * held) @ np.log(rate) + ((1 - x) * held) @ np.log(1 - rate))
             new = _sigmoid(logit)
-            if np.abs(new - post).max() < 1e-4:
-                post = new
-                break
+            moved = np.abs(new - post).max()
             post = new
-        if turn == 0:
-            rest = x - (post[:, None] * p1 + (1 - post)[:, None] * p0)
-            scale = np.sqrt((rest**2).mean(axis=0)) + 1e-9
-            linked = np.abs((rest / scale).T @ (rest / scale) / n)
-            np.fill_diagonal(linked, 1)
-            share = 1 / np.where(linked > 0.1, linked, 0).sum(axis=1)
-    return post
+            if moved < 1e-4:
+                break
+    return post, (post @ x + (1 - post) @ (1 - x)) / n
+
+
+def _rest(x: np.ndarray, post: np.ndarray) -> np.ndarray:
+    """Correlations of the voters that the class leaves unexplained."""
+    p1, p0 = (post @ x + 0.5) / (post.sum() + 1), ((1 - post) @ x + 0.5) / ((1 - post).sum() + 1)
+    rest = x - (post[:, None] * p1 + (1 - post)[:, None] * p0)
+    rest /= np.sqrt((rest**2).mean(axis=0)) + 1e-9
+    return np.abs(rest.T @ rest / len(x))
+
+
+def _forest(strength: np.ndarray, least: float = LINKED) -> np.ndarray:
+    """For each voter the one it hangs on, or -1: a spanning forest of the strongest links over ``least``; annotators are linked with none."""
+    k = len(strength)
+    parent, free, best, link = np.full(k, -1), np.ones(k, dtype=bool), np.full(k, -1.0), np.full(k, -1)
+    free[-1] = False
+    while free.any():
+        i = int(np.where(free, best, -2).argmax())
+        parent[i] = link[i] if best[i] > least else -1
+        free[i] = False
+        closer = strength[i] > best
+        best[closer], link[closer] = strength[i][closer], i
+    return parent
 
 
 def fit_linear(rows: np.ndarray, target: np.ndarray, ridge: float = 1.0, steps: int = 30) -> np.ndarray:
@@ -157,14 +177,16 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
     """Learn from texts with a label; an id with several labels counts as toxic if one says so.
 
     The sample's bound holds whatever the tables' sizes: ids are picked by hash, at a rate from
-    the number of labels. Without labels of both classes every score is the toxic share.
+    the number of labels, and of rows that share an id the least text counts. Without labels of
+    both classes every score is the toxic share.
     """
     marks = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).filter(fold("doc_id", 5) != 0)
     n, share = marks.agg(F.count("*"), F.avg("toxic")).first()
     if not n or share in (0, 1):
         return Model([], None, float(share or 0))
     sample = marks.filter(hash_fraction("doc_id", 5) < min(1.0, max_labelled / n))
-    texts = docs.select("doc_id", "text").join(sample, "doc_id").select("doc_id", "text", "toxic")
+    one_text = docs.select("doc_id", "text").join(sample.select("doc_id"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+    texts = one_text.join(sample, "doc_id").select("doc_id", "text", "toxic")
 
     def contexts(batches):
         for batch in batches:
@@ -180,7 +202,7 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
     rate = positive / size
     odds = F.log((F.col("t") + 0.5) / (F.col("n") - F.col("t") + 0.5)) - float(np.log(rate / (1 - rate)))
     # Seldom in clean texts: a toxic share far above the usual one, by more than chance.
-    best = counted.withColumn("odds", odds).filter(F.col("odds") > 2.5).orderBy(F.desc(F.col("odds") * F.sqrt("t")), "entry").limit(MAX_ENTRIES).collect()
+    best = counted.withColumn("odds", odds).filter(F.col("odds") > 2.5).select("entry").collect()
     lexicon = sorted(r["entry"] for r in best)
     place = {w: i for i, w in enumerate(lexicon)}
     width = N_PATTERNS + len(lexicon)
@@ -192,7 +214,7 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
 
     learnt = texts.mapInArrow(measure, "row binary, toxic int").toPandas()
     rows = np.stack([np.frombuffer(r, dtype=np.float32) for r in learnt["row"]]).reshape(-1, width)
-    post = label_model(votes(rows), learnt["toxic"].to_numpy())
+    post, _ = label_model(votes(rows), learnt["toxic"].to_numpy())
     return Model(lexicon, fit_linear(rows, post), rate)
 
 

@@ -766,7 +766,31 @@ def test_label_model_finds_accuracies():
     fired = np.stack([np.where(y, r.random(3000) < a, r.random(3000) < b) for a, b in ((0.9, 0.05), (0.7, 0.02), (0.5, 0.5))], axis=1)
     fired = np.concatenate([fired, fired[:, :1], fired[:, :1]], axis=1)
     marks = np.where(r.random(3000) < 0.05, ~y, y).astype(int)
-    assert ((toxicity.label_model(fired, marks) > 0.5) == y).mean() > 0.97
+    post, accuracy = toxicity.label_model(fired, marks)
+    assert ((post > 0.5) == y).mean() > 0.97 and abs(accuracy[-1] - 0.95) < 0.03
+
+
+def test_label_model_estimates_the_annotators_too():
+    r = np.random.default_rng(6)
+    y = r.random(4000) < 0.3
+    fired = np.stack([np.where(y, r.random(4000) < 0.85, r.random(4000) < 0.04) for _ in range(8)], axis=1)
+    marks = np.where(r.random(4000) < 0.2, ~y, y).astype(int)
+    post, accuracy = toxicity.label_model(fired, marks)
+    assert abs(accuracy[-1] - 0.8) < 0.03 and ((post > 0.5) == y).mean() > 0.98
+    # Copies of a poor voter hang on one another and don't outvote the others.
+    poor = np.where(y, r.random(4000) < 0.6, r.random(4000) < 0.3)
+    many = np.concatenate([fired[:, :3], np.repeat(poor[:, None], 12, axis=1)], axis=1)
+    right = np.where(r.random(4000) < 0.05, ~y, y).astype(int)
+    post, accuracy = toxicity.label_model(many, right)
+    assert ((post > 0.5) == y).mean() > 0.97
+    tree = toxicity._forest(toxicity._rest(np.concatenate([many, right[:, None]], axis=1).astype(float), post))
+    assert sum(tree[3:-1] >= 3) >= 11 and tree[-1] == -1
+
+
+def test_rows_that_share_an_id_count_once(spark):
+    rows = spark.createDataFrame([(i % 20, f"word{i % 20} zork") for i in range(2000)], "doc_id long, text string")
+    marks = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, toxic int")
+    assert toxicity.scores(rows, marks).count() == 2000
 
 
 # 10 Fingerprints
