@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import word_ngrams
+from corpusloom.operators.loops import cut
 
 SENTINEL = "__EDGE__"
 
@@ -81,12 +82,14 @@ def feature_counts(rows: DataFrame, cutoff: int = 1, by_type: dict[str, int] | N
 def dense_ids(counts: DataFrame) -> DataFrame:
     """(value, n) with an id from 1 by falling count, then value.
 
-    Ids run through counts: each count's start comes from a running sum over the different
-    counts, so the values themselves are never put in one order.
+    Values are dealt to ranges of this order and numbered within each; a range's start is the sum
+    of the sizes before it, so that no task holds all values with a count of one.
     """
-    sizes = counts.groupBy("n").agg(F.count("*").alias("k"))
-    starts = sizes.select("n", (F.sum("k").over(W.orderBy(F.desc("n")).rowsBetween(W.unboundedPreceding, 0)) - F.col("k")).alias("start"))
-    return counts.join(starts, "n").select("value", "n", (F.col("start") + F.row_number().over(W.partitionBy("n").orderBy("value"))).alias("id"))
+    dealt = cut(counts.select("value", "n").repartitionByRange(F.desc("n"), F.col("value")).withColumn("part", F.spark_partition_id()))
+    sizes = dealt.groupBy("part").agg(F.count("*").alias("k"))
+    starts = sizes.select("part", (F.sum("k").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, 0)) - F.col("k")).alias("start"))  # a row for each range
+    place = F.row_number().over(W.partitionBy("part").orderBy(F.desc("n"), "value"))
+    return dealt.join(F.broadcast(starts), "part").select("value", "n", (F.col("start") + place).alias("id"))
 
 
 def context_table(contexts: DataFrame) -> DataFrame:

@@ -15,10 +15,13 @@ def _test_folder() -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """A checkpoint in the shared folder of ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """A checkpoint in the shared folder of ``spark.checkpoint.dir``; on one machine a temporary one where that is unset."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or _test_folder())
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or _test_folder())
     return df.checkpoint()
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusloom.operators import qa as Q
-from corpusloom.plans.inputs import letters, pairs, r6, table
+from corpusloom.plans.inputs import PAIRS_SQL, letters, pairs, r6
 
 
 def rnd(df):
@@ -14,26 +14,18 @@ def rnd(df):
 
 
 def convs(s, d):
-    """User turns as questions with the first word hidden, answers as contexts: the first 40 words of each."""
-    c = table(s, d, "conversations")
-    q = c.filter("turn = 0").groupBy(F.col("conv_id").alias("qid")).agg(F.min(F.slice(letters(F.col("text")), 1, 40)).alias("q"))
-    a = c.filter("turn = 1").groupBy(F.col("conv_id").alias("qid")).agg(F.min(F.slice(letters(F.col("text")), 1, 40)).alias("a"))
-    return q.join(a, "qid").filter(F.size("q") > 2)
-
-
-def whole(s, d):
-    """The same of every user turn with the assistant turn after it, and of all their words."""
+    """User turns as questions with the second word hidden, the assistant's turns after them as contexts."""
     p = pairs(s, d).select(F.concat_ws("-", "conv_id", "turn").alias("qid"), letters(F.col("text_a")).alias("q"), letters(F.col("text_b")).alias("a"))
     return p.filter(F.size("q") > 2)
 
 
-_W = "list_filter(string_split_regex(lower({}), '[^a-z]+'), lambda w: w <> '')[1:40]"
-_C = f"""cv AS (SELECT q.qid, q, a FROM (SELECT conv_id AS qid, min({_W.format('text')}) AS q FROM conversations WHERE turn = 0 GROUP BY 1) q JOIN (SELECT conv_id AS qid, min({_W.format('text')}) AS a FROM conversations WHERE turn = 1 GROUP BY 1) a USING (qid) WHERE len(q) > 2),
+_W = "list_filter(string_split_regex(lower({}), '[^a-z]+'), lambda w: w <> '')"
+_C = f"""{PAIRS_SQL}, cv AS (SELECT * FROM (SELECT conv_id || '-' || turn AS qid, {_W.format('text_a')} AS q, {_W.format('text_b')} AS a FROM pairs) WHERE len(q) > 2),
 cx AS (SELECT qid, unnest(range(len(a))) AS place, unnest(a) AS token FROM cv), qu AS (SELECT qid, unnest(range(len(q))) AS place, unnest(q) AS token, 1 AS hole FROM cv), en AS (SELECT DISTINCT qid, token AS entity FROM cx WHERE length(token) > 5)"""
 
 
-def parts(s, d, source=convs):
-    c = source(s, d)
+def parts(s, d):
+    c = convs(s, d)
     context = c.select("qid", F.posexplode("a").alias("place", "token"))
     question = c.select("qid", F.posexplode("q").alias("place", "token")).withColumn("hole", F.lit(1))
     return context, question, context.filter("length(token) > 5").select("qid", F.col("token").alias("entity")).distinct()
@@ -42,36 +34,36 @@ def parts(s, d, source=convs):
 _PROX = f"WITH {_C}, iw AS (SELECT qu.qid, qu.place AS i, cx.place AS w FROM qu JOIN cx USING (qid, token) WHERE qu.place <> 1), ie AS (SELECT en.qid, entity, place AS e FROM en JOIN cx ON cx.qid = en.qid AND token = entity), b AS (SELECT qid, entity, i, max(1.0::DOUBLE / (1 + abs(e - w - 1 + i))) AS s FROM ie JOIN iw USING (qid) GROUP BY 1, 2, 3), sc AS (SELECT en.qid, en.entity, coalesce(sum(s), 0) AS score FROM en LEFT JOIN b USING (qid, entity) GROUP BY 1, 2)"
 
 
-def scores(s, d, source=convs):
-    return rnd(Q.word_proximity(*parts(s, d, source)))
+def scores(s, d):
+    return rnd(Q.word_proximity(*parts(s, d)))
 
 
-def judged(s, d, source=convs):
-    x = scores(s, d, source)
+def judged(s, d):
+    x = scores(s, d)
     return x.withColumn("right", F.row_number().over(W.partitionBy("qid").orderBy(F.length("entity"), "entity")) == 1)
 
 
 _JD = _PROX + ", jd AS (SELECT qid, entity, round(score, 6) AS score, row_number() OVER (PARTITION BY qid ORDER BY length(entity), entity) = 1 AS ok FROM sc)"
 
 
-def _embed(s, d, source=convs):
-    context, question, entities = parts(s, d, source)
+def _embed(s, d):
+    context, question, entities = parts(s, d)
     similar = context.select("token").distinct().join(question.select(F.col("token").alias("other")).distinct(), F.substring("token", 1, 2) == F.substring("other", 1, 2)).withColumn("sim", F.when(F.col("token") == F.col("other"), 1.0).otherwise(0.5))
     return rnd(Q.embed_proximity(context, question, similar, entities))
 
 
-def _bow(s, d, source=convs):
-    context, question, entities = parts(s, d, source)
+def _bow(s, d):
+    context, question, entities = parts(s, d)
     sentences = context.withColumn("sentence", F.floor(F.col("place") / 8))
     return Q.bow_overlap(sentences, question, context.groupBy("token").agg(F.count("*").alias("n")), entities)
 
 
-def _features(s, d, source=convs):
-    return source(s, d).withColumn("h", F.transform("q", lambda t, i: F.when(i == 1, "@placeholder").otherwise(t))).join(parts(s, d, source)[2], "qid").select("qid", "entity", Q.candidate_features(F.col("a"), F.col("h"), F.col("entity")).alias("f")).select("qid", "entity", "f.*")
+def _features(s, d):
+    return convs(s, d).withColumn("h", F.transform("q", lambda t, i: F.when(i == 1, "@placeholder").otherwise(t))).join(parts(s, d)[2], "qid").select("qid", "entity", Q.candidate_features(F.col("a"), F.col("h"), F.col("entity")).alias("f")).select("qid", "entity", "f.*")
 
 
-def _accuracy(s, d, source=convs):
-    return rnd(Q.qa_accuracy(Q.pick_answer(scores(s, d, source)), judged(s, d, source).filter("right").select("qid", "entity")))
+def _accuracy(s, d):
+    return rnd(Q.qa_accuracy(Q.pick_answer(scores(s, d)), judged(s, d).filter("right").select("qid", "entity")))
 
 
 QUERIES = {
@@ -94,13 +86,4 @@ u AS (SELECT qid, place, p AS spot, sim FROM vt WHERE p IS NOT NULL UNION ALL SE
     "Q05_pick_answer_compat": (lambda s, d: Q.pick_answer(judged(s, d), compat=True), _JD + " SELECT qid, entity FROM jd QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, ok DESC, entity) = 1"),
     "Q06_answer_rank": (lambda s, d: Q.answer_rank(judged(s, d)), _JD + ", k AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, entity)::INT AS rank FROM jd) SELECT rank, count(*) AS n FROM k WHERE ok GROUP BY 1"),
     "Q07_qa_accuracy": (_accuracy, _JD + ", k AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, entity) = 1 AS best FROM jd) SELECT round(avg(best::INT), 6) AS accuracy FROM k WHERE ok"),
-    # Over whole texts of all turns.
-    "Q01_word_proximity_whole": (lambda s, d: scores(s, d, whole), None),
-    "Q02_embed_proximity_whole": (lambda s, d: _embed(s, d, whole), None),
-    "Q03_bow_overlap_whole": (lambda s, d: _bow(s, d, whole), None),
-    "Q04_candidate_features_whole": (lambda s, d: _features(s, d, whole), None),
-    "Q05_pick_answer_whole": (lambda s, d: Q.pick_answer(scores(s, d, whole)), None),
-    "Q05_pick_answer_compat_whole": (lambda s, d: Q.pick_answer(judged(s, d, whole), compat=True), None),
-    "Q06_answer_rank_whole": (lambda s, d: Q.answer_rank(judged(s, d, whole)), None),
-    "Q07_qa_accuracy_whole": (lambda s, d: _accuracy(s, d, whole), None),
 }

@@ -18,33 +18,34 @@ def pair_ids(s, d):
     return pairs(s, d).select((F.col("conv_id") * 100 + F.col("turn")).alias("pair_id"), "text_a", "text_b")
 
 
-def side(s, d, column, least=7):
-    return pair_ids(s, d).select("pair_id", F.explode(letters(F.col(column))).alias("token")).filter(F.length("token") > least)
+def side(s, d, column):
+    return pair_ids(s, d).select("pair_id", F.explode(letters(F.col(column))).alias("token"))
 
 
-def rule_tokens(s, d, parity, least=7):
-    return table(s, d, "benchmark").filter(F.col("item_id") % 2 == parity).select(F.floor(F.col("item_id") / 2).alias("rule_id"), F.explode(letters(F.col("text"))).alias("token")).filter(F.length("token") > least)
+def rule_tokens(s, d, parity):
+    return table(s, d, "benchmark").filter(F.col("item_id") % 2 == parity).select(F.floor(F.col("item_id") / 2).alias("rule_id"), F.explode(letters(F.col("text"))).alias("token"))
 
 
 _Q = f"WITH {PAIRS_SQL}, q AS (SELECT conv_id * 100 + turn AS pair_id, {_W.format('text_a')} AS l, {_W.format('text_b')} AS r, text_a, text_b FROM pairs), qa AS (SELECT DISTINCT pair_id, unnest(l) AS token FROM q), qb AS (SELECT DISTINCT pair_id, unnest(r) AS token FROM q), ru AS (SELECT DISTINCT item_id // 2 AS rule_id, item_id % 2 AS par, unnest({_W.format('text')}) AS token FROM benchmark)"
-_ANY = "SELECT DISTINCT pair_id, rule_id FROM {0} JOIN ru USING (token) WHERE length(token) > 7 AND par = {1}"
+_ANY = "SELECT DISTINCT pair_id, rule_id FROM {0} JOIN ru USING (token) WHERE par = {1}"
 
 
 def phrases(s, d):
-    """Two-word phrases that benchmark items begin with."""
-    w = table(s, d, "benchmark").select(F.col("item_id").alias("rule_id"), F.slice(letters(F.col("text")), 1, 2).alias("tokens"))
-    return w.filter(F.size("tokens") > 0)
+    """Benchmark items as phrases."""
+    return table(s, d, "benchmark").select(F.col("item_id").alias("rule_id"), letters(F.col("text")).alias("tokens")).filter(F.size("tokens") > 0)
 
 
-def whole_phrases(s, d):
-    return table(s, d, "benchmark").select(F.col("item_id").alias("rule_id"), letters(F.col("text")).alias("tokens")).filter(F.size("tokens") > 0)
+def short_phrases(s, d):
+    """All runs of two words of benchmark items."""
+    w = phrases(s, d).filter(F.size("tokens") > 1)
+    return w.select("rule_id", F.explode(F.transform(F.sequence(F.lit(1), F.size("tokens") - 1), lambda i: F.slice("tokens", i, 2))).alias("tokens")).distinct()
 
 
 def texts(s, d, column):
     return pair_ids(s, d).select("pair_id", letters(F.col(column)).alias("tokens"))
 
 
-_PH = f"ph AS (SELECT item_id AS rule_id, array_to_string({_W.format('text')}[1:2], ' ') AS run FROM benchmark WHERE len({_W.format('text')}) > 0)"
+_PH = f"ph AS (SELECT item_id AS rule_id, array_to_string({_W.format('text')}, ' ') AS run FROM benchmark WHERE len({_W.format('text')}) > 0)"
 
 
 def ruled(s, d):
@@ -178,11 +179,11 @@ def _augment(s, d):
 QUERIES = {
     "R01_match_any_token": (lambda s, d: R.match_any_token(side(s, d, "text_a"), rule_tokens(s, d, 0)), f"{_Q} {_ANY.format('qa', 0)}"),
     "R02_match_both_sides": (lambda s, d: R.match_both_sides(side(s, d, "text_a"), side(s, d, "text_b"), rule_tokens(s, d, 0), rule_tokens(s, d, 1)), f"{_Q} SELECT * FROM ({_ANY.format('qa', 0)}) JOIN ({_ANY.format('qb', 1)}) USING (pair_id, rule_id)"),
-    # Over tokens of any length and whole phrases.
-    "R01_match_any_token_whole": (lambda s, d: R.match_any_token(side(s, d, "text_a", 0), rule_tokens(s, d, 0, 0)), None),
-    "R02_match_both_sides_whole": (lambda s, d: R.match_both_sides(side(s, d, "text_a", 0), side(s, d, "text_b", 0), rule_tokens(s, d, 0, 0), rule_tokens(s, d, 1, 0)), None),
-    "R03_match_exact_phrase_whole": (lambda s, d: R.match_exact_phrase(texts(s, d, "text_b"), whole_phrases(s, d), None), None),
-    "R03_match_exact_phrase": (lambda s, d: R.match_exact_phrase(texts(s, d, "text_b"), phrases(s, d), 2), f"{_Q}, {_PH} SELECT DISTINCT pair_id, rule_id FROM q JOIN ph ON contains(' ' || array_to_string(r, ' ') || ' ', ' ' || run || ' ')"),
+    "R03_match_exact_phrase": (lambda s, d: R.match_exact_phrase(texts(s, d, "text_b"), phrases(s, d), None), f"{_Q}, {_PH} SELECT DISTINCT pair_id, rule_id FROM q JOIN ph ON contains(' ' || array_to_string(r, ' ') || ' ', ' ' || run || ' ')"),
+    "R03_match_short_phrases": (
+        lambda s, d: R.match_exact_phrase(texts(s, d, "text_b"), short_phrases(s, d), 2),
+        f"{_Q}, w AS (SELECT item_id AS rule_id, {_W.format('text')} AS t FROM benchmark), ph AS (SELECT DISTINCT rule_id, t[i] || ' ' || t[i + 1] AS run FROM (SELECT rule_id, t, unnest(range(1, len(t))) AS i FROM w)), rr AS (SELECT DISTINCT pair_id, r[i] || ' ' || r[i + 1] AS run FROM (SELECT pair_id, r, unnest(range(1, len(r))) AS i FROM q)) SELECT DISTINCT pair_id, rule_id FROM rr JOIN ph USING (run)",
+    ),
     "R04_filter_rules_contained": (
         lambda s, d: R.filter_rules_contained(pair_ids(s, d).select("pair_id", F.col("text_a").alias("text"), F.col("text_b").alias("hyp"), F.lit("the").alias("lhs"), F.lit("of").alias("rhs"))).select("pair_id", "direction"),
         f"{_Q}, f AS (SELECT pair_id, '#' || array_to_string(list_filter(string_split_regex(text_a, '\\s+'), lambda x: x <> ''), '#') || '#' AS t, '#' || array_to_string(list_filter(string_split_regex(text_b, '\\s+'), lambda x: x <> ''), '#') || '#' AS h FROM q) SELECT pair_id, CASE WHEN contains(t, '#the#') AND contains(h, '#of#') THEN 'Implication' ELSE 'BackwardImplication' END AS direction FROM f WHERE (contains(t, '#the#') AND contains(h, '#of#')) OR (contains(h, '#the#') AND contains(t, '#of#'))",
@@ -195,7 +196,7 @@ QUERIES = {
         lambda s, d: rnd(R.score_distributional(distributional(s, d), "noNeu").select("l_orderkey", "l_linenumber", "l_suppkey", "score", "direction")),
         f"WITH {_RU}, x AS (SELECT l_orderkey, l_linenumber, l_suppkey, coalesce((l_tax - l_discount) / nullif(l_tax + l_discount, 0), 0) AS v FROM ru) SELECT l_orderkey, l_linenumber, l_suppkey, round(abs(v), 6) AS score, CASE WHEN v < 0 THEN 'Opposite' ELSE 'Implication' END AS direction FROM x",
     ),
-    "R06_phrase_pair_scores": (lambda s, d: rnd(R.phrase_pair_scores(texts(s, d, "text_a"), texts(s, d, "text_b"), whole_phrases(s, d).join(table(s, d, "embeddings").select(F.col("vec_id").alias("rule_id"), F.col("embedding").alias("vec")), "rule_id"), None)), None),
+    "R06_phrase_pair_scores": (lambda s, d: rnd(R.phrase_pair_scores(texts(s, d, "text_a"), texts(s, d, "text_b"), phrases(s, d).join(table(s, d, "embeddings").select(F.col("vec_id").alias("rule_id"), F.col("embedding").alias("vec")), "rule_id"), None)), None),
     "R07_lexical_rules": (
         lambda s, d: R.lexical_rules(preds(s, d, 1, "T"), preds(s, d, 0, "H"), with_pos(s, d)).select("pair_id", "lhs", "rhs", "direction"),
         f"{_B}, {_TR}, nw AS (SELECT DISTINCT pair_id, name, pos FROM pr h WHERE side = 'H' AND NOT EXISTS (SELECT 1 FROM pr t WHERE t.side = 'T' AND t.pair_id = h.pair_id AND t.name = h.name)), x AS (SELECT DISTINCT t.pair_id, tr.lhs, tr.rhs, t.pos, relation FROM pr t JOIN nw ON nw.pair_id = t.pair_id AND nw.pos = t.pos JOIN tr ON tr.lhs = t.name AND tr.rhs = nw.name WHERE t.side = 'T') SELECT DISTINCT pair_id, lhs, rhs, CASE WHEN relation IN ('synonym', 'hypernym') THEN 'Implication' WHEN relation = 'hyponym' THEN 'BackwardImplication' ELSE 'Opposite' END AS direction FROM x WHERE relation <> 'antonym' OR pos <> 'n'",

@@ -55,10 +55,10 @@ _V = "v AS (SELECT x.vec_id AS id, list_transform(x.embedding, lambda z: z::DOUB
 
 
 def sp(s, d):
-    return pairs(s, d).select("conv_id", "turn", F.substring("text_a", 1, 24).alias("a"), F.substring("text_b", 1, 24).alias("b"))
+    return pairs(s, d).select("conv_id", "turn", F.col("text_a").alias("a"), F.col("text_b").alias("b"))
 
 
-_SP = f"{PAIRS_SQL}, p AS (SELECT conv_id, turn, substr(text_a, 1, 24) AS a, substr(text_b, 1, 24) AS b FROM pairs)"
+_SP = f"{PAIRS_SQL}, p AS (SELECT conv_id, turn, text_a AS a, text_b AS b FROM pairs)"
 _JAC = "coalesce(len(list_intersect({0}, {1}))::DOUBLE / nullif(len(list_distinct(list_concat({0}, {1}))), 0), 0)"
 _SIMPLE = "replace(replace(replace(replace(text, '.', ' . '), ',', ' , '), 'n''t', ' n''t'), '''s', ' ''s')"
 _CHARS = "list_distinct(string_split({0}, ''))"
@@ -181,23 +181,13 @@ QUERIES = {
         ),
         "SELECT p_partkey AS id, p_type AS lemma, 'n' AS pos, CASE WHEN lower(p_brand) LIKE 'brand#1%' THEN '+' END AS positive, CASE WHEN lower(p_brand) LIKE 'brand#1%' THEN '-' END AS negative FROM part",
     ),
-    "M01_edit_distance": (
-        lambda s, d: sp(s, d).filter(F.concat("a", "b").rlike("^[\\x00-\\x7F]*$")).select("conv_id", "turn", M.edit_distance(F.col("a"), F.col("b")).alias("n")),
-        f"WITH {_SP} SELECT conv_id, turn, levenshtein(a, b)::INT AS n FROM p WHERE regexp_full_match(a || b, '[\\x00-\\x7F]*')",
-    ),
-    "M02_levenshtein_sim": (
-        lambda s, d: sp(s, d).filter(F.concat("a", "b").rlike("^[\\x00-\\x7F]*$")).select("conv_id", "turn", r6(M.levenshtein_sim(F.col("a"), F.col("b"), 0.2)).alias("v")),
-        f"WITH {_SP}, q AS (SELECT conv_id, turn, CASE WHEN a = '' AND b = '' THEN 1 ELSE 1 - levenshtein(a, b)::DOUBLE / greatest(length(a), length(b)) END AS v FROM p WHERE regexp_full_match(a || b, '[\\x00-\\x7F]*')) SELECT conv_id, turn, round(CASE WHEN v > 0.2 THEN v ELSE 0 END, 6) AS v FROM q",
-    ),
+    # SQL's levenshtein counts bytes.
+    "M01_edit_distance": (lambda s, d: pairs(s, d).select("conv_id", "turn", M.edit_distance(F.col("text_a"), F.col("text_b")).alias("n")), None),
+    "M02_levenshtein_sim": (lambda s, d: pairs(s, d).select("conv_id", "turn", r6(M.levenshtein_sim(F.col("text_a"), F.col("text_b"), 0.2)).alias("v")), None),
     "M03_substring_sim": (
-        lambda s, d: pairs(s, d).select("conv_id", "turn", r6(M.substring_sim(F.substring("text_a", 1, 3), F.col("text_b"))).alias("v")),
-        f"WITH {PAIRS_SQL}, q AS (SELECT conv_id, turn, lower(substr(text_a, 1, 3)) AS x, lower(text_b) AS y FROM pairs), z AS (SELECT conv_id, turn, CASE WHEN length(x) <= length(y) THEN x ELSE y END AS a, CASE WHEN length(x) <= length(y) THEN y ELSE x END AS b FROM q) SELECT conv_id, turn, round(CASE WHEN contains(b, a) THEN length(a)::DOUBLE / length(b) ELSE 0 END, 6) AS v FROM z",
-    ),
-    # Over whole texts of every pair; SQL's levenshtein counts bytes.
-    "M01_edit_distance_whole": (lambda s, d: pairs(s, d).select("conv_id", "turn", M.edit_distance(F.col("text_a"), F.col("text_b")).alias("n")), None),
-    "M02_levenshtein_sim_whole": (lambda s, d: pairs(s, d).select("conv_id", "turn", r6(M.levenshtein_sim(F.col("text_a"), F.col("text_b"), 0.2)).alias("v")), None),
-    "M03_substring_sim_whole": (lambda s, d: pairs(s, d).select("conv_id", "turn", r6(M.substring_sim(F.col("text_a"), F.col("text_b"))).alias("v")), None),
-    "M05_charset_sim_whole": (lambda s, d: pairs(s, d).select("conv_id", "turn", r6(M.charset_sim(F.col("text_a"), F.col("text_b"))).alias("v")), None),
+        lambda s, d: pairs(s, d).select("conv_id", "turn", r6(M.substring_sim(F.col("text_a"), F.col("text_b"))).alias("v")),
+        f"WITH {PAIRS_SQL}, q AS (SELECT conv_id, turn, lower(text_a) AS x, lower(text_b) AS y FROM pairs), z AS (SELECT conv_id, turn, CASE WHEN length(x) <= length(y) THEN x ELSE y END AS a, CASE WHEN length(x) <= length(y) THEN y ELSE x END AS b FROM q) SELECT conv_id, turn, round(CASE WHEN contains(b, a) THEN length(a)::DOUBLE / length(b) ELSE 0 END, 6) AS v FROM z",
+    ),
     "M04_sparse_cosine": (m4, _M4),
     "M05_charset_sim": (
         lambda s, d: sp(s, d).select("conv_id", "turn", r6(M.charset_sim(F.col("a"), F.col("b"))).alias("v")),

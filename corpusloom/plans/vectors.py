@@ -96,11 +96,10 @@ QUERIES = {
     ),
     "V01_compose_add": (lambda s, d: rnd(V.compose_add(left(s, d), vectors(s, d))), _BASE + _LR + " SELECT id, dim, round(w, 6) AS w FROM ca"),
     "V02_compose_mul": (
-        lambda s, d: V.compose_mul(left(s, d).filter("id % 100 = 0 and length(word) > 5"), vectors(s, d)).select("id", "dim", r6(F.ln("w")).alias("w")),
+        lambda s, d: V.compose_mul(left(s, d), vectors(s, d)).select("id", "dim", r6(F.ln("w")).alias("w")),
         _BASE
-        + ", x AS (SELECT DISTINCT id, word FROM sd WHERE side = 'left' AND id % 100 = 0 AND length(word) > 5 AND word IN (SELECT word FROM ve)), k AS (SELECT id, count(*) AS n FROM x GROUP BY 1) SELECT id, dim, round(sum(ln(w)), 6) + 0.0 AS w FROM x JOIN ve USING (word) JOIN k USING (id) GROUP BY id, dim HAVING count(*) = any_value(n)",
+        + ", x AS (SELECT DISTINCT id, word FROM sd WHERE side = 'left' AND word IN (SELECT word FROM ve)), k AS (SELECT id, count(*) AS n FROM x GROUP BY 1) SELECT id, dim, round(sum(ln(w)), 6) + 0.0 AS w FROM x JOIN ve USING (word) JOIN k USING (id) GROUP BY id, dim HAVING count(*) = any_value(n)",
     ),
-    "V02_compose_mul_whole": (lambda s, d: V.compose_mul(left(s, d), vectors(s, d)).select("id", "dim", r6(F.ln("w")).alias("w")), None),
     "V03_compose_ngrams": (
         lambda s, d: rnd(V.compose_ngrams(grams(s, d), vectors(s, d), 0.3)),
         _BASE

@@ -53,8 +53,8 @@ def test_paths_over_all_sales(run, sales):
         graphs[x.y][f"s{x.s}"].add(f"o{x.o}")
     ends = {y: (min(n for n in g if n[0] == "s"), max(n for n in g if n[0] == "s")) for y, g in graphs.items()}
     steps = {y: reach(g, ends[y][0]) for y, g in graphs.items()}
-    assert {(x.graph, x.a, x.b, x.length) for x in run("G05_shortest_path_whole")} == {(y, a, b, steps[y][b]) for y, (a, b) in ends.items() if steps[y].get(b, 99) <= 20}
-    assert {(x.graph, x.start, x.reached) for x in run("G06_bfs_order_whole")} == {(y, ends[y][0], sum(n <= 20 for n in steps[y].values())) for y in graphs}
+    assert {(x.graph, x.a, x.b, x.length) for x in run("G05_shortest_path")} == {(y, a, b, steps[y][b]) for y, (a, b) in ends.items() if steps[y].get(b, 99) <= 20}
+    assert {(x.graph, x.start, x.reached) for x in run("G06_bfs_order")} == {(y, ends[y][0], sum(n <= 20 for n in steps[y].values())) for y in graphs}
 
 
 def test_components_and_groups_over_all_sales(run, sales):
@@ -68,8 +68,8 @@ def test_components_and_groups_over_all_sales(run, sales):
     for n in sorted(edges):
         if n not in want:
             want |= dict.fromkeys(reach(edges, n), n)
-    assert {x.node: x.component for x in run("G07_connected_components_whole")} == want
-    assert {x.verb: x.n for x in run("G11_verb_based_split_whole")} == {v: len({p for n in ps for u in by_node[n] for p in by_verb[u]}) for v, ps in by_verb.items()}
+    assert {x.node: x.component for x in run("G07_connected_components")} == want
+    assert {x.verb: x.n for x in run("G11_verb_based_split")} == {v: len({p for n in ps for u in by_node[n] for p in by_verb[u]}) for v, ps in by_verb.items()}
 
 
 def test_products_over_all_words(spark, sf_dir, run, pairs):
@@ -79,7 +79,7 @@ def test_products_over_all_words(spark, sf_dir, run, pairs):
         vectors = [collections.Counter(w) for w in set(words(text)) & known]
         for c in set.intersection(*map(set, vectors)) if vectors else ():
             want[conv * 100 + turn, c] = sum(math.log(v[c]) for v in vectors)
-    got = {(x.id, x.dim): x.w for x in run("V02_compose_mul_whole")}
+    got = {(x.id, x.dim): x.w for x in run("V02_compose_mul")}
     assert want and set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-5 for k in want)
 
 
@@ -116,21 +116,21 @@ def test_answers_from_whole_texts(run, pairs):
                         embed[qid, a[spot]] += sim / (1 + abs(spot - i))
     close = lambda got, want: set(got) == set(want) and all(abs(got[k] - want[k]) < 2e-6 for k in want)
     assert len(asked) > 0 and max(len(a) for _, _, a in asked) > 40
-    assert close({(x.qid, x.entity): x.score for x in run("Q01_word_proximity_whole")}, scores)
-    assert close({(x.qid, x.entity): x.score for x in run("Q02_embed_proximity_whole")}, embed)
-    assert {x.qid: x.entity for x in run("Q03_bow_overlap_whole")} == bow
-    assert {(x.qid, x.entity): (x["exists"], x.in_question, x.frequency, x["first"], x.left, x.right) for x in run("Q04_candidate_features_whole")} == features
+    assert close({(x.qid, x.entity): x.score for x in run("Q01_word_proximity")}, scores)
+    assert close({(x.qid, x.entity): x.score for x in run("Q02_embed_proximity")}, embed)
+    assert {x.qid: x.entity for x in run("Q03_bow_overlap")} == bow
+    assert {(x.qid, x.entity): (x["exists"], x.in_question, x.frequency, x["first"], x.left, x.right) for x in run("Q04_candidate_features")} == features
     names = collections.defaultdict(list)
     for qid, e in scores:
         names[qid].append(e)
     order = {qid: sorted(es, key=lambda e: (-round(scores[qid, e], 6), e)) for qid, es in names.items()}
     right = {qid: min(es, key=lambda e: (len(e), e)) for qid, es in names.items()}
     compat = {qid: min(es, key=lambda e: (-round(scores[qid, e], 6), e != right[qid], e)) for qid, es in names.items()}
-    assert {x.qid: x.entity for x in run("Q05_pick_answer_whole")} == {k: v[0] for k, v in order.items()}
-    assert {x.qid: x.entity for x in run("Q05_pick_answer_compat_whole")} == compat
+    assert {x.qid: x.entity for x in run("Q05_pick_answer")} == {k: v[0] for k, v in order.items()}
+    assert {x.qid: x.entity for x in run("Q05_pick_answer_compat")} == compat
     ranks = collections.Counter(order[k].index(right[k]) + 1 for k in order)
-    assert {x["rank"]: x.n for x in run("Q06_answer_rank_whole")} == ranks
-    assert abs(run("Q07_qa_accuracy_whole")[0].accuracy - ranks[1] / len(order)) < 1e-5
+    assert {x["rank"]: x.n for x in run("Q06_answer_rank")} == ranks
+    assert abs(run("Q07_qa_accuracy")[0].accuracy - ranks[1] / len(order)) < 1e-5
 
 
 # Texts
@@ -161,10 +161,10 @@ def test_similarities_of_whole_texts(spark, tmp_path):
         sub[key] = round(len(short) / len(other) if other and short in other else float(not other), 6)
         jac = min(0.99, len(set(a) & set(b)) / len(set(a) | set(b))) if a or b else 0
         chars[key] = round(jac if min(len(a), len(b)) >= 5 and jac > 0.5 else 0, 6)
-    assert run("M01_edit_distance_whole", "n") == n
-    assert run("M02_levenshtein_sim_whole", "v") == v
-    assert run("M03_substring_sim_whole", "v") == sub
-    assert run("M05_charset_sim_whole", "v") == chars
+    assert run("M01_edit_distance", "n") == n
+    assert run("M02_levenshtein_sim", "v") == v
+    assert run("M03_substring_sim", "v") == sub
+    assert run("M05_charset_sim", "v") == chars
 
 
 # Rules
@@ -181,9 +181,9 @@ def test_rules_over_all_tokens_and_whole_phrases(spark, tmp_path):
     run = lambda name: plans.queries()[name](spark, str(tmp_path)).collect()
     hits = lambda column, parity: {(100 * k, i // 2) for k, x in enumerate(given) for i, t in items if i % 2 == parity and set(words(x[column])) & set(words(t))}
     inside = lambda text, t: bool(words(t)) and any(words(text)[i : i + len(words(t))] == words(t) for i in range(len(words(text))))
-    assert {tuple(x) for x in run("R01_match_any_token_whole")} == hits(0, 0)
-    assert {(x.pair_id, x.rule_id) for x in run("R02_match_both_sides_whole")} == hits(0, 0) & hits(1, 1)
-    assert {(x.pair_id, x.rule_id) for x in run("R03_match_exact_phrase_whole")} == {(100 * k, i) for k, x in enumerate(given) for i, t in items if inside(x[1], t)}
+    assert {tuple(x) for x in run("R01_match_any_token")} == hits(0, 0)
+    assert {(x.pair_id, x.rule_id) for x in run("R02_match_both_sides")} == hits(0, 0) & hits(1, 1)
+    assert {(x.pair_id, x.rule_id) for x in run("R03_match_exact_phrase")} == {(100 * k, i) for k, x in enumerate(given) for i, t in items if inside(x[1], t)}
     # After "some" the first word doesn't count, so the whole phrase isn't in that text.
     left = lambda text: " ".join(w for i, w in enumerate(words(text)) if i == 0 or words(text)[i - 1] != "some")
     want = {(100 * k, i, j) for k, x in enumerate(given) for i, t in items for j, u in items if i != j and inside(left(x[0]), t) and inside(left(x[1]), u)}
