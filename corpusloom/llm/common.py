@@ -31,11 +31,14 @@ def _local_checkpoint_folder() -> str:
 def shared_folder(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``, which all executors share.
 
-    Only where that is unset (tests on one machine) a temporary folder stands in for it.
+    Where that is unset a temporary folder stands in for it on one machine (tests); elsewhere it is an error.
     """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or _local_checkpoint_folder())
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or _local_checkpoint_folder())
     return spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
 
 

@@ -252,7 +252,8 @@ def simhash_components(docs: DataFrame) -> DataFrame:
         edges = edges.join(nodes.select(F.col("print").alias(side), F.col("node").alias(f"{side}_node")), side)
     joined = components(edges.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")))
     named = joined.select("node.print", F.col("component.first_id").alias("component_id"), F.lit(True).alias("linked"))
-    of_print = distinct.join(named, "print", "left").select("print", F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("first_id")).alias("component_id"))
+    # Written first, so that Spark can split the rows of a fingerprint that many documents have.
+    of_print = cut(distinct.join(named, "print", "left").select("print", F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("first_id")).alias("component_id")))
     return prints.join(of_print, "print").select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
 
 
