@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from corpusloom.functions.text import word_ngrams
 from corpusloom.operators.loops import cut
 
 SENTINEL = "__EDGE__"
@@ -18,7 +17,10 @@ def lexicon(tokens: DataFrame) -> DataFrame:
 
 
 def ngram_counts(arrays: DataFrame, column: str, n: int) -> DataFrame:
-    return arrays.select(F.explode(word_ngrams(F.col(column), n)).alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
+    """gram, n of the arrays of tokens: an array is zipped with itself, shifted, so that grams are made and counted in compiled code."""
+    size = F.greatest(F.size(column) - (n - 1), F.lit(0))
+    grams = arrays.select(F.inline(F.arrays_zip(*(F.slice(column, F.lit(i), size) for i in range(1, n + 1))))).toDF(*(f"t{i}" for i in range(n)))
+    return grams.groupBy(F.concat_ws(" ", *grams.columns).alias("gram")).agg(F.count("*").alias("n"))
 
 
 def relation_label_counts(relations: DataFrame) -> DataFrame:
@@ -54,10 +56,14 @@ def most_frequent_tag(tagged: DataFrame) -> DataFrame:
     return counts.groupBy("word").agg(F.min(F.struct((-F.col("n")).alias("k"), "tag")).alias("m")).select("word", "m.tag")
 
 
-def idf(tokens: DataFrame) -> DataFrame:
-    """token, df, idf = ln(N / df) of ``tokens(doc_id, token)``."""
-    docs = tokens.agg(F.countDistinct("doc_id").alias("docs"))
-    df = tokens.groupBy("token").agg(F.countDistinct("doc_id").alias("df"))
+def idf(arrays: DataFrame, column: str) -> DataFrame:
+    """token, df, idf = ln(N / df) of arrays of tokens, a document a row; N counts documents with a token.
+
+    Repeats go within the row. Each document's first token counts it, so its text is read once.
+    """
+    each = arrays.select(F.posexplode(F.array_distinct(column)).alias("place", "token"))
+    df = cut(each.groupBy("token").agg(F.count("*").alias("df"), F.count_if(F.col("place") == 0).alias("firsts")))
+    docs = df.agg(F.sum("firsts").alias("docs"))
     return df.crossJoin(F.broadcast(docs)).select("token", "df", F.ln(F.col("docs") / F.col("df")).alias("idf"))  # one row
 
 

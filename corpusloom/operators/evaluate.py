@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from corpusloom.functions.logic import coin
+
 
 def _ratio(a: Column, b: Column) -> Column:
     """a / b; 0 where b is 0."""
@@ -232,7 +234,7 @@ def group_quantile_smoothing(groups: DataFrame, quantiles: list[float]) -> DataF
 
 def fold_column(identity: str, folds: int, seed: int = 0) -> Column:
     """A repeatable fold number for each id."""
-    return F.pmod(F.xxhash64(F.lit(seed), identity), F.lit(folds)).cast("int")
+    return (coin(seed, identity) % folds).cast("int")
 
 
 def joint_label_accuracy(rows: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:

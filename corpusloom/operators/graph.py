@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from corpusloom.functions.logic import coin
 from corpusloom.operators.loops import cut, semi_naive
 
 #: Parts of speech of a network by the letters that queries use.
@@ -108,8 +109,7 @@ def connected_components(pairs: DataFrame, max_rounds: int = 100) -> DataFrame:
 
 def split_random(vertices: DataFrame, edges: DataFrame, k: int, share: float = 0.2, seed: int = 0, max_rounds: int = 50) -> DataFrame:
     """(node, part): hashed seeds of k parts grow over edges; a node joins the part that reaches it first, the smaller of equals."""
-    coin = F.pmod(F.xxhash64(F.lit(seed), "node"), F.lit(1_000_000))
-    seeds = vertices.filter(coin < int(share * 1_000_000)).select("node", F.pmod(F.xxhash64(F.lit(seed + 1), "node"), F.lit(k)).cast("int").alias("part"))
+    seeds = vertices.filter(coin(seed, "node") % 1_000_000 < int(share * 1_000_000)).select("node", (coin(seed + 1, "node") % k).cast("int").alias("part"))
     both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
     grow = lambda delta, i: delta.join(both, delta["node"] == both["src"]).groupBy(F.col("dst").alias("node")).agg(F.min("part").alias("part"))
     return semi_naive(seeds, grow, ["node"], max_rounds)
@@ -120,14 +120,14 @@ def split_snowball(vertices: DataFrame, edges: DataFrame, k: int, size: int, p:
 
     A part stops growing once it has ``size`` nodes; the last round may pass it.
     """
-    start = vertices.select("node").orderBy(F.xxhash64(F.lit(seed), "node"), "node").limit(k)
-    seeds = start.withColumn("part", (F.row_number().over(W.orderBy(F.xxhash64(F.lit(seed), "node"), "node")) - 1).cast("int"))  # k rows
+    start = vertices.select("node").orderBy(coin(seed, "node"), "node").limit(k)
+    seeds = start.withColumn("part", (F.row_number().over(W.orderBy(coin(seed, "node"), "node")) - 1).cast("int"))  # k rows
     both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
     taken = followed = cut(seeds)
     for i in range(max_rounds):
         small = taken.groupBy("part").agg(F.count("*").alias("n")).filter(F.col("n") < size).select("part")
-        coin = F.pmod(F.xxhash64(F.lit(seed + i), "src", "dst"), F.lit(1_000_000)) < int(p * 1_000_000)
-        new = followed.join(F.broadcast(small), "part").join(both, F.col("node") == F.col("src")).filter(coin)  # k rows at most
+        follow = coin(seed + i, "src", "dst") % 1_000_000 < int(p * 1_000_000)
+        new = followed.join(F.broadcast(small), "part").join(both, F.col("node") == F.col("src")).filter(follow)  # k rows at most
         followed = cut(new.groupBy(F.col("dst").alias("node")).agg(F.min("part").alias("part")).join(taken, "node", "left_anti"))
         if followed.isEmpty():
             break

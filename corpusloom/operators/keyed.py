@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from corpusloom.functions.logic import coin
+
 
 def count_compare(rows: DataFrame, keys: list[str], condition: Column, n: int) -> DataFrame:
     """keys, order: -1, 0 or 1 as fewer, as many or more than n rows meet the condition."""
@@ -59,7 +61,7 @@ def take_sub(rows: DataFrame, key: str, order: str, values: str, n: int) -> Data
 
 def shuffled(rows: DataFrame, seed: int, *identity: str) -> DataFrame:
     """All rows with ``place``: a repeatable random number; sorted by it."""
-    return rows.withColumn("place", F.xxhash64(F.lit(seed), *identity)).orderBy("place", *identity)
+    return rows.withColumn("place", coin(seed, *identity)).orderBy("place", *identity)
 
 
 def split_runs(rows: DataFrame, key: str, order: str, delimiter: Column) -> DataFrame:

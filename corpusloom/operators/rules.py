@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from corpusloom.functions.logic import coin
 from corpusloom.functions.similarity import positive_cosine
 from corpusloom.functions.text import contains_phrase, polarity_signature
 
@@ -258,7 +261,7 @@ def greedy_align(candidates: DataFrame, least: float = 0.01) -> DataFrame:
 def paraphrase_augment(tokens: DataFrame, synonyms: DataFrame, vocabulary: DataFrame, seed: int = 0) -> DataFrame:
     """(id, text): each token replaced by a hashed choice of its synonyms in the vocabulary. tokens(id, place, token)."""
     usable = synonyms.join(vocabulary.select(F.col("word").alias("synonym")).distinct(), "synonym", "left_semi")
-    order = F.xxhash64(F.lit(seed), "id", "place", "synonym")
+    order = coin(seed, "id", "place", "synonym")
     chosen = tokens.join(usable.withColumnRenamed("word", "token"), "token").groupBy("id", "place").agg(F.max_by("synonym", F.struct(order, "synonym")).alias("synonym"))
     rows = tokens.join(chosen, ["id", "place"], "left").select("id", F.struct("place", F.coalesce("synonym", "token").alias("t")).alias("x"))
     return rows.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["t"]), " ").alias("text"))
@@ -272,25 +275,48 @@ def satisfies_constraints(rows: DataFrame, constraints: DataFrame) -> DataFrame:
     return rows.join(constraints, constraints.columns, "left_semi")
 
 
-def search_alignment(cliques: DataFrame, beam: int = 50) -> DataFrame:
-    """(qid, weight, choice): the best assignment of a question's entities to different text entities.
-
-    cliques(qid, entity, target, weight); best first over entities by name, partial assignments
-    kept to ``beam``; entities may stay unassigned. A question's cliques are one group.
+def _assign(gains: list[list[float]]) -> list[int]:
+    """For each row the column of a largest total gain, -1 for none: shortest augmenting paths, in rows^2 * columns steps."""
+    rows, columns = len(gains), len(gains[0])
+    cost = [[-max(0.0, g) for g in row] + [0.0] * rows for row in gains]  # a column of its own stands for none
+    owner, row_price, price = [-1] * (columns + rows), [0.0] * rows, [0.0] * (columns + rows)
+    for r in range(rows):
+        near, came, done = [math.inf] * len(owner), [-1] * len(owner), set()
+        at, row, last = 0.0, r, -1
+        while row >= 0:
+            for c in range(len(owner)):
+                if c not in done and (step := at + cost[row][c] - row_price[row] - price[c]) < near[c]:
+                    near[c], came[c] = step, last
+            last = min((c for c in range(len(owner)) if c not in done), key=lambda c: near[c])
+            done.add(last)
+            at, row = near[last], owner[last]
+        for c in done:
+            price[c] += near[c] - at
+            if owner[c] >= 0:
+                row_price[owner[c]] += at - near[c]
+        row_price[r] += at
+        while last >= 0:
+            before = came[last]
+            owner[last] = owner[before] if before >= 0 else r
+            last = before
+    found = {owner[c]: c for c in range(columns) if owner[c] >= 0 and gains[owner[c]][c] > 0}
+    return [found.get(r, -1) for r in range(rows)]
+
+
+def search_alignment(cliques: DataFrame) -> DataFrame:
+    """(qid, weight, choice): the assignment of a question's entities to different text entities with the largest weight.
+
+    cliques(qid, entity, target, weight), of repeated rows the largest weight; entities may stay
+    unassigned, and weights of zero, below it or null assign none. It is exact. A question's
+    entities are one group, bounded by a question's words.
     """
     import pandas as pd
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        states = [(0.0, ())]
-        for _, group in pdf.groupby("entity", sort=True):
-            options = sorted(zip(group["target"], group["weight"], group["entity"], strict=True))
-            grown = list(states)
-            for w, chosen in states:
-                used = {t for _, t in chosen}
-                grown += [(w + x, (*chosen, (e, t))) for t, x, e in options if t not in used]
-            states = sorted(grown, key=lambda s: (-s[0], s[1]))[:beam]
-        w, chosen = states[0]
-        return pd.DataFrame({"qid": [pdf["qid"].iloc[0]], "weight": [w], "choice": [",".join(f"{e}={t}" for e, t in chosen)]})
+        weights = pdf.pivot_table(index="entity", columns="target", values="weight", aggfunc="max", fill_value=0.0).sort_index().sort_index(axis=1)
+        chosen = _assign(weights.to_numpy().tolist()) if weights.size else []
+        total = sum(weights.iloc[r, c] for r, c in enumerate(chosen) if c >= 0)
+        return pd.DataFrame({"qid": [pdf["qid"].iloc[0]], "weight": [float(total)], "choice": [",".join(f"{weights.index[r]}={weights.columns[c]}" for r, c in enumerate(chosen) if c >= 0)]})
 
     rows = cliques.select("qid", F.col("entity").cast("string").alias("entity"), F.col("target").cast("string").alias("target"), F.col("weight").cast("double").alias("weight"))
     return rows.groupBy("qid").applyInPandas(search, f"qid {dict(rows.dtypes)['qid']}, weight double, choice string")

@@ -260,15 +260,14 @@ def set_comparison(a: DataFrame, b: DataFrame, similar: DataFrame, kind: str, nc
 
 
 def close_world(predicate: DataFrame, domain: DataFrame, arity: int, wildcards: DataFrame | None = None) -> DataFrame:
-    """Negative facts for each constant, or pair, of ``domain(entity)`` without one.
+    """Negative facts for each constant, or pair, of ``domain(problem, entity)`` without one.
 
-    ``wildcards(a1)`` are first arguments that stand for all: their pairs are not closed. The
-    domain of one reasoning problem is small; pairs are one problem's, never a corpus's.
+    ``predicate`` has the arguments and their problem. ``wildcards(a1)`` are first arguments that
+    stand for all: their pairs are not closed. Pairs are those of one reasoning problem.
     """
-    every = domain.select(F.col("entity").alias("a1")).distinct()
-    if arity == 2:
-        every = every.join(domain.select(F.col("entity").alias("a2")).distinct(), F.lit(True))
-    args = [f"a{i}" for i in range(1, arity + 1)]
+    named = lambda c: domain.select("problem", F.col("entity").alias(c)).distinct()
+    every = named("a1") if arity == 1 else named("a1").join(named("a2"), "problem")
+    args = ["problem", *(f"a{i}" for i in range(1, arity + 1))]
     missing = every.join(predicate.select(*args), args, "left_anti")
     if wildcards is not None:
         missing = missing.join(wildcards.select("a1"), "a1", "left_anti")

@@ -134,11 +134,13 @@ def pair_sums(weighted: DataFrame, left: DataFrame | None = None, blocking: Data
     a = rows if left is None else rows.join(left.select("obj"), "obj", "left_semi")
     a = a.select(*(F.col(c).alias(f"{c}1") if c != "attr" else F.col(c) for c in rows.columns))
     b = rows.select(*(F.col(c).alias(f"{c}2") if c != "attr" else F.col(c) for c in rows.columns))
-    pairs = a.join(b, "attr").filter("obj1 <> obj2")
-    if blocking is not None:
+    if blocking is None:
+        pairs = a.join(b, "attr").filter("obj1 <> obj2")
+    else:  # the allowed pairs first, so that a common attribute outside the blocking makes none
         keys = blocking.select("obj", "attr").distinct()
-        allowed = keys.select(F.col("obj").alias("obj1"), "attr").join(keys.select(F.col("obj").alias("obj2"), "attr"), "attr").filter("obj1 <> obj2").select("obj1", "obj2").distinct()
-        pairs = pairs.join(allowed, ["obj1", "obj2"], "left_semi")
+        firsts = keys if left is None else keys.join(left.select("obj"), "obj", "left_semi")
+        allowed = firsts.select(F.col("obj").alias("obj1"), "attr").join(keys.select(F.col("obj").alias("obj2"), "attr"), "attr").filter("obj1 <> obj2").select("obj1", "obj2").distinct()
+        pairs = allowed.join(a, "obj1").join(b, ["obj2", "attr"])
     x, y = F.col("w1"), F.col("w2")
     p, q = x / F.col("total1"), y / F.col("total2")
     mixed = (p + q) / 2

@@ -62,7 +62,7 @@ QUERIES = {
         _TK + " SELECT token AS word, lang AS tag FROM (SELECT token, lang, count(*) AS n FROM tokens GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY token ORDER BY n DESC, lang) = 1",
     ),
     "C08_idf": (
-        lambda s, d: C.idf(tokens(s, d)).select("token", "df", r6(F.col("idf")).alias("idf")),
+        lambda s, d: C.idf(table(s, d, "documents").select(letters(F.col("text")).alias("w")), "w").select("token", "df", r6(F.col("idf")).alias("idf")),
         _TK + ", n AS (SELECT count(DISTINCT doc_id) AS docs FROM tokens) SELECT token, count(DISTINCT doc_id) AS df, round(ln(any_value(docs)::DOUBLE / count(DISTINCT doc_id)), 6) + 0.0 AS idf FROM tokens, n GROUP BY 1",
     ),
     "C09_novel_terms": (
@@ -118,7 +118,7 @@ QUERIES = {
         lambda s, d: H.take_sub(numbered(s, d).select(F.floor(F.col("l_orderkey") / 10).alias("k"), "l_orderkey", "v"), "k", "l_orderkey", "v", 12).select("k", "l_orderkey", F.size("v").alias("n")),
         "WITH o AS (SELECT l_orderkey // 10 AS k, l_orderkey, count(*) AS n FROM lineitem GROUP BY 1, 2), b AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY k ORDER BY l_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM o) SELECT k, l_orderkey, least(12 - before, n)::INT AS n FROM b WHERE before < 12",
     ),
-    "H10_shuffled": (lambda s, d: H.shuffled(table(s, d, "nation").select("n_nationkey"), 3, "n_nationkey"), None),
+    "H10_shuffled": (lambda s, d: H.shuffled(orders(s, d).select("o_orderkey"), 3, "o_orderkey"), "SELECT o_orderkey, ('0x' || substr(md5('3:' || o_orderkey), 1, 8))::BIGINT AS place FROM orders"),
     "H11_split_runs": (
         lambda s, d: H.split_runs(items(s, d), "l_orderkey", "l_linenumber", F.col("l_returnflag") == "R").groupBy("l_orderkey", "run").agg(F.count("*").alias("n")),
         "WITH r AS (SELECT *, sum((l_returnflag = 'R')::INT) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS run FROM lineitem) SELECT l_orderkey, run::BIGINT AS run, count(*) AS n FROM r WHERE l_returnflag <> 'R' GROUP BY 1, 2",

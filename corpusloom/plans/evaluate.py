@@ -183,7 +183,7 @@ QUERIES = {
         lambda s, d: rnd(E.group_quantile_smoothing(_quant(s, d), [0.25, 0.5, 0.9])),
         "WITH g AS (SELECT l_suppkey, (l_suppkey % 13)::DOUBLE AS gold, unnest([0.25, 0.5, 0.9])::DOUBLE AS q, unnest(quantile_cont(l_quantity, [0.25, 0.5, 0.9])) AS v FROM lineitem GROUP BY l_suppkey) SELECT q, round(corr(v, gold), 6) + 0.0 AS r FROM g GROUP BY q",
     ),
-    "E23_folds": (lambda s, d: table(s, d, "orders").select(E.fold_column("o_orderkey", 10).alias("fold")).groupBy("fold").agg(F.count("*").alias("n")), None),
+    "E23_folds": (lambda s, d: table(s, d, "orders").select(E.fold_column("o_orderkey", 10).alias("fold")).groupBy("fold").agg(F.count("*").alias("n")), "SELECT (('0x' || substr(md5('0:' || o_orderkey), 1, 8))::BIGINT % 10)::INT AS fold, count(*) AS n FROM orders GROUP BY 1"),
     "E24_joint_label_accuracy": (
         lambda s, d: rnd(E.joint_label_accuracy(_clf(s, d), [("toxic", "p_toxic"), ("quality", "p_quality")])),
         "SELECT round(avg((toxic = regexp_matches(text, 'clown|moron')::INT AND quality = (length(text) > 300)::INT)::INT), 6) AS accuracy FROM documents JOIN labels USING (doc_id)",

@@ -252,7 +252,10 @@ QUERIES = {
         f"WITH {_EN} SELECT DISTINCT h.pair_id, h.var AS hyp_var, t.var AS text_var FROM en h JOIN en t ON h.pair_id = t.pair_id AND t.st = 'F' WHERE h.st = 'O' AND h.name <> 'male' AND (h.name = t.name OR (h.name = '@placeholder' AND EXISTS (SELECT 1 FROM ca WHERE ca.pair_id = t.pair_id AND ca.name = t.name)))",
     ),
     "R23_greedy_align": (lambda s, d: rnd(R.greedy_align(align_candidates(s, d))), None),
-    "R24_paraphrase_augment": (_augment, None),
+    "R24_paraphrase_augment": (
+        _augment,
+        "WITH t AS (SELECT p_partkey AS id, unnest(range(len(w))) AS place, unnest(w) AS token FROM (SELECT p_partkey, string_split(p_name, ' ') AS w FROM part)), v AS (SELECT DISTINCT token AS word FROM t), c AS (SELECT t.id, t.place, coalesce(y.word, t.token) AS x FROM t LEFT JOIN v y ON length(y.word) = length(t.token) AND y.word <> t.token QUALIFY row_number() OVER (PARTITION BY t.id, t.place ORDER BY ('0x' || substr(md5('0:' || t.id || ':' || t.place || ':' || y.word), 1, 8))::BIGINT DESC, y.word DESC) = 1) SELECT id, string_agg(x, ' ' ORDER BY place) AS text FROM c GROUP BY 1",
+    ),
     "R25_constraint_table": (lambda s, d: R.satisfies_constraints(ruled(s, d), R.constraint_table(ruled(s, d).filter("label = 1 and size > 45"), "lhs", "size")).groupBy("lhs", "size").agg(F.count("*").alias("n")), f"WITH {_RU} SELECT lhs, size, count(*) AS n FROM ru WHERE (lhs, size) IN (SELECT (lhs, size) FROM ru WHERE label = 1 AND size > 45) GROUP BY 1, 2"),
     "R26_search_alignment": (lambda s, d: rnd(R.search_alignment(cliques(s, d))), None),
     "R27_path_rules": (

@@ -101,6 +101,15 @@ def _trade(s, d):
     return x.groupBy(F.col("s_nationkey").alias("a1"), F.col("c_nationkey").alias("a2")).agg(F.least(F.lit(1.0), F.count("*") / 40.0).alias("truth"))
 
 
+_T = "t AS (SELECT s_nationkey AS a1, c_nationkey AS a2, least(1.0, count(*) / 40.0)::DOUBLE AS truth FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE l_quantity > 45 GROUP BY 1, 2)"
+
+
+def _regional(s, d):
+    """Trade with the region of its seller, a problem of its own."""
+    seller = table(s, d, "nation").select(F.col("n_nationkey").alias("a1"), F.col("n_regionkey").alias("problem"))
+    return _trade(s, d).filter("truth > 0.3").join(seller, "a1")
+
+
 def _inference(s, d):
     """One open atom for each nation: it wants parts as far as trade says, and most want little."""
     t = _trade(s, d).filter("a1 <> a2 and truth > 0.2")
@@ -149,6 +158,10 @@ cn AS (SELECT a AS N FROM (SELECT a2 AS a, truth FROM lives UNION ALL SELECT a1,
 SELECT S, X, N, round(coalesce(s.truth, 0), 6) AS truth1, round(coalesce(l.truth, 0), 6) AS truth2, round(coalesce(w.truth, 0), 6) AS truth3 FROM cs CROSS JOIN cx CROSS JOIN cn LEFT JOIN sells s ON s.a1 = S AND s.a2 = X LEFT JOIN lives l ON l.a1 = S AND l.a2 = N LEFT JOIN wants w ON w.a1 = N AND w.a2 = X""",
     ),
     "P08_anchor_outer": (lambda s, d: rnd(P.anchor_outer(preds(s, d), BODY)), f"WITH {_P} SELECT s.a1 AS S, s.a2 AS X, l.a2 AS N, round(s.truth, 6) AS truth1, round(l.truth, 6) AS truth2, round(w.truth, 6) AS truth3 FROM sells s LEFT JOIN lives l ON l.a1 = s.a1 LEFT JOIN wants w ON w.a1 = l.a2 AND w.a2 = s.a2"),
+    "P09_order_atoms": (
+        lambda s, d: rnd(P.ground_inner(preds(s, d), P.order_atoms([Atom("wants", ("N", "X")), Atom("sells", ("S", "X")), Atom("lives", ("S", Const(3)))]))),
+        f"WITH {_P} SELECT s.a1 AS S, s.a2 AS X, w.a1 AS N, round(l.truth, 6) AS truth1, round(s.truth, 6) AS truth2, round(w.truth, 6) AS truth3 FROM lives l JOIN sells s ON s.a1 = l.a1 JOIN wants w ON w.a2 = s.a2 WHERE l.a2 = 3",
+    ),
     "P10_null_count": (lambda s, d: P.null_count(P.anchor_outer(preds(s, d), BODY), 3), "SELECT 0 AS null_count"),
     "P11_bind_variables": (lambda s, d: rnd(P.bind_variables(grounded(s, d), {"N": 4})), f"{_G} SELECT S, X, N, {_G6} FROM g WHERE N = 4"),
     "P12_entity_domain": (lambda s, d: P.entity_domain({"lives": (preds(s, d)["lives"], [2]), "wants": (preds(s, d)["wants"], [1])}), f"WITH {_P} SELECT a2 AS entity FROM lives UNION SELECT a1 FROM wants"),
@@ -171,13 +184,29 @@ SELECT S, X, N, round(coalesce(s.truth, 0), 6) AS truth1, round(coalesce(l.truth
     "P25_evid_set_min": _set("evid_min", "least(1, t)"),
     "P26_enough_support": _set("equality", "coalesce(m / nullif(greatest(s1, s2), 0), 0)", factor=0.002),
     "P27_close_world": (
-        lambda s, d: P.close_world(_trade(s, d).filter("truth > 0.3"), table(s, d, "nation").select(F.col("n_nationkey").alias("entity")), 2, table(s, d, "region").select(F.col("r_regionkey").alias("a1"))),
-        "WITH t AS (SELECT s_nationkey AS a1, c_nationkey AS a2 FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE l_quantity > 45 GROUP BY 1, 2 HAVING least(1.0, count(*) / 40.0) > 0.3) SELECT x.n_nationkey AS a1, y.n_nationkey AS a2, 0.0::DOUBLE AS truth FROM nation x, nation y WHERE x.n_nationkey > 4 AND NOT EXISTS (SELECT 1 FROM t WHERE t.a1 = x.n_nationkey AND t.a2 = y.n_nationkey)",
+        lambda s, d: P.close_world(_regional(s, d), table(s, d, "nation").select(F.col("n_regionkey").alias("problem"), F.col("n_nationkey").alias("entity")), 2, table(s, d, "region").select(F.col("r_regionkey").alias("a1"))),
+        f"WITH {_T} SELECT x.n_regionkey AS problem, x.n_nationkey AS a1, y.n_nationkey AS a2, 0.0::DOUBLE AS truth FROM nation x JOIN nation y USING (n_regionkey) WHERE x.n_nationkey > 4 AND NOT EXISTS (SELECT 1 FROM t WHERE truth > 0.3 AND t.a1 = x.n_nationkey AND t.a2 = y.n_nationkey)",
+    ),
+    "P28_propagate_constants": (
+        lambda s, d: P.propagate_constants(*_constants(s, d)),
+        # Nation k takes what k - 1 and k - 2 share, so one walk over the nations closes the sets.
+        f"""WITH RECURSIVE own AS (SELECT n_nationkey AS k, coalesce(c, []) AS c FROM nation LEFT JOIN (SELECT s_nationkey, list(DISTINCT p_brand) AS c FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey WHERE l_extendedprice > 94000 GROUP BY 1) ON s_nationkey = n_nationkey),
+walk AS (SELECT y.k, x.c AS before, y.c AS now FROM own x JOIN own y ON x.k = 0 AND y.k = 1 UNION ALL SELECT own.k, now, list_distinct(list_concat(own.c, list_intersect(before, now))) FROM walk JOIN own ON own.k = walk.k + 1)
+SELECT k AS pred, unnest(now) AS const FROM walk UNION ALL SELECT k, unnest(c) FROM own WHERE k = 0""",
+    ),
+    "P29_activate_to_fixpoint": (
+        lambda s, d: rnd(_activate(s, d)),
+        # A step halves at least, so no atom is active after the fifth round.
+        f"WITH {_T}, r0 AS (SELECT a1, a2, truth FROM t WHERE a1 = 0 AND truth >= 0.05), "
+        + ", ".join(f"n{i} AS (SELECT {'q' if i > 1 else 'r0'}.a1, t.a2, max({'q' if i > 1 else 'r0'}.truth * t.truth * 0.5) AS truth FROM {f'n{i - 1} q' if i > 1 else 'r0'} JOIN t ON t.a1 = {'q' if i > 1 else 'r0'}.a2 GROUP BY 1, 2 HAVING max({'q' if i > 1 else 'r0'}.truth * t.truth * 0.5) >= 0.05 AND t.a2 NOT IN (SELECT a2 FROM r{i - 1})), r{i} AS (SELECT * FROM r{i - 1} UNION ALL SELECT * FROM n{i})" for i in range(1, 6))
+        + " SELECT a1, a2, round(truth, 6) AS truth FROM r5",
     ),
-    "P28_propagate_constants": (lambda s, d: P.propagate_constants(*_constants(s, d)), None),
-    "P29_activate_to_fixpoint": (lambda s, d: rnd(_activate(s, d)), None),
     "P30_map_inference": (lambda s, d: rnd(_inference(s, d)), None),
-    "P31_learn_weights": (lambda s, d: rnd(_weights(s, d)), None),
+    "P31_learn_weights": (
+        lambda s, d: rnd(_weights(s, d)),
+        _DS
+        + ", d0 AS (SELECT rule, round(sum(distance), 9) AS x, 0.5::DOUBLE AS w0 FROM ds GROUP BY 1), d1 AS (SELECT *, least(100, greatest(0, w0 + 0.01 * (x / (1 + w0) - x / 2))) AS w1 FROM d0), d2 AS (SELECT *, least(100, greatest(0, w1 + 0.01 * (x / (1 + w1) - x / 2))) AS w2 FROM d1), d3 AS (SELECT *, least(100, greatest(0, w2 + 0.01 * (x / (1 + w2) - x / 2))) AS w3 FROM d2) SELECT rule, round((w1 + w2 + w3) / 3, 6) + 0.0 AS weight FROM d3",
+    ),
     "P32_entailment_answer": (
         lambda s, d: P.entailment_answer(table(s, d, "part").select(F.col("p_name").alias("name"), F.col("p_partkey").alias("id")), table(s, d, "lineitem").filter("l_tax > 0.05").select(F.col("l_partkey").alias("id"), F.col("l_discount").alias("truth"))),
         "SELECT p_name AS name, max(coalesce(l_discount, 0)) AS truth FROM part LEFT JOIN lineitem ON l_partkey = p_partkey AND l_tax > 0.05 GROUP BY 1",

@@ -47,7 +47,7 @@ def _questions(s, d):
 
 
 QUERIES = {
-    "S01_read_pairs": (lambda s, d: line(s, d, "o_orderkey", "o_orderstatus", "o_orderpriority", t="orders").select(F.from_csv("value", F.lit("pair_id long, text string, hyp string"), {"sep": "\t", "quote": ""}).alias("x")).select("x.*"), "SELECT o_orderkey AS pair_id, o_orderstatus AS text, o_orderpriority AS hyp FROM orders"),
+    "S01_read_pairs": (lambda s, d: S.parse_pairs(line(s, d, "o_orderkey", "o_orderstatus", "o_orderpriority", t="orders")), "SELECT o_orderkey AS pair_id, o_orderstatus AS text, o_orderpriority AS hyp FROM orders"),
     "S02_attach_gold": (lambda s, d: S.attach_gold(orders(s, d), orders(s, d).select("pair_id", (F.col("o_totalprice") > 1e5).alias("gold"))), "SELECT o_orderkey AS pair_id, o_orderstatus, o_totalprice, o_totalprice > 1e5 AS gold FROM orders"),
     "S03_map_labels": (lambda s, d: orders(s, d).select("pair_id", S.map_labels(F.col("o_orderstatus"), {"F": "CONTRADICTION", "O": "ENTAILMENT", "P": "NEUTRAL"}).alias("label")), "SELECT o_orderkey AS pair_id, CASE o_orderstatus WHEN 'F' THEN 'CONTRADICTION' WHEN 'O' THEN 'ENTAILMENT' ELSE 'NEUTRAL' END AS label FROM orders"),
     "S04_dense_vectors": (_vec("dense"), "SELECT p_name AS word, '0' AS dim, p_size::DOUBLE AS w FROM part UNION ALL SELECT p_name, '1', p_partkey::DOUBLE FROM part"),
@@ -58,7 +58,10 @@ QUERIES = {
         lambda s, d: (x := line(s, d, "p_name", "p_brand", "p_size", t="part")).select(F.lit(S.detect_vector_format(x.first()["value"])).alias("format")).distinct(),
         "SELECT DISTINCT 'sparse' AS format FROM part",
     ),
-    "S11_read_named_rules": (lambda s, d: table(s, d, "part").select("p_partkey", F.col("p_size").cast("string").try_cast("double").alias("w"), F.col("p_brand").try_cast("double").alias("gsw")), "SELECT p_partkey, p_size::DOUBLE AS w, NULL::DOUBLE AS gsw FROM part"),
+    "S11_read_named_rules": (
+        lambda s, d: S.parse_named_rules(line(s, d, "p_partkey", "p_size", "p_brand", t="part").unionByName(table(s, d, "part").select(F.lit("p_partkey\tw\tgsw").alias("value")).distinct()), "p_partkey\tw\tgsw", ["p_partkey", "w", "gsw"]),
+        "SELECT p_partkey::DOUBLE AS p_partkey, p_size::DOUBLE AS w, NULL::DOUBLE AS gsw FROM part",
+    ),
     "S12_parse_delimited": (
         lambda s, d: S.int_column(S.parse_delimited(table(s, d, "part").select(F.when(F.col("p_size") % 5 == 0, F.concat(F.lit("// "), "p_name")).when(F.col("p_size") % 5 == 1, F.col("p_name")).otherwise(F.concat_ws(";", "p_name", "p_partkey")).alias("value")), ";", 2)[0], 1),
         "SELECT p_partkey::INT AS value FROM part WHERE p_size % 5 > 1",
@@ -113,6 +116,10 @@ QUERIES = {
     "S28_select_range": (lambda s, d: S.select_range(orders(s, d), "pair_id", "4-6,9,100-").select("pair_id"), "SELECT o_orderkey AS pair_id FROM orders WHERE o_orderkey BETWEEN 4 AND 6 OR o_orderkey = 9 OR o_orderkey >= 100"),
     "S29_batch_range": (lambda s, d: S.batch_range(orders(s, d).select("pair_id"), "pair_id", 40), "SELECT o_orderkey AS pair_id, (floor((o_orderkey - 1) / 40.0) + 1)::BIGINT AS batch FROM orders"),
     "S30_filter_pairs_by_id": (lambda s, d: S.filter_pairs_by_id(orders(s, d), [3, 5, 8]), "SELECT o_orderkey AS pair_id, o_orderstatus, o_totalprice FROM orders WHERE o_orderkey IN (3, 5, 8)"),
+    "K01_write_scores": (
+        lambda s, d: K.scores(table(s, d, "orders").select(F.col("o_orderkey").alias("pair_id"), F.col("o_totalprice").alias("prediction")), table(s, d, "orders").select(F.col("o_orderkey").alias("pair_id"), F.col("o_orderstatus").alias("gold"))),
+        "SELECT o_orderkey AS pair_id, o_totalprice AS prediction, o_orderstatus AS gold FROM orders",
+    ),
     "K02_arff_lines": (
         lambda s, d: K.arff_lines(table(s, d, "nation"), "nations", ["n_nationkey"], "n_regionkey").select("line"),
         "SELECT n_nationkey || ',' || n_regionkey AS line FROM nation UNION ALL SELECT unnest(['@RELATION nations', '@ATTRIBUTE n_nationkey NUMERIC', '@ATTRIBUTE n_regionkey NUMERIC', '@DATA'])",

@@ -75,7 +75,7 @@ _RS = "rs AS (SELECT c_nationkey AS lhs, c_custkey AS rhs, round(c_acctbal / 100
 
 
 def idf(s, d):
-    return C.idf(table(s, d, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("doc_id"), F.explode(letters(F.col("text"))).alias("token")))
+    return C.idf(table(s, d, "conversations").select(letters(F.col("text")).alias("w")), "w")
 
 
 _IDF = f", it AS (SELECT conv_id * 100 + turn AS d, unnest({_W.format('text')}) AS token FROM conversations), idf AS (SELECT token, ln((SELECT count(DISTINCT d) FROM it)::DOUBLE / count(DISTINCT d)) AS idf FROM it GROUP BY 1)"

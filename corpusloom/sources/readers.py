@@ -12,8 +12,16 @@ def read_tsv(spark: SparkSession, path: str, schema: str, header: bool = False,
 
 
 def read_pairs(spark: SparkSession, path: str) -> DataFrame:
-    """pair_id, text, hyp from tab-separated lines with the id in front."""
-    return read_tsv(spark, path, "pair_id long, text string, hyp string")
+    return parse_pairs(spark.read.text(path))
+
+
+def parse_pairs(lines: DataFrame) -> DataFrame:
+    """pair_id, text, hyp of tab-separated ``lines(value)`` with the id in front; an id that is no number is null."""
+    return _fields(lines, "pair_id long, text string, hyp string")
+
+
+def _fields(lines: DataFrame, schema: str) -> DataFrame:
+    return lines.filter(F.trim("value") != "").select(F.from_csv("value", F.lit(schema), {"sep": "\t", "quote": ""}).alias("x")).select("x.*")
 
 
 def attach_gold(pairs: DataFrame, gold: DataFrame, key: str = "pair_id") -> DataFrame:
@@ -76,7 +84,14 @@ def read_rules(spark: SparkSession, path: str) -> DataFrame:
 
 def read_named_rules(spark: SparkSession, path: str, numbers: list[str]) -> DataFrame:
     """Rules with a header line; the named columns become doubles, null where they aren't numbers."""
-    raw = spark.read.csv(path, sep="\t", header=True, quote="")
+    lines = spark.read.text(path)
+    header = lines.filter(F.trim("value") != "").first()
+    return parse_named_rules(lines, header["value"], numbers)
+
+
+def parse_named_rules(lines: DataFrame, header: str, numbers: list[str]) -> DataFrame:
+    """Columns named by the ``header`` line, which is itself left out, of tab-separated ``lines(value)``."""
+    raw = _fields(lines.filter(F.col("value") != header), ", ".join(f"`{c}` string" for c in header.split("\t")))
     return raw.withColumns({c: F.col(c).try_cast("double") for c in numbers})
 
 

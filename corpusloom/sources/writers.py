@@ -7,8 +7,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+def scores(predictions: DataFrame, gold: DataFrame, key: str = "pair_id") -> DataFrame:
+    """Predictions beside their gold values; a pair that one side lacks has none."""
+    return predictions.join(gold, key)
+
+
 def write_scores(predictions: DataFrame, gold: DataFrame, path: str, key: str = "pair_id") -> None:
-    predictions.join(gold, key).write.mode("overwrite").parquet(path)
+    scores(predictions, gold, key).write.mode("overwrite").parquet(path)
 
 
 def arff_lines(rows: DataFrame, relation: str, numeric: list[str], label: str, classes: list[str] | None = None) -> DataFrame:

@@ -183,6 +183,65 @@ def test_alignments(spark):
     assert best.choice == "a=y,b=x" and best.weight == pytest.approx(1.65)
 
 
+def test_search_alignment_is_exact(spark):
+    r = random.Random(5)
+    rows = [(q, f"e{e}", f"t{x}", float(r.randint(-2, 9))) for q in range(40) for e in range(r.randint(1, 4)) for x in range(5) if r.random() < 0.7]
+    # Many entities that want the same few targets: a search that keeps only some states would lose here.
+    rows += [(99, f"e{e:02}", f"t{x}", 1.0 + (x == e % 7)) for e in range(60) for x in range(7)]
+    got = {x.qid: x for x in rules.search_alignment(spark.createDataFrame(rows, "qid long, entity string, target string, weight double")).collect()}
+    assert got.pop(99).weight == 14.0
+    for q, x in got.items():
+        weight = {(e, t): w for p, e, t, w in rows if p == q}
+        names, targets = sorted({e for e, _ in weight}), sorted({t for _, t in weight})
+        best = max(sum(max(0.0, weight.get((e, t), 0.0)) for e, t in zip(names, order, strict=False)) for order in itertools.permutations([*targets, *[None] * len(names)], len(names)))
+        chosen = [tuple(c.split("=")) for c in x.choice.split(",") if c]
+        assert len({t for _, t in chosen}) == len({e for e, _ in chosen}) == len(chosen)
+        assert x.weight == best == sum(weight[c] for c in chosen)
+
+
+def test_search_alignment_of_nulls_and_nothing(spark):
+    schema = "qid long, entity string, target string, weight double"
+    assert rules.search_alignment(spark.createDataFrame([], schema)).count() == 0
+    got = rules.search_alignment(spark.createDataFrame([(1, "a", "x", None), (2, None, "x", 1.0), (3, "a", "x", 0.5), (3, "a", "x", 0.7)], schema))
+    assert {(x.qid, x.weight, x.choice) for x in got.collect()} == {(1, 0.0, ""), (2, 0.0, ""), (3, 0.7, "a=x")}
+
+
+def test_close_world_keeps_to_a_problem(spark):
+    domain = spark.createDataFrame([(1, "a"), (1, "b"), (2, "a"), (2, "a")], "problem long, entity string")
+    facts = spark.createDataFrame([(1, "a", "b", 0.9)], "problem long, a1 string, a2 string, truth double")
+    got = softlogic.close_world(facts, domain, 2, spark.createDataFrame([("b",)], "a1 string"))
+    assert sorted((x.problem, x.a1, x.a2) for x in got.collect()) == [(1, "a", "a"), (2, "a", "a")]
+
+
+def test_blocked_pairs_are_those_that_share_a_blocked_attribute(spark):
+    r = random.Random(2)
+    rows = [(f"o{o}", f"a{a}", float(r.randint(1, 9))) for o in range(8) for a in range(6) if r.random() < 0.6]
+    w = spark.createDataFrame(rows, "obj string, attr string, w double")
+    block = w.filter("attr in ('a0', 'a1')").filter("obj <> 'o3'")
+    keys = {(o, a) for o, a, _ in rows if a in ("a0", "a1") and o != "o3"}
+    want = {(o, p) for o, a in keys for p, b in keys if a == b and o != p}
+    for left in (None, spark.createDataFrame([("o1",), ("o2",)], "obj string")):
+        every = {(x.obj1, x.obj2): x for x in thesaurus.pair_sums(w, left).collect()}
+        got = {(x.obj1, x.obj2): x for x in thesaurus.pair_sums(w, left, block).collect()}
+        assert got.keys() == {x for x in want if x in every}
+        assert all(x.dot == pytest.approx(every[k].dot) and x.shared == every[k].shared for k, x in got.items())
+
+
+def test_ngrams_and_idf_of_nulls_and_short_arrays(spark):
+    docs = spark.createDataFrame([(["a", "b", "a", "b"],), (["a"],), ([],), (None,)], "w array<string>")
+    assert {(x.gram, x.n) for x in corpus.ngram_counts(docs, "w", 2).collect()} == {("a b", 2), ("b a", 1)}
+    assert {(x.gram, x.n) for x in corpus.ngram_counts(docs, "w", 1).collect()} == {("a", 3), ("b", 2)}
+    assert {(x.token, x.df, round(x.idf, 6)) for x in corpus.idf(docs, "w").collect()} == {("a", 2, 0.0), ("b", 1, 0.693147)}
+
+
+def test_named_rules_and_pairs_of_lines(spark, tmp_path):
+    (tmp_path / "rules.tsv").write_text("lhs\trhs\tw\na\tb\t0.5\nc\td\tnone\n")
+    got = readers.read_named_rules(spark, str(tmp_path / "rules.tsv"), ["w"])
+    assert {tuple(x) for x in got.collect()} == {("a", "b", 0.5), ("c", "d", None)} and got.columns == ["lhs", "rhs", "w"]
+    (tmp_path / "pairs.tsv").write_text('1\tA "man" sits.\tA man\n\nx\tb\tc\n')
+    assert {tuple(x) for x in readers.read_pairs(spark, str(tmp_path / "pairs.tsv")).collect()} == {(1, 'A "man" sits.', "A man"), (None, "b", "c")}
+
+
 def test_evaluation_quirks(spark):
     base = spark.createDataFrame([(1, 1.0), (2, 0.0)], "k long, value double")
     got = spark.createDataFrame([(2, 1.0)], "k long, value double")
