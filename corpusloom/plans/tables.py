@@ -136,7 +136,7 @@ QUERIES = {
     ),
     "K07_thesaurus_entries": (
         lambda s, d: THESAURUS["T27_neighbours"][0](s, d).transform(lambda n: K.thesaurus_entries(n, T.describe(relations(s, d), "obj").select("obj", "freq"))).select("obj", "freq", F.array_join(F.transform("entries", lambda e: e["neighbour"]), ",").alias("entries")),
-        None,
+        f"SELECT obj1 AS obj, any_value(freq) AS freq, string_agg(obj2, ',' ORDER BY place) AS entries FROM ({THESAURUS['T27_neighbours'][1]}) JOIN ({THESAURUS['T34_describe_object'][1]}) ON obj = obj1 GROUP BY 1",
     ),
     "K08_experiment_report": (lambda s, d: K.experiment_report(table(s, d, "region"), "run").drop("at"), "SELECT r_regionkey, r_name, 'run' AS experiment FROM region"),
     "K09_graphviz": (
