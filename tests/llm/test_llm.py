@@ -823,6 +823,14 @@ def test_fingerprints(spark, real, awkward):
     assert fingerprint.edited_pairs(real.limit(0)).count() == 0
 
 
+def test_queries_of_empty_tables(spark, sf_dir, tmp_path):
+    for name in ("documents", "pages", "benchmark", "labels", "conversations"):
+        spark.read.parquet(f"{sf_dir}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
+    for name, query in {**registry.queries(), "pipeline": corpus_pipeline.run}.items():
+        got = query(spark, str(tmp_path))
+        assert got.count() == (name == "op5_chat_format"), name  # its added conversation
+
+
 def test_native_operators_run_no_python(spark, sf_dir):
     for name in ("op5_chat_format", "op10_fingerprint"):
         plan = registry.queries()[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
