@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import chat_format, decontaminate, fingerprint, html_extract, lang_id, secret_scan, sentencepiece_bpe, simhash, substring_dedup, toxicity
+from corpusloom.llm import chat_format, decontaminate, fingerprint, hard_negatives, html_extract, lang_id, quality_rules, secret_scan, sentencepiece_bpe, simhash, substring_dedup, toxicity, vector_codes
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,8 +21,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_substring_dedup": substring_dedup.query,
         "op9_toxicity": toxicity.query,
         "op10_fingerprint": fingerprint.query,
+        "op11_vector_codes": vector_codes.query,
+        "op12_hard_negatives": hard_negatives.query,
+        "op13_quality_rules": quality_rules.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_chat_format": chat_format.SQL}
+    return {"op5_chat_format": chat_format.SQL, "op11_vector_codes": vector_codes.SQL, "op12_hard_negatives": hard_negatives.SQL}
