@@ -123,18 +123,20 @@ def _entropy(x: Column) -> Column:
     return F.when(x > 0, x * _log2(x)).otherwise(0.0)
 
 
-def pair_sums(weighted: DataFrame, left: DataFrame | None = None, blocking: DataFrame | None = None) -> DataFrame:
+def pair_sums(weighted: DataFrame, left: DataFrame | None = None, blocking: DataFrame | None = None, allowed: DataFrame | None = None) -> DataFrame:
     """For each ordered pair of objects with a shared attribute the sums that the measures use.
 
     ``left(obj)`` restricts the first objects; ``blocking(obj, attr)`` lets only pairs through
-    that share one of its attributes (see canonical_attributes).
+    that share one of its attributes (see canonical_attributes), ``allowed(obj1, obj2)`` only its own.
     """
     norms = object_norms(weighted)
     rows = weighted.select("obj", "attr", "w").join(norms, "obj")
     a = rows if left is None else rows.join(left.select("obj"), "obj", "left_semi")
     a = a.select(*(F.col(c).alias(f"{c}1") if c != "attr" else F.col(c) for c in rows.columns))
     b = rows.select(*(F.col(c).alias(f"{c}2") if c != "attr" else F.col(c) for c in rows.columns))
-    if blocking is None:
+    if allowed is not None:
+        pairs = allowed.select("obj1", "obj2").join(a, "obj1").join(b, ["obj2", "attr"])
+    elif blocking is None:
         pairs = a.join(b, "attr").filter("obj1 <> obj2")
     else:  # the allowed pairs first, so that a common attribute outside the blocking makes none
         keys = blocking.select("obj", "attr").distinct()

@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("text", "thesaurus", "corpus", "evaluate", "vectors", "graph", "softlogic", "rules", "qa", "features", "tables")
+MODULES = ("text", "thesaurus", "nearest", "corpus", "evaluate", "vectors", "graph", "softlogic", "rules", "qa", "features", "tables")
 
 
 def _all() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]:
