@@ -6,7 +6,8 @@ import functools
 import tempfile
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 
 @functools.lru_cache(maxsize=1)
@@ -37,3 +38,12 @@ def semi_naive(start: DataFrame, step: Callable[[DataFrame, int], DataFrame], ke
             return total
         total = total.unionByName(delta)
     raise RuntimeError(f"no fixpoint in {max_rounds} rounds")
+
+
+def dealt(rows: DataFrame, key: str, own_parts: Column, other_parts: Column, own: str, other: str) -> DataFrame:
+    """``rows`` of one side of a join, where each part of it meets each part of the other side.
+
+    A row is in one of ``own_parts`` by its key, and there once for each of ``other_parts``; joined on both part columns as
+    well, rows of a hot key meet in as many tasks as there are pairs of parts, each pair of rows once.
+    """
+    return rows.withColumn(own, F.pmod(F.xxhash64(key), own_parts).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), other_parts.cast("int") - 1)))

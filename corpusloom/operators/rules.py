@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions.logic import coin
 from corpusloom.functions.similarity import positive_cosine
 from corpusloom.functions.text import contains_phrase, polarity_signature
+from corpusloom.operators.retrieval import phrase_places, token_pairs
 
 
 def polarity_lookup(words: DataFrame, lexicon: DataFrame) -> DataFrame:
@@ -30,7 +31,7 @@ def match_any_token(queries: DataFrame, rules: DataFrame, cap: int | None = None
 
     ``cap`` keeps a query's first rules by id, where a report wants no more.
     """
-    hits = queries.select("pair_id", "token").distinct().join(rules.select("rule_id", "token").distinct(), "token").select("pair_id", "rule_id").distinct()
+    hits = token_pairs(queries, rules)
     if cap is None:
         return hits
     return hits.withColumn("place", F.row_number().over(W.partitionBy("pair_id").orderBy("rule_id"))).filter(F.col("place") <= cap).drop("place")
@@ -42,20 +43,9 @@ def match_both_sides(texts: DataFrame, hyps: DataFrame, lhs: DataFrame, rhs: Dat
 
 
 def match_exact_phrase(texts: DataFrame, phrases: DataFrame, longest: int | None = 5) -> DataFrame:
-    """(pair_id, rule_id) where the phrase ``(rule_id, tokens)`` is a run of ``texts(pair_id, tokens)``.
-
-    Phrases and runs meet by an equi-join on the run's text, for each length up to ``longest``; without
-    it phrases of any length meet by their first two tokens, and the whole is looked for where these are.
-    """
-    n = F.size("tokens")
-    if longest is None:
-        line = F.concat(F.lit(" "), F.array_join("tokens", " "), F.lit(" "))
-        heads = match_exact_phrase(texts, phrases.withColumn("tokens", F.slice("tokens", 1, 2)), 2)
-        held = heads.join(texts.select("pair_id", line.alias("text")), "pair_id").join(phrases.select("rule_id", line.alias("phrase")), "rule_id")
-        return held.filter(F.contains("text", "phrase")).select("pair_id", "rule_id").distinct()
-    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), n)), lambda k: F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.array_join(F.slice("tokens", i, k), " "))))
-    keys = texts.filter(n > 0).select("pair_id", F.explode(F.array_distinct(runs)).alias("run"))
-    return keys.join(phrases.filter(n.between(1, longest)).select("rule_id", F.array_join("tokens", " ").alias("run")), "run").select("pair_id", "rule_id").distinct()
+    """(pair_id, rule_id) where the phrase ``(rule_id, tokens)`` is a run of ``texts(pair_id, tokens)``, of ``longest`` tokens at most."""
+    wanted = phrases if longest is None else phrases.filter(F.size("tokens") <= longest)
+    return phrase_places(texts, wanted).select("pair_id", "rule_id").distinct()
 
 
 def filter_rules_contained(candidates: DataFrame) -> DataFrame:
@@ -84,10 +74,16 @@ def score_distributional(rules: DataFrame, mode: str = "weight") -> DataFrame:
 def phrase_pair_scores(texts: DataFrame, hyps: DataFrame, phrases: DataFrame, longest: int | None = 3) -> DataFrame:
     """(pair_id, lhs_id, rhs_id, score): positive cosine of phrases found in the text and in the hypothesis.
 
-    phrases(rule_id, tokens, vec). A phrase right after "some" doesn't count.
+    phrases(rule_id, tokens, vec); an id may have several phrases, and has one vector. A phrase right after "some" doesn't
+    count.
     """
-    some = lambda t: t.withColumn("tokens", F.filter("tokens", lambda x, i: (i == 0) | (F.get("tokens", i - 1) != "some")))
-    found = lambda t, name: match_exact_phrase(some(t), phrases, longest).join(phrases.select("rule_id", "vec"), "rule_id").select("pair_id", F.col("rule_id").alias(f"{name}_id"), F.col("vec").alias(f"{name}_vec"))
+    wanted = phrases if longest is None else phrases.filter(F.size("tokens") <= longest)
+    vectors = phrases.groupBy("rule_id").agg(F.min("vec").alias("vec"))
+
+    def found(rows: DataFrame, name: str) -> DataFrame:
+        ids = phrase_places(rows, wanted, not_after="some").select("pair_id", "rule_id").distinct()
+        return ids.join(vectors, "rule_id").select("pair_id", F.col("rule_id").alias(f"{name}_id"), F.col("vec").alias(f"{name}_vec"))
+
     both = found(texts, "lhs").join(found(hyps, "rhs"), "pair_id").filter("lhs_id <> rhs_id")
     return both.select("pair_id", "lhs_id", "rhs_id", positive_cosine(F.col("lhs_vec"), F.col("rhs_vec")).alias("score"))
 

@@ -7,6 +7,7 @@ string is a variable and ``Const(x)`` a constant.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -292,31 +293,71 @@ def activate_to_fixpoint(start: DataFrame, step: Callable[[DataFrame, int], Data
     return semi_naive(start.filter(F.col("truth") >= threshold), lambda delta, i: step(delta, i).filter(F.col("truth") >= threshold), ["a1", "a2"], max_rounds)
 
 
-def map_inference(terms: DataFrame, rules: DataFrame, rounds: int = 50, rho: float = 1.0, tolerance: float = 1e-4) -> DataFrame:
-    """(atom, truth): most probable truths of hinge losses, by consensus ADMM (Bach et al. 2012).
+def map_inference(terms: DataFrame, rules: DataFrame, rounds: int = 1000, tolerance: float = 1e-3, every: int = 10) -> DataFrame:
+    """(atom, truth, cost, bound): most probable truths in [0, 1] under hinge losses, with the proof that they are.
 
     terms(rule, atom, coefficient) and rules(rule, weight, constant): rule r costs
-    weight * max(0, constant + sum(coefficient * truth)). Each rule keeps copies of its atoms;
-    a round moves them in closed form, and an atom's truth is the mean over its copies, in [0, 1].
+    weight * max(0, constant + sum(coefficient * truth)), with weights of 0 or more; each rule once. A rule has a
+    multiplier between 0 and its weight, and any multipliers bound the least cost from below: sum(multiplier * constant)
+    plus, for each atom, the lesser of 0 and sum(multiplier * coefficient). Primal-dual steps (Chambolle and Pock 2011,
+    with a step size for each rule and atom) move multipliers up and truths down their slopes. Every few rounds the means
+    since the last restart are compared with the newest; once the gap of the better ones has halved, or after long,
+    the search goes on from those, and the step sizes are balanced by how far both have moved (restarts as of
+    Applegate et al. 2021). It ends once ``cost`` is within ``tolerance`` * max(1, cost) of ``bound``; if it doesn't in
+    ``rounds``, that is an error. Equal (rule, atom) are added up; a rule without terms costs its constant; terms without
+    a rule and rows with a null are left out. Without terms the result is empty. Sums by rule and by atom are combined
+    before they are shuffled, so that an atom in most rules is no one task's.
     """
-    square = terms.groupBy("rule").agg(F.sum(F.col("coefficient") * F.col("coefficient")).alias("sq"))
-    base = cut(terms.join(square, "rule").join(rules, "rule"))
-    state = cut(base.select("*", F.lit(0.5).alias("z"), F.lit(0.0).alias("u")))
-    for i in range(rounds):
-        v = F.col("z") - F.col("u")
-        value = F.sum(F.col("coefficient") * v).over(W.partitionBy("rule")) + F.col("constant")
-        # Outside the hinge nothing moves; past it a full step; else a projection onto its edge.
-        full = F.col("weight") / rho
-        step = F.when(value <= 0, 0.0).otherwise(F.least(full, value / F.col("sq")))
-        local = state.withColumn("v", v).withColumn("x", F.col("v") - step * F.col("coefficient"))
-        mean = local.groupBy("atom").agg(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.avg(F.col("x") + F.col("u")))).alias("new"))
-        state = local.join(mean, "atom").select("rule", "atom", "coefficient", "sq", "weight", "constant", F.col("z").alias("before"), F.col("new").alias("z"), (F.col("u") + F.col("x") - F.col("new")).alias("u"), F.abs(F.col("x") - F.col("new")).alias("gap"))
-        if i % 5 == 4:
-            state = cut(state)
-            if state.agg(F.max(F.greatest("gap", F.abs(F.col("z") - F.col("before"))))).first()[0] < tolerance:
-                break
-        state = state.drop("before", "gap")
-    return state.groupBy("atom").agg(F.first("z").alias("truth"))
+    if not rules.filter("weight < 0").isEmpty():
+        raise ValueError("a weight below 0 has no least cost")
+    whole = rules.select("rule", F.col("weight").cast("double").alias("weight"), F.col("constant").cast("double").alias("constant")).dropna()
+    terms = terms.dropna(subset=["rule", "atom", "coefficient"]).groupBy("rule", "atom").agg(F.sum(F.col("coefficient").cast("double")).alias("a"))
+    terms = cut(terms.join(whole.select("rule"), "rule", "left_semi"))
+    sizes = F.greatest(F.sum(F.abs("a")), F.lit(1e-12))
+    duals = cut(whole.join(terms.groupBy("rule").agg((1 / sizes).alias("step")), "rule").select("*", *(F.lit(0.0).alias(c) for c in ("y", "y_sum", "y_from"))))
+    atoms = cut(terms.groupBy("atom").agg((1 / sizes).alias("step")).select("*", F.lit(0.5).alias("z"), F.lit(0.5).alias("ahead"), F.lit(0.0).alias("z_sum"), F.lit(0.5).alias("z_from")))
+    alone = whole.join(terms, "rule", "left_anti").agg(F.sum(F.greatest(F.lit(0.0), F.col("constant")) * F.col("weight"))).first()[0] or 0.0
+
+    def by_rule(*values: Column) -> DataFrame:
+        sums = terms.join(atoms, "atom").groupBy("rule").agg(*(F.sum(F.col("a") * v).alias(f"s{i}") for i, v in enumerate(values)))
+        return duals.join(sums, "rule")
+
+    def by_atom(*values: Column) -> DataFrame:
+        sums = terms.join(duals.drop("step"), "rule").groupBy("atom").agg(*(F.sum(F.col("a") * v).alias(f"s{i}") for i, v in enumerate(values)))
+        return atoms.join(sums, "atom")
+
+    if atoms.isEmpty():
+        return atoms.select("atom", F.col("z").alias("truth"), F.lit(alone).alias("cost"), F.lit(alone).alias("bound"))
+    lean, since, gap_then, bound, cost = 1.0, 0, float("inf"), float("-inf"), float("inf")
+    for i in range(1, rounds + 1):
+        up = F.col("y") + lean * F.col("step") * (F.col("s0") + F.col("constant"))
+        y = F.least("weight", F.greatest(F.lit(0.0), up))
+        duals = cut(by_rule(F.col("ahead")).select("rule", "weight", "constant", "step", y.alias("y"), (F.col("y_sum") + y).alias("y_sum"), "y_from"))
+        z = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("z") - F.col("step") / lean * F.col("s0")))
+        atoms = cut(by_atom(F.col("y")).select("atom", "step", z.alias("z"), (2 * z - F.col("z")).alias("ahead"), (F.col("z_sum") + z).alias("z_sum"), "z_from"))
+        since += 1
+        if i % every:
+            continue
+        mean_y, mean_z = F.col("y_sum") / since, F.col("z_sum") / since
+        costs = by_rule(F.col("z"), mean_z).agg(*(F.sum(F.col("weight") * F.greatest(F.lit(0.0), F.col(f"s{k}") + F.col("constant"))) for k in (0, 1)), *(F.sum(v * F.col("constant")) for v in (F.col("y"), mean_y))).first()
+        pulls = by_atom(F.col("y"), mean_y).agg(*(F.sum(F.least(F.lit(0.0), F.col(f"s{k}"))) for k in (0, 1))).first()
+        found = [(costs[k] + alone, costs[2 + k] + pulls[k] + alone) for k in (0, 1)]
+        best = min((0, 1), key=lambda k: found[k][0])
+        cost, bound = found[best][0], max(bound, *(x[1] for x in found))
+        if cost - bound <= tolerance * max(1.0, abs(cost)):
+            return atoms.select("atom", (mean_z if best else F.col("z")).alias("truth"), F.lit(cost).alias("cost"), F.lit(bound).alias("bound"))
+        gaps = [c - b for c, b in found]
+        if min(gaps) <= 0.5 * gap_then or since >= 0.36 * i:
+            mean, gap_then = gaps[1] < gaps[0], min(gaps)
+            y, z = (mean_y, mean_z) if mean else (F.col("y"), F.col("z"))
+            far = lambda df, to, since_: df.agg(F.sqrt(F.sum((to - F.col(since_)) * (to - F.col(since_)) / F.col("step")))).first()[0]
+            moved_y, moved_z = far(duals, y, "y_from"), far(atoms, z, "z_from")
+            if min(moved_y, moved_z) > 1e-9:
+                lean = math.sqrt(lean * moved_y / moved_z)
+            duals = duals.select("rule", "weight", "constant", "step", y.alias("y"), F.lit(0.0).alias("y_sum"), y.alias("y_from"))
+            atoms = atoms.select("atom", "step", z.alias("z"), z.alias("ahead"), F.lit(0.0).alias("z_sum"), z.alias("z_from"))
+            since = 0
+    raise RuntimeError(f"after {rounds} rounds the cost {cost} is not within {tolerance} of its bound {bound}")
 
 
 def learn_weights(truth_sums: dict[str, float], infer: Callable[[dict[str, float]], dict[str, float]], weights: dict[str, float], steps: int = 10, rate: float = 0.1, low: float = 0.0, high: float = 100.0) -> dict[str, float]:

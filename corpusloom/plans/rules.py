@@ -41,6 +41,11 @@ def short_phrases(s, d):
     return w.select("rule_id", F.explode(F.transform(F.sequence(F.lit(1), F.size("tokens") - 1), lambda i: F.slice("tokens", i, 2))).alias("tokens")).distinct()
 
 
+def with_vectors(s, d, rows):
+    """Phrases with their item's embedding."""
+    return rows.join(table(s, d, "embeddings").select(F.col("vec_id").alias("rule_id"), F.col("embedding").alias("vec")), "rule_id")
+
+
 def texts(s, d, column):
     return pair_ids(s, d).select("pair_id", letters(F.col(column)).alias("tokens"))
 
@@ -196,7 +201,15 @@ QUERIES = {
         lambda s, d: rnd(R.score_distributional(distributional(s, d), "noNeu").select("l_orderkey", "l_linenumber", "l_suppkey", "score", "direction")),
         f"WITH {_RU}, x AS (SELECT l_orderkey, l_linenumber, l_suppkey, coalesce((l_tax - l_discount) / nullif(l_tax + l_discount, 0), 0) AS v FROM ru) SELECT l_orderkey, l_linenumber, l_suppkey, round(abs(v), 6) AS score, CASE WHEN v < 0 THEN 'Opposite' ELSE 'Implication' END AS direction FROM x",
     ),
-    "R06_phrase_pair_scores": (lambda s, d: rnd(R.phrase_pair_scores(texts(s, d, "text_a"), texts(s, d, "text_b"), phrases(s, d).join(table(s, d, "embeddings").select(F.col("vec_id").alias("rule_id"), F.col("embedding").alias("vec")), "rule_id"), None)), None),
+    "R06_phrase_pair_scores": (
+        lambda s, d: rnd(R.phrase_pair_scores(texts(s, d, "text_a"), texts(s, d, "text_b"), with_vectors(s, d, short_phrases(s, d)), 2)),
+        f"""{_Q}, w AS (SELECT item_id AS rule_id, {_W.format('text')} AS t FROM benchmark), ph AS (SELECT DISTINCT rule_id, t[i] || ' ' || t[i + 1] AS run FROM (SELECT rule_id, t, unnest(range(1, len(t))) AS i FROM w)),
+        ra AS (SELECT DISTINCT pair_id, rule_id FROM (SELECT pair_id, l[i] || ' ' || l[i + 1] AS run, i > 1 AND l[i - 1] = 'some' AS out FROM (SELECT pair_id, l, unnest(range(1, len(l))) AS i FROM q)) JOIN ph USING (run) WHERE NOT coalesce(out, false)),
+        rb AS (SELECT DISTINCT pair_id, rule_id FROM (SELECT pair_id, r[i] || ' ' || r[i + 1] AS run, i > 1 AND r[i - 1] = 'some' AS out FROM (SELECT pair_id, r, unnest(range(1, len(r))) AS i FROM q)) JOIN ph USING (run) WHERE NOT coalesce(out, false)),
+        ve AS (SELECT vec_id AS rule_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
+        bo AS (SELECT ra.pair_id, ra.rule_id AS lhs_id, rb.rule_id AS rhs_id, x.v AS a, y.v AS b FROM ra JOIN rb USING (pair_id) JOIN ve x ON x.rule_id = ra.rule_id JOIN ve y ON y.rule_id = rb.rule_id WHERE ra.rule_id <> rb.rule_id)
+        SELECT pair_id, lhs_id, rhs_id, round(coalesce(list_sum(list_transform(range(1, len(a) + 1), lambda i: greatest(a[i] * b[i], 0))) / nullif(sqrt(list_dot_product(a, a)) * sqrt(list_dot_product(b, b)), 0), 0), 6) + 0.0 AS score FROM bo""",
+    ),
     "R07_lexical_rules": (
         lambda s, d: R.lexical_rules(preds(s, d, 1, "T"), preds(s, d, 0, "H"), with_pos(s, d)).select("pair_id", "lhs", "rhs", "direction"),
         f"{_B}, {_TR}, nw AS (SELECT DISTINCT pair_id, name, pos FROM pr h WHERE side = 'H' AND NOT EXISTS (SELECT 1 FROM pr t WHERE t.side = 'T' AND t.pair_id = h.pair_id AND t.name = h.name)), x AS (SELECT DISTINCT t.pair_id, tr.lhs, tr.rhs, t.pos, relation FROM pr t JOIN nw ON nw.pair_id = t.pair_id AND nw.pos = t.pos JOIN tr ON tr.lhs = t.name AND tr.rhs = nw.name WHERE t.side = 'T') SELECT DISTINCT pair_id, lhs, rhs, CASE WHEN relation IN ('synonym', 'hypernym') THEN 'Implication' WHEN relation = 'hyponym' THEN 'BackwardImplication' ELSE 'Opposite' END AS direction FROM x WHERE relation <> 'antonym' OR pos <> 'n'",
