@@ -89,15 +89,6 @@ def values_agree(a: Column, b: Column, kind: str, tolerance: float) -> Column:
     return F.sqrt(F.aggregate(gaps, F.lit(0.0), lambda s, x: s + x * x)) <= tolerance
 
 
-def kendall(rows: DataFrame, group: str) -> DataFrame:
-    """group, tau of ``rows(group, a, b)`` by pairs of rows within a group; groups must be small."""
-    x = rows.withColumn("i", F.row_number().over(W.partitionBy(group).orderBy("a", "b")))
-    y = x.select(group, F.col("a").alias("a2"), F.col("b").alias("b2"), F.col("i").alias("j"))
-    pairs = x.join(y, group).filter("i < j")
-    sign = F.signum((F.col("a2") - F.col("a")) * (F.col("b2") - F.col("b")))
-    return pairs.groupBy(group).agg(F.avg(sign).alias("tau"))
-
-
 def spearman(rows: DataFrame, group: str) -> DataFrame:
     """group, rho: correlation of average ranks."""
     w = lambda c: W.partitionBy(group).orderBy(c)
@@ -197,18 +188,6 @@ def distance_buckets(rows: DataFrame, distance: str, size: int = 5) -> DataFrame
     return rows.withColumn("bucket", (F.ceil(F.col(distance) / size) * size).cast("int"))
 
 
-def randomisation_test(sentences: DataFrame, iterations: int = 10_000, seed: int = 1) -> DataFrame:
-    """difference, p of ``sentences(sent, a, b)``: how often swapping systems by sentence gives as large a gap.
-
-    The iterations are explode rows of each sentence; the sum by iteration combines before its shuffle.
-    """
-    observed = sentences.agg(F.abs(F.sum(F.col("a") - F.col("b"))).alias("difference"))
-    coins = sentences.select("sent", (F.col("a") - F.col("b")).alias("gap"), F.explode(F.sequence(F.lit(1), F.lit(iterations))).alias("i"))
-    sign = F.when(F.pmod(F.xxhash64(F.lit(seed), "i", "sent"), F.lit(2)) == 0, 1).otherwise(-1)
-    sums = coins.groupBy("i").agg(F.abs(F.sum(F.col("gap") * sign)).alias("s"))
-    return sums.crossJoin(F.broadcast(observed)).groupBy("difference").agg(((F.count_if(F.col("s") >= F.col("difference") - 1e-12) + 1) / (F.count("*") + 1)).alias("p"))
-
-
 def accuracy_by_method(rows: DataFrame) -> DataFrame:
     """method, n, accuracy of ``rows(method, gold, pred)``, and the majority class of all as ``majority``."""
     top = rows.groupBy("gold").agg(F.count("*").alias("n")).agg((F.max("n") / F.sum("n")).alias("rate"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions.logic import coin
 from corpusloom.functions.similarity import positive_cosine
 from corpusloom.functions.text import contains_phrase, polarity_signature
+from corpusloom.operators.loops import cut
 from corpusloom.operators.retrieval import phrase_places, token_pairs
 
 
@@ -234,24 +235,25 @@ def match_entities(hyp: DataFrame, text: DataFrame, candidates: DataFrame, ignor
     return named.unionByName(holes).distinct()
 
 
-def greedy_align(candidates: DataFrame, least: float = 0.01) -> DataFrame:
+def greedy_align(candidates: DataFrame, least: float = 0.01, max_rounds: int = 1000) -> DataFrame:
     """(rule_id, lhs, rhs, score): one to one, the best score above ``least`` first, of equals by names.
 
-    A rule's candidates are one group: two sides' words, which bound it.
+    A pair that is the best of both its sides is taken by the greedy order whatever the others are. Each round takes all
+    such pairs and drops what meets them; a rule with a pair left has one, so rounds end, and mostly after few. Rows with
+    a null are left out; of repeated pairs the best score counts.
     """
-    import pandas as pd
-
-    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        left, right, rows = set(), set(), []
-        for r in pdf.sort_values(["score", "lhs", "rhs"], ascending=[False, True, True]).itertuples(index=False):
-            if r.lhs not in left and r.rhs not in right:
-                left.add(r.lhs)
-                right.add(r.rhs)
-                rows.append(r)
-        return pd.DataFrame(rows, columns=pdf.columns)
-
-    rows = candidates.filter(F.col("score") > least).select("rule_id", "lhs", "rhs", "score")
-    return rows.groupBy("rule_id").applyInPandas(pick, rows.schema)
+    order = F.struct((-F.col("score")).alias("s"), "lhs", "rhs")
+    rest = candidates.select("rule_id", "lhs", "rhs", "score").dropna().filter(F.col("score") > least)
+    rest = cut(rest.groupBy("rule_id", "lhs", "rhs").agg(F.max("score").alias("score")))
+    taken = rest.limit(0)
+    for _ in range(max_rounds):
+        if rest.isEmpty():
+            return taken
+        best = lambda side: rest.groupBy("rule_id", side).agg(F.min(order).alias("b")).select("rule_id", "b.lhs", "b.rhs")
+        now = cut(best("lhs").join(best("rhs"), ["rule_id", "lhs", "rhs"]).join(rest, ["rule_id", "lhs", "rhs"]))
+        taken = taken.unionByName(now)
+        rest = cut(rest.join(now.select("rule_id", "lhs"), ["rule_id", "lhs"], "left_anti").join(now.select("rule_id", "rhs"), ["rule_id", "rhs"], "left_anti"))
+    raise RuntimeError(f"pairs are left after {max_rounds} rounds")
 
 
 def paraphrase_augment(tokens: DataFrame, synonyms: DataFrame, vocabulary: DataFrame, seed: int = 0) -> DataFrame:

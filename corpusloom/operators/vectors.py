@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from difflib import SequenceMatcher
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -122,17 +121,58 @@ def token_difference(pairs: DataFrame) -> DataFrame:
     return counts.filter("l <> r").select("id", F.when(F.col("l") > F.col("r"), "left").otherwise("right").alias("side"), "word", F.abs(F.col("l") - F.col("r")).alias("n"))
 
 
+def common_places(left: list, right: list) -> list[tuple[int, int]]:
+    """Places of a longest common subsequence, in order.
+
+    Bit-parallel: a bit for each place of the right side is 0 where the length of the best common subsequence with the
+    left side so far grows, and an integer's carry moves all of a row at once (Hyyro 2004). Going back from both
+    ends, a left token without its own growth is skipped first.
+    """
+    a, b = (0, 0), (len(left), len(right))
+    while a[0] < b[0] and a[1] < b[1] and left[a[0]] == right[a[1]]:
+        a = a[0] + 1, a[1] + 1
+    while a[0] < b[0] and a[1] < b[1] and left[b[0] - 1] == right[b[1] - 1]:
+        b = b[0] - 1, b[1] - 1
+    middle, width = right[a[1] : b[1]], b[1] - a[1]
+    places: dict = {}
+    for j, token in enumerate(middle):
+        places[token] = places.get(token, 0) | 1 << j
+    full = (1 << width) - 1
+    row, rows = full, [full]
+    for token in left[a[0] : b[0]]:
+        hit = row & places.get(token, 0)
+        row = (row + hit | row - hit) & full
+        rows.append(row)
+    i, j, found = b[0] - a[0], width, []
+    while i and j:
+        if not rows[i] >> j - 1 & 1 and rows[i - 1] >> j - 1 & 1:  # grows here, and didn't a row before: a match
+            i, j = i - 1, j - 1
+            found.append((a[0] + i, a[1] + j))
+        elif rows[i] >> j - 1 & 1:
+            j -= 1
+        else:
+            i -= 1
+    return [(k, k) for k in range(a[0])] + found[::-1] + [(b[0] + k, b[1] + k) for k in range(len(left) - b[0])]
+
+
 def difference_pieces(pairs: DataFrame) -> DataFrame:
-    """(id, left, right): runs of tokens that differ, in order, of ``pairs(id, left, right)`` token arrays.
+    """(id, left, right): what stands between the tokens of a longest common subsequence of ``pairs(id, left, right)``, in order.
 
+    A piece with tokens on one side only is an insertion or a deletion. A null array is empty; equal ones have no piece.
     Ordered alignment of one pair needs its tokens together: a pair is a row.
     """
+
     @F.arrow_udf("array<struct<left: array<string>, right: array<string>>>")
     def pieces(left: pa.Array, right: pa.Array) -> pa.Array:
         out = []
         for a, b in zip(left.to_pylist(), right.to_pylist(), strict=True):
             a, b = a or [], b or []
-            out.append([{"left": a[i:j], "right": b[k:n]} for op, i, j, k, n in SequenceMatcher(None, a, b, autojunk=False).get_opcodes() if op != "equal"])
+            own, i, j = [], 0, 0
+            for x, y in [*common_places(a, b), (len(a), len(b))]:
+                if i < x or j < y:
+                    own.append({"left": a[i:x], "right": b[j:y]})
+                i, j = x + 1, y + 1
+            out.append(own)
         words = pa.list_(pa.string())
         return pa.array(out, pa.list_(pa.struct([("left", words), ("right", words)])))
 

@@ -6,6 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusloom.operators import evaluate as E
+from corpusloom.operators import ordered as O
 from corpusloom.plans.inputs import r6, table
 
 
@@ -147,7 +148,7 @@ QUERIES = {
         "SELECT l_orderkey, l_linenumber, (l_discount >= 0.045) = (l_tax >= 0.045) AS t, abs(l_discount - l_tax) <= 0.0251 AS a, abs(l_discount - l_tax) + l_tax <= 0.0551 AS m, sqrt(pow(l_discount - l_tax, 2) + l_tax * l_tax) <= 0.0451 AS e FROM lineitem",
     ),
     "E09_kendall": (
-        lambda s, d: rnd(E.kendall(ranked(s, d), "g")),
+        lambda s, d: rnd(O.kendall(ranked(s, d), "g")),
         "WITH x AS (SELECT l_orderkey AS g, l_quantity AS a, l_extendedprice AS b, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity, l_extendedprice) AS i FROM lineitem) SELECT x.g, round(avg(sign((y.a - x.a) * (y.b - x.b))), 6) + 0.0 AS tau FROM x JOIN x y ON x.g = y.g AND x.i < y.i GROUP BY 1",
     ),
     "E09_spearman": (
@@ -173,7 +174,23 @@ QUERIES = {
         "WITH g AS (SELECT DISTINCT l_orderkey AS s, l_suppkey AS a, 1 AS g FROM lineitem WHERE l_tax > 0.02), p AS (SELECT DISTINCT l_orderkey AS s, l_suppkey AS a, 1 AS p FROM lineitem WHERE l_discount > 0.02), c AS (SELECT count(g) AS gold, count(p) AS guessed, count(*) FILTER (g = 1 AND p = 1) AS correct FROM g FULL JOIN p USING (s, a)) SELECT gold, guessed, correct, " + _PRF6 + " FROM c",
     ),
     "E17_distance_buckets": (lambda s, d: E.distance_buckets(table(s, d, "lineitem"), "l_quantity").groupBy("bucket").agg(F.count("*").alias("n")), "SELECT (ceil(l_quantity / 5) * 5)::INT AS bucket, count(*) AS n FROM lineitem GROUP BY 1"),
-    "E18_randomisation_test": (lambda s, d: rnd(E.randomisation_test(sentences(s, d), 100)), None),
+    "E18_randomisation_test": (
+        lambda s, d: rnd(O.randomisation_test(sentences(s, d), 100)),
+        # Bit i of a sentence's md5, highest first, is its sign in iteration i.
+        """WITH se AS (SELECT l_orderkey AS sent, avg(l_discount) - avg(l_tax * 1.25) AS gap, md5('1:' || l_orderkey || ':0') AS h FROM lineitem GROUP BY 1),
+it AS (SELECT i, abs(sum(gap * (2 * ((('0x' || substr(h, i // 4 + 1, 1))::INT >> (3 - i % 4)::INT) & 1) - 1))) AS s FROM se, (SELECT unnest(range(100)) AS i) GROUP BY 1),
+ob AS (SELECT abs(sum(gap)) AS difference FROM se)
+SELECT round(difference, 6) AS difference, round((count(*) FILTER (s >= difference - 1e-12) + 1) / 101.0::DOUBLE, 6) AS p FROM it, ob GROUP BY difference""",
+    ),
+    "E09_kendall_large_groups": (
+        lambda s, d: rnd(O.kendall(ranked(s, d).withColumn("g", F.col("g") % 5), "g")),
+        # Ranks within a group by the second value; an earlier row with a higher rank is a discordant pair.
+        """WITH x AS (SELECT l_orderkey % 5 AS g, l_quantity AS a, l_extendedprice AS b FROM lineitem), o AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY a, b) AS i FROM x),
+t AS (SELECT g, count(*)::DOUBLE AS n FROM x GROUP BY 1), ta AS (SELECT g, sum(c * (c - 1) / 2) AS t FROM (SELECT g, count(*)::DOUBLE AS c FROM x GROUP BY g, a) GROUP BY 1),
+tb AS (SELECT g, sum(c * (c - 1) / 2) AS t FROM (SELECT g, count(*)::DOUBLE AS c FROM x GROUP BY g, b) GROUP BY 1), tab AS (SELECT g, sum(c * (c - 1) / 2) AS t FROM (SELECT g, count(*)::DOUBLE AS c FROM x GROUP BY g, a, b) GROUP BY 1),
+d AS (SELECT p.g, count(*)::DOUBLE AS d FROM o p JOIN o q ON p.g = q.g AND p.i < q.i AND p.b > q.b GROUP BY 1)
+SELECT g, round((n * (n - 1) / 2 - ta.t - tb.t + tab.t - 2 * coalesce(d, 0)) / (n * (n - 1) / 2), 6) + 0.0 AS tau FROM t JOIN ta USING (g) JOIN tb USING (g) JOIN tab USING (g) LEFT JOIN d USING (g)""",
+    ),
     "E19_accuracy_by_method": (
         lambda s, d: rnd(E.accuracy_by_method(_methods(s, d))),
         f"WITH {_CL} SELECT 'm' || (l_orderkey % 4) AS method, count(*) AS n, round(avg((gold = pred)::INT), 6) AS accuracy FROM cl GROUP BY 1 UNION ALL SELECT 'majority', sum(n)::BIGINT, round(max(n)::DOUBLE / sum(n), 6) FROM (SELECT count(*) AS n FROM cl GROUP BY gold)",

@@ -264,7 +264,16 @@ QUERIES = {
         lambda s, d: R.match_entities(entities(s, d, "O"), entities(s, d, "F"), entities(s, d, "F").unionByName(entities(s, d, "O")).filter("var % 3 = 0").select("pair_id", "name").distinct()),
         f"WITH {_EN} SELECT DISTINCT h.pair_id, h.var AS hyp_var, t.var AS text_var FROM en h JOIN en t ON h.pair_id = t.pair_id AND t.st = 'F' WHERE h.st = 'O' AND h.name <> 'male' AND (h.name = t.name OR (h.name = '@placeholder' AND EXISTS (SELECT 1 FROM ca WHERE ca.pair_id = t.pair_id AND ca.name = t.name)))",
     ),
-    "R23_greedy_align": (lambda s, d: rnd(R.greedy_align(align_candidates(s, d))), None),
+    "R23_greedy_align": (
+        lambda s, d: rnd(R.greedy_align(align_candidates(s, d))),
+        # The greedy order itself, candidate by candidate.
+        """WITH RECURSIVE ac AS (SELECT l_orderkey // 8 AS rule_id, l_suppkey % 5 AS lhs, l_partkey % 5 AS rhs, max(round(l_discount, 2)) AS score FROM lineitem GROUP BY 1, 2, 3),
+o AS (SELECT *, row_number() OVER (PARTITION BY rule_id ORDER BY score DESC, lhs, rhs) AS k FROM ac WHERE score > 0.01),
+w AS (SELECT rule_id, k, lhs, rhs, score, true AS ok, [lhs] AS used_l, [rhs] AS used_r FROM o WHERE k = 1
+  UNION ALL SELECT o.rule_id, o.k, o.lhs, o.rhs, o.score, NOT list_contains(used_l, o.lhs) AND NOT list_contains(used_r, o.rhs), CASE WHEN list_contains(used_l, o.lhs) OR list_contains(used_r, o.rhs) THEN used_l ELSE list_append(used_l, o.lhs) END,
+    CASE WHEN list_contains(used_l, o.lhs) OR list_contains(used_r, o.rhs) THEN used_r ELSE list_append(used_r, o.rhs) END FROM w JOIN o ON o.rule_id = w.rule_id AND o.k = w.k + 1)
+SELECT rule_id, lhs, rhs, round(score, 6) AS score FROM w WHERE ok""",
+    ),
     "R24_paraphrase_augment": (
         _augment,
         "WITH t AS (SELECT p_partkey AS id, unnest(range(len(w))) AS place, unnest(w) AS token FROM (SELECT p_partkey, string_split(p_name, ' ') AS w FROM part)), v AS (SELECT DISTINCT token AS word FROM t), c AS (SELECT t.id, t.place, coalesce(y.word, t.token) AS x FROM t LEFT JOIN v y ON length(y.word) = length(t.token) AND y.word <> t.token QUALIFY row_number() OVER (PARTITION BY t.id, t.place ORDER BY ('0x' || substr(md5('0:' || t.id || ':' || t.place || ':' || y.word), 1, 8))::BIGINT DESC, y.word DESC) = 1) SELECT id, string_agg(x, ' ' ORDER BY place) AS text FROM c GROUP BY 1",

@@ -134,7 +134,16 @@ QUERIES = {
     "V11_top_rule": (lambda s, d: V.top_rule(rule_scores(s, d)).select("lhs", "rhs"), f"WITH {_RS} SELECT lhs, rhs FROM rs QUALIFY row_number() OVER (PARTITION BY lhs ORDER BY score DESC, rhs) = 1"),
     "V12_uniform_hard": (lambda s, d: V.uniform_hard(rule_scores(s, d)).select("lhs", "rhs", "weight"), f"WITH {_RS} SELECT lhs, rhs, NULL::DOUBLE AS weight FROM rs"),
     "V13_token_difference": (lambda s, d: V.token_difference(long_sides(s, d)), _BASE + _DIFF + " SELECT id, side, word, n FROM df"),
-    "V13_difference_pieces": (lambda s, d: V.difference_pieces(sides(s, d)).groupBy("id").agg(F.count("*").alias("n"), F.sum(F.size("left")).alias("l"), F.sum(F.size("right")).alias("r")), None),
+    "V13_difference_pieces": (
+        lambda s, d: V.difference_pieces(sides(s, d)).groupBy("id").agg(F.sum(F.size("left")).alias("l"), F.sum(F.size("right")).alias("r")),
+        # What a longest common subsequence leaves: its length by diagonals of the table of prefixes.
+        _BASE
+        + """, z AS (SELECT id, l, r, len(l) AS n, len(r) AS m FROM p)
+SELECT id, (n - c)::BIGINT AS l, (m - c)::BIGINT AS r FROM (
+  WITH RECURSIVE w AS (SELECT id, l, r, n, m, 0 AS k, list_transform(range(n + 1), lambda i: 0) AS two, list_transform(range(n + 1), lambda i: 0) AS one FROM z
+    UNION ALL SELECT id, l, r, n, m, k + 1, one, list_transform(range(n + 1), lambda i: CASE WHEN i < 1 OR k + 1 - i < 1 OR k + 1 - i > m THEN 0 WHEN l[i] = r[k + 1 - i] THEN two[i] + 1 ELSE greatest(one[i], one[i + 1]) END) FROM w WHERE k < n + m)
+  SELECT id, n, m, one[n + 1] AS c FROM w WHERE k = n + m) WHERE n > c OR m > c""",
+    ),
     "V14_difference_cosine": (
         lambda s, d: rnd(V.difference_cosine(long_sides(s, d), vectors(s, d))),
         _BASE + _DIFF + ", ca AS (SELECT id, dim, sum(w * n) AS w FROM df JOIN ve USING (word) WHERE side = 'left' GROUP BY 1, 2), cb AS (SELECT id, dim, sum(w * n) AS w FROM df JOIN ve USING (word) WHERE side = 'right' GROUP BY 1, 2), " + _cos("ca", "cb", "1"),

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import logic as L
 from corpusloom.functions import similarity as M
 from corpusloom.functions import text as X
-from corpusloom.operators import corpus, evaluate, features, graph, keyed, qa, rules, softlogic, thesaurus, vectors
+from corpusloom.operators import corpus, evaluate, features, graph, keyed, ordered, qa, rules, softlogic, thesaurus, vectors
 from corpusloom.sources import readers, writers
 
 
@@ -248,7 +248,7 @@ def test_evaluation_quirks(spark):
     assert {r.kind for r in evaluate.list_errors(got, base, "k").collect()} == {"false positive", "false negative"}
     assert {r.kind for r in evaluate.list_errors(got, base, "k", compat=True).collect()} == {"false positive"}
     same = spark.createDataFrame([(i, 1.0, 1.0) for i in range(5)], "sent long, a double, b double")
-    assert evaluate.randomisation_test(same, 50).first().p == 1.0
+    assert ordered.randomisation_test(same, 50).first().p == 1.0
     tags = spark.createDataFrame([(1, 0, "B-X", "B-Y"), (1, 1, "I-X", "I-Y"), (1, 2, "B-X", "B-X")], "sent long, pos long, gold string, pred string")
     total = evaluate.chunk_eval(tags).filter("type = ''").first()
     assert (total.gold, total.guessed, total.correct) == (2, 2, 1)
