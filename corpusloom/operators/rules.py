@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -273,51 +271,60 @@ def satisfies_constraints(rows: DataFrame, constraints: DataFrame) -> DataFrame:
     return rows.join(constraints, constraints.columns, "left_semi")
 
 
-def _assign(gains: list[list[float]]) -> list[int]:
-    """For each row the column of a largest total gain, -1 for none: shortest augmenting paths, in rows^2 * columns steps."""
-    rows, columns = len(gains), len(gains[0])
-    cost = [[-max(0.0, g) for g in row] + [0.0] * rows for row in gains]  # a column of its own stands for none
-    owner, row_price, price = [-1] * (columns + rows), [0.0] * rows, [0.0] * (columns + rows)
-    for r in range(rows):
-        near, came, done = [math.inf] * len(owner), [-1] * len(owner), set()
-        at, row, last = 0.0, r, -1
-        while row >= 0:
-            for c in range(len(owner)):
-                if c not in done and (step := at + cost[row][c] - row_price[row] - price[c]) < near[c]:
-                    near[c], came[c] = step, last
-            last = min((c for c in range(len(owner)) if c not in done), key=lambda c: near[c])
-            done.add(last)
-            at, row = near[last], owner[last]
-        for c in done:
-            price[c] += near[c] - at
-            if owner[c] >= 0:
-                row_price[owner[c]] += at - near[c]
-        row_price[r] += at
-        while last >= 0:
-            before = came[last]
-            owner[last] = owner[before] if before >= 0 else r
-            last = before
-    found = {owner[c]: c for c in range(columns) if owner[c] >= 0 and gains[owner[c]][c] > 0}
-    return [found.get(r, -1) for r in range(rows)]
+_LINK = ("qid", "entity", "target", "weight", "e", "own")
+#: A gain below this is none, so that sums in another order make no endless path.
+_LEAST_GAIN = 1e-12
 
 
-def search_alignment(cliques: DataFrame) -> DataFrame:
-    """(qid, weight, choice): the assignment of a question's entities to different text entities with the largest weight.
+def _reach(rows: DataFrame, k: int) -> DataFrame:
+    """``rows`` with the largest gain ``d`` with which entity ``k`` can get each target, and the entity ``via`` that then takes it.
 
-    cliques(qid, entity, target, weight), of repeated rows the largest weight; entities may stay
-    unassigned, and weights of zero, below it or null assign none. It is exact. A question's
-    entities are one group, bounded by a question's words.
+    An owner that gives its target up for another gains the difference; gains grow until none does.
     """
-    import pandas as pd
+    own_gain = F.max(F.when(F.col("own"), F.col("d") - F.col("weight"))).over(W.partitionBy("qid", "e"))
+    offer = F.max(F.when(~F.col("own") & F.col("base").isNotNull(), F.struct((F.col("base") + F.col("weight")).alias("v"), (-F.col("e")).alias("by")))).over(W.partitionBy("qid", "target"))
+    better = F.coalesce(F.col("offer.v") > F.coalesce("d", F.lit(float("-inf"))) + _LEAST_GAIN, F.lit(False))
+    rows = rows.select(*_LINK, F.lit(None).cast("double").alias("d"), F.lit(None).cast("int").alias("via"))
+    while True:
+        offered = rows.select(*_LINK, "d", "via").withColumn("base", F.when(F.col("e") == k, 0.0).otherwise(own_gain)).withColumn("offer", offer)
+        rows = cut(offered.select(*_LINK, F.when(better, F.col("offer.v")).otherwise(F.col("d")).alias("d"), F.when(better, -F.col("offer.by")).otherwise(F.col("via")).alias("via"), better.alias("moved")))
+        if rows.filter("moved").isEmpty():
+            return rows.drop("moved")
+
+
+def _shift(rows: DataFrame) -> DataFrame:
+    """Targets change hands along the best path of each question, from its end back to the new entity."""
+    free = ~F.max("own").over(W.partitionBy("qid", "target"))
+    gain = F.when(free, F.col("d")).when(F.col("own"), F.col("d") - F.col("weight"))
+    every = W.partitionBy("qid")
+    rows = cut(rows.withColumn("gain", gain).withColumn("now", F.max(F.when(F.col("gain") > _LEAST_GAIN, F.struct("gain", "target"))).over(every)["target"]).drop("gain"))
+    while not rows.filter("now is not null").isEmpty():
+        taken = rows.withColumn("taker", F.max(F.when(F.col("target") == F.col("now"), F.col("via"))).over(every))
+        left = F.max(F.when((F.col("e") == F.col("taker")) & F.col("own"), F.col("target"))).over(every)
+        own = F.when(F.col("target") == F.col("now"), F.col("e") == F.col("taker")).otherwise(F.col("own"))
+        rows = cut(taken.withColumn("left", left).select("qid", "entity", "target", "weight", "e", own.alias("own"), "d", "via", F.col("left").alias("now")))
+    return rows.select(*_LINK)
 
-    def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        weights = pdf.pivot_table(index="entity", columns="target", values="weight", aggfunc="max", fill_value=0.0).sort_index().sort_index(axis=1)
-        chosen = _assign(weights.to_numpy().tolist()) if weights.size else []
-        total = sum(weights.iloc[r, c] for r, c in enumerate(chosen) if c >= 0)
-        return pd.DataFrame({"qid": [pdf["qid"].iloc[0]], "weight": [float(total)], "choice": [",".join(f"{weights.index[r]}={weights.columns[c]}" for r, c in enumerate(chosen) if c >= 0)]})
 
-    rows = cliques.select("qid", F.col("entity").cast("string").alias("entity"), F.col("target").cast("string").alias("target"), F.col("weight").cast("double").alias("weight"))
-    return rows.groupBy("qid").applyInPandas(search, f"qid {dict(rows.dtypes)['qid']}, weight double, choice string")
+def search_alignment(cliques: DataFrame) -> DataFrame:
+    """(qid, weight, choice): the assignment of a question's entities to different text entities with the largest weight.
+
+    cliques(qid, entity, target, weight), of repeated rows the largest weight; entities may stay unassigned, and weights of
+    zero, below it or null, and null names, assign none. Entities come in one after the other, in all questions at once,
+    and each brings its best chain of changes (augmenting paths), so that the result is exact. A round is a few windows
+    over a question's rows, which stay where they are: all links are dealt by question once.
+    """
+    named = cliques.select("qid", F.col("entity").cast("string").alias("entity"), F.col("target").cast("string").alias("target"), F.col("weight").cast("double").alias("weight"))
+    links = named.dropna(subset=["entity", "target"]).filter("weight > 0 and not isnan(weight)").groupBy("qid", "entity", "target").agg(F.max("weight").alias("weight"))
+    number = (F.dense_rank().over(W.partitionBy("qid").orderBy("entity")) - 1).cast("int")
+    rows = cut(links.repartition("qid").withColumn("e", number).withColumn("own", F.lit(False)).select(*_LINK))
+    last = rows.agg(F.max("e")).first()[0]
+    for k in range(0 if last is None else last + 1):
+        rows = _shift(_reach(rows, k))
+    chosen = rows.filter("own").groupBy("qid").agg(F.sum("weight").alias("weight"), F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", "entity", "target"))), ",").alias("choice"))
+    every = cliques.select(F.col("qid").alias("id")).distinct()
+    joined = every.join(chosen, F.col("id").eqNullSafe(F.col("qid")), "left")
+    return joined.select(F.col("id").alias("qid"), F.coalesce("weight", F.lit(0.0)).alias("weight"), F.coalesce("choice", F.lit("")).alias("choice"))
 
 
 def path_rules(hyp_paths: DataFrame, text_paths: DataFrame, matches: DataFrame, limit: int = 4) -> DataFrame:

@@ -275,6 +275,43 @@ def close_world(predicate: DataFrame, domain: DataFrame, arity: int, wildcards:
     return missing.withColumn("truth", F.lit(0.0))
 
 
+def closed_lookup(asked: DataFrame, predicate: DataFrame, domain: DataFrame, arity: int, wildcards: DataFrame | None = None) -> DataFrame:
+    """``asked(problem, a1[, a2])`` with ``truth`` in the closed world: a fact's own, 0 for what close_world has, else null.
+
+    The negative facts are never made: they are the domain's constants less the facts, and a row is met with both. Of
+    repeated facts the largest truth counts. Asked rows stay as they are, repeated ones too; one with a null is unknown.
+    """
+    args = [f"a{i}" for i in range(1, arity + 1)]
+    facts = predicate.groupBy("problem", *args).agg(F.max("truth").alias("fact"))
+    out = asked.join(facts, ["problem", *args], "left")
+    inside = F.lit(True)
+    for a in args:
+        known = domain.select("problem", F.col("entity").alias(a)).distinct().withColumn(f"in_{a}", F.lit(True))
+        out = out.join(known, ["problem", a], "left")
+        inside = inside & F.coalesce(F.col(f"in_{a}"), F.lit(False))
+    if wildcards is not None:
+        out = out.join(wildcards.select("a1").distinct().withColumn("wild", F.lit(True)), "a1", "left")
+        inside = inside & F.col("wild").isNull()
+    return out.select(*asked.columns, F.coalesce("fact", F.when(inside, 0.0)).alias("truth"))
+
+
+def closed_counts(predicate: DataFrame, domain: DataFrame, arity: int, wildcards: DataFrame | None = None) -> DataFrame:
+    """(problem, negative): how many rows close_world has, for each problem of the domain, by inclusion and exclusion.
+
+    All tuples whose first constant is no wildcard, less the facts among them; no tuple is made.
+    """
+    args = [f"a{i}" for i in range(1, arity + 1)]
+    constants = domain.select("problem", "entity").dropna().distinct()
+    firsts = constants if wildcards is None else constants.join(wildcards.select(F.col("a1").alias("entity")), "entity", "left_anti")
+    facts = predicate.select("problem", *args).distinct()
+    for a in args:
+        facts = facts.join((firsts if a == "a1" else constants).withColumnRenamed("entity", a), ["problem", a], "left_semi")
+    count = lambda df, name: df.groupBy("problem").agg(F.count("*").alias(name))
+    sizes = count(constants, "n").join(count(firsts, "m"), "problem", "left").join(count(facts, "k"), "problem", "left").fillna(0, ["m", "k"])
+    tuples = F.col("m") if arity == 1 else F.col("m") * F.col("n")
+    return sizes.select("problem", (tuples - F.col("k")).alias("negative"))
+
+
 def propagate_constants(sets: DataFrame, implications: DataFrame, max_rounds: int = 50) -> DataFrame:
     """(pred, const): ``sets`` closed under implications(rule, lhs, rhs): rhs takes the constants all lhs share."""
     n_lhs = implications.groupBy("rule").agg(F.countDistinct("lhs").alias("n_lhs"))

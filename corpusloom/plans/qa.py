@@ -15,20 +15,18 @@ def rnd(df):
 
 def convs(s, d):
     """User turns as questions with the second word hidden, the assistant's turns after them as contexts."""
-    p = pairs(s, d).select(F.concat_ws("-", "conv_id", "turn").alias("qid"), letters(F.col("text_a")).alias("q"), letters(F.col("text_b")).alias("a"))
-    return p.filter(F.size("q") > 2)
-
+    return pairs(s, d).select(F.concat_ws("-", "conv_id", "turn").alias("qid"), letters(F.col("text_a")).alias("q"), letters(F.col("text_b")).alias("a"))
 
 _W = "list_filter(string_split_regex(lower({}), '[^a-z]+'), lambda w: w <> '')"
-_C = f"""{PAIRS_SQL}, cv AS (SELECT * FROM (SELECT conv_id || '-' || turn AS qid, {_W.format('text_a')} AS q, {_W.format('text_b')} AS a FROM pairs) WHERE len(q) > 2),
-cx AS (SELECT qid, unnest(range(len(a))) AS place, unnest(a) AS token FROM cv), qu AS (SELECT qid, unnest(range(len(q))) AS place, unnest(q) AS token, 1 AS hole FROM cv), en AS (SELECT DISTINCT qid, token AS entity FROM cx WHERE length(token) > 5)"""
+_C = f"""{PAIRS_SQL}, cv AS (SELECT * FROM (SELECT conv_id || '-' || turn AS qid, {_W.format('text_a')} AS q, {_W.format('text_b')} AS a FROM pairs)),
+cx AS (SELECT qid, unnest(range(len(a))) AS place, unnest(a) AS token FROM cv), qu AS (SELECT qid, unnest(range(len(q))) AS place, unnest(q) AS token, 1 AS hole FROM cv), en AS (SELECT DISTINCT qid, token AS entity FROM cx)"""
 
 
 def parts(s, d):
     c = convs(s, d)
     context = c.select("qid", F.posexplode("a").alias("place", "token"))
     question = c.select("qid", F.posexplode("q").alias("place", "token")).withColumn("hole", F.lit(1))
-    return context, question, context.filter("length(token) > 5").select("qid", F.col("token").alias("entity")).distinct()
+    return context, question, context.select("qid", F.col("token").alias("entity")).distinct()
 
 
 _PROX = f"WITH {_C}, iw AS (SELECT qu.qid, qu.place AS i, cx.place AS w FROM qu JOIN cx USING (qid, token) WHERE qu.place <> 1), ie AS (SELECT en.qid, entity, place AS e FROM en JOIN cx ON cx.qid = en.qid AND token = entity), b AS (SELECT qid, entity, i, max(1.0::DOUBLE / (1 + abs(e - w - 1 + i))) AS s FROM ie JOIN iw USING (qid) GROUP BY 1, 2, 3), sc AS (SELECT en.qid, en.entity, coalesce(sum(s), 0) AS score FROM en LEFT JOIN b USING (qid, entity) GROUP BY 1, 2)"
@@ -47,7 +45,9 @@ _JD = _PROX + ", jd AS (SELECT qid, entity, round(score, 6) AS score, row_number
 
 
 def _embed(s, d):
+    """Entities are names: here words of more than five letters, as a context word that is none is what scores are about."""
     context, question, entities = parts(s, d)
+    entities = entities.filter("length(entity) > 5")
     similar = context.select("token").distinct().join(question.select(F.col("token").alias("other")).distinct(), F.substring("token", 1, 2) == F.substring("other", 1, 2)).withColumn("sim", F.when(F.col("token") == F.col("other"), 1.0).otherwise(0.5))
     return rnd(Q.embed_proximity(context, question, similar, entities))
 
@@ -70,7 +70,7 @@ QUERIES = {
     "Q01_word_proximity": (scores, _PROX + " SELECT qid, entity, round(score, 6) AS score FROM sc"),
     "Q02_embed_proximity": (
         _embed,
-        f"""WITH {_C}, mk AS (SELECT cx.*, en.entity IS NOT NULL AS e FROM cx LEFT JOIN en ON en.qid = cx.qid AND entity = token), nb AS (SELECT *, last_value(CASE WHEN e THEN place END IGNORE NULLS) OVER (PARTITION BY qid ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p, first_value(CASE WHEN e THEN place END IGNORE NULLS) OVER (PARTITION BY qid ORDER BY place ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS n FROM mk),
+        f"""WITH {_C}, mk AS (SELECT cx.*, en.entity IS NOT NULL AS e FROM cx LEFT JOIN en ON en.qid = cx.qid AND entity = token AND length(token) > 5), nb AS (SELECT *, last_value(CASE WHEN e THEN place END IGNORE NULLS) OVER (PARTITION BY qid ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p, first_value(CASE WHEN e THEN place END IGNORE NULLS) OVER (PARTITION BY qid ORDER BY place ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS n FROM mk),
 vt AS (SELECT nb.qid, nb.place, p, n, CASE WHEN nb.token = o.token THEN 1.0 ELSE 0.5 END::DOUBLE AS sim FROM nb JOIN (SELECT DISTINCT qid, token FROM qu) o ON o.qid = nb.qid AND left(o.token, 2) = left(nb.token, 2) WHERE NOT e),
 u AS (SELECT qid, place, p AS spot, sim FROM vt WHERE p IS NOT NULL UNION ALL SELECT qid, place, n, sim FROM vt WHERE n IS NOT NULL) SELECT u.qid, token AS entity, round(sum(sim / (1 + abs(spot - u.place))), 6) AS score FROM u JOIN cx ON cx.qid = u.qid AND cx.place = spot GROUP BY 1, 2""",
     ),

@@ -80,13 +80,13 @@ _SP = "sp AS (SELECT pair_id, side, var, string_agg(name, ' ' ORDER BY o, tok_id
 
 
 def type_relations(s, d):
-    t = table(s, d, "part").select("p_type").distinct()
-    both = t.select(F.col("p_type").alias("lhs")).join(t.select(F.col("p_type").alias("rhs")), F.lit(True))
+    t = table(s, d, "part").select("p_type", "p_brand").distinct()
+    both = t.select(F.col("p_type").alias("lhs"), "p_brand").join(t.select(F.col("p_type").alias("rhs"), "p_brand"), "p_brand").select("lhs", "rhs").distinct()
     kind = F.when(F.length("lhs") < F.length("rhs"), "hypernym").when(F.length("lhs") > F.length("rhs"), "hyponym").when(F.col("lhs") < F.col("rhs"), "synonym").otherwise("antonym")
     return both.filter("lhs <> rhs").withColumn("relation", kind)
 
 
-_TR = "ty AS (SELECT DISTINCT p_type AS t FROM part), tr AS (SELECT a.t AS lhs, b.t AS rhs, CASE WHEN length(a.t) < length(b.t) THEN 'hypernym' WHEN length(a.t) > length(b.t) THEN 'hyponym' WHEN a.t < b.t THEN 'synonym' ELSE 'antonym' END AS relation FROM ty a, ty b WHERE a.t <> b.t)"
+_TR = "ty AS (SELECT DISTINCT p_type AS t, p_brand AS br FROM part), tr AS (SELECT DISTINCT a.t AS lhs, b.t AS rhs, CASE WHEN length(a.t) < length(b.t) THEN 'hypernym' WHEN length(a.t) > length(b.t) THEN 'hyponym' WHEN a.t < b.t THEN 'synonym' ELSE 'antonym' END AS relation FROM ty a JOIN ty b ON a.br = b.br WHERE a.t <> b.t)"
 
 
 def with_pos(s, d):
@@ -177,8 +177,8 @@ _FA = "fa AS (SELECT l_orderkey, l_linenumber, l_partkey, l_quantity, CASE WHEN
 def _augment(s, d):
     t = table(s, d, "part").select(F.col("p_partkey").alias("id"), F.posexplode(F.split("p_name", " ")).alias("place", "token"))
     words = t.select(F.col("token").alias("word")).distinct()
-    syn = words.join(words.select(F.col("word").alias("synonym")), F.length("word") == F.length("synonym")).filter("word <> synonym")
-    return R.paraphrase_augment(t, syn, words)
+    parts = t.select("id", F.col("token").alias("word")).join(t.select("id", F.col("token").alias("synonym")), "id").filter("word <> synonym").select("word", "synonym").distinct()
+    return R.paraphrase_augment(t, parts, words)
 
 
 QUERIES = {
@@ -276,10 +276,18 @@ SELECT rule_id, lhs, rhs, round(score, 6) AS score FROM w WHERE ok""",
     ),
     "R24_paraphrase_augment": (
         _augment,
-        "WITH t AS (SELECT p_partkey AS id, unnest(range(len(w))) AS place, unnest(w) AS token FROM (SELECT p_partkey, string_split(p_name, ' ') AS w FROM part)), v AS (SELECT DISTINCT token AS word FROM t), c AS (SELECT t.id, t.place, coalesce(y.word, t.token) AS x FROM t LEFT JOIN v y ON length(y.word) = length(t.token) AND y.word <> t.token QUALIFY row_number() OVER (PARTITION BY t.id, t.place ORDER BY ('0x' || substr(md5('0:' || t.id || ':' || t.place || ':' || y.word), 1, 8))::BIGINT DESC, y.word DESC) = 1) SELECT id, string_agg(x, ' ' ORDER BY place) AS text FROM c GROUP BY 1",
+        "WITH t AS (SELECT p_partkey AS id, unnest(range(len(w))) AS place, unnest(w) AS token FROM (SELECT p_partkey, string_split(p_name, ' ') AS w FROM part)), y AS (SELECT DISTINCT a.token AS of, b.token AS word FROM t a JOIN t b USING (id) WHERE a.token <> b.token), c AS (SELECT t.id, t.place, coalesce(y.word, t.token) AS x FROM t LEFT JOIN y ON y.of = t.token QUALIFY row_number() OVER (PARTITION BY t.id, t.place ORDER BY ('0x' || substr(md5('0:' || t.id || ':' || t.place || ':' || y.word), 1, 8))::BIGINT DESC, y.word DESC) = 1) SELECT id, string_agg(x, ' ' ORDER BY place) AS text FROM c GROUP BY 1",
     ),
     "R25_constraint_table": (lambda s, d: R.satisfies_constraints(ruled(s, d), R.constraint_table(ruled(s, d).filter("label = 1 and size > 45"), "lhs", "size")).groupBy("lhs", "size").agg(F.count("*").alias("n")), f"WITH {_RU} SELECT lhs, size, count(*) AS n FROM ru WHERE (lhs, size) IN (SELECT (lhs, size) FROM ru WHERE label = 1 AND size > 45) GROUP BY 1, 2"),
-    "R26_search_alignment": (lambda s, d: rnd(R.search_alignment(cliques(s, d))), None),
+    "R26_search_alignment": (
+        lambda s, d: rnd(R.search_alignment(cliques(s, d)).select("qid", "weight")),
+        # The best weight for each set of the five targets, entity by entity.
+        """WITH RECURSIVE ac AS (SELECT l_orderkey // 8 AS qid, l_suppkey % 5 AS e, l_partkey % 5 AS t, max(round(l_discount, 2))::DOUBLE AS w FROM lineitem GROUP BY 1, 2, 3),
+mx AS (SELECT q.qid, e.e, list(coalesce(w, 0) ORDER BY t.t) AS ws FROM (SELECT DISTINCT qid FROM ac) q, (SELECT unnest(range(5)) AS e) e, (SELECT unnest(range(5)) AS t) t LEFT JOIN ac ON ac.qid = q.qid AND ac.e = e.e AND ac.t = t.t GROUP BY 1, 2),
+dp AS (SELECT DISTINCT qid, 0 AS k, list_transform(range(32), lambda m: 0::DOUBLE) AS best FROM ac
+  UNION ALL SELECT dp.qid, k + 1, list_transform(range(32), lambda m: greatest(best[m + 1], list_max(list_transform(range(5), lambda t: CASE WHEN (m >> t) & 1 = 1 THEN best[m - (1 << t) + 1] + ws[t + 1] ELSE 0 END)))) FROM dp JOIN mx ON mx.qid = dp.qid AND mx.e = k)
+SELECT qid, round(best[32], 6) + 0.0 AS weight FROM dp WHERE k = 5""",
+    ),
     "R27_path_rules": (
         lambda s, d: R.path_rules(paths(s, d, "O"), paths(s, d, "F"), R.match_entities(entities(s, d, "O"), entities(s, d, "F"), entities(s, d, "F").limit(0).select("pair_id", "name"))).select("pair_id", F.array_join("lhs_path", ">").alias("l"), F.array_join("rhs_path", ">").alias("r")),
         f"WITH {_EN}, {_PA}, m AS (SELECT DISTINCT h.pair_id, h.var AS hv, t.var AS tv FROM en h JOIN en t ON h.pair_id = t.pair_id AND t.st = 'F' AND h.name = t.name WHERE h.st = 'O' AND h.name <> 'male') SELECT DISTINCT h.pair_id, array_to_string(t.path, '>') AS l, array_to_string(h.path, '>') AS r FROM pa h JOIN m x ON x.pair_id = h.pair_id AND x.hv = h.a JOIN m y ON y.pair_id = h.pair_id AND y.hv = h.b JOIN pa t ON t.pair_id = h.pair_id AND t.st = 'F' AND t.a = x.tv AND t.b = y.tv WHERE h.st = 'O' AND len(h.path) BETWEEN 2 AND 5 AND len(t.path) BETWEEN 2 AND 5",

@@ -54,11 +54,11 @@ def soft_sets(s, d):
 
 def similar(s, d):
     t = table(s, d, "part").select("p_type").distinct()
-    return t.select(F.col("p_type").alias("e1")).join(t.select(F.col("p_type").alias("e2")), F.lit(True)).withColumn("truth", F.when(F.col("e1") == F.col("e2"), 1.0).when(F.length("e1") == F.length("e2"), 0.5).otherwise(0.1))
+    return t.select(F.col("p_type").alias("e1")).join(t.select(F.col("p_type").alias("e2")), F.length("e1") == F.length("e2")).withColumn("truth", F.when(F.col("e1") == F.col("e2"), 1.0).otherwise(0.5))
 
 
 _SETS = f"""WITH {_P}, sa AS (SELECT l.a2 AS id, p_type AS e, sum(s.truth / 100) AS d FROM sells s JOIN lives l ON l.a1 = s.a1 JOIN part ON p_partkey = s.a2 GROUP BY 1, 2), sb AS (SELECT w.a1 AS id, p_type AS e, sum(truth / 10) AS d FROM wants w JOIN part ON p_partkey = w.a2 GROUP BY 1, 2),
-ty AS (SELECT DISTINCT p_type AS t FROM part), si AS (SELECT a.t AS e1, b.t AS e2, CASE WHEN a.t = b.t THEN 1.0 WHEN length(a.t) = length(b.t) THEN 0.5 ELSE 0.1 END::DOUBLE AS truth FROM ty a, ty b),
+ty AS (SELECT DISTINCT p_type AS t FROM part), si AS (SELECT a.t AS e1, b.t AS e2, CASE WHEN a.t = b.t THEN 1.0 ELSE 0.5 END::DOUBLE AS truth FROM ty a JOIN ty b ON length(a.t) = length(b.t)),
 sm AS (SELECT a.id, sum(least(a.d, b.d) * truth) AS m, sum(a.d * b.d * truth) AS x, sum(truth) AS t, count(*) AS n FROM sa a JOIN si ON e1 = a.e JOIN sb b ON b.id = a.id AND b.e = e2 GROUP BY 1),
 z AS (SELECT id, coalesce(s1, 0) AS s1, coalesce(s2, 0) AS s2, coalesce(m, 0) AS m, coalesce(x, 0) AS x, coalesce(t, 0) AS t, coalesce(n, 0) AS n FROM (SELECT id FROM sa UNION SELECT id FROM sb) LEFT JOIN (SELECT id, sum(d) AS s1 FROM sa GROUP BY 1) USING (id) LEFT JOIN (SELECT id, sum(d) AS s2 FROM sb GROUP BY 1) USING (id) LEFT JOIN sm USING (id))"""
 
@@ -111,6 +111,16 @@ def _regional(s, d):
     return _trade(s, d).filter("truth > 0.3").join(seller, "a1")
 
 
+def _domain(s, d):
+    return table(s, d, "nation").select(F.col("n_regionkey").alias("problem"), F.col("n_nationkey").alias("entity"))
+
+
+def _asked(s, d):
+    """For each line item whether its seller's nation trades with the one its part's number names."""
+    x = table(s, d, "lineitem").join(table(s, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(table(s, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    return x.select("l_orderkey", "l_linenumber", "l_suppkey", F.col("n_regionkey").alias("problem"), F.col("n_nationkey").alias("a1"), (F.col("l_partkey") % 25).alias("a2"))
+
+
 def _inference(s, d):
     """One open atom for each nation: it wants parts as far as trade says, and most want little."""
     t = _trade(s, d).filter("a1 <> a2 and truth > 0.2")
@@ -185,9 +195,19 @@ SELECT S, X, N, round(coalesce(s.truth, 0), 6) AS truth1, round(coalesce(l.truth
     "P25_evid_set_min": _set("evid_min", "least(1, t)"),
     "P26_enough_support": _set("equality", "coalesce(m / nullif(greatest(s1, s2), 0), 0)", factor=0.002),
     "P27_close_world": (
-        lambda s, d: P.close_world(_regional(s, d), table(s, d, "nation").select(F.col("n_regionkey").alias("problem"), F.col("n_nationkey").alias("entity")), 2, table(s, d, "region").select(F.col("r_regionkey").alias("a1"))),
+        lambda s, d: P.close_world(_regional(s, d), _domain(s, d), 2, table(s, d, "region").select(F.col("r_regionkey").alias("a1"))),
         f"WITH {_T} SELECT x.n_regionkey AS problem, x.n_nationkey AS a1, y.n_nationkey AS a2, 0.0::DOUBLE AS truth FROM nation x JOIN nation y USING (n_regionkey) WHERE x.n_nationkey > 4 AND NOT EXISTS (SELECT 1 FROM t WHERE truth > 0.3 AND t.a1 = x.n_nationkey AND t.a2 = y.n_nationkey)",
     ),
+    "P27_closed_lookup": (
+        lambda s, d: rnd(P.closed_lookup(_asked(s, d), _regional(s, d), _domain(s, d), 2, table(s, d, "region").select(F.col("r_regionkey").alias("a1")))),
+        f"""WITH {_T}, f AS (SELECT n_regionkey AS problem, a1, a2, truth FROM t JOIN nation ON n_nationkey = a1 WHERE truth > 0.3),
+a AS (SELECT l_orderkey, l_linenumber, l_suppkey, n_regionkey AS problem, n_nationkey AS a1, l_partkey % 25 AS a2 FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey)
+SELECT l_orderkey, l_linenumber, l_suppkey, a.problem, a.a1, a.a2, round(coalesce(f.truth, CASE WHEN a.a1 > 4 AND n.n_nationkey IS NOT NULL THEN 0.0 END), 6) AS truth FROM a LEFT JOIN f ON f.a1 = a.a1 AND f.a2 = a.a2 AND f.problem = a.problem LEFT JOIN nation n ON n.n_regionkey = a.problem AND n.n_nationkey = a.a2""",
+    ),
+    "P27_closed_counts": (
+        lambda s, d: P.closed_counts(_regional(s, d), _domain(s, d), 2, table(s, d, "region").select(F.col("r_regionkey").alias("a1"))),
+        f"WITH {_T} SELECT x.n_regionkey AS problem, count(*) FILTER (x.n_nationkey > 4 AND NOT EXISTS (SELECT 1 FROM t WHERE truth > 0.3 AND t.a1 = x.n_nationkey AND t.a2 = y.n_nationkey)) AS negative FROM nation x JOIN nation y USING (n_regionkey) GROUP BY 1",
+    ),
     "P28_propagate_constants": (
         lambda s, d: P.propagate_constants(*_constants(s, d)),
         # Nation k takes what k - 1 and k - 2 share, so one walk over the nations closes the sets.

@@ -12,7 +12,7 @@ _W = "list_filter(string_split_regex(lower({}), '[^a-z]+'), lambda w: w <> '')"
 
 
 def sides(s, d):
-    """id, side, word of sentence pairs, the first 30 words of a side's short texts."""
+    """id, left, right: the words of sentence pairs."""
     p = pairs(s, d).select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), letters(F.col("text_a")).alias("left"), letters(F.col("text_b")).alias("right"))
     return p
 
@@ -27,15 +27,15 @@ def rules(s, d):
 
 
 def vectors(s, d):
-    """(word, dim, w): how often a letter stands in the word, of words with an even number of letters."""
-    t = table(s, d, "conversations").select(F.explode(letters(F.col("text"))).alias("word")).distinct().filter("length(word) % 2 = 0")
+    """(word, dim, w): how often a letter stands in the word."""
+    t = table(s, d, "conversations").select(F.explode(letters(F.col("text"))).alias("word")).distinct()
     return t.select("word", F.explode(F.filter(F.split("word", ""), lambda c: c != "")).alias("dim")).groupBy("word", "dim").agg(F.count("*").cast("double").alias("w"))
 
 
 _BASE = f"""WITH {PAIRS_SQL}, p AS (SELECT conv_id * 100 + turn AS id, {_W.format('text_a')} AS l, {_W.format('text_b')} AS r FROM pairs),
 sd AS (SELECT id, 'left' AS side, unnest(l) AS word FROM p UNION ALL SELECT id, 'right', unnest(r) FROM p),
 vw AS (SELECT DISTINCT unnest({_W.format('text')}) AS word FROM conversations),
-ve AS (SELECT word, dim, count(*)::DOUBLE AS w FROM (SELECT word, unnest(string_split(word, '')) AS dim FROM vw WHERE length(word) % 2 = 0) GROUP BY 1, 2)"""
+ve AS (SELECT word, dim, count(*)::DOUBLE AS w FROM (SELECT word, unnest(string_split(word, '')) AS dim FROM vw) GROUP BY 1, 2)"""
 
 
 def _cos(a, b, both="0"):
@@ -111,10 +111,10 @@ QUERIES = {
     ),
     "V05_compose_max": (lambda s, d: rnd(V.compose_max(left(s, d), vectors(s, d))), _BASE + " SELECT id, dim, max(w) AS w FROM (SELECT id, word FROM sd WHERE side = 'left') JOIN ve USING (word) GROUP BY 1, 2"),
     "V06_weight_by_word_and_context": (
-        lambda s, d: rnd(V.weight_by_word_and_context(rules(s, d), left(s, d).filter("length(word) > 4").select("id", "word"), vectors(s, d))),
+        lambda s, d: rnd(V.weight_by_word_and_context(rules(s, d), long_sides(s, d).select("id", "word"), vectors(s, d))),
         _BASE
         + _LR
-        + ", cc AS (SELECT id, dim, sum(w) AS w FROM (SELECT DISTINCT id, word FROM sd WHERE side = 'left' AND length(word) > 4) JOIN ve USING (word) GROUP BY 1, 2), r1 AS (WITH "
+        + ", cc AS (SELECT id, dim, sum(w) AS w FROM (SELECT DISTINCT id, word FROM sd) JOIN ve USING (word) GROUP BY 1, 2), r1 AS (WITH "
         + _cos("ca", "cb").replace("round(", "(").replace(", 6) + 0.0 AS score", ") AS score")
         + "), r2 AS (WITH "
         + _cos("cc", "cb").replace("round(", "(").replace(", 6) + 0.0 AS score", ") AS score")
