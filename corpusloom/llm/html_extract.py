@@ -33,6 +33,11 @@ _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>",
     re.S,
 )
+#: The same where quotes don't pair up: a tag ends at the next ">".
+_PLAIN_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>", re.S)
+#: Tags with a quote that stays open to the end of the page; after so many all tags of the page end at the next ">".
+_LOOSE_TAGS = 8
+_OPEN = re.compile(r"<!--|<!\[CDATA\[")
 _ATTRIBUTE = re.compile(r"([a-zA-Z_:-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 _WORDS = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
@@ -116,6 +121,9 @@ class Page:
         none = frozenset()
         root = self._node("html", -1, none)
         stack: list[tuple[str, int]] = [("html", root)]  # blocks with their node, inline elements with -1
+        where: dict[str, list[int]] = {"html": [0]}  # by name the places in the stack
+        owners = [(0, root)]  # places and nodes of blocks
+        walls = [0]  # places of blocks that end tags of inline elements don't reach beyond
         run: list[str] = []
         links = linked = 0
         block = root
@@ -128,13 +136,32 @@ class Page:
                     self._node("#", block, none, text, min(linked, len(text)))
                 run, linked = [], 0
 
+        def push(tag: str, node: int) -> None:
+            nonlocal links
+            where.setdefault(tag, []).append(len(stack))
+            if node >= 0:
+                owners.append((len(stack), node))
+                if tag != "p":
+                    walls.append(len(stack))
+            links += node < 0 and tag == "a"
+            stack.append((tag, node))
+
         def pop_to(place: int) -> None:
+            """Ends the elements from this place on; each is looked at once in all."""
             nonlocal links, block
-            if any(n >= 0 for _, n in stack[place:]):
+            if owners[-1][0] >= place:
                 flush()
-            links -= sum(t == "a" for t, _ in stack[place:])
-            del stack[place:]
-            block = next(n for _, n in reversed(stack) if n >= 0)
+            while len(stack) > place:
+                tag, node = stack.pop()
+                where[tag].pop()
+                links -= node < 0 and tag == "a"
+            for open_ in (owners, walls):
+                while (open_[-1][0] if open_ is owners else open_[-1]) >= place:
+                    open_.pop()
+            block = owners[-1][1]
+
+        def last(names: frozenset[str] | set[str]) -> int:
+            return max((where[n][-1] for n in names if where.get(n)), default=-1)
 
         def add(piece: str) -> None:
             nonlocal linked
@@ -144,26 +171,32 @@ class Page:
                 if links:
                     linked += len(text)
 
-        at = 0
+        at = loose = 0
+        end = source.rfind(">") + 1  # what is open there is no tag
         search = _TAG.search
-        while m := search(source, at):
+        while m := search(source, at, end):
             add(source[at : m.start()])
             at = m.end()
-            name = m[2] or m[5]
+            if search == _TAG.search:
+                closing, name, attributes = m[1] or m[4], m[2] or m[5], m[3] or m[6] or ""
+                loose += m[5] is not None
+                search = _PLAIN_TAG.search if loose >= _LOOSE_TAGS else search
+            else:
+                closing, name, attributes = m[1], m[2], m[3] or ""
             if not name:
                 if m[0].startswith("<![CDATA["):
-                    add(m[0][9:-3])
+                    add(m[0][9:-3] if m[0].endswith("]]>") else m[0][9:] + source[at:])
+                    at = at if m[0].endswith("]]>") else len(source)
+                elif m[0].startswith("<!--") and not m[0].endswith("-->"):
+                    at = len(source)
                 continue
             tag = name.lower()
-            if m[1] or m[4]:
+            if closing:
                 if tag == "br":
                     run.append(" ")
-                for place in range(len(stack) - 1, 0, -1):
-                    if stack[place][0] == tag:
-                        pop_to(place)
-                        break
-                    if tag not in BLOCK and stack[place][1] >= 0 and stack[place][0] != "p":
-                        break
+                place = last({tag})
+                if place > (0 if tag in BLOCK else walls[-1]):
+                    pop_to(place)
                 continue
             if tag in VOID:
                 if tag == "br":
@@ -171,40 +204,32 @@ class Page:
                 elif tag == "hr":
                     flush()
                 continue
-            attributes = m[3] or m[6] or ""
             if tag in RAW:
                 if not attributes.endswith("/"):
-                    end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(source, at)
-                    at = end.end() if end else len(source)
+                    closed = re.compile(rf"</{tag}\b[^>]*>", re.I).search(source, at, end)
+                    at = closed.end() if closed else len(source)
                 continue
             if tag not in BLOCK:
-                if tag == "head":
-                    continue
-                stack.append((tag, -1))
-                links += tag == "a"
+                if tag != "head":
+                    push(tag, -1)
                 continue
-            if tag == "html" or (tag == "body" and any(t == "body" for t, _ in stack)):
+            if tag == "html" or (tag == "body" and where.get("body")):
                 continue
             flush()
-            if tag not in _KEEPS_P:
-                for place in range(len(stack) - 1, 0, -1):
-                    if stack[place][0] == "p":
-                        pop_to(place)
-                        break
-                    if stack[place][0] in _SHIELDS_P:
-                        break
+            if tag not in _KEEPS_P and last({"p"}) > last(_SHIELDS_P):
+                pop_to(last({"p"}))
             if tag in ENDS:
                 closed, shields = ENDS[tag]
-                for place in range(len(stack) - 1, 0, -1):
-                    if stack[place][0] in shields:
+                while last(closed) > max(0, last(shields)):
+                    pop_to(last(closed))
+                    if tag not in ("tr", "tbody"):
                         break
-                    if stack[place][0] in closed:
-                        pop_to(place)
-                        if tag not in ("tr", "tbody"):
-                            break
             block = self._node(tag, block, _kinds(attributes))
-            stack.append((tag, block))
-        add(source[at:])
+            push(tag, block)
+        rest = source[at:]
+        if opened := _OPEN.search(rest):
+            rest = rest[: opened.start()] + (rest[opened.end() :] if opened[0] != "<!--" else "")
+        add(rest)
         flush()
 
 
