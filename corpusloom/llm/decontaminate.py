@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import table
+from corpusloom.llm.common import cut, table
 
 Q = 8
 STEP = 4
@@ -279,8 +279,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Rows of ``docs`` that hold no benchmark passage, in all their columns."""
-    for items in _blocks(benchmark):
+    """Rows of ``docs`` that hold no benchmark passage, in all their columns.
+
+    Each block of items has a job of its own, so that a task holds the index of one block; what is left after it is written.
+    Null and empty texts hold none; repeated rows stay or go together.
+    """
+    for k, items in enumerate(_blocks(benchmark)):
+        docs = docs if k == 0 else cut(docs)
         docs = docs.filter(F.size(_matches(docs.sparkSession, items, one=True)(F.col("text"))) == 0)
     return docs
 
