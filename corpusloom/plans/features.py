@@ -102,7 +102,15 @@ QUERIES = {
     "F08_logistic": (lambda s, d: hits(X.logistic(labelled(s, d), _COLS, "y"), s, d), None),
     "F09_one_vs_rest": (lambda s, d: hits(X.one_vs_rest(labelled(s, d), _COLS, "c"), s, d, "c"), None),
     "F10_svm": (lambda s, d: hits(X.svm(labelled(s, d), _COLS, "y"), s, d), None),
-    "F11_reduce_dimensions": (lambda s, d: X.reduce_dimensions(labelled(s, d), _COLS, 2).select("l_orderkey", F.round(F.abs(vector_to_array("reduced")[0]), 3).alias("first")), None),
+    "F11_reduce_dimensions": (
+        lambda s, d: X.reduce_dimensions(labelled(s, d), _COLS, 2).select("l_orderkey", F.round(F.abs(vector_to_array("reduced")[0]), 3).alias("first")),
+        # The first direction of the covariances, by repeated multiplication.
+        """WITH RECURSIVE c AS (SELECT var_pop(l_quantity) AS xx, var_pop(l_discount) AS yy, var_pop(l_tax) AS zz, covar_pop(l_quantity, l_discount) AS xy, covar_pop(l_quantity, l_tax) AS xz, covar_pop(l_discount, l_tax) AS yz FROM lineitem),
+p AS (SELECT 0 AS i, 1.0::DOUBLE AS x, 0.0::DOUBLE AS y, 0.0::DOUBLE AS z UNION ALL
+  SELECT i + 1, a / n, b / n, d / n FROM (SELECT i, a, b, d, sqrt(a * a + b * b + d * d) AS n FROM (SELECT i, xx * x + xy * y + xz * z AS a, xy * x + yy * y + yz * z AS b, xz * x + yz * y + zz * z AS d FROM p, c WHERE i < 60))),
+v AS (SELECT x, y, z FROM p WHERE i = 60)
+SELECT l_orderkey, round(abs(l_quantity * x + l_discount * y + l_tax * z), 3) AS first FROM lineitem, v""",
+    ),
     "F12_scaled": (lambda s, d: rnd(X.scaled(li(s, d).select("l_orderkey", "l_linenumber", "l_suppkey", "l_quantity"), ["l_quantity"])), "SELECT l_orderkey, l_linenumber, l_suppkey, l_quantity, round((l_quantity - avg(l_quantity) OVER ()) / stddev_samp(l_quantity) OVER (), 6) + 0.0 AS z_l_quantity FROM lineitem"),
     "F13_concat_feature_sets": (lambda s, d: rnd(X.concat_feature_sets([vecs(s, d, 0), vecs(s, d, 1)]).select("id", F.size("features").alias("n"), F.aggregate("features", F.lit(0.0), lambda a, x: a + x).alias("total"))), "SELECT vec_id AS id, 6 AS n, round(list_sum(list_transform(embedding[1:6], lambda x: x::DOUBLE)), 6) + 0.0 AS total FROM embeddings"),
     "F14_chain_decode": (
@@ -114,6 +122,12 @@ QUERIES = {
         lambda s, d: rnd(X.similarity_regressors([li(s, d).groupBy(F.col("l_orderkey").alias("id")).agg(F.avg(c).alias("value")) for c in ("l_tax", "l_discount")] + [table(s, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("value"))], ["tax", "discount", "price"])),
         "SELECT o_orderkey AS id, round(coalesce(t, 0), 6) AS tax, round(coalesce(c, 0), 6) AS discount, round(o_totalprice, 6) AS price FROM orders LEFT JOIN (SELECT l_orderkey, avg(l_tax) AS t, avg(l_discount) AS c FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey",
     ),
-    "E21_regression_ensemble": (_ensemble, None),
-    "E23_cross_validate": (_cross, None),
+    "E21_regression_ensemble": (
+        _ensemble,
+        # Two slopes by the normal equations; a constant doesn't change a correlation.
+        """WITH x AS (SELECT l_orderkey AS k, sum(l_quantity)::DOUBLE AS q, avg(l_discount)::DOUBLE AS a, sum(l_extendedprice)::DOUBLE AS y FROM lineitem GROUP BY 1), h AS (SELECT quantile_cont(k, 0.5) AS h FROM x),
+m AS (SELECT covar_pop(q, y) AS qy, covar_pop(a, y) AS ay, covar_pop(q, a) AS qa, var_pop(q) AS qq, var_pop(a) AS aa FROM x, h WHERE k <= h)
+SELECT round(corr((qy * aa - ay * qa) * q + (ay * qq - qy * qa) * a, y), 4) AS r FROM x, h, m WHERE k > h""",
+    ),
+    "E23_cross_validate": (_cross, "SELECT (('0x' || substr(md5('0:' || l_orderkey), 1, 8))::BIGINT % 2)::INT AS fold, count(*) AS n FROM lineitem GROUP BY 1"),
 }

@@ -55,8 +55,8 @@ QUERIES = {
     "S05_dim_index": (lambda s, d: S.dim_index(_vec("sparse")(s, d)), "SELECT dim, (row_number() OVER (ORDER BY dim) - 1)::INT AS index FROM (SELECT DISTINCT p_brand AS dim FROM part)"),
     "S06_interleaved_vectors": (_vec("interleaved"), "SELECT p_name AS word, p_brand AS dim, p_size::DOUBLE AS w FROM part UNION ALL SELECT p_name, p_type, p_partkey::DOUBLE FROM part"),
     "S07_detect_vector_format": (
-        lambda s, d: (x := line(s, d, "p_name", "p_brand", "p_size", t="part")).select(F.lit(S.detect_vector_format(x.first()["value"])).alias("format")).distinct(),
-        "SELECT DISTINCT 'sparse' AS format FROM part",
+        lambda s, d: line(s, d, "p_name", "p_brand", "p_size", t="part").unionByName(line(s, d, "p_name", "p_size", "p_retailprice", t="part")).groupBy(S.vector_format(F.col("value")).alias("format")).agg(F.count("*").alias("n")),
+        "SELECT 'sparse' AS format, count(*) AS n FROM part UNION ALL SELECT 'dense', count(*) FROM part",
     ),
     "S11_read_named_rules": (
         lambda s, d: S.parse_named_rules(line(s, d, "p_partkey", "p_size", "p_brand", t="part").unionByName(table(s, d, "part").select(F.lit("p_partkey\tw\tgsw").alias("value")).distinct()), "p_partkey\tw\tgsw", ["p_partkey", "w", "gsw"]),

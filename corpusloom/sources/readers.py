@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from corpusloom.operators.corpus import dense_ids
+
 
 def read_tsv(spark: SparkSession, path: str, schema: str, header: bool = False, sep: str = "\t") -> DataFrame:
     return spark.read.csv(path, sep=sep, schema=schema, header=header, quote="")
@@ -50,6 +51,14 @@ def parse_vectors(lines: DataFrame, kind: str) -> DataFrame:
     return lines.filter(F.size(rest) > 1).select(parts[0].alias("word"), F.explode(paired).alias("x")).select("word", "x.dim", "x.w")
 
 
+def vector_format(line: Column) -> Column:
+    """What detect_vector_format says, of each line where it is; null for a null."""
+    fields = F.split(F.rtrim(line), "\t")
+    rest = F.slice(fields, F.lit(2), F.size(fields))
+    number = lambda x: F.trim(x).try_cast("double").isNotNull()
+    return F.when(F.forall(rest, number), "dense").when(F.size(fields) == 3, "sparse").when(line.isNotNull(), "interleaved")
+
+
 def detect_vector_format(first_line: str) -> str:
     """dense if all fields after the word are numbers, sparse if there are three fields, else interleaved."""
 
@@ -74,8 +83,9 @@ def read_vectors(spark: SparkSession, path: str, kind: str | None = None) -> Dat
 
 
 def dim_index(vectors: DataFrame) -> DataFrame:
-    """(dim, index): dims of a vector table numbered from 0 by name; the dims of a space are few."""
-    return vectors.select("dim").distinct().withColumn("index", F.row_number().over(W.orderBy("dim")) - 1)
+    """(dim, index): dims of a vector table numbered from 0 by name, within ranges of names."""
+    ids = dense_ids(vectors.select(F.col("dim").alias("value")).distinct().withColumn("n", F.lit(1).cast("long")))
+    return ids.select(F.col("value").alias("dim"), (F.col("id") - 1).cast("int").alias("index"))
 
 
 def read_rules(spark: SparkSession, path: str) -> DataFrame:
