@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from corpusloom.operators.loops import cut, dealt
+
 
 def restrict(vectors: DataFrame, words: DataFrame) -> DataFrame:
     """Vectors of ``words(word)``, or of their lower-cased forms."""
@@ -179,6 +182,54 @@ def difference_pieces(pairs: DataFrame) -> DataFrame:
     return pairs.select("id", F.explode(pieces("left", "right")).alias("p")).select("id", "p.left", "p.right")
 
 
+#: near_words: words a bucket holds on average, and the share of near pairs that meet in one.
+BUCKET, RECALL = 256, 0.97
+
+
+def hyperplane_buckets(vectors: DataFrame, least: float, words: int, seed: int = 0) -> tuple[DataFrame, int, int]:
+    """(word, sketch, band, bucket) of ``vectors(word, dim, w)``, the bits of a bucket, and the number of bands.
+
+    A bit tells on which side of a random hyperplane a vector lies, whose coefficient for a dim is 1 or -1 by a hash. Two
+    vectors with cosine ``least`` agree in a bit with probability 1 - angle / pi. A bucket has as many bits as spread
+    ``words`` over buckets of BUCKET, and there are as many bands as let RECALL of such pairs share one.
+    """
+    bits = max(1, math.ceil(math.log2(max(2.0, words / BUCKET))))
+    agree = (1 - math.acos(min(1.0, least)) / math.pi) ** bits
+    bands = max(1, math.ceil(math.log(1 - RECALL) / math.log(1 - agree))) if agree < 1 else 1
+    whole = vectors.groupBy("word").agg(F.collect_list(F.struct("dim", F.col("w").cast("double").alias("w"))).alias("v"))
+    side = lambda band, bit: F.aggregate("v", F.lit(0.0), lambda s, x: s + F.when(F.pmod(F.xxhash64(F.lit(seed), x["dim"], band, bit), F.lit(2)) == 0, x["w"]).otherwise(-x["w"])) > 0
+    bucket = lambda band, n: F.aggregate(F.sequence(F.lit(0), F.lit(n - 1)), F.lit(0).cast("long"), lambda s, bit: F.shiftleft(s, 1).bitwiseOR(side(band, bit).cast("long")))
+    sketched = whole.withColumn("sketch", bucket(F.lit(-1), 64))
+    keyed = sketched.select("word", "sketch", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda band: bucket(band, bits))).alias("band", "bucket"))
+    return keyed, bits, bands
+
+
+def near_words(vectors: DataFrame, least: float = 0.8, seed: int = 0) -> DataFrame:
+    """(word, other, sim): pairs of different words whose vectors ``(word, dim, w)`` have a cosine of ``least`` or more.
+
+    Words meet in buckets of random hyperplanes; a pair whose sketches of 64 more differ in more bits than 2.5 standard
+    deviations over what ``least`` lets expect is left out, all others are compared exactly. RECALL is about how many of the
+    pairs at ``least`` are found, and nearer ones are found more often. Of a bucket with many words parts meet, so that no task compares more
+    than two parts. Words without a vector are near none.
+    """
+    rows = cut(vectors.filter("w <> 0").groupBy("word", "dim").agg(F.sum("w").alias("w")))
+    words = rows.select("word").distinct().count()
+    keyed, _, _ = hyperplane_buckets(rows, least, words, seed)
+    keyed = cut(keyed)
+    sizes = keyed.groupBy("band", "bucket").agg(F.ceil(F.count("*") / (4 * BUCKET)).alias("parts"))
+    sized = keyed.join(sizes, ["band", "bucket"])
+    left = dealt(sized, "word", F.col("parts"), F.col("parts"), "i", "j").select("band", "bucket", "i", "j", "word", "sketch")
+    right = dealt(sized, "word", F.col("parts"), F.col("parts"), "j", "i").select("band", "bucket", "i", "j", F.col("word").alias("other"), F.col("sketch").alias("others"))
+    turn = math.acos(min(1.0, least)) / math.pi
+    most = math.ceil(64 * turn + 2.5 * math.sqrt(64 * turn * (1 - turn)))
+    alike = F.bit_count(F.col("sketch").bitwiseXOR(F.col("others"))) <= most
+    pairs = left.join(right, ["band", "bucket", "i", "j"]).filter(F.col("word") < F.col("other")).filter(alike).select("word", "other").distinct()
+    unit_ = unit(rows)
+    sims = pairs.join(unit_, "word").join(unit_.select(F.col("word").alias("other"), "dim", F.col("w").alias("x")), ["other", "dim"]).groupBy("word", "other").agg(F.sum(F.col("w") * F.col("x")).alias("sim"))
+    near = sims.filter(F.col("sim") >= least - 1e-12)
+    return near.unionByName(near.select(F.col("other").alias("word"), F.col("word").alias("other"), "sim"))
+
+
 def difference_cosine(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
     """(id, score): cosine of the composed differing tokens of both sides; two empty differences give 1."""
     diff = token_difference(pairs)

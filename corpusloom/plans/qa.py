@@ -6,7 +6,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusloom.operators import qa as Q
+from corpusloom.operators import vectors as V
 from corpusloom.plans.inputs import PAIRS_SQL, letters, pairs, r6
+from corpusloom.plans.vectors import letter_pairs
 
 
 def rnd(df):
@@ -52,6 +54,14 @@ def _embed(s, d):
     return rnd(Q.embed_proximity(context, question, similar, entities))
 
 
+def _near(s, d):
+    """Words are near by their pairs of letters; each is near itself."""
+    context, question, entities = parts(s, d)
+    near = V.near_words(letter_pairs(s, d), 0.9).select(F.col("word").alias("token"), "other", "sim")
+    same = context.select("token").distinct().select("token", F.col("token").alias("other"), F.lit(1.0).alias("sim"))
+    return rnd(Q.embed_proximity(context, question, near.unionByName(same), entities.filter("length(entity) > 5")))
+
+
 def _bow(s, d):
     context, question, entities = parts(s, d)
     sentences = context.withColumn("sentence", F.floor(F.col("place") / 8))
@@ -74,6 +84,7 @@ QUERIES = {
 vt AS (SELECT nb.qid, nb.place, p, n, CASE WHEN nb.token = o.token THEN 1.0 ELSE 0.5 END::DOUBLE AS sim FROM nb JOIN (SELECT DISTINCT qid, token FROM qu) o ON o.qid = nb.qid AND left(o.token, 2) = left(nb.token, 2) WHERE NOT e),
 u AS (SELECT qid, place, p AS spot, sim FROM vt WHERE p IS NOT NULL UNION ALL SELECT qid, place, n, sim FROM vt WHERE n IS NOT NULL) SELECT u.qid, token AS entity, round(sum(sim / (1 + abs(spot - u.place))), 6) AS score FROM u JOIN cx ON cx.qid = u.qid AND cx.place = spot GROUP BY 1, 2""",
     ),
+    "Q02_embed_proximity_near_words": (_near, None),
     "Q03_bow_overlap": (
         _bow,
         f"WITH {_C}, ct AS (SELECT token, count(*) AS n FROM cx GROUP BY 1), st AS (SELECT *, place // 8 AS sentence FROM cx), sh AS (SELECT DISTINCT st.qid, sentence, token FROM st JOIN qu USING (qid, token)), ss AS (SELECT qid, sentence, sum((SELECT sum(n) FROM ct) / n::DOUBLE) AS s FROM sh JOIN ct USING (token) GROUP BY 1, 2), he AS (SELECT st.qid, sentence, arg_min(token, place) AS entity FROM st JOIN en ON en.qid = st.qid AND entity = token GROUP BY 1, 2) SELECT qid, entity FROM ss JOIN he USING (qid, sentence) QUALIFY row_number() OVER (PARTITION BY qid ORDER BY round(s, 9) DESC, sentence) = 1",

@@ -32,6 +32,13 @@ def vectors(s, d):
     return t.select("word", F.explode(F.filter(F.split("word", ""), lambda c: c != "")).alias("dim")).groupBy("word", "dim").agg(F.count("*").cast("double").alias("w"))
 
 
+def letter_pairs(s, d):
+    """(word, dim, w): how often two letters stand next to each other in the word, its ends included."""
+    t = table(s, d, "conversations").select(F.explode(letters(F.col("text"))).alias("word")).distinct().withColumn("x", F.concat(F.lit("^"), "word", F.lit("$")))
+    pairs_ = t.select("word", F.explode(F.transform(F.sequence(F.lit(1), F.length("x") - 1), lambda i: F.substring("x", i, F.lit(2)))).alias("dim"))
+    return pairs_.groupBy("word", "dim").agg(F.count("*").cast("double").alias("w"))
+
+
 _BASE = f"""WITH {PAIRS_SQL}, p AS (SELECT conv_id * 100 + turn AS id, {_W.format('text_a')} AS l, {_W.format('text_b')} AS r FROM pairs),
 sd AS (SELECT id, 'left' AS side, unnest(l) AS word FROM p UNION ALL SELECT id, 'right', unnest(r) FROM p),
 vw AS (SELECT DISTINCT unnest({_W.format('text')}) AS word FROM conversations),
