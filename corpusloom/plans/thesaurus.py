@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusloom.operators import thesaurus as T
+from corpusloom.operators.loops import cut
 from corpusloom.plans.inputs import RELATIONS_SQL, r6, relations, table
 
 COUNTS_SQL = (
@@ -72,7 +73,7 @@ MEASURE_SQL = {
 
 
 def weighed(spark, sf):
-    return T.optimise(T.weigh(T.relation_counts(relations(spark, sf)))).persist()
+    return cut(T.optimise(T.weigh(T.relation_counts(relations(spark, sf)))))
 
 
 def _weights(*names):

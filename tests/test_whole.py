@@ -73,7 +73,7 @@ def test_components_and_groups_over_all_sales(run, sales):
 
 
 def test_products_over_all_words(spark, sf_dir, run, pairs):
-    known = {w for x in spark.read.parquet(f"{sf_dir}/conversations.parquet").collect() for w in words(x.text) if len(w) % 2 == 0}
+    known = {w for x in spark.read.parquet(f"{sf_dir}/conversations.parquet").collect() for w in words(x.text)}
     want = {}
     for conv, turn, text, _ in pairs:
         vectors = [collections.Counter(w) for w in set(words(text)) & known]
@@ -88,16 +88,16 @@ def test_products_over_all_words(spark, sf_dir, run, pairs):
 
 def test_answers_from_whole_texts(run, pairs):
     scores, features, bow, embed = {}, {}, {}, collections.Counter()
-    asked = [(f"{c}-{t}", words(a), words(b)) for c, t, a, b in pairs if len(words(a)) > 2]
+    asked = [(f"{c}-{t}", words(a), words(b)) for c, t, a, b in pairs]
     counts = collections.Counter(w for _, _, a in asked for w in a)
     for qid, q, a in asked:
         places = collections.defaultdict(list)
         for i, w in enumerate(a):
             places[w].append(i)
-        entities = {w for w in a if len(w) > 5}
+        entities, names = set(a), {w for w in a if len(w) > 5}
         for e in entities:
             scores[qid, e] = sum(max(1 / (1 + abs(x - y - 1 + i)) for x in places[e] for y in places[w]) for i, w in enumerate(q) if i != 1 and w in places)
-            beside = lambda off: int(any(0 <= x + off < len(a) and a[x + off] == q[1 + off] for x in places[e]))  # noqa: B023, E731
+            beside = lambda off: int(any(0 <= x + off < len(a) and 1 + off < len(q) and a[x + off] == q[1 + off] for x in places[e]))  # noqa: B023, E731
             features[qid, e] = (True, e in q[:1] + q[2:], len(places[e]), places[e][0], beside(-1), beside(1))
         best = []
         for k in range(0, len(a), 8):
@@ -107,9 +107,9 @@ def test_answers_from_whole_texts(run, pairs):
                 best.append((-round(sum(counts.total() / counts[w] for w in shared), 9), k, held[0]))
         if best:
             bow[qid] = min(best)[2]
-        at = [i for i, w in enumerate(a) if w in entities]
+        at = [i for i, w in enumerate(a) if w in names]
         for i, w in enumerate(a):
-            if w not in entities:
+            if w not in names:
                 sim = sum(1.0 if w == o else 0.5 for o in set(q) if o[:2] == w[:2])
                 for spot in ([max(x for x in at if x < i)] if at and at[0] < i else []) + ([min(x for x in at if x > i)] if at and at[-1] > i else []):
                     if sim:
@@ -120,12 +120,12 @@ def test_answers_from_whole_texts(run, pairs):
     assert close({(x.qid, x.entity): x.score for x in run("Q02_embed_proximity")}, embed)
     assert {x.qid: x.entity for x in run("Q03_bow_overlap")} == bow
     assert {(x.qid, x.entity): (x["exists"], x.in_question, x.frequency, x["first"], x.left, x.right) for x in run("Q04_candidate_features")} == features
-    names = collections.defaultdict(list)
+    named = collections.defaultdict(list)
     for qid, e in scores:
-        names[qid].append(e)
-    order = {qid: sorted(es, key=lambda e: (-round(scores[qid, e], 6), e)) for qid, es in names.items()}
-    right = {qid: min(es, key=lambda e: (len(e), e)) for qid, es in names.items()}
-    compat = {qid: min(es, key=lambda e: (-round(scores[qid, e], 6), e != right[qid], e)) for qid, es in names.items()}
+        named[qid].append(e)
+    order = {qid: sorted(es, key=lambda e: (-round(scores[qid, e], 6), e)) for qid, es in named.items()}
+    right = {qid: min(es, key=lambda e: (len(e), e)) for qid, es in named.items()}
+    compat = {qid: min(es, key=lambda e: (-round(scores[qid, e], 6), e != right[qid], e)) for qid, es in named.items()}
     assert {x.qid: x.entity for x in run("Q05_pick_answer")} == {k: v[0] for k, v in order.items()}
     assert {x.qid: x.entity for x in run("Q05_pick_answer_compat")} == compat
     ranks = collections.Counter(order[k].index(right[k]) + 1 for k in order)
@@ -175,17 +175,21 @@ def test_rules_over_all_tokens_and_whole_phrases(spark, tmp_path):
     given = [("we go", f"and {phrase} said he"), ("the cat sat", "we go to the old mill by"), (f"some {phrase}", f"x {phrase}"), ("to be", "a dog"), ("", "mill")]
     rows = [(k, t, role, x[t]) for k, x in enumerate(given) for t, role in enumerate(("user", "assistant"))]
     spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
-    items = [(0, phrase), (1, "A dog!"), (2, "the"), (3, "mill by"), (4, "go to the"), (5, "to the old mill by the"), (6, "...")]
+    items = [(0, phrase), (1, "A dog!"), (2, "the"), (3, "mill by"), (4, "go to the"), (5, "to the old mill by the"), (6, "..."), (7, "we go")]
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    spark.createDataFrame([(i, [1.0, float(i)]) for i in range(7)], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    spark.createDataFrame([(i, [1.0, float(i)]) for i in range(8)], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
     run = lambda name: plans.queries()[name](spark, str(tmp_path)).collect()
     hits = lambda column, parity: {(100 * k, i // 2) for k, x in enumerate(given) for i, t in items if i % 2 == parity and set(words(x[column])) & set(words(t))}
     inside = lambda text, t: bool(words(t)) and any(words(text)[i : i + len(words(t))] == words(t) for i in range(len(words(text))))
     assert {tuple(x) for x in run("R01_match_any_token")} == hits(0, 0)
     assert {(x.pair_id, x.rule_id) for x in run("R02_match_both_sides")} == hits(0, 0) & hits(1, 1)
     assert {(x.pair_id, x.rule_id) for x in run("R03_match_exact_phrase")} == {(100 * k, i) for k, x in enumerate(given) for i, t in items if inside(x[1], t)}
-    # After "some" the first word doesn't count, so the whole phrase isn't in that text.
-    left = lambda text: " ".join(w for i, w in enumerate(words(text)) if i == 0 or words(text)[i - 1] != "some")
-    want = {(100 * k, i, j) for k, x in enumerate(given) for i, t in items for j, u in items if i != j and inside(left(x[0]), t) and inside(left(x[1]), u)}
+
+    def found(text, item):
+        """A run of two of the item's words stands in the text, not right after "some"."""
+        w, v = words(text), words(item)
+        return any(w[p : p + 2] == v[q : q + 2] and (p == 0 or w[p - 1] != "some") for q in range(len(v) - 1) for p in range(len(w) - 1))
+
+    want = {(100 * k, i, j) for k, x in enumerate(given) for i, t in items for j, u in items if i != j and found(x[0], t) and found(x[1], u)}
     got = {(x.pair_id, x.lhs_id, x.rhs_id) for x in run("R06_phrase_pair_scores")}
-    assert got == want and (200, 5, 0) in got and not any(x[:2] == (200, 0) for x in got)
+    assert got == want and (200, 5, 0) in got and (0, 7, 0) in got and not any(x[:2] == (200, 7) for x in got)
