@@ -1,29 +1,39 @@
 """Substring dedup by MinHash banding of paragraphs.
 
-Shared passages start and end anywhere in a line, so lines don't line up between documents.
-Paragraphs are therefore WORDS words long and start at anchors: of any SPAN places in a row the
-one with the least hash of its word and the word after. WORDS + SPAN - 1 = 25 words in a row that
-two documents share have an anchor, and so a whole paragraph, in common; a passage of 51 words is
-found whichever one of its words is changed. A text of fewer words than a paragraph is one, if it
-has a shingle. All paragraphs are compared as wholes, and those that are the least of REACH places,
-one at least in 51 words, by their five-word shingles too: BANDS MinHash bands of ROWS values,
-tuned for recall (at similarity 0.8 a pair shares one with probability 0.98). Paragraphs with the
-same words are one from there on. Those that share a band with another, and whose bitmaps don't
-rule it out, are compared by the exact Jaccard similarity of their shingle sets, within tasks that
-return a spanning forest of links. Components of links are classes, and of a class the first
-paragraph by document and place stays, whole: what is to go never includes a word of it. A class
-must span documents: what only repeats within one is no reason to remove it.
+Shared passages start and end anywhere in a line, so lines don't line up between documents. Both
+kinds of paragraph therefore start at anchors: of any so many places in a row the one with the least
+hash of its word and the word after.
+
+Runs are WORDS words and start at one of any SPAN places. WORDS + SPAN - 1 = 25 words in a row that
+two documents share have a whole run in common. They are compared as wholes only. A shorter text,
+of one word even, is one run.
+
+Passages are LENGTH words and start at one of any REACH places; a shorter text of at least a shingle
+is one passage. One changed word anywhere in a passage leaves a Jaccard similarity of 0.8 of its
+five-word shingles. They are compared by BANDS MinHash bands of ROWS values, tuned for recall (at
+similarity 0.8 a pair shares one with probability 0.98). Those that share a band with another, and
+whose bitmaps don't rule it out, are compared by exact Jaccard similarity of shingle sets, within
+tasks that return a spanning forest of links.
+
+Equal runs are classes, and so are the components of links between passages. Of a class the first
+paragraph by document and place stays: what is to go never includes a word of a first run, and of a
+first passage only runs that stay whole elsewhere. A class must span documents: what only repeats within one is no reason to remove it. Runs that go and stand in
+the same order in one text that holds their first places are one stretch with what lies between
+them, as long as the words between are few enough for a word edit similarity of 0.8: so a changed
+word, and the short ends beside it that hold no run, go with the copy around them.
 """
 
 from __future__ import annotations
 
 import functools
+import itertools
 import re
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,16 +43,18 @@ from corpusloom.llm.components import components
 
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
-#: Words of a paragraph; places in a row of which one is an anchor; and of which one's shingles are compared.
-WORDS, SPAN, REACH = 16, 10, 36
-#: Of paragraphs at similarity 0.8, 1 - (1 - 0.8 ** ROWS) ** BANDS = 0.983 share a band, of those at 0.9 0.999.
+#: Words of a run, and places in a row of which one starts a run.
+WORDS, SPAN = 16, 10
+#: Words of a passage, and places in a row of which one starts a passage.
+LENGTH, REACH = 50, 36
+#: Of passages at similarity 0.8, 1 - (1 - 0.8 ** ROWS) ** BANDS = 0.983 share a band, of those at 0.9 0.999.
 BANDS, ROWS = 4, 2
 #: Paragraphs that share a band are compared all with all up to here; beyond, within finer groups that lose no pair.
 ALL_PAIRS = 64
 #: Up to here they are compared as plain sets, which is quicker than arrays.
 FEW = 12
-#: At most 2 ** FILTER_BITS bits mark the paragraphs that a later pass over the documents is to send on.
-FILTER_BITS = 26
+#: Up to so many marks (8 MB) are sent to all executors; more meet their documents by a shuffle.
+SENT = 1 << 20
 
 #: Marks of a band that are compared in one task; those of larger bands are dealt to parts, and each two parts meet.
 BLOCK = 4096
@@ -54,13 +66,13 @@ SLICE_CHARS, PIECE = 300_000, 50_000
 #: Longer words have a hash of their own kind.
 LONG = 4096
 
-_SHINGLES = WORDS - SHINGLE_WORDS + 1
+_SHINGLES = LENGTH - SHINGLE_WORDS + 1
 #: Sets that reach SIMILARITY differ in fewer shingles than this, so of this many parts one is left untouched.
 _PARTS = 2 * (_SHINGLES - int(np.ceil(SIMILARITY / (1 + SIMILARITY) * 2 * _SHINGLES))) + 1
-#: Paragraphs of one text that start so few words apart may still be similar.
+#: Passages of one text that start so few words apart may still be similar.
 _SHIFT = int(_SHINGLES * (1 - SIMILARITY) / (1 + SIMILARITY))
 _SEEDS = np.random.default_rng(8).integers(1, 1 << 63, size=(BANDS * ROWS, 2), dtype=np.uint64) | np.uint64(1)
-_WEIGHTS = np.random.default_rng(9).integers(1, 1 << 63, size=WORDS, dtype=np.uint64) | np.uint64(1)
+_WEIGHTS = np.random.default_rng(9).integers(1, 1 << 63, size=LENGTH, dtype=np.uint64) | np.uint64(1)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -98,25 +110,24 @@ def word_hashes(words: list[str]) -> np.ndarray:
     return np.concatenate(out)
 
 
-def _least(value: np.ndarray, text: np.ndarray, spans: tuple[int, ...]) -> Iterator[np.ndarray]:
-    """For each of rising ``spans`` the places of the least of so many values in a row, the first of equal ones.
+def _least(value: np.ndarray, text: np.ndarray, span: int) -> np.ndarray:
+    """The places of the least of ``span`` values in a row, the first of equal ones.
 
     ``text`` has the text of each value; of a text with fewer values their least counts.
     """
     at, least, width = np.arange(len(value)), value, 1
     edges = np.flatnonzero(np.append(True, np.diff(text) != 0)) if len(text) else text
     sizes = np.diff(np.append(edges, len(text)))
-    for span in spans:
-        while width < span and len(at):
-            step = min(width, span - width)
-            less = least[step:] < least[:-step]
-            at, least = np.where(less, at[step:], at[:-step]), np.minimum(least[step:], least[:-step])
-            width += step
-        chosen = np.zeros(len(value), dtype=bool)
-        chosen[at[text[: len(at)] == text[span - 1 :]]] = True
-        for edge, size in zip(edges[sizes < span].tolist(), sizes[sizes < span].tolist(), strict=True):
-            chosen[edge + value[edge : edge + size].argmin()] = True
-        yield np.flatnonzero(chosen)
+    while width < span and len(at):
+        step = min(width, span - width)
+        less = least[step:] < least[:-step]
+        at, least = np.where(less, at[step:], at[:-step]), np.minimum(least[step:], least[:-step])
+        width += step
+    chosen = np.zeros(len(value), dtype=bool)
+    chosen[at[text[: len(at)] == text[span - 1 :]]] = True
+    for edge, size in zip(edges[sizes < span].tolist(), sizes[sizes < span].tolist(), strict=True):
+        chosen[edge + value[edge : edge + size].argmin()] = True
+    return np.flatnonzero(chosen)
 
 
 def _thinned(at: np.ndarray, marks: np.ndarray, text: np.ndarray, span: int) -> np.ndarray:
@@ -128,33 +139,47 @@ def _thinned(at: np.ndarray, marks: np.ndarray, text: np.ndarray, span: int) ->
     return chain | np.append(True, np.diff(step) != 0)
 
 
-def paragraphs(words: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of texts with ``counts`` words, one after the other in ``words``, the paragraphs.
+Paragraphs = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+Span = tuple[int, int, int]
+Place = tuple[int, int, int, bool, int, int]
 
-    Each one's text, where in ``words`` it starts, its mark (a hash of its words in order), and whether
-    its shingles are compared.
+
+def _paragraphs(words: np.ndarray, counts: np.ndarray, length: int, span: int, fewest: int) -> Paragraphs:
+    """Of texts with ``counts`` words, one after the other in ``words``, the paragraphs of ``length`` words.
+
+    Each one's text, where in ``words`` it starts, its mark (a hash of its words in order) and its words.
     """
     first = np.cumsum(counts) - counts
-    places = np.maximum(counts - WORDS + 1, 0)
+    places = np.maximum(counts - length + 1, 0)
     text = np.repeat(np.arange(len(counts)), places)
     place = np.arange(len(text)) + np.repeat(first - np.cumsum(places) + places, places)
     rank = _mix(words[place] * _MIX + words[place + 1]) if len(place) else np.empty(0, dtype=np.uint64)
-    anchors, few = _least(rank, text, (SPAN, REACH))
-    compared = np.zeros(len(place), dtype=bool)
-    compared[few] = True
-    text, start, compared = text[anchors], place[anchors], compared[anchors]
-    mark = _mix((words[start[:, None] + np.arange(WORDS)] * _WEIGHTS).sum(axis=1) + np.uint64(WORDS))
+    anchors = _least(rank, text, span)
+    text, start = text[anchors], place[anchors]
+    mark = _mix((words[start[:, None] + np.arange(length)] * _WEIGHTS[:length]).sum(axis=1) + np.uint64(length))
     if len(mark):
-        compared[compared] = _thinned(start[compared], mark[compared], text[compared], REACH)
-        kept = _thinned(start, mark, text, SPAN) | compared
-        text, start, mark, compared = text[kept], start[kept], mark[kept], compared[kept]
-    short = np.flatnonzero((counts >= SHINGLE_WORDS) & (counts < WORDS))
+        kept = _thinned(start, mark, text, span)
+        text, start, mark = text[kept], start[kept], mark[kept]
+    short = np.flatnonzero((counts >= fewest) & (counts < length))
     whole = np.array([_mix(np.array([(words[first[i] : first[i] + counts[i]] * _WEIGHTS[: counts[i]]).sum() + np.uint64(counts[i])]))[0] for i in short], dtype=np.uint64)
-    return np.append(text, short), np.append(start, first[short]), np.append(mark, whole), np.append(compared, np.ones(len(short), dtype=bool))
+    text = np.append(text, short)
+    return text, np.append(start, first[short]), np.append(mark, whole), np.minimum(counts, length)[text]
+
+
+def runs(words: np.ndarray, counts: np.ndarray) -> Paragraphs:
+    """The runs; their marks are even."""
+    text, start, mark, size = _paragraphs(words, counts, WORDS, SPAN, 1)
+    return text, start, mark & ~np.uint64(1), size
+
+
+def passages(words: np.ndarray, counts: np.ndarray) -> Paragraphs:
+    """The passages; their marks are odd."""
+    text, start, mark, size = _paragraphs(words, counts, LENGTH, REACH, SHINGLE_WORDS)
+    return text, start, mark | np.uint64(1), size
 
 
 def shingles(words: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """A row of shingle hashes for each paragraph; those of one with few words end in repeats of the last."""
+    """A row of shingle hashes for each passage; those of one with few words end in repeats of the last."""
     m = len(words) - SHINGLE_WORDS + 1
     value = np.zeros(max(m, 0), dtype=np.uint64)
     for i in range(SHINGLE_WORDS if m > 0 else 0):
@@ -170,7 +195,7 @@ def _slices(batch: pa.RecordBatch) -> Iterator[tuple[list[tuple[int, str]], np.n
     chars = 0
     for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
         own = text.lower().split()
-        if len(own) >= SHINGLE_WORDS:
+        if own:
             rows.append((doc_id, text))
             counts.append(len(own))
             words += own
@@ -192,15 +217,17 @@ def bands_of(sets: np.ndarray) -> np.ndarray:
     return band
 
 
-def _distinct(batch: pa.RecordBatch, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Marks of a batch's paragraphs that are compared by shingles, each once, and these; of those in the filter ``wanted`` only, if given."""
+def _distinct(batch: pa.RecordBatch, asked: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Marks of a batch's passages, each once, and their shingles; of those among ``asked`` only, if given."""
     marks, sets = [np.empty(0, dtype=np.uint64)], [np.empty((0, _SHINGLES), dtype=np.uint64)]
     for _, words, counts in _slices(batch):
-        text, start, mark, compared = paragraphs(words, counts)
-        if wanted is not None:
-            compared &= _inside(mark, wanted)
-        marks.append(mark[compared])
-        sets.append(shingles(words, start[compared], np.minimum(counts[text[compared]], WORDS)))
+        _, start, mark, size = passages(words, counts)
+        if asked is not None:
+            among = np.isin(mark, asked)
+            start, mark, size = start[among], mark[among], size[among]
+        mark, first = np.unique(mark, return_index=True)
+        marks.append(mark)
+        sets.append(shingles(words, start[first], size[first]))
     different, first = np.unique(np.concatenate(marks), return_index=True)
     return different, np.concatenate(sets)[first]
 
@@ -264,56 +291,37 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pack(held[:, near_in_band(*held)])
 
 
-def _filter(marks: DataFrame) -> np.ndarray:
-    """Bits, two for each of ``marks(mark)``: what has both set may be one of them, what has not is none.
-
-    Its size is bounded whatever the input's; a fuller one only lets more through.
-    """
-    bits = min(FILTER_BITS, max(16, (16 * marks.count()).bit_length()))
-    spot = F.explode(F.array(F.col("mark").bitwiseAND((1 << bits) - 1), F.shiftrightunsigned("mark", 32).bitwiseAND((1 << bits) - 1)))
-    words = marks.select(spot.alias("spot")).groupBy(F.shiftright("spot", 6).alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(spot & 63 as int)))").alias("bits")).toArrow()
-    out = np.zeros((1 << bits) // 64, dtype=np.uint64)
-    out[words.column("at").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
-    return out
-
-
-def _inside(marks: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    low, out = np.uint64(64 * len(wanted) - 1), np.ones(len(marks), dtype=bool)
-    for spot in (marks & low, marks >> np.uint64(32) & low):
-        out &= (wanted[(spot >> np.uint64(6)).astype(np.int64)] >> (spot & np.uint64(63)) & np.uint64(1)).astype(bool)
-    return out
-
-
-def _codes(wanted: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows (mark, codes), each once a batch, of the marks in a filter; codes are the shingles' hashes."""
+def _codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (doc_id, text, marks) as (mark, codes) of passages with one of the marks, each once a batch; codes are the shingles' hashes."""
+    for batch in batches:
+        asked = pa.compute.list_flatten(batch.column("marks")).to_numpy(zero_copy_only=False).view(np.uint64)
+        with np.errstate(over="ignore"):
+            marks, sets = _distinct(batch, asked)
+        yield pa.RecordBatch.from_arrays([pa.array(marks.view(np.int64)), pa.array([x.tobytes() for x in sets], pa.binary())], names=["mark", "codes"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            with np.errstate(over="ignore"):
-                marks, sets = _distinct(batch, wanted)
-            yield pa.RecordBatch.from_arrays([pa.array(marks.view(np.int64)), pa.array([x.tobytes() for x in sets], pa.binary())], names=["mark", "codes"])
 
-    return run
+def _both(words: np.ndarray, counts: np.ndarray) -> Iterator[np.ndarray]:
+    """Runs and passages: text, start, mark and words."""
+    with np.errstate(over="ignore"):
+        return (np.append(a, b) for a, b in zip(runs(words, counts), passages(words, counts), strict=True))
 
 
-def _places(wanted: np.ndarray | None = None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows (doc_id, text_crc, start, words, mark) of paragraphs, of those in a filter if given; start and words count words."""
+def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (mark, doc_id) of runs and passages."""
+    for batch in batches:
+        for rows, words, counts in _slices(batch):
+            text, _, mark, _ = _both(words, counts)
+            yield pa.RecordBatch.from_arrays([pa.array(mark.view(np.int64)), pa.array(np.array([i for i, _ in rows], dtype=np.int64)[text])], names=["mark", "doc_id"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for rows, words, counts in _slices(batch):
-                with np.errstate(over="ignore"):
-                    text, start, mark, _ = paragraphs(words, counts)
-                if wanted is not None:
-                    inside = _inside(mark, wanted)
-                    text, start, mark = text[inside], start[inside], mark[inside]
-                ids, crcs = np.array([i for i, _ in rows], dtype=np.int64), np.zeros(len(rows), dtype=np.int64)
-                for i in np.unique(text).tolist():
-                    crcs[i] = zlib.crc32(rows[i][1].encode())
-                columns = ids[text], crcs[text], (start - (np.cumsum(counts) - counts)[text]).astype(np.int32), np.minimum(counts, WORDS)[text].astype(np.int32), mark.view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["doc_id", "text_crc", "start", "words", "mark"])
 
-    return run
+def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (doc_id, text_crc, start, words, mark) of runs and passages; start and words count words."""
+    for batch in batches:
+        for rows, words, counts in _slices(batch):
+            text, start, mark, size = _both(words, counts)
+            ids, crcs = (np.array(x, dtype=np.int64) for x in ([i for i, _ in rows], [zlib.crc32(t.encode()) for _, t in rows]))
+            columns = ids[text], crcs[text], (start - (np.cumsum(counts) - counts)[text]).astype(np.int32), size.astype(np.int32), mark.view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["doc_id", "text_crc", "start", "words", "mark"])
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -346,15 +354,12 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def similar(held: dict[int, bytes]) -> list[tuple[int, int]]:
     """Links of marks whose shingle sets reach SIMILARITY, as a spanning forest.
 
-    A mark's value has all shingles' hashes, of three or of eight bytes each.
+    A mark's value has all shingles' hashes, of eight bytes each.
     """
     if len(held) <= FEW:
         return _similar_few(held)
     marks = np.fromiter(held, dtype=np.int64, count=len(held))
-    raw = np.frombuffer(b"".join(held.values()), dtype=np.uint8).reshape(len(marks), _SHINGLES, -1)
-    wide = np.zeros((len(marks), _SHINGLES, 8), dtype=np.uint8)
-    wide[:, :, : raw.shape[2]] = raw
-    codes = np.sort(wide.view("<i8")[:, :, 0], axis=1)
+    codes = np.sort(np.frombuffer(b"".join(held.values()), dtype="<i8").reshape(len(marks), _SHINGLES), axis=1)
     first = np.concatenate([np.ones((len(marks), 1), dtype=bool), np.diff(codes, axis=1) != 0], axis=1)
     if len(marks) <= ALL_PAIRS:
         groups = [np.arange(len(marks))]
@@ -407,10 +412,19 @@ def placed(met: DataFrame, block: int = BLOCK) -> DataFrame:
     return dealt.withColumn("other", F.explode(other)).select(key.alias("band"), "mark")
 
 
-def links(docs: DataFrame) -> DataFrame:
-    """Links ``(a, b)`` between marks of different paragraphs that share a band and are similar."""
-    met = cut(docs.mapInArrow(_bands, "band long, mark long, bits long").repartition("band").sortWithinPartitions("band", "mark").mapInArrow(_met, "band long, mark long"))
-    codes = docs.mapInArrow(_codes(_filter(met.select("mark").distinct())), "mark long, codes binary").dropDuplicates(["mark"])
+def met_in_bands(docs: DataFrame) -> DataFrame:
+    """``(band, mark)`` of passages that share a band with one that may be similar."""
+    return docs.mapInArrow(_bands, "band long, mark long, bits long").repartition("band").sortWithinPartitions("band", "mark").mapInArrow(_met, "band long, mark long")
+
+
+def links(docs: DataFrame, met: DataFrame, sites: DataFrame) -> DataFrame:
+    """Links ``(a, b)`` between marks of passages that share a band in ``met(band, mark)`` and are similar.
+
+    ``sites(mark, doc_id)`` names a document that holds each, of which the shingles are read.
+    """
+    asked = cut(sites.groupBy("doc_id").agg(F.collect_list("mark").alias("marks")))
+    few = (asked.agg(F.sum(F.size("marks"))).first()[0] or 0) <= SENT
+    codes = docs.join(F.broadcast(asked) if few else asked, "doc_id").mapInArrow(_codes, "mark long, codes binary").dropDuplicates(["mark"])
     return placed(met).join(codes, "mark").select("band", "mark", "codes").repartition("band").sortWithinPartitions("band").mapInArrow(_compare, "a long, b long")
 
 
@@ -421,53 +435,114 @@ def repeated(docs: DataFrame) -> DataFrame:
     end_word (of the text's words by white space, end exclusive), class_id (the smallest of the
     row's classes; a class is named by the hash of one of its paragraphs), removed. Rows with removed
     false are first places, by doc_id and start, of classes, and what overlaps these; touching ones are
-    one row. Rows with removed true are the other places less the first ones, and less the few words on
-    either side by which a paragraph can be shifted and still be similar: a class's first place stays
-    whole. A document whose repeats all lie within first places has no such row. Rows without doc_id,
-    null texts and those under five words hold no paragraph. Rows that share an id are one
-    document; repeated rows count once. Other columns are not read.
+    one row. First runs stay whole; of first passages those runs go that stand whole elsewhere. Rows with removed true are the other places, and the few words between those of one
+    stretch, less the first ones, and less the few words at either end of a passage by which it can be shifted and still be similar, so that words around it
+    stay with their text. A document whose repeats all lie
+    within first places has no such row. Rows without doc_id, null texts and those without a word hold
+    no paragraph. Rows that share an id are one document; repeated rows count once. Other columns are
+    not read.
     """
     docs = docs.select("doc_id", "text").filter("doc_id is not null and text is not null")
-    joined = cut(components(links(docs)).withColumnRenamed("node", "mark"))
-    schema = "doc_id long, text_crc long, start int, words int, mark long"
+    passage = F.col("mark").bitwiseAND(1) == 1
+    met = cut(met_in_bands(docs))
     # Combined before the shuffle: a paragraph with a third of all places is a row a task here.
-    spread = docs.mapInArrow(_places(), schema).groupBy("mark").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low <> high").select("mark")
+    held = docs.mapInArrow(_marks, "mark long, doc_id long").groupBy("mark").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
+    near = met.select("mark").distinct().withColumn("met", F.lit(True))
+    shared = cut(held.join(near, "mark", "left").filter(F.when(passage, F.col("met")).otherwise(F.col("low") != F.col("high"))).select("mark", F.col("low").alias("doc_id")))
+    joined = components(links(docs, met, shared.filter(passage)))
     # What many places are joined with is written first, so that Spark can split a hot paragraph's or class's rows.
-    named = cut(spread.join(joined, "mark", "full").select("mark", F.coalesce("component", "mark").alias("class_id")))
-    places = docs.mapInArrow(_places(_filter(named.select("mark"))), schema)
+    named = cut(joined.select(F.col("node").alias("mark"), F.col("component").alias("class_id")).unionByName(shared.filter(~passage).select("mark", F.col("mark").alias("class_id"))))
+    places = docs.mapInArrow(_places, "doc_id long, text_crc long, start int, words int, mark long")
     classed = cut(places.join(named, "mark").select("doc_id", "text_crc", "start", "words", "class_id"))
     at = F.shiftleft(F.col("start").cast("long"), 32).bitwiseOR(F.col("text_crc"))
     firsts = classed.groupBy("class_id", "doc_id").agg(F.min(at).alias("at"))
     ends = firsts.groupBy("class_id").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.min_by("at", "doc_id").alias("first"))
     classes = cut(ends.filter("low <> high").select("class_id", F.col("low").alias("first_doc"), F.col("first").alias("first_at")))
+    first_start, first_crc = F.shiftright("first_at", 32), F.col("first_at").bitwiseAND(0xFFFFFFFF)
     # Paragraphs that overlap may be of one class; in its first document those that overlap the first place stay with it.
-    same_text = (F.col("doc_id") == F.col("first_doc")) & (at.bitwiseAND(0xFFFFFFFF) == F.col("first_at").bitwiseAND(0xFFFFFFFF))
-    removed = ~(same_text & (F.col("start") < F.shiftright("first_at", 32) + WORDS))
-    return _spans(classed.join(classes, "class_id").select("doc_id", "text_crc", "start", "words", "class_id", removed.alias("removed")))
-
-
-def runs_of(places: list[tuple[int, int, int, bool]]) -> list[tuple[int, int, int, bool]]:
-    """Places (start, end, class, removed) of a text as runs: what stays, and what goes less what stays."""
-    out = []
-    kept: list[list[int]] = []
-    for gone in (False, True):
-        now = None
-        for start, end, name, _ in sorted(p for p in places if p[3] == gone):
-            if now and start <= now[1]:
-                now[1], now[2] = max(now[1], end), min(now[2], name)
-            else:
-                now = [start, end, name]
-                (out if gone else kept).append(now)
-    rows = [(a, b, c, False) for a, b, c in kept]
-    for start, end, name in out:
-        for a, b in [(a - _SHIFT, b + _SHIFT) for a, b, _ in kept]:
-            if b > start and a < end:
-                if a > start:
-                    rows.append((start, a, name, True))
-                start = b
+    same_text = (F.col("doc_id") == F.col("first_doc")) & (F.col("text_crc") == first_crc)
+    removed = ~(same_text & (F.col("start") < first_start + F.col("words")))
+    there, ahead = F.xxhash64("first_doc", first_crc).alias("there"), (F.col("start") - first_start).cast("int").alias("ahead")
+    return _spans(classed.join(classes, "class_id").select("doc_id", "text_crc", "start", "words", "class_id", removed.alias("removed"), there, ahead))
+
+
+def stretches(places: list[Place]) -> list[Span]:
+    """Removed runs (start, end, class, removed, there, ahead) of a text as (start, end, class).
+
+    Runs whose first places stand in the same order in the text ``there``, each so many words
+    ``ahead``, are joined with the words between them as long as these, here or there, are so few that
+    the stretch and its counterpart have a word edit similarity of SIMILARITY or more.
+    """
+    out: list[list[int]] = []
+    now = None  # start, end, class; the other text, where it starts and ends there; words that differ at most
+    for start, end, name, _, there, ahead in sorted(places):
+        low, high = start - ahead, end - ahead
+        if now and now[3] == there:
+            here, beyond = start - now[1], low - now[5]
+            edits = now[6] + (max(here, beyond) if here > 0 or here != beyond else 0)
+            if here == beyond <= 0 or min(here, beyond) >= 0 and edits <= (1 - SIMILARITY) * min(end - now[0], high - now[4]):
+                now[1], now[2], now[5], now[6] = max(now[1], end), min(now[2], name), max(now[5], high), edits
+                continue
+        now = [start, end, name, there, low, high, 0]
+        out.append(now)
+    return [(a, b, c) for a, b, c, *_ in out]
+
+
+def runs_of(places: list[Place]) -> list[tuple[int, int, int, bool]]:
+    """Places (start, end, class, removed, there, ahead) of a text as spans: what stays, and what goes.
+
+    First runs stay whole. Runs that go are equal to one of these, so they go from first passages too; all
+    else that goes leaves out first passages.
+    """
+    equal = [p for p in places if p[3] and not p[2] & 1]
+    first = _union([p[:3] for p in places if not p[3] and not p[2] & 1])
+    kept = _union([p[:3] for p in places if not p[3]])
+    gone = _less(_union([p[:3] for p in equal]), first)
+    rest = _less(_union(_trimmed([p[:3] for p in places if p[3] and p[2] & 1]) + stretches(equal)), kept)
+    return sorted([(*x, False) for x in _less(kept, gone)] + [(*x, True) for x in _union(gone + rest)])
+
+
+def _less(spans: list[Span], taken: list[Span]) -> list[Span]:
+    """Spans (start, end, class) less those taken; both are sorted and don't overlap."""
+    out, k = [], 0
+    for start, end, name in spans:
+        while k < len(taken) and taken[k][1] <= start:
+            k += 1
+        for a, b, _ in itertools.takewhile(lambda x: x[0] < end, itertools.islice(taken, k, None)):
+            if a > start:
+                out.append((start, a, name))
+            start = max(start, b)
         if start < end:
-            rows.append((start, end, name, True))
-    return sorted(rows)
+            out.append((start, end, name))
+    return out
+
+
+def _trimmed(spans: list[Span]) -> list[Span]:
+    """Removed passages (start, end, class) of a text less the words that may be the text's own.
+
+    Passages that are shifted by a few words are similar still, so as many at either end may be; and those of a
+    class that overlap may be similar to one another only, so what they share counts. Whole texts have no end to trim.
+    """
+    out: list[list[int]] = []
+    for start, end, name in sorted(spans, key=lambda x: (x[2], x[0], x[1])):
+        if out and out[-1][2] == name and start < out[-1][1]:
+            out[-1][:2] = max(out[-1][0], start), min(out[-1][1], end)
+        else:
+            out.append([start, end, name])
+    whole = {x for x in spans if x[1] - x[0] < LENGTH}
+    out = [x if tuple(x) in whole else [x[0] + _SHIFT, x[1] - _SHIFT, x[2]] for x in out]
+    return [(a, b, c) for a, b, c in out if a < b]
+
+
+def _union(spans: list[Span]) -> list[Span]:
+    """Spans (start, end, class) sorted, with those that overlap or touch as one, by the smallest class."""
+    out: list[Span] = []
+    for start, end, name in sorted(spans):
+        if out and start <= out[-1][1]:
+            out[-1] = out[-1][0], max(out[-1][1], end), min(out[-1][2], name)
+        else:
+            out.append((start, end, name))
+    return out
 
 
 def _spans(hits: DataFrame) -> DataFrame:
@@ -477,7 +552,7 @@ def _spans(hits: DataFrame) -> DataFrame:
         now, held, last = None, [], None
         for batch in batches:
             out = []
-            for row in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text_crc", "start", "words", "class_id", "removed")), strict=True):
+            for row in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text_crc", "start", "words", "class_id", "removed", "there", "ahead")), strict=True):
                 if row[:2] != now:
                     out += [(*now, *r) for r in runs_of(held)] if held else []
                     now, held = row[:2], []

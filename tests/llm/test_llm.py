@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import difflib
 import hashlib
 import itertools
 import json
@@ -474,7 +475,7 @@ def test_one_of_each_component_stays(spark, real, awkward):
 
 def test_similar_keeps_what_all_pairs_connect(monkeypatch):
     r = random.Random(9)
-    base = [r.randrange(1 << 24) for _ in range(30)]
+    base = [r.randrange(1 << 24) for _ in range(60)]
     held = {}
     for m in range(300):
         start = r.randrange(8)
@@ -504,20 +505,19 @@ def test_similar_keeps_what_all_pairs_connect(monkeypatch):
     assert groups(substring_dedup.similar(held)) == want
 
 
-def test_edited_paragraphs_share_a_band():
+def test_edited_passages_share_a_band():
     r = np.random.default_rng(12)
-    n, found, pairs = substring_dedup.WORDS, 0, 0
+    n, found, pairs = substring_dedup.LENGTH, 0, 0
     with np.errstate(over="ignore"):
         for edited in range(n):
-            for _ in range(500):
+            for _ in range(100):
                 a = r.integers(0, 2**63, n, dtype=np.uint64)
                 b = a.copy()
                 b[edited] += np.uint64(1)
                 both = [substring_dedup.shingles(x, np.array([0]), np.array([n])) for x in (a, b)]
-                if len(np.intersect1d(*both)) >= substring_dedup.SIMILARITY * len(np.union1d(*both)):
-                    pairs += 1
-                    found += (substring_dedup.bands_of(both[0]) == substring_dedup.bands_of(both[1])).any()
-    assert pairs == 500 * sum(e < 1 or e >= n - 1 for e in range(n)) and found / pairs >= 0.98
+                pairs += len(np.intersect1d(*both)) >= substring_dedup.SIMILARITY * len(np.union1d(*both))
+                found += (substring_dedup.bands_of(both[0]) == substring_dedup.bands_of(both[1])).any()
+    assert pairs == 100 * n and found / pairs >= 0.98
 
 
 def test_near_marks_of_bands_over_batches(monkeypatch):
@@ -537,24 +537,23 @@ def test_near_marks_of_bands_over_batches(monkeypatch):
     assert len(some) < len({x[:2] for x in rows})
 
 
-def test_links_equal_all_pairs_that_share_a_band(spark):
+def test_links_equal_all_pairs_that_share_a_band(spark, monkeypatch):
     r = random.Random(14)
     word = lambda: "".join(r.choice("abdeilnorst") for _ in range(r.randint(2, 8)))
-    base = [word() for _ in range(90)]
+    base = [word() for _ in range(300)]
     texts = []
     for _ in range(60):
         words = list(base)
-        for _ in range(r.randrange(6)):
-            words[r.randrange(90)] = word()
+        for _ in range(r.randrange(9)):
+            words[r.randrange(300)] = word()
         texts.append(" ".join(words))
     sets = {}
     with np.errstate(over="ignore"):
         for text in texts:
             words = substring_dedup.word_hashes(text.lower().split())
-            _, starts, _, compared = substring_dedup.paragraphs(words, np.array([len(words)]))
-            for start in starts[compared]:
-                row = substring_dedup.shingles(words, np.array([start]), np.array([substring_dedup.WORDS]))
-                sets[tuple(words[start : start + substring_dedup.WORDS].tolist())] = (set(row[0].tolist()), set(substring_dedup.bands_of(row)[0].tolist()))
+            for start in substring_dedup.passages(words, np.array([len(words)]))[1]:
+                row = substring_dedup.shingles(words, np.array([start]), np.array([substring_dedup.LENGTH]))
+                sets[tuple(words[start : start + substring_dedup.LENGTH].tolist())] = (set(row[0].tolist()), set(substring_dedup.bands_of(row)[0].tolist()))
     values = list(sets.values())
     near = [(i, j) for i, j in itertools.combinations(range(len(values)), 2) if len(values[i][0] & values[j][0]) >= 0.8 * len(values[i][0] | values[j][0])]
     parent = list(range(len(values)))
@@ -568,8 +567,14 @@ def test_links_equal_all_pairs_that_share_a_band(spark):
         if values[i][1] & values[j][1]:
             parent[root(i)] = root(j)
     want = sorted(n for n in map([root(i) for i in range(len(values))].count, range(len(values))) if n > 1)
-    got = components.components(substring_dedup.links(docs(spark, texts))).groupBy("component").count().collect()
-    assert near and sorted(x["count"] for x in got) == want
+    table = docs(spark, texts).select("doc_id", "text")
+    sites = table.mapInArrow(substring_dedup._marks, "mark long, doc_id long").filter("mark & 1 = 1").dropDuplicates(["mark"])
+    for sent in (substring_dedup.SENT, 0):
+        monkeypatch.setattr(substring_dedup, "SENT", sent)
+        links = substring_dedup.links(table, substring_dedup.met_in_bands(table), sites)
+        assert ("BroadcastHashJoin" in links._jdf.queryExecution().toString()) == (sent > 0)
+        got = components.components(links).groupBy("component").count().collect()
+        assert near and sorted(x["count"] for x in got) == want
 
 
 def test_large_bands_are_split_without_loss(spark):
@@ -615,23 +620,84 @@ def test_passages_with_one_changed_word_are_found(spark):
     assert {x.doc_id for x in got if x.removed} == set(range(1, 204, 2))
 
 
+def test_near_copies_are_found_and_covered(spark):
+    """Against the words that both texts share in order, found by difflib, not by the code's own paragraphs."""
+    r = random.Random(22)
+    word = lambda: "".join(r.choice("abdeilnorst") for _ in range(r.randint(3, 9)))
+    prose = lambda n: [word() for _ in range(n)]
+    pairs = []
+    while len(pairs) < 150:
+        passage = prose(r.randint(50, 300))
+        edited = list(passage)
+        for _ in range(r.randint(1, 6)):
+            at = r.randrange(len(edited))
+            edited[at : at + 1] = r.choice([[word()], [], [edited[at], word()]])
+        sets = [{tuple(x[i : i + 5]) for i in range(len(x) - 4)} for x in (passage, edited)]
+        if len(sets[0] & sets[1]) >= 0.8 * len(sets[0] | sets[1]):
+            pairs.append((passage, edited))
+    texts, places = [], []
+    for pair in pairs:
+        for passage in pair:
+            before = prose(r.randint(20, 60))
+            texts.append([*before, *passage, *prose(r.randint(20, 60))])
+            places.append(len(before))
+    found: dict = {}
+    for x in substring_dedup.repeated(docs(spark, [" ".join(t) for t in texts])).collect():
+        if x.removed:
+            found.setdefault(x.doc_id, set()).update(range(x.start_word, x.end_word))
+    shared = covered = 0
+    for k, (passage, edited) in enumerate(pairs):
+        same = {places[2 * k + 1] + m.b + i for m in difflib.SequenceMatcher(None, passage, edited, autojunk=False).get_matching_blocks() for i in range(m.size)}
+        own = found.get(2 * k + 1, set())
+        shared, covered = shared + len(same), covered + len(same & own)
+        assert not found.get(2 * k) and own <= set(range(places[2 * k + 1], places[2 * k + 1] + len(edited)))
+    assert sum(2 * k + 1 in found for k in range(len(pairs))) >= 0.95 * len(pairs)
+    assert covered >= 0.9 * shared, covered / shared
+
+
+def test_stretches_have_the_similarity():
+    r = random.Random(23)
+    joined = 0
+    for _ in range(400):
+        one = [r.randrange(10**6) for _ in range(120)]
+        two = list(one)
+        for _ in range(r.randrange(6)):
+            at = r.randrange(len(two))
+            two[at : at + r.randrange(12)] = [r.randrange(10**6) for _ in range(r.randrange(12))]
+        places = []
+        for i in range(0, len(two) - 15, 5):
+            places += [(i, i + 16, 2 * i, True, 7, i - j) for j in range(len(one) - 15) if one[j : j + 16] == two[i : i + 16]]
+        for start, end, name in substring_dedup.stretches(places):
+            own = [p for p in places if start <= p[0] and p[1] <= end]
+            part = one[min(p[0] - p[5] for p in own) : max(p[1] - p[5] for p in own)]
+            assert name == min(p[2] for p in own)
+            joined += part != two[start:end]
+            assert distance(part, two[start:end]) <= 0.2 * max(len(part), end - start)
+        assert {w for a, b, _ in substring_dedup.stretches(places) for w in range(a, b)} >= {w for p in places for w in range(p[0], p[1])}
+    assert joined > 20
+    apart = [(0, 16, 2, True, 1, 0), (18, 34, 4, True, 2, 0), (36, 52, 6, True, 2, 20), (60, 76, 8, True, 2, 20)]
+    assert [x[:2] for x in substring_dedup.stretches(apart)] == [(0, 16), (18, 34), (36, 52), (60, 76)]
+
+
+def test_equal_short_texts_are_found(spark):
+    got = substring_dedup.repeated(docs(spark, ["one", "two words", "one", "Two  words", "a b c d", "a b c d", "a b c", "one more", " ", ""])).collect()
+    assert {(x.doc_id, x.start_word, x.end_word, x.removed) for x in got} == {(0, 0, 1, False), (2, 0, 1, True), (1, 0, 2, False), (3, 0, 2, True), (4, 0, 4, False), (5, 0, 4, True)}
+
+
 def test_shared_words_have_a_paragraph_in_common():
     r = np.random.default_rng(16)
     with np.errstate(over="ignore"):
-        for span, which in ((substring_dedup.SPAN, 0), (substring_dedup.REACH, 1)):
-            n = substring_dedup.WORDS + span - 1
-            assert n == (51 if span == substring_dedup.REACH else 25)
+        for kind, n in ((substring_dedup.runs, 25), (substring_dedup.passages, 85)):
             for size in (2, 2**63):
                 for _ in range(300):
                     run = r.integers(0, size, n, dtype=np.uint64)
                     marks = []
                     for _ in range(2):
                         words = np.concatenate([r.integers(0, 2**63, r.integers(0, 30), dtype=np.uint64), run, r.integers(0, 2**63, r.integers(0, 30), dtype=np.uint64)])
-                        _, _, mark, compared = substring_dedup.paragraphs(words, np.array([len(words)]))
-                        marks.append(set((mark[compared] if which == 1 else mark).tolist()))
+                        marks.append(set(kind(words, np.array([len(words)]))[2].tolist()))
                     assert marks[0] & marks[1]
         for words in (np.zeros(400, dtype=np.uint64), np.tile(r.integers(0, 2**63, 3, dtype=np.uint64), 130)):
-            assert 20 < len(substring_dedup.paragraphs(words, np.array([len(words)]))[0]) < 60
+            assert 20 < len(substring_dedup.runs(words, np.array([len(words)]))[0]) < 60
 
 
 def test_least_of_each_window():
@@ -639,25 +705,27 @@ def test_least_of_each_window():
     for sizes in ([1], [3, 40, 2], [100], [10, 36, 9, 35], [0, 60, 0, 61]):
         text = np.repeat(np.arange(len(sizes)), sizes)
         value = r.integers(0, 12, len(text)).astype(np.uint64)
-        for span, got in zip((10, 36), substring_dedup._least(value, text, (10, 36))):
+        for span in (10, 36):
             want = set()
             for k in range(len(sizes)):
                 own = np.flatnonzero(text == k)
                 want |= {int(own[i + np.argmin(value[own[i : i + span]])]) for i in range(max(min(1, len(own)), len(own) - span + 1))}
-            assert got.tolist() == sorted(want)
+            assert substring_dedup._least(value, text, span).tolist() == sorted(want)
 
 
 def test_paragraphs_do_not_depend_on_the_texts_around():
     r = np.random.default_rng(19)
-    texts = [r.integers(0, size, n, dtype=np.uint64) for n in (0, 4, 5, 15, 16, 17, 25, 51, 52, 300) for size in (2, 2**63)]
+    texts = [r.integers(0, size, n, dtype=np.uint64) for n in (0, 1, 4, 5, 15, 16, 17, 25, 49, 50, 51, 85, 300) for size in (2, 2**63)]
+    first = np.cumsum([len(t) for t in texts]) - [len(t) for t in texts]
     with np.errstate(over="ignore"):
-        text, start, mark, compared = substring_dedup.paragraphs(np.concatenate(texts), np.array([len(t) for t in texts]))
-        first = np.cumsum([len(t) for t in texts]) - [len(t) for t in texts]
-        for k, words in enumerate(texts):
-            alone = substring_dedup.paragraphs(words, np.array([len(words)]))
-            own = text == k
-            assert (start[own] - first[k]).tolist() == alone[1].tolist() and mark[own].tolist() == alone[2].tolist() and compared[own].tolist() == alone[3].tolist()
-            assert len(alone[0]) >= (len(words) >= 5)
+        for kind, fewest, odd in ((substring_dedup.runs, 1, 0), (substring_dedup.passages, 5, 1)):
+            text, start, mark, size = kind(np.concatenate(texts), np.array([len(t) for t in texts]))
+            assert set((mark & np.uint64(1)).tolist()) == {odd}
+            for k, words in enumerate(texts):
+                alone = kind(words, np.array([len(words)]))
+                own = text == k
+                assert (start[own] - first[k]).tolist() == alone[1].tolist() and mark[own].tolist() == alone[2].tolist() and size[own].tolist() == alone[3].tolist()
+                assert len(alone[0]) >= (len(words) >= fewest)
 
 
 def test_words_are_hashed_alike_wherever_they_stand():
@@ -672,13 +740,25 @@ def test_words_are_hashed_alike_wherever_they_stand():
 def test_runs_leave_first_places_whole():
     r = random.Random(19)
     for _ in range(300):
-        places = [(a, a + r.randint(1, 12), r.randrange(9), r.random() < 0.6) for a in (r.randrange(60) for _ in range(r.randrange(1, 12)))]
+        places = [(a, a + r.randint(1, 12), r.randrange(9), r.random() < 0.6, k, 0) for k, a in enumerate(r.randrange(60) for _ in range(r.randrange(1, 12)))]
         rows = substring_dedup.runs_of(places)
-        kept = {w for a, b, _, gone in places if not gone for w in range(a, b)}
-        gone = {w for a, b, _, gone in places if gone for w in range(a, b)} - {w + i for w in kept for i in range(-1, 2)}
+        words = lambda spans: {w for a, b, *_ in spans for w in range(a, b)}
+        first, equal = words(p for p in places if not p[3] and p[2] % 2 == 0), words(p for p in places if p[3] and p[2] % 2 == 0)
+        near = words(substring_dedup._trimmed([p[:3] for p in places if p[3] and p[2] % 2]))
+        gone = equal - first | (near | words(substring_dedup.stretches([p for p in places if p[3] and p[2] % 2 == 0]))) - words(p for p in places if not p[3])
+        kept = words(p for p in places if not p[3]) - gone
+        assert first <= kept
         for want, flag in ((kept, False), (gone, True)):
-            words = [w for a, b, _, x in rows if x == flag for w in range(a, b)]
-            assert len(words) == len(set(words)) and set(words) == want
+            listed = [w for a, b, _, x in rows if x == flag for w in range(a, b)]
+            assert len(listed) == len(set(listed)) and set(listed) == want
+
+
+def test_passages_that_go_are_trimmed():
+    n, k = substring_dedup.LENGTH, substring_dedup._SHIFT
+    assert substring_dedup._trimmed([(10, 10 + n, 3)]) == [(10 + k, 10 + n - k, 3)]
+    assert substring_dedup._trimmed([(15, 15 + n, 3), (10, 10 + n, 3)]) == [(15 + k, 10 + n - k, 3)]
+    assert substring_dedup._trimmed([(0, 20, 5)]) == [(0, 20, 5)]
+    assert substring_dedup._trimmed([(0, n, 3), (n, 2 * n, 3), (4, 4 + n, 7)]) == [(k, n - k, 3), (n + k, 2 * n - k, 3), (4 + k, 4 + n - k, 7)]
 
 
 def test_no_last_copy_is_removed(spark):
@@ -698,14 +778,14 @@ def test_no_last_copy_is_removed(spark):
     places = []
     for words in texts:
         with np.errstate(over="ignore"):
-            starts = substring_dedup.paragraphs(substring_dedup.word_hashes(words), np.array([len(words)]))[1]
+            starts = substring_dedup.runs(substring_dedup.word_hashes(words), np.array([len(words)]))[1]
         places += [{tuple(words[start : start + substring_dedup.WORDS]) for start in starts.tolist()}]
     shared = [part for part in set().union(*places) if sum(part in p for p in places) > 1]
     copies = [sum(holds(t, list(part)) for t in after) for part in shared]
     assert len(shared) > 20 and min(copies) >= 1 and sum(c == 1 for c in copies) > 0.8 * len(shared)
     assert set(sum(texts, [])) == set(sum(after, []))
     assert sum(map(len, after)) < 0.5 * sum(map(len, texts))
-    assert after[-4:] == [tiny, [], tiny[:4], tiny[:4]]
+    assert after[-4:] == [tiny, [], tiny[:4], []]
 
 
 def test_rows_of_one_id_are_cut_each_in_its_own_text(spark):
