@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import cut, table
+from corpusloom.llm.common import free, table, written
 from corpusloom.llm.components import components
 
 SHINGLE_WORDS = 5
@@ -53,9 +53,6 @@ BANDS, ROWS = 4, 2
 ALL_PAIRS = 64
 #: Up to here they are compared as plain sets, which is quicker than arrays.
 FEW = 12
-#: Up to so many marks (8 MB) are sent to all executors; more meet their documents by a shuffle.
-SENT = 1 << 20
-
 #: Marks of a band that are compared in one task; those of larger bands are dealt to parts, and each two parts meet.
 BLOCK = 4096
 #: Rows of a band that a task holds to look for near ones; of a larger band all rows count as near.
@@ -292,12 +289,19 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (doc_id, text, marks) as (mark, codes) of passages with one of the marks, each once a batch; codes are the shingles' hashes."""
+    """Rows (doc_id, text, asked) as (band, mark, codes), of the (band, mark) asked; codes are the shingles' hashes, 32 bits of each."""
     for batch in batches:
-        asked = pa.compute.list_flatten(batch.column("marks")).to_numpy(zero_copy_only=False).view(np.uint64)
+        asked = pa.compute.list_flatten(batch.column("asked"))
+        band, mark = (asked.field(c).to_numpy(zero_copy_only=False) for c in ("band", "mark"))
         with np.errstate(over="ignore"):
-            marks, sets = _distinct(batch, asked)
-        yield pa.RecordBatch.from_arrays([pa.array(marks.view(np.int64)), pa.array([x.tobytes() for x in sets], pa.binary())], names=["mark", "codes"])
+            marks, sets = _distinct(batch, mark.view(np.uint64))
+        marks = marks.view(np.int64)
+        order = np.argsort(marks)
+        at = order[np.minimum(np.searchsorted(marks[order], mark), len(marks) - 1)] if len(marks) else np.empty(0, dtype=np.int64)
+        if len(marks):
+            found = marks[at] == mark
+            codes = [x.tobytes() for x in (sets >> np.uint64(32)).astype("<u4")]
+            yield pa.RecordBatch.from_arrays([pa.array(band[found]), pa.array(mark[found]), pa.array([codes[i] for i in at[found].tolist()], pa.binary())], names=["band", "mark", "codes"])
 
 
 def _both(words: np.ndarray, counts: np.ndarray) -> Iterator[np.ndarray]:
@@ -354,12 +358,13 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def similar(held: dict[int, bytes]) -> list[tuple[int, int]]:
     """Links of marks whose shingle sets reach SIMILARITY, as a spanning forest.
 
-    A mark's value has all shingles' hashes, of eight bytes each.
+    A mark's value has all shingles' hashes, of four bytes each: two sets count as sharing one shingle
+    too many with odds of one in two million.
     """
     if len(held) <= FEW:
         return _similar_few(held)
     marks = np.fromiter(held, dtype=np.int64, count=len(held))
-    codes = np.sort(np.frombuffer(b"".join(held.values()), dtype="<i8").reshape(len(marks), _SHINGLES), axis=1)
+    codes = np.sort(np.frombuffer(b"".join(held.values()), dtype="<u4").astype(np.int64).reshape(len(marks), _SHINGLES), axis=1)
     first = np.concatenate([np.ones((len(marks), 1), dtype=bool), np.diff(codes, axis=1) != 0], axis=1)
     if len(marks) <= ALL_PAIRS:
         groups = [np.arange(len(marks))]
@@ -422,10 +427,9 @@ def links(docs: DataFrame, met: DataFrame, sites: DataFrame) -> DataFrame:
 
     ``sites(mark, doc_id)`` names a document that holds each, of which the shingles are read.
     """
-    asked = cut(sites.groupBy("doc_id").agg(F.collect_list("mark").alias("marks")))
-    few = (asked.agg(F.sum(F.size("marks"))).first()[0] or 0) <= SENT
-    codes = docs.join(F.broadcast(asked) if few else asked, "doc_id").mapInArrow(_codes, "mark long, codes binary").dropDuplicates(["mark"])
-    return placed(met).join(codes, "mark").select("band", "mark", "codes").repartition("band").sortWithinPartitions("band").mapInArrow(_compare, "a long, b long")
+    asked = placed(met).join(sites, "mark").groupBy("doc_id").agg(F.collect_list(F.struct("band", "mark")).alias("asked"))
+    codes = docs.join(asked, "doc_id").mapInArrow(_codes, "band long, mark long, codes binary")
+    return codes.repartition("band").sortWithinPartitions("band").mapInArrow(_compare, "a long, b long")
 
 
 def repeated(docs: DataFrame) -> DataFrame:
@@ -435,29 +439,37 @@ def repeated(docs: DataFrame) -> DataFrame:
     end_word (of the text's words by white space, end exclusive), class_id (the smallest of the
     row's classes; a class is named by the hash of one of its paragraphs), removed. Rows with removed
     false are first places, by doc_id and start, of classes, and what overlaps these; touching ones are
-    one row. First runs stay whole; of first passages those runs go that stand whole elsewhere. Rows with removed true are the other places, and the few words between those of one
-    stretch, less the first ones, and less the few words at either end of a passage by which it can be shifted and still be similar, so that words around it
-    stay with their text. A document whose repeats all lie
-    within first places has no such row. Rows without doc_id, null texts and those without a word hold
-    no paragraph. Rows that share an id are one document; repeated rows count once. Other columns are
-    not read.
+    one row. First runs stay whole; of first passages those runs go that stand whole elsewhere. Rows
+    with removed true are the other places, and the few words between those of one stretch, less the
+    first ones, and less the few words at either end of a passage by which it can be shifted and still
+    be similar, so that words around it stay with their text. A document whose repeats all lie within
+    first places has no such row. Rows without doc_id, null texts and those without a word hold no
+    paragraph. Rows that share an id are one document; repeated rows count once. Other columns are not
+    read.
     """
     docs = docs.select("doc_id", "text").filter("doc_id is not null and text is not null")
     passage = F.col("mark").bitwiseAND(1) == 1
-    met = cut(met_in_bands(docs))
+    met = written(met_in_bands(docs))
+    free(docs.sparkSession)
     # Combined before the shuffle: a paragraph with a third of all places is a row a task here.
     held = docs.mapInArrow(_marks, "mark long, doc_id long").groupBy("mark").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
     near = met.select("mark").distinct().withColumn("met", F.lit(True))
-    shared = cut(held.join(near, "mark", "left").filter(F.when(passage, F.col("met")).otherwise(F.col("low") != F.col("high"))).select("mark", F.col("low").alias("doc_id")))
-    joined = components(links(docs, met, shared.filter(passage)))
+    shared = written(held.join(near, "mark", "left").filter(F.when(passage, F.col("met")).otherwise(F.col("low") != F.col("high"))).select("mark", F.col("low").alias("doc_id")))
+    free(docs.sparkSession)
+    linked = written(links(docs, met, shared.filter(passage)))
+    free(docs.sparkSession)
+    joined = components(linked)
     # What many places are joined with is written first, so that Spark can split a hot paragraph's or class's rows.
-    named = cut(joined.select(F.col("node").alias("mark"), F.col("component").alias("class_id")).unionByName(shared.filter(~passage).select("mark", F.col("mark").alias("class_id"))))
+    named = written(joined.select(F.col("node").alias("mark"), F.col("component").alias("class_id")).unionByName(shared.filter(~passage).select("mark", F.col("mark").alias("class_id"))))
+    free(docs.sparkSession)
     places = docs.mapInArrow(_places, "doc_id long, text_crc long, start int, words int, mark long")
-    classed = cut(places.join(named, "mark").select("doc_id", "text_crc", "start", "words", "class_id"))
+    classed = written(places.join(named, "mark").select("doc_id", "text_crc", "start", "words", "class_id"))
+    free(docs.sparkSession)
     at = F.shiftleft(F.col("start").cast("long"), 32).bitwiseOR(F.col("text_crc"))
     firsts = classed.groupBy("class_id", "doc_id").agg(F.min(at).alias("at"))
     ends = firsts.groupBy("class_id").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.min_by("at", "doc_id").alias("first"))
-    classes = cut(ends.filter("low <> high").select("class_id", F.col("low").alias("first_doc"), F.col("first").alias("first_at")))
+    classes = written(ends.filter("low <> high").select("class_id", F.col("low").alias("first_doc"), F.col("first").alias("first_at")))
+    free(docs.sparkSession)
     first_start, first_crc = F.shiftright("first_at", 32), F.col("first_at").bitwiseAND(0xFFFFFFFF)
     # Paragraphs that overlap may be of one class; in its first document those that overlap the first place stay with it.
     same_text = (F.col("doc_id") == F.col("first_doc")) & (F.col("text_crc") == first_crc)
