@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
+from corpusloom.functions import similarity, text
 from corpusloom.operators import qa, rules
+from corpusloom.plans import features as feature_plans
+from corpusloom.plans import softlogic as soft_plans
 
 
 def rows_of(df, digits=9):
@@ -26,3 +31,33 @@ def test_embed_proximity_by_each_questions_own_pairs(spark):
 def test_achievable_bound_without_a_yes_is_null(spark):
     rows = spark.createDataFrame([("a", 1), ("a", 0), ("b", 0)], "features string, label int")
     assert [tuple(r) for r in rules.achievable_bound(rows).collect()] == [(2 / 3, None, None, None)]
+
+
+def test_similar_kinds_of_all_lengths(spark, sf_dir):
+    """Kinds of parts of unlike length are a little alike."""
+    n = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_type").distinct().count()
+    rows = {(r.e1, r.e2): r.truth for r in soft_plans.similar(spark, sf_dir).collect()}
+    assert len(rows) == n * n
+    assert {(len(a) == len(b), a == b): t for (a, b), t in rows.items()} == {(True, True): 1.0, (True, False): 0.5, (False, False): 0.1}
+
+
+def test_lexical_pairs_look_in_words_of_both_sides(spark, sf_dir):
+    """Words out of the vocabulary stand on either side, and relations are those of all words."""
+    pairs, words, relations = feature_plans.types(spark, sf_dir)
+    known = {r.word for r in words.collect()}
+    rows = pairs.collect()
+    assert {r.lhs in known for r in rows} == {r.rhs in known for r in rows} == {True, False}
+    n = len({w for r in rows for w in r})
+    assert relations.count() == n * n
+
+
+def test_ngrams_are_worked_out_once_a_text(spark):
+    """20,000 words take time in proportion, also where the words come from a regular expression."""
+    words = [f"w{i % 977}" for i in range(20_000)]
+    rows = spark.createDataFrame([(" ".join(words),)], "text string").select(F.split("text", "[^a-z0-9]+").alias("w"), "text").select(text.word_ngrams(F.filter(F.split("text", "[^a-z0-9]+"), lambda w: w != ""), 3).alias("g"))
+    start = time.time()
+    assert rows.first().g == [" ".join(words[i : i + 3]) for i in range(len(words) - 2)]
+    assert time.time() - start < 20
+    nulls = spark.createDataFrame([(["a", None, "b"],), ([None, None, "b", "c"],), ([],), (None,)], "w array<string>")
+    assert [r.g for r in nulls.select(text.word_ngrams(F.col("w"), 3).alias("g")).collect()] == [["a b"], ["b", "b c"], [], None]
+    assert nulls.select(similarity.ngram_jaccard(F.col("w"), F.col("w"), 1).alias("j")).first().j == 1.0
