@@ -32,8 +32,9 @@ def hits(model, s, d, label="y"):
 def types(s, d):
     p = table(s, d, "part")
     pairs = p.select(F.element_at(F.split("p_name", " "), 1).alias("lhs"), F.element_at(F.split("p_name", " "), 2).alias("rhs")).distinct()
-    rel = pairs.withColumn("relation", F.when(F.length("lhs") < F.length("rhs"), "hypernym").when(F.length("lhs") > F.length("rhs"), "hyponym").otherwise("synonym"))
-    return pairs, table(s, d, "part").select(F.element_at(F.split("p_name", " "), 1).alias("word")).distinct(), rel
+    words = p.select(F.explode(F.split("p_name", " ")).alias("word")).distinct()
+    rel = words.select(F.col("word").alias("lhs")).crossJoin(words.select(F.col("word").alias("rhs"))).withColumn("relation", F.when(F.length("lhs") < F.length("rhs"), "hypernym").when(F.length("lhs") > F.length("rhs"), "hyponym").otherwise("synonym"))
+    return pairs, words.filter("length(word) > 3"), rel
 
 
 def arrays(s, d):
@@ -83,7 +84,7 @@ QUERIES = {
     "F02_pair_pooling": (lambda s, d: rnd(X.pair_pooling(li(s, d), "l_orderkey", ["l_discount", "l_tax"])), "SELECT l_orderkey, max(l_discount) AS max_l_discount, min(l_discount) AS min_l_discount, round(avg(l_discount), 6) AS avg_l_discount, max(l_tax) AS max_l_tax, min(l_tax) AS min_l_tax, round(avg(l_tax), 6) AS avg_l_tax FROM lineitem GROUP BY 1"),
     "F03_lexical_pair_features": (
         lambda s, d: X.lexical_pair_features(*types(s, d)),
-        "WITH v AS (SELECT DISTINCT split_part(p_name, ' ', 1) AS word FROM part) SELECT DISTINCT split_part(p_name, ' ', 1) AS lhs, split_part(p_name, ' ', 2) AS rhs, (lhs = rhs)::INT AS same, 0 AS oov_lhs, (rhs NOT IN (SELECT word FROM v))::INT AS oov_rhs, (length(lhs) = length(rhs))::INT AS synonym, (length(lhs) < length(rhs))::INT AS hypernym, (length(lhs) > length(rhs))::INT AS hyponym, 0 AS antonym FROM part",
+        "SELECT DISTINCT split_part(p_name, ' ', 1) AS lhs, split_part(p_name, ' ', 2) AS rhs, (lhs = rhs)::INT AS same, (length(lhs) <= 3)::INT AS oov_lhs, (length(rhs) <= 3)::INT AS oov_rhs, (length(lhs) = length(rhs))::INT AS synonym, (length(lhs) < length(rhs))::INT AS hypernym, (length(lhs) > length(rhs))::INT AS hyponym, 0 AS antonym FROM part",
     ),
     "F04_path_features": (
         lambda s, d: arrays(s, d).select("l_orderkey", F.array_join(F.transform(X.path_features(F.col("lhs"), F.col("rhs"), ["1", "5"]), lambda x: x.cast("string")), "").alias("f")),
