@@ -55,8 +55,7 @@ STOPWORDS = "a about all also an and any are as at be been but by can do for fro
 
 def filter_stopwords(tokens: Column, stopwords: list[str] | None = None) -> Column:
     """Tokens that are no stopwords, in order, repeats kept."""
-    listed = F.array(*map(F.lit, stopwords or STOPWORDS))
-    return F.filter(tokens, lambda t: ~F.array_contains(listed, F.lower(t)))
+    return F.filter(tokens, lambda t: ~F.lower(t).isin(*(stopwords or STOPWORDS)))
 
 
 def clean_query(tokens: Column, ignored: list[str]) -> Column:
@@ -93,9 +92,15 @@ def is_intelligible(text: Column) -> Column:
 
 
 def word_ngrams(tokens: Column, n: int) -> Column:
-    """Runs of n tokens joined by a space; empty for shorter arrays."""
-    runs = F.transform(F.sequence(F.lit(1), F.size(tokens) - (n - 1)), lambda i: F.array_join(F.slice(tokens, i, n), " "))
-    return F.when(tokens.isNotNull(), F.when(F.size(tokens) >= n, runs).otherwise(F.array().cast("array<string>")))
+    """Runs of n tokens joined by a space; empty for shorter arrays.
+
+    The array grows by its own shifted form, as a function of places would work it out once for each of them.
+    """
+    count = F.greatest(F.size(tokens) - (n - 1), F.lit(0))
+    runs = F.transform(F.slice(tokens, F.lit(1), count), lambda t: F.array(t))
+    for i in range(2, n + 1):
+        runs = F.zip_with(runs, F.slice(tokens, F.lit(i), count), lambda run, t: F.concat(run, F.array(t)))
+    return F.when(tokens.isNotNull(), F.transform(runs, lambda run: F.array_join(run, " ")))
 
 
 def char_trigrams(word: Column, compat: bool = False) -> Column:

@@ -194,7 +194,7 @@ QUERIES = {
         f"WITH {_SP}, q AS (SELECT conv_id, turn, a, b, least(0.99, {_JAC.format(_CHARS.format('a'), _CHARS.format('b'))}) AS v FROM p) SELECT conv_id, turn, round(CASE WHEN length(a) >= 5 AND length(b) >= 5 AND v > 0.5 THEN v ELSE 0 END, 6) AS v FROM q",
     ),
     "M06_ngram_jaccard": (
-        lambda s, d: pairs(s, d).select("conv_id", "turn", *(r6(M.ngram_jaccard(letters(F.col("text_a")), letters(F.col("text_b")), n)).alias(f"j{n}") for n in (1, 2))),
+        lambda s, d: pairs(s, d).select("conv_id", "turn", letters(F.col("text_a")).alias("a"), letters(F.col("text_b")).alias("b")).select("conv_id", "turn", *(r6(M.ngram_jaccard(F.col("a"), F.col("b"), n)).alias(f"j{n}") for n in (1, 2))),
         f"WITH {PAIRS_SQL}, q AS (SELECT conv_id, turn, list_filter(string_split_regex(lower(text_a), '[^a-z]+'), lambda x: x <> '' AND NOT list_contains({_STOP}, x)) AS a, list_filter(string_split_regex(lower(text_b), '[^a-z]+'), lambda x: x <> '' AND NOT list_contains({_STOP}, x)) AS b FROM pairs), "
         f"g AS (SELECT *, list_transform(range(1, len(a)), lambda i: a[i] || ' ' || a[i + 1]) AS a2, list_transform(range(1, len(b)), lambda i: b[i] || ' ' || b[i + 1]) AS b2 FROM q) SELECT conv_id, turn, round({_JAC.format('list_distinct(a)', 'list_distinct(b)')}, 6) AS j1, round({_JAC.format('list_distinct(a2)', 'list_distinct(b2)')}, 6) AS j2 FROM g",
     ),
