@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.functions import similarity, text
-from corpusloom.operators import qa, rules
+from corpusloom.operators import nearest, qa, rules, thesaurus
 from corpusloom.plans import features as feature_plans
 from corpusloom.plans import softlogic as soft_plans
 
@@ -61,3 +61,23 @@ def test_ngrams_are_worked_out_once_a_text(spark):
     nulls = spark.createDataFrame([(["a", None, "b"],), ([None, None, "b", "c"],), ([],), (None,)], "w array<string>")
     assert [r.g for r in nulls.select(text.word_ngrams(F.col("w"), 3).alias("g")).collect()] == [["a b"], ["b", "b c"], [], None]
     assert nulls.select(similarity.ngram_jaccard(F.col("w"), F.col("w"), 1).alias("j")).first().j == 1.0
+
+
+@pytest.mark.parametrize("measure, least", [("jaccard", 0.3), ("js", -0.5)])
+def test_similar_in_chunks_and_for_asked_objects(spark, monkeypatch, measure, least):
+    """Chunks of a few objects lose no pair, and those asked for meet all others."""
+    monkeypatch.setattr(nearest, "CHUNK", 15)
+    rows = [(i, f"w{(i * j * j + 3 * j) % 31}", 0.5 + (i + j) % 4) for i in range(40) for j in range(1, 9)]
+    w = spark.createDataFrame(rows, "obj long, attr string, w double").groupBy("obj", "attr").agg(F.max("w").alias("w"))
+    want = thesaurus.similarity(w, measure).filter(F.col("score") >= least)
+    assert rows_of(nearest.similar(w, measure, least)) == rows_of(want)
+    assert rows_of(nearest.similar(w, measure, least, F.col("obj") % 5 == 0)) == rows_of(want.filter("obj1 % 5 = 0"))
+    assert 10 < want.count() < 1560
+
+
+def test_pairs_that_meet_are_not_shuffled(spark):
+    """400 objects share all they have: 79,800 pairs meet, and no exchange carries pairs."""
+    w = spark.createDataFrame([(i, f"w{j}", 1.0) for i in range(400) for j in range(3)], "obj long, attr string, w double")
+    found = nearest.similar(w, "jaccard", 0.5)
+    assert found.count() == 400 * 399
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
