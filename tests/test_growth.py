@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import collections
+import random
 import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.functions import similarity, text
-from corpusloom.operators import nearest, qa, rules, thesaurus
+from corpusloom.operators import graph, nearest, qa, rules, thesaurus
 from corpusloom.plans import features as feature_plans
 from corpusloom.plans import softlogic as soft_plans
 
@@ -81,3 +83,38 @@ def test_pairs_that_meet_are_not_shuffled(spark):
     found = nearest.similar(w, "jaccard", 0.5)
     assert found.count() == 400 * 399
     assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_paths_by_levels_are_the_first_by_names(spark):
+    """Against whole paths on a random graph: equals by names, ends out of reach or too far, and no path carried in a level."""
+    r = random.Random(5)
+    edges = [("g", f"n{r.randrange(40)}", f"n{r.randrange(40)}") for _ in range(50)] + [("g", f"z{i}", f"z{i + 1}") for i in range(9)] + [("h", "a", None)]
+    df = spark.createDataFrame(edges, "graph string, src string, dst string")
+    near = collections.defaultdict(set)
+    for _, a, b in edges[:-1]:
+        near[a].add(b)
+        near[b].add(a)
+    starts, want = ["n1", "n7", "z0"], {}
+    for s in starts:
+        paths, now = {s: (s,)}, {s: (s,)}
+        for _ in range(6):
+            new = {}
+            for n, p in now.items():
+                for m in near[n] - set(paths):
+                    new[m] = min(new.get(m, (*p, m)), (*p, m))
+            paths, now = paths | new, new
+        want[s] = paths
+    begun = spark.createDataFrame([("g", s) for s in starts], "graph string, start string")
+    assert {(x.start, x.node): tuple(x.path) for x in graph.shortest_paths(df, begun, 6).collect()} == {(s, n): p for s in starts for n, p in want[s].items()}
+    pairs = [(s, n) for s in starts for n in ["n3", "n12", "n30", "z5", "z9", s]]
+    got = graph.shortest_path(df, spark.createDataFrame([("g", *p) for p in pairs], "graph string, a string, b string"), 6)
+    assert {(x.a, x.b): tuple(x.path) for x in got.collect()} == {(s, n): want[s][n] for s, n in pairs if n in want[s]}
+    order = {s: {n: i + 1 for i, n in enumerate(sorted(p, key=lambda n: (len(p[n]), p[n])))} for s, p in want.items()}  # noqa: B023
+    assert {(x.start, x.node): x.place for x in graph.bfs_order(df, begun, 6).collect()} == {(s, n): i for s, p in order.items() for n, i in p.items()}
+    assert all("path" not in level.columns for level in graph._levels(df, begun, 6))
+
+
+def test_a_start_stops_at_its_targets(spark):
+    chain = spark.createDataFrame([("g", f"z{i}", f"z{i + 1}") for i in range(9)], "graph string, src string, dst string")
+    asked = spark.createDataFrame([("g", "z0", "z2")], "graph string, start string, node string")
+    assert len(graph._levels(chain, asked.select("graph", "start"), 20, asked)) == 3
