@@ -118,3 +118,17 @@ def test_a_start_stops_at_its_targets(spark):
     chain = spark.createDataFrame([("g", f"z{i}", f"z{i + 1}") for i in range(9)], "graph string, src string, dst string")
     asked = spark.createDataFrame([("g", "z0", "z2")], "graph string, start string, node string")
     assert len(graph._levels(chain, asked.select("graph", "start"), 20, asked)) == 3
+
+
+def test_equal_groups_of_verbs_are_made_once(spark):
+    rows = [(v, 10 * (v % 3) + n) for v in range(30) for n in (v % 2, 2)] + [(99, 99), (98, None)]
+    df = spark.createDataFrame(rows, "verb long, node long")
+    members, groups = graph.verb_groups(df)
+    assert groups.select("class").distinct().count() == 4
+    by_verb, by_node = collections.defaultdict(set), collections.defaultdict(set)
+    for v, n in rows:
+        by_verb[v].add(n)
+        by_node[n].add(v)
+    want = {(v, m) for v, ns in by_verb.items() for n in ns - {None} for u in by_node[n] for m in by_verb[u]}
+    assert {tuple(r) for r in graph.verb_based_split(df).collect()} == want
+    assert {r["class"] for r in members.filter("verb < 30").collect()} == {0, 1, 2}
