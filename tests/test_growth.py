@@ -132,3 +132,15 @@ def test_equal_groups_of_verbs_are_made_once(spark):
     want = {(v, m) for v, ns in by_verb.items() for n in ns - {None} for u in by_node[n] for m in by_verb[u]}
     assert {tuple(r) for r in graph.verb_based_split(df).collect()} == want
     assert {r["class"] for r in members.filter("verb < 30").collect()} == {0, 1, 2}
+
+
+def test_word_proximity_makes_no_pairs_of_places(spark):
+    """A word that a context repeats 3,000 times, asked for 200 times: 1.8 billion pairs of places."""
+    context = spark.createDataFrame([("q", i, "a" if i % 2 else "b") for i in range(6000)], "qid string, place int, token string")
+    question = spark.createDataFrame([("q", i, "a", 7) for i in range(201)], "qid string, place int, token string, hole int")
+    entities = spark.createDataFrame([("q", "a"), ("q", "b"), ("q", "absent"), ("r", "a")], "qid string, entity string")
+    start = time.time()
+    got = rows_of(qa.word_proximity(context, question, entities))
+    assert time.time() - start < 60
+    even = sum(i % 2 == 1 for i in range(201) if i != 7)
+    assert got == [("q", "a", even + (200 - even) / 2), ("q", "absent", 0.0), ("q", "b", even / 2 + 200 - even), ("r", "a", 0.0)]
