@@ -58,3 +58,12 @@ def test_more_words_make_finer_buckets(spark):
 
 def test_no_words(spark):
     assert vectors.near_words(spark.createDataFrame([], "word string, dim string, w double")).collect() == []
+
+
+def test_pairs_are_compared_where_they_meet(spark, monkeypatch):
+    """Parts of a few words lose no pair, and pairs are made by no join."""
+    monkeypatch.setattr(vectors, "PART", 16)
+    rows = [(f"h{i:03}", "x", 1.0) for i in range(100)] + [(f"w{i:03}", f"d{i}", 1.0) for i in range(50)]
+    got = vectors.near_words(spark.createDataFrame(rows, "word string, dim string, w double"), 0.95)
+    assert "SortMergeJoin" not in got._jdf.queryExecution().executedPlan().toString()
+    assert {(r.word, r.other) for r in got.collect()} == {(f"h{i:03}", f"h{j:03}") for i in range(100) for j in range(100) if i != j}
