@@ -8,7 +8,12 @@ from pyspark.sql import functions as F
 
 def coin(seed: int, *identity: str) -> Column:
     """A repeatable number in [0, 2 ** 32) for a row: the first digits of md5 over the seed and the row's id."""
-    return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), *(F.col(c).cast("string") for c in identity)).cast("binary")), 1, 8), 16, 10).cast("long")
+    return coin_of(seed, *map(F.col, identity))
+
+
+def coin_of(seed: int, *identity: Column) -> Column:
+    """``coin`` of columns that need no name."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), *(c.cast("string") for c in identity)).cast("binary")), 1, 8), 16, 10).cast("long")
 
 
 def logistic(x: Column) -> Column:

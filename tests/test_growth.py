@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import collections
+import hashlib
+import itertools
 import random
 import time
 
@@ -10,8 +12,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.functions import similarity, text
-from corpusloom.operators import graph, nearest, qa, rules, thesaurus
+from corpusloom.operators import corpus, evaluate, graph, nearest, ordered, qa, rules, softlogic, thesaurus
 from corpusloom.plans import features as feature_plans
+from corpusloom.plans import corpus as corpus_plans
+from corpusloom.plans import qa as qa_plans
+from corpusloom.plans import rules as rule_plans
 from corpusloom.plans import softlogic as soft_plans
 
 
@@ -19,6 +24,10 @@ def rows_of(df, digits=9):
     return sorted(tuple(round(v, digits) if isinstance(v, float) else v for v in r) for r in df.collect())
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_embed_proximity_by_each_questions_own_pairs(spark):
     context = spark.createDataFrame([("a", i, t) for i, t in enumerate("red cat bluebird rod car".split())] + [("b", i, t) for i, t in enumerate("cab greenish".split())], "qid string, place int, token string")
     question = spark.createDataFrame([("a", 0, "rest"), ("a", 1, "car"), ("b", 0, "cap")], "qid string, place int, token string")
@@ -144,3 +153,38 @@ def test_word_proximity_makes_no_pairs_of_places(spark):
     assert time.time() - start < 60
     even = sum(i % 2 == 1 for i in range(201) if i != 7)
     assert got == [("q", "a", even + (200 - even) / 2), ("q", "absent", 0.0), ("q", "b", even / 2 + 200 - even), ("r", "a", 0.0)]
+
+
+def test_only_constants_with_new_predicates_go_on(spark, monkeypatch):
+    """A chain of ten: constants without a new predicate are in no later round."""
+    rounds = []
+    monkeypatch.setattr(softlogic, "written", lambda df: rounds.append(df.localCheckpoint()) or rounds[-1])
+    sets = spark.createDataFrame([("p0", 1), ("p1", 1), ("p0", 2), ("p2", 3), (None, 4)], "pred string, const long")
+    imp = spark.createDataFrame([(k, f"p{k - j}", f"p{k}") for k in range(2, 10) for j in (1, 2)], "rule long, lhs string, rhs string")
+    got = {tuple(r) for r in softlogic.propagate_constants(sets, imp).collect()}
+    assert got == {(f"p{k}", 1) for k in range(10)} | {("p0", 2), ("p2", 3), (None, 4)}
+    assert all({r.const for r in x.collect()} <= {1} for x in rounds[1:])
+
+
+def test_alignment_takes_questions_in_batches(spark):
+    """No job for each entity: questions are solved where their links meet. Ties, gains by giving up, and equal names."""
+    r = random.Random(3)
+    rows = [(q, f"e{e}", f"t{x}", float(r.randint(0, 3))) for q in range(300) for e in range(4) for x in range(4) if r.random() < 0.8]
+    links = spark.createDataFrame(rows, "qid long, entity string, target string, weight double")
+    got = rules.search_alignment(links)
+    assert "MapInArrow" in plan_of(got)
+    for x in got.collect():
+        w = {(e, t): v for q, e, t, v in rows if q == x.qid}
+        best = max(sum(w.get((f"e{e}", f"t{t}"), 0.0) for e, t in enumerate(order)) for order in itertools.permutations(range(4)))
+        chosen = [tuple(c.split("=")) for c in x.choice.split(",") if c]
+        assert x.weight == best == sum(w[c] for c in chosen) and len({t for _, t in chosen}) == len({e for e, _ in chosen}) == len(chosen)
+
+
+def test_augmented_tokens_are_not_multiplied(spark):
+    tokens = spark.createDataFrame([(1, 0, "a"), (1, 1, "b"), (2, 0, "c")], "id long, place int, token string")
+    synonyms = spark.createDataFrame([("a", f"s{i}") for i in range(50)] + [("b", "x"), ("b", None)], "word string, synonym string")
+    vocabulary = spark.createDataFrame([(f"s{i}",) for i in range(49)], "word string")
+    got = rules.paraphrase_augment(tokens, synonyms, vocabulary)
+    assert "max_by" not in plan_of(got)
+    best = max((int(hashlib.md5(f"0:1:0:s{i}".encode()).hexdigest()[:8], 16), f"s{i}") for i in range(49))[1]
+    assert {tuple(r) for r in got.collect()} == {(1, f"{best} b"), (2, "c")}
