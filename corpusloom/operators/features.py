@@ -66,7 +66,7 @@ def with_class_weights(rows: DataFrame, label: str) -> DataFrame:
     """``weight``: all rows over the rows of the class."""
     sizes = rows.groupBy(label).agg(F.count("*").alias("k"))
     total = sizes.agg(F.sum("k").alias("total"))
-    return rows.join(sizes, label).crossJoin(F.broadcast(total)).withColumn("weight", F.col("total") / F.col("k")).drop("k", "total")  # one row
+    return rows.join(F.broadcast(sizes), label).crossJoin(F.broadcast(total)).withColumn("weight", F.col("total") / F.col("k")).drop("k", "total")  # a row for each class, one row
 
 
 def assemble(rows: DataFrame, columns: list[str]) -> DataFrame:

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.functions import similarity, text
-from corpusloom.operators import corpus, evaluate, graph, nearest, ordered, qa, rules, softlogic, thesaurus
+from corpusloom.operators import corpus, evaluate, features, graph, nearest, ordered, qa, rules, softlogic, thesaurus
 from corpusloom.plans import features as feature_plans
 from corpusloom.plans import corpus as corpus_plans
 from corpusloom.plans import qa as qa_plans
@@ -188,3 +188,11 @@ def test_augmented_tokens_are_not_multiplied(spark):
     assert "max_by" not in plan_of(got)
     best = max((int(hashlib.md5(f"0:1:0:s{i}".encode()).hexdigest()[:8], 16), f"s{i}") for i in range(49))[1]
     assert {tuple(r) for r in got.collect()} == {(1, f"{best} b"), (2, "c")}
+
+
+def test_class_weights_shuffle_no_rows(spark):
+    rows = spark.range(1000).select("id", (F.col("id") % 2).alias("y"))
+    got = features.with_class_weights(rows, "y")
+    assert {(r.y, r.weight) for r in got.collect()} == {(0, 2.0), (1, 2.0)} and got.count() == 1000
+    plan = plan_of(features.with_class_weights(rows.join(rows.select("id"), "id"), "y"))
+    assert "Exchange hashpartitioning(y" not in plan.split("BroadcastExchange")[0]
