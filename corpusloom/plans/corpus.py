@@ -34,6 +34,12 @@ def numbered(s, d):
 
 _ARR = "(SELECT o_custkey, list(o_orderkey) AS v FROM orders WHERE o_orderstatus = '{}' GROUP BY 1)"
 
+def _tagged(s, d):
+    """Words with their first letters as tags."""
+    words = table(s, d, "documents").select(F.col("doc_id").alias("sentence"), letters(F.col("text")).alias("words"))
+    return words.withColumn("tags", F.transform("words", lambda w: F.substring(w, 1, 1)))
+
+
 QUERIES = {
     "C01_lexicon": (lambda s, d: C.lexicon(tokens(s, d)), _TK + " SELECT token, count(*) AS n FROM tokens GROUP BY token"),
     "C02_ngram_counts": (
@@ -83,7 +89,7 @@ QUERIES = {
         _TK + " SELECT token AS value, n, row_number() OVER (ORDER BY n DESC, token) AS id FROM (SELECT token, count(*) AS n FROM tokens GROUP BY 1)",
     ),
     "C13_window_features": (
-        lambda s, d: C.window_features(tokens(s, d).select(F.col("doc_id").alias("sentence"), "place", F.col("token").alias("word"), F.substring("token", 1, 1).alias("tag"))),
+        lambda s, d: C.window_features(_tagged(s, d)),
         _TK
         + f", a AS (SELECT doc_id AS sentence, place, token AS word, left(token, 1) AS tag FROM tokens) SELECT sentence, place, lag(word, 2, '{C.SENTINEL}') OVER w AS wm2, lag(word, 1, '{C.SENTINEL}') OVER w AS wm1, word AS w0, lead(word, 1, '{C.SENTINEL}') OVER w AS w1, lead(word, 2, '{C.SENTINEL}') OVER w AS w2, lag(tag, 1, '{C.SENTINEL}') OVER w AS tm1, lag(tag, 2, '{C.SENTINEL}') OVER w || ':' || lag(tag, 1, '{C.SENTINEL}') OVER w AS tm2m1 FROM a WINDOW w AS (PARTITION BY sentence ORDER BY place)",
     ),

@@ -196,3 +196,11 @@ def test_class_weights_shuffle_no_rows(spark):
     assert {(r.y, r.weight) for r in got.collect()} == {(0, 2.0), (1, 2.0)} and got.count() == 1000
     plan = plan_of(features.with_class_weights(rows.join(rows.select("id"), "id"), "y"))
     assert "Exchange hashpartitioning(y" not in plan.split("BroadcastExchange")[0]
+
+
+def test_window_features_shuffle_nothing(spark):
+    rows = spark.createDataFrame([(1, ["a", "b", None], ["x", "y", "z"]), (2, [], []), (3, None, None)], "sentence long, words array<string>, tags array<string>")
+    got = corpus.window_features(rows)
+    assert "Exchange" not in plan_of(got)
+    e = corpus.SENTINEL
+    assert [tuple(r) for r in got.collect()] == [(1, 0, e, e, "a", "b", None, e, f"{e}:{e}"), (1, 1, e, "a", "b", None, e, "x", f"{e}:x"), (1, 2, "a", "b", None, e, e, "y", "x:y")]
