@@ -204,3 +204,9 @@ def test_window_features_shuffle_nothing(spark):
     assert "Exchange" not in plan_of(got)
     e = corpus.SENTINEL
     assert [tuple(r) for r in got.collect()] == [(1, 0, e, e, "a", "b", None, e, f"{e}:{e}"), (1, 1, e, "a", "b", None, e, "x", f"{e}:x"), (1, 2, "a", "b", None, e, e, "y", "x:y")]
+
+
+def test_outer_grounding_looks_at_candidates_facts_only(spark):
+    facts = spark.createDataFrame([(f"a{i}", f"b{j}", (i * j % 7) / 7) for i in range(9) for j in range(9)], "a1 string, a2 string, truth double").withColumn("part", F.lit(0))
+    got = softlogic.ground_outer({"p": facts}, [softlogic.Atom("p", ("X", "Y"))])
+    assert "LeftSemi" in plan_of(got) and got.count() == 4
