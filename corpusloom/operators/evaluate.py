@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from corpusloom.functions.logic import coin
+from corpusloom.operators.loops import written
+from corpusloom.operators.ordered import group_key, with_ranges, within
 
 
 def _ratio(a: Column, b: Column) -> Column:
@@ -90,10 +93,22 @@ def values_agree(a: Column, b: Column, kind: str, tolerance: float) -> Column:
 
 
 def spearman(rows: DataFrame, group: str) -> DataFrame:
-    """group, rho: correlation of average ranks."""
-    w = lambda c: W.partitionBy(group).orderBy(c)
-    mean_rank = lambda c: F.rank().over(w(c)) + (F.count("*").over(W.partitionBy(group, c)) - 1) / 2.0
-    return rows.select(group, mean_rank("a").alias("ra"), mean_rank("b").alias("rb")).groupBy(group).agg(F.corr("ra", "rb").alias("rho"))
+    """group, rho: correlation of average ranks.
+
+    Ranks follow from counts of a group's different values, which are cut into ranges, so that no task sorts a large group.
+    """
+    x = rows.select(F.col(group).alias("own"), group_key(group).alias("g"), "a", "b")
+    for c in ("a", "b"):
+        values = written(x.groupBy("g", F.col(c).alias("v")).agg(F.count("*").alias("times")))
+        number = F.col("v").cast("double") if isinstance(x.schema[c].dataType, NumericType) else F.lit(None).cast("double")
+        ranged = with_ranges(values, values.groupBy("g").agg(F.count("*").alias("n")), {"bounds": number})
+        ranged = ranged.select("g", "v", "times", F.greatest(F.lit(0), within(number, "bounds")).alias("k"))
+        before = lambda w: F.coalesce(F.sum("times").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+        lower = ranged.groupBy("g", "k").agg(F.sum("times").alias("times")).select("g", "k", before(W.partitionBy("g").orderBy("k")).alias("lower"))
+        placed = ranged.withColumn("place", before(W.partitionBy("g", "k").orderBy("v"))).join(lower, ["g", "k"])
+        ranks = placed.select(F.col("g").alias("h"), "v", (F.col("lower") + F.col("place") + (F.col("times") + 1) / 2.0).alias(f"r{c}"))
+        x = x.join(ranks, (F.col("g") == F.col("h")) & F.col(c).eqNullSafe(F.col("v"))).drop("h", "v")
+    return x.groupBy("g").agg(F.first("own").alias("own"), F.corr("ra", "rb").alias("rho")).select(F.col("own").alias(group), "rho")
 
 
 def best_by(rows: DataFrame, keys: list[str], value: str, tie: str) -> DataFrame:

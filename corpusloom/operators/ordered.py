@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -15,6 +15,8 @@ from corpusloom.operators.loops import cut
 
 #: Rows of a group for each of its ranges, and ranges at most.
 ROWS, RANGES = 4096, 128
+#: Keys that a large group is dealt to where its rows meet its bounds.
+SALTS = 64
 
 
 def count_inversions(order: np.ndarray, value: np.ndarray) -> np.ndarray:
@@ -36,58 +38,76 @@ def count_inversions(order: np.ndarray, value: np.ndarray) -> np.ndarray:
     return found
 
 
-def _counted(names: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """From sorted rows (key, b, q) each key's inversions, and those of rows with the same q."""
+def _starts(batch: pa.RecordBatch) -> np.ndarray:
+    """Where another group or range begins; the first row is one."""
+    g, k = batch.column("g").dictionary_encode().indices.to_numpy(), batch.column("k").to_numpy()
+    return np.flatnonzero(np.append(True, (g[1:] != g[:-1]) | (k[1:] != k[:-1])))
 
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
 
-        def whole(rows: pa.Table) -> pa.RecordBatch:
-            key = rows.column("key").to_numpy()
-            b, q = rows.column("b").to_numpy(), rows.column("q").to_numpy()
-            start = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-            run = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(key))))
-            by_q = np.lexsort((np.arange(len(key)), q, run))
-            same = count_inversions(run[by_q] * (int(q.max(initial=0)) + 1) + q[by_q], b[by_q])
-            every = count_inversions(run, b)
-            return pa.RecordBatch.from_arrays([pa.array(key[start]), pa.array(np.add.reduceat(every, start)), pa.array(np.add.reduceat(same, start))], names=names)
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows (g, k, wide, b, q) sorted by g and k the inversions of each (g, k), and those of rows with the same q."""
+    held: list[pa.RecordBatch] = []
 
-        for batch in batches:
-            if batch.num_rows:
-                key = batch.column("key").to_numpy()
-                last = int(np.flatnonzero(np.append(True, key[1:] != key[:-1]))[-1])
-                if last or (held and held[-1].column("key")[-1].as_py() != key[0]):
-                    ready = [*held, batch.slice(0, last)] if not held or last else held
-                    done = pa.Table.from_batches([x for x in ready if x.num_rows])
-                    if done.num_rows:
-                        yield whole(done)
-                    held = [batch.slice(last)]
-                else:
-                    held.append(batch)
-        if held:
-            yield whole(pa.Table.from_batches(held))
-
-    return counted
-
-
-def _inversions(rows: DataFrame, key: str, name: str) -> DataFrame:
-    """(key, name, name_same) of rows (key, a, b, q)."""
-    sorted_ = rows.select(F.col(key).alias("key"), "a", "b", "q").repartition("key").sortWithinPartitions("key", "a", "b").select("key", "b", "q")
-    return sorted_.mapInArrow(_counted(["key", name, f"{name}_same"]), f"key long, {name} long, {name}_same long")
-
-
-def _ranges(rows: DataFrame, column: str, sizes: DataFrame) -> DataFrame:
-    """(gid, bounds) of groups over ROWS rows: values that part theirs evenly, each once."""
-    shares = [i / RANGES for i in range(1, RANGES)]
-    wide = rows.join(sizes.filter(F.col("n") > ROWS), "gid").groupBy("gid").agg(F.percentile_approx(column, F.array(*map(F.lit, shares))).alias("p"), F.first("n").alias("n"))
+    def whole(rows: pa.Table) -> pa.RecordBatch:
+        rows = pa.RecordBatch.from_arrays([pa.concat_arrays(rows.column(c).chunks) for c in rows.column_names], rows.column_names)
+        b, q, start = rows.column("b").to_numpy(), rows.column("q").to_numpy(), _starts(rows)
+        run = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(b))))
+        by_q = np.lexsort((np.arange(len(b)), q, run))
+        same = count_inversions(run[by_q] * (int(q.max(initial=0)) + 1) + q[by_q], b[by_q])
+        every = count_inversions(run, b)
+        one = rows.take(pa.array(start))
+        return pa.RecordBatch.from_arrays([one.column("g"), one.column("wide"), pa.array(np.add.reduceat(every, start)), pa.array(np.add.reduceat(same, start))], names=["g", "wide", "m", "m_same"])
+
+    for batch in batches:
+        if batch.num_rows:
+            last = int(_starts(batch)[-1])
+            if last or (held and any(held[-1].column(c)[-1].as_py() != batch.column(c)[0].as_py() for c in ("g", "k"))):
+                ready = [*held, batch.slice(0, last)] if not held or last else held
+                done = pa.Table.from_batches([x for x in ready if x.num_rows])
+                if done.num_rows:
+                    yield whole(done)
+                held = [batch.slice(last)]
+            else:
+                held.append(batch)
+    if held:
+        yield whole(pa.Table.from_batches(held))
+
+
+def _inversions(rows: DataFrame) -> DataFrame:
+    """(g, wide, m, m_same) of each (g, k) of rows (g, k, wide, a, b, q)."""
+    sorted_ = rows.select("g", "k", "wide", "a", "b", "q").repartition("g", "k").sortWithinPartitions("g", "k", "a", "b").select("g", "k", "wide", "b", "q")
+    return sorted_.mapInArrow(_counted, "g string, wide boolean, m long, m_same long")
+
+
+def group_key(group: str) -> Column:
+    """A group's name as text, which no group lacks."""
+    return F.coalesce(F.concat(F.lit("="), F.col(group).cast("string")), F.lit(""))
+
+
+def _meet(rows: DataFrame, large: DataFrame, columns: list[str], how: str) -> DataFrame:
+    """``rows`` with what ``large`` has on their group ``g``, a row for each large one, whose rows are dealt to SALTS keys by ``columns``."""
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    return rows.withColumn("salt", F.pmod(F.xxhash64(*columns), F.lit(SALTS)).cast("int")).join(large.select("*", salts), ["g", "salt"], how).drop("salt")
+
+
+def with_ranges(rows: DataFrame, sizes: DataFrame, ranged: dict[str, Column]) -> DataFrame:
+    """``rows(g, ...)`` with an array of bounds for each of ``ranged``, null in groups of at most ROWS rows: values that part theirs evenly.
+
+    ``ranged`` maps the names of the arrays to numbers. sizes(g, n).
+    """
+    shares = F.array(*(F.lit(i / RANGES) for i in range(1, RANGES)))
+    columns = [c for c in rows.columns if c != "g"]
+    wide = _meet(rows, sizes.filter(F.col("n") > ROWS).select("g", "n"), columns, "inner").groupBy("g")
+    wide = wide.agg(F.first("n").alias("n"), *(F.percentile_approx(c, shares).alias(name) for name, c in ranged.items()))
     step = F.greatest(F.lit(1), F.floor(F.lit(RANGES * ROWS) / F.col("n"))).cast("int")
-    return wide.select("gid", F.array_distinct(F.filter("p", lambda _, i: i % step == step - 1)).alias("bounds"))
+    bounds = wide.select("g", *(F.array_distinct(F.filter(name, lambda _, i: i % step == step - 1)).alias(name) for name in ranged))
+    return _meet(rows, bounds, columns, "left")
 
 
-def _within(column: str, bounds: str):
+def within(value: Column, bounds: str) -> Column:
     """Odd for a value that is a bound, which has a range of its own, even between two."""
     b = F.coalesce(F.col(bounds), F.array().cast("array<double>"))
-    return (F.size(F.filter(b, lambda x: x < F.col(column))) + F.size(F.filter(b, lambda x: x <= F.col(column)))).cast("long")
+    return (F.size(F.filter(b, lambda x: x < value)) + F.size(F.filter(b, lambda x: x <= value))).cast("long")
 
 
 def kendall(rows: DataFrame, group: str) -> DataFrame:
@@ -97,38 +117,31 @@ def kendall(rows: DataFrame, group: str) -> DataFrame:
     Discordant pairs are inversions of b in the order of (a, b). A group is cut into ranges of a and ranges of b, none of
     more than about ROWS rows but in the largest groups, and one for each frequent value, which has no inversions. Pairs
     that differ in both ranges follow from sums over the grid of counts; pairs in one range of a, and in one of b, are
-    counted within tasks, and those in both only once. No pairs are made.
+    counted within tasks, and those in both only once. No pairs are made, and no task gets a large group whole.
     """
-    numbers = rows.select(F.col(group).alias("g"), F.col("a").cast("double").alias("a"), F.col("b").cast("double").alias("b")).dropna(subset=["a", "b"])
-    names = cut(numbers.groupBy("g").agg(F.count("*").alias("n")).filter("n > 1")).withColumn("gid", F.monotonically_increasing_id())
-    x = numbers.join(names, numbers["g"].eqNullSafe(names["g"])).select("gid", "a", "b")
-    sizes = names.select("gid", "n")
-    bounds = _ranges(x, "a", sizes).withColumnRenamed("bounds", "ba").join(_ranges(x, "b", sizes).withColumnRenamed("bounds", "bb"), "gid")
-    x = cut(x.join(bounds, "gid", "left").select("gid", "a", "b", _within("a", "ba").alias("k"), _within("b", "bb").alias("q")))
-
-    cells = cut(x.groupBy("gid", "k", "q").agg(F.count("*").alias("n")))
-    width = 2 * RANGES
-    wide = cells.filter("k > 0 or q > 0").select("gid").distinct()
-    ends = cells.join(wide, "gid", "left_semi").groupBy("gid").agg(F.max("k").alias("mk"), F.max("q").alias("mq"))
-    grid = ends.select("gid", "mq", F.explode(F.sequence(F.lit(0).cast("long"), "mk")).alias("k")).select("gid", "k", F.explode(F.sequence(F.lit(0).cast("long"), "mq")).alias("q"))
-    full = grid.join(cells, ["gid", "k", "q"], "left").fillna(0, ["n"])
-    earlier = F.sum("n").over(W.partitionBy("gid", "q").orderBy("k").rowsBetween(W.unboundedPreceding, -1))
-    above = F.sum("earlier").over(W.partitionBy("gid", "k").orderBy(F.desc("q")).rowsBetween(W.unboundedPreceding, -1))
+    numbers = rows.select(F.col(group).alias("own"), group_key(group).alias("g"), F.col("a").cast("double").alias("a"), F.col("b").cast("double").alias("b")).dropna(subset=["a", "b"])
+    names = cut(numbers.groupBy("g").agg(F.first("own").alias("own"), F.count("*").alias("n")).filter("n > 1"))
+    x = with_ranges(numbers.select("g", "a", "b"), names, {"ba": F.col("a"), "bb": F.col("b")})
+    x = cut(x.select("g", "a", "b", F.coalesce(F.size("ba") + F.size("bb") > 0, F.lit(False)).alias("wide"), within(F.col("a"), "ba").alias("k"), within(F.col("b"), "bb").alias("q")))
+
+    cells = cut(x.filter("wide").groupBy("g", "k", "q").agg(F.count("*").alias("n")))
+    ends = cells.groupBy("g").agg(F.max("k").alias("mk"), F.max("q").alias("mq"))
+    grid = ends.select("g", "mq", F.explode(F.sequence(F.lit(0).cast("long"), "mk")).alias("k")).select("g", "k", F.explode(F.sequence(F.lit(0).cast("long"), "mq")).alias("q"))
+    full = grid.join(cells, ["g", "k", "q"], "left").fillna(0, ["n"])
+    earlier = F.sum("n").over(W.partitionBy("g", "q").orderBy("k").rowsBetween(W.unboundedPreceding, -1))
+    above = F.sum("earlier").over(W.partitionBy("g", "k").orderBy(F.desc("q")).rowsBetween(W.unboundedPreceding, -1))
     crossed = full.withColumn("earlier", F.coalesce(earlier, F.lit(0))).withColumn("above", F.coalesce(above, F.lit(0)))
-    crossed = crossed.groupBy("gid").agg(F.sum(F.col("n") * F.col("above")).alias("d"))
-
-    in_a = _inversions(x.filter("k % 2 = 0").withColumn("key", F.col("gid") * width + F.col("k")), "key", "m")
-    in_b = _inversions(x.join(wide, "gid", "left_semi").filter("q % 2 = 0").withColumn("key", F.col("gid") * width + F.col("q")).withColumn("q", F.lit(0).cast("long")), "key", "m")
-    # Where a group has one range of b, pairs within it are all that its ranges of a and the grid have.
-    gid = F.floor(F.col("key") / width).alias("gid")
-    narrow = in_a.join(wide.select((F.col("gid")).alias("w")), F.floor(F.col("key") / width) == F.col("w"), "left")
-    inside = narrow.select(gid, F.when(F.col("w").isNull(), F.col("m")).otherwise(F.col("m") - F.col("m_same")).alias("d")).unionByName(in_b.select(gid, F.col("m").alias("d")))
-    discordant = inside.unionByName(crossed.select("gid", "d")).groupBy("gid").agg(F.sum("d").alias("d"))
-
-    two = lambda *by: x.groupBy("gid", *by).agg(F.count("*").alias("c")).groupBy("gid").agg(F.sum(F.col("c") * (F.col("c") - 1) / 2).alias("t_" + "".join(by)))
-    whole = names.join(two("a"), "gid").join(two("b"), "gid").join(two("a", "b"), "gid").join(discordant, "gid", "left")
+    crossed = crossed.groupBy("g").agg(F.sum(F.col("n") * F.col("above")).alias("d"))
+
+    # Where a group has one range of each, pairs within it are all that there are.
+    in_a = _inversions(x.filter("k % 2 = 0")).select("g", F.when(F.col("wide"), F.col("m") - F.col("m_same")).otherwise(F.col("m")).alias("d"))
+    in_b = _inversions(x.filter("wide and q % 2 = 0").withColumn("k", F.col("q")).withColumn("q", F.lit(0).cast("long"))).select("g", F.col("m").alias("d"))
+    discordant = in_a.unionByName(in_b).unionByName(crossed).groupBy("g").agg(F.sum("d").alias("d"))
+
+    two = lambda *by: x.groupBy("g", *by).agg(F.count("*").alias("c")).groupBy("g").agg(F.sum(F.col("c") * (F.col("c") - 1) / 2).alias("t_" + "".join(by)))
+    whole = names.join(two("a"), "g").join(two("b"), "g").join(two("a", "b"), "g").join(discordant, "g", "left")
     every = F.col("n") * (F.col("n") - 1) / 2
-    return whole.select(F.col("g").alias(group), ((every - F.col("t_a") - F.col("t_b") + F.col("t_ab") - 2 * F.coalesce("d", F.lit(0))) / every).alias("tau"))
+    return whole.select(F.col("own").alias(group), ((every - F.col("t_a") - F.col("t_b") + F.col("t_ab") - 2 * F.coalesce("d", F.lit(0))) / every).alias("tau"))
 
 
 def _signs(seed: int, sent: object, iterations: int) -> np.ndarray:

@@ -9,6 +9,7 @@ import random
 import time
 
 import pytest
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusloom.functions import similarity, text
@@ -210,3 +211,26 @@ def test_outer_grounding_looks_at_candidates_facts_only(spark):
     facts = spark.createDataFrame([(f"a{i}", f"b{j}", (i * j % 7) / 7) for i in range(9) for j in range(9)], "a1 string, a2 string, truth double").withColumn("part", F.lit(0))
     got = softlogic.ground_outer({"p": facts}, [softlogic.Atom("p", ("X", "Y"))])
     assert "LeftSemi" in plan_of(got) and got.count() == 4
+
+
+def test_ranks_in_ranges(spark, monkeypatch):
+    """Against windows over whole groups: ties, nulls, a null group, values of which one is frequent; no window is by group only."""
+    monkeypatch.setattr(ordered, "ROWS", 20)
+    r = random.Random(4)
+    one = lambda: r.choice([0.0, None, r.gauss(0, 1), round(r.random(), 1)])
+    rows = spark.createDataFrame([(g, one(), one()) for g, n in (("x", 300), (None, 90), ("y", 7)) for _ in range(n)], "g string, a double, b double")
+    w = lambda c: W.partitionBy("g").orderBy(c)
+    rank = lambda c: F.rank().over(w(c)) + (F.count("*").over(W.partitionBy("g", c)) - 1) / 2.0
+    want = rows.select("g", rank("a").alias("a"), rank("b").alias("b")).groupBy("g").agg(F.corr("a", "b").alias("rho"))
+    got = evaluate.spearman(rows, "g")
+    assert {x.g: round(x.rho, 9) for x in got.collect()} == {x.g: round(x.rho, 9) for x in want.collect()}
+    assert "rank(" not in plan_of(got)
+
+
+def test_a_large_groups_rows_are_dealt(spark, monkeypatch):
+    """One group of 2,000 rows: it meets its bounds under many keys."""
+    monkeypatch.setattr(ordered, "ROWS", 100)
+    rows = spark.range(2000).select(F.lit("x").alias("g"), F.col("id").cast("double").alias("a"), (F.col("id") * 7 % 1009).cast("double").alias("b"))
+    met = ordered.with_ranges(rows, spark.createDataFrame([("x", 2000)], "g string, n long"), {"bounds": F.col("a")})
+    assert met.count() == 2000 and met.filter("bounds is null").count() == 0
+    assert "salt" in plan_of(met)
