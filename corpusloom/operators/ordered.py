@@ -17,6 +17,8 @@ from corpusloom.operators.loops import cut
 ROWS, RANGES = 4096, 128
 #: Keys that a large group is dealt to where its rows meet its bounds.
 SALTS = 64
+#: Rows of a task in steps that keep every row.
+TASK_ROWS = 2**18
 
 
 def count_inversions(order: np.ndarray, value: np.ndarray) -> np.ndarray:
@@ -73,9 +75,9 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield whole(pa.Table.from_batches(held))
 
 
-def _inversions(rows: DataFrame) -> DataFrame:
+def _inversions(rows: DataFrame, tasks: int) -> DataFrame:
     """(g, wide, m, m_same) of each (g, k) of rows (g, k, wide, a, b, q)."""
-    sorted_ = rows.select("g", "k", "wide", "a", "b", "q").repartition("g", "k").sortWithinPartitions("g", "k", "a", "b").select("g", "k", "wide", "b", "q")
+    sorted_ = rows.select("g", "k", "wide", "a", "b", "q").repartition(tasks, "g", "k").sortWithinPartitions("g", "k", "a", "b").select("g", "k", "wide", "b", "q")
     return sorted_.mapInArrow(_counted, "g string, wide boolean, m long, m_same long")
 
 
@@ -124,6 +126,8 @@ def kendall(rows: DataFrame, group: str) -> DataFrame:
     x = with_ranges(numbers.select("g", "a", "b"), names, {"ba": F.col("a"), "bb": F.col("b")})
     x = cut(x.select("g", "a", "b", F.coalesce(F.size("ba") + F.size("bb") > 0, F.lit(False)).alias("wide"), within(F.col("a"), "ba").alias("k"), within(F.col("b"), "bb").alias("q")))
 
+    # Steps that keep every row have as many tasks as keep to TASK_ROWS rows or so.
+    tasks = 1 + (names.agg(F.sum("n")).first()[0] or 0) // TASK_ROWS
     cells = cut(x.filter("wide").groupBy("g", "k", "q").agg(F.count("*").alias("n")))
     ends = cells.groupBy("g").agg(F.max("k").alias("mk"), F.max("q").alias("mq"))
     grid = ends.select("g", "mq", F.explode(F.sequence(F.lit(0).cast("long"), "mk")).alias("k")).select("g", "k", F.explode(F.sequence(F.lit(0).cast("long"), "mq")).alias("q"))
@@ -134,12 +138,13 @@ def kendall(rows: DataFrame, group: str) -> DataFrame:
     crossed = crossed.groupBy("g").agg(F.sum(F.col("n") * F.col("above")).alias("d"))
 
     # Where a group has one range of each, pairs within it are all that there are.
-    in_a = _inversions(x.filter("k % 2 = 0")).select("g", F.when(F.col("wide"), F.col("m") - F.col("m_same")).otherwise(F.col("m")).alias("d"))
-    in_b = _inversions(x.filter("wide and q % 2 = 0").withColumn("k", F.col("q")).withColumn("q", F.lit(0).cast("long"))).select("g", F.col("m").alias("d"))
+    in_a = _inversions(x.filter("k % 2 = 0"), tasks).select("g", F.when(F.col("wide"), F.col("m") - F.col("m_same")).otherwise(F.col("m")).alias("d"))
+    in_b = _inversions(x.filter("wide and q % 2 = 0").withColumn("k", F.col("q")).withColumn("q", F.lit(0).cast("long")), tasks).select("g", F.col("m").alias("d"))
     discordant = in_a.unionByName(in_b).unionByName(crossed).groupBy("g").agg(F.sum("d").alias("d"))
 
     two = lambda *by: x.groupBy("g", *by).agg(F.count("*").alias("c")).groupBy("g").agg(F.sum(F.col("c") * (F.col("c") - 1) / 2).alias("t_" + "".join(by)))
-    whole = names.join(two("a"), "g").join(two("b"), "g").join(two("a", "b"), "g").join(discordant, "g", "left")
+    same = x.repartition(tasks, "g", "a", "b").groupBy("g", "a", "b").agg(F.count("*").alias("c")).groupBy("g").agg(F.sum(F.col("c") * (F.col("c") - 1) / 2).alias("t_ab"))
+    whole = names.join(two("a"), "g").join(two("b"), "g").join(same, "g").join(discordant, "g", "left")
     every = F.col("n") * (F.col("n") - 1) / 2
     return whole.select(F.col("own").alias(group), ((every - F.col("t_a") - F.col("t_b") + F.col("t_ab") - 2 * F.coalesce("d", F.lit(0))) / every).alias("tau"))
 
