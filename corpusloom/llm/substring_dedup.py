@@ -11,9 +11,11 @@ of one word even, is one run.
 Passages are LENGTH words and start at one of any REACH places; a shorter text of at least a shingle
 is one passage. One changed word anywhere in a passage leaves a Jaccard similarity of 0.8 of its
 five-word shingles. They are compared by BANDS MinHash bands of ROWS values, tuned for recall (at
-similarity 0.8 a pair shares one with probability 0.98). Those that share a band with another, and
-whose bitmaps don't rule it out, are compared by exact Jaccard similarity of shingle sets, within
-tasks that return a spanning forest of links.
+similarity 0.8 a pair shares one with probability 0.98). Passages of one text that overlap all but a
+few words are compared where the text is read, and those that are linked so make a chain. Passages
+that share a band with one they weren't compared with so, and whose bitmaps don't rule it out, are
+compared by exact Jaccard similarity of shingle sets, within tasks that return a spanning forest of
+links.
 
 Equal runs are classes, and so are the components of links between passages. Of a class the first
 paragraph by document and place stays: what is to go never includes a word of a first run, and of a
@@ -55,6 +57,10 @@ ALL_PAIRS = 64
 FEW = 12
 #: Marks of a band that are compared in one task; those of larger bands are dealt to parts, and each two parts meet.
 BLOCK = 4096
+#: Passages of a text that each start at most so many words after the one before make a group, of so many at most, and are compared where the text is read.
+GAP, GROUP = 10, 8
+#: Rows of a band whose bitmaps are compared all with all up to here; beyond, those count as near that have a part in common.
+BITMAPS = 256
 #: Rows of a band that a task holds to look for near ones; of a larger band all rows count as near.
 HELD = 1 << 20
 
@@ -94,9 +100,12 @@ def word_hashes(words: list[str]) -> np.ndarray:
     out = [np.empty(0, dtype=np.uint64)]
     for i in range(0, len(words), PIECE):
         piece = words[i : i + PIECE]
-        long = {k: w for k, w in enumerate(piece) if len(w) > LONG} if max(map(len, piece)) > LONG else {}
-        raw = np.frombuffer(" ".join(["" if k in long else w for k, w in enumerate(piece)] if long else piece).encode(), dtype=np.uint8)
+        raw = np.frombuffer(" ".join(piece).encode(), dtype=np.uint8)
         ends = np.append(np.flatnonzero(raw == 32), len(raw))
+        long = {k: w for k, w in enumerate(piece) if len(w) > LONG} if np.diff(ends, prepend=-1).max() > LONG else {}
+        if long:
+            raw = np.frombuffer(" ".join(["" if k in long else w for k, w in enumerate(piece)]).encode(), dtype=np.uint8)
+            ends = np.append(np.flatnonzero(raw == 32), len(raw))
         starts = np.append(0, ends[:-1] + 1)
         powers, inverse = _powers(1 << len(raw).bit_length())
         sums = np.append(np.uint64(0), np.cumsum(raw * powers[: len(raw)]))
@@ -205,74 +214,148 @@ def _slices(batch: pa.RecordBatch) -> Iterator[tuple[list[tuple[int, str]], np.n
 
 
 def bands_of(sets: np.ndarray) -> np.ndarray:
-    """A row of BANDS band values for each row of shingle hashes."""
+    """A row of BANDS band values for each row of shingle hashes; what a value leaves when divided by BANDS tells which band it is of."""
     across = np.ascontiguousarray(sets.T)
     least = np.stack([_mix(across * a + b).min(axis=0) for a, b in _SEEDS], axis=1)
     band = np.zeros((len(sets), BANDS), dtype=np.uint64)
     for i in range(ROWS):
         band = _mix(band * _MIX + least[:, i * BANDS : (i + 1) * BANDS] + np.arange(BANDS, dtype=np.uint64))
-    return band
+    return band & ~np.uint64(BANDS - 1) | np.arange(BANDS, dtype=np.uint64)
 
 
-def _distinct(batch: pa.RecordBatch, asked: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Marks of a batch's passages, each once, and their shingles; of those among ``asked`` only, if given."""
+def bitmaps(sets: np.ndarray) -> np.ndarray:
+    """128 bits, as two columns, for each row of shingle hashes, those its shingles name: a shingle more or less changes one at most."""
+    bit, upper = np.uint64(1) << (sets & np.uint64(63)), (sets & np.uint64(64)) != 0
+    return np.stack([np.bitwise_or.reduce(np.where(upper == x, bit, np.uint64(0)), axis=1) for x in (False, True)], axis=1)
+
+
+def _reach(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which rows of shingle hashes reach SIMILARITY with the row at the same place in the other array."""
+    count = lambda x: (np.diff(np.sort(x, axis=1), axis=1) != 0).sum(axis=1) + 1
+    own, either = count(a) + count(b), count(np.concatenate([a, b], axis=1))
+    return own - either >= SIMILARITY * either
+
+
+def groups_of(text: np.ndarray, start: np.ndarray, mark: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each passage the number of its group, and a hash of the marks that its group has, 0 if it is alone."""
+    number = np.cumsum(np.append(True, (np.diff(text) != 0) | (np.diff(start) > GAP))[: len(text)])
+    number = number * len(text) + (np.arange(len(text)) - np.searchsorted(number, number)) // GROUP
+    _, first, which, size = np.unique(number, return_index=True, return_inverse=True, return_counts=True)
+    names = _mix(np.add.reduceat(_mix(mark * _MIX), first)) if len(mark) else mark
+    return which, np.where(size > 1, names, np.uint64(0))[which]
+
+
+def chains(text: np.ndarray, start: np.ndarray, which: np.ndarray, at: np.ndarray, marks: np.ndarray, sets: np.ndarray, bands: np.ndarray) -> np.ndarray:
+    """For each of the marks the smallest of its chain, or 0 if it has none.
+
+    A chain is what links connect between similar passages that share a band and are of one group, or start at most _SHIFT
+    words apart in one text. ``text``, ``start``, ``which`` (its group) and ``at`` (which of the marks it has) are of the passages, in order.
+    """
+    pairs = [np.empty((2, 0), dtype=np.int64)]
+    for k in range(1, max(_SHIFT + 1, GROUP)):
+        close = np.flatnonzero((text[k:] == text[:-k]) & ((start[k:] - start[:-k] <= _SHIFT) | (which[k:] == which[:-k])) & (at[k:] != at[:-k]))
+        pairs.append(np.stack([at[close], at[close + k]]))
+    pairs = np.concatenate(pairs, axis=1)
+    pairs = pairs[:, (bands[pairs[0]] == bands[pairs[1]]).any(axis=1)]
+    reach = [_reach(sets[x[0]], sets[x[1]]) for x in np.split(pairs, range(PIECE, pairs.shape[1], PIECE), axis=1)]
+    a, b = pairs[:, np.concatenate(reach)]
+    least = np.arange(len(marks))
+    while (least[a] != least[b]).any():
+        low = np.minimum(least[a], least[b])
+        for x in (a, b):
+            np.minimum.at(least, least[x], low)
+        least = least[least]
+    out = np.zeros(len(marks), dtype=np.uint64)
+    linked = np.unique(np.append(a, b))
+    out[linked] = marks[least[linked]]
+    return out
+
+
+def _sets(batch: pa.RecordBatch, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Marks of a batch's passages that are among ``asked``, each once, and their shingles."""
     marks, sets = [np.empty(0, dtype=np.uint64)], [np.empty((0, _SHINGLES), dtype=np.uint64)]
     for _, words, counts in _slices(batch):
         _, start, mark, size = passages(words, counts)
-        if asked is not None:
-            among = np.isin(mark, asked)
-            start, mark, size = start[among], mark[among], size[among]
-        mark, first = np.unique(mark, return_index=True)
+        among = np.isin(mark, asked)
+        mark, first = np.unique(mark[among], return_index=True)
         marks.append(mark)
-        sets.append(shingles(words, start[first], size[first]))
+        sets.append(shingles(words, start[among][first], size[among][first]))
     different, first = np.unique(np.concatenate(marks), return_index=True)
     return different, np.concatenate(sets)[first]
 
 
-def bitmaps(sets: np.ndarray) -> np.ndarray:
-    """64 bits for each row of shingle hashes, those its shingles name: a shingle more or less changes one at most."""
-    return np.bitwise_or.reduce(np.uint64(1) << (sets & np.uint64(63)), axis=1)
-
-
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (band, mark, bits), each once a batch: copies are few before they are shuffled."""
+    """Rows (band, mark, bits, more, group, chain), each once a batch: copies are few before they are shuffled."""
     for batch in batches:
+        found = []
         with np.errstate(over="ignore"):
-            marks, sets = _distinct(batch)
-            if len(marks):
-                columns = bands_of(sets).T.ravel(), np.tile(marks, BANDS), np.tile(bitmaps(sets), BANDS)
-                yield pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) for c in columns], names=["band", "mark", "bits"])
-
-
-def near_in_band(bands: np.ndarray, marks: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    """Which rows, sorted by band and mark, may be similar to another mark of their band; no similar pair is lost.
+            for _, words, counts in _slices(batch):
+                text, start, mark, size = passages(words, counts)
+                marks, first, at = np.unique(mark, return_index=True, return_inverse=True)
+                sets = shingles(words, start[first], size[first])
+                bands = bands_of(sets)
+                which, group = groups_of(text, start, mark)
+                chain = chains(text, start, which, at, marks, sets, bands)
+                found.append(np.column_stack([mark, group, chain[at], np.column_stack([bitmaps(sets), bands])[at]]))
+        if found:
+            rows = np.concatenate(found)
+            rows = rows[np.lexsort((rows[:, 2], rows[:, 1], rows[:, 0]))]
+            rows = rows[np.append(True, (rows[1:, :3] != rows[:-1, :3]).any(axis=1))[: len(rows)]].view(np.int64)
+            mark, group, chain, bits, more = (np.tile(rows[:, i], BANDS) for i in range(5))
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (rows[:, 5:].T.ravel(), mark, bits, more, group, chain)], names=["band", "mark", "bits", "more", "group", "chain"])
+
+
+def near_in_band(bands: np.ndarray, marks: np.ndarray, bits: np.ndarray, more: np.ndarray, groups: np.ndarray, chains: np.ndarray) -> np.ndarray:
+    """Which rows, sorted by band and mark, may be similar to another mark of their band, of another group and chain; no such pair is lost.
 
     Their bitmaps differ in fewer bits than there are parts, so one part is equal.
     """
-    fresh = np.append(True, (np.diff(bands) != 0) | (np.diff(marks) != 0))
-    goes_on = bands[1:] == bands[:-1]
-    rows = np.flatnonzero(fresh & (np.append(False, goes_on) | np.append(goes_on, False)))
+    fresh = np.append(True, (np.diff(bands) != 0) | (np.diff(marks) != 0) | (np.diff(groups) != 0) | (np.diff(chains) != 0))
+    rows = np.flatnonzero(fresh)
+    _, sizes = np.unique(bands[rows], return_counts=True)
+    size = np.repeat(sizes, sizes)
     near = np.zeros(len(rows), dtype=bool)
-    own, maps = bands[rows].view(np.uint64), bits[rows].view(np.uint64)
+    own, mark, low, high, group, chain = (x[rows].view(np.uint64) for x in (bands, marks, bits, more, groups, chains))
+    at = np.flatnonzero((size > 1) & (size <= BITMAPS))
+    for k in range(1, BITMAPS):
+        at = at[at < len(rows) - k]
+        at = at[own[at] == own[at + k]]
+        if not len(at):
+            break
+        other = at + k
+        apart = (mark[at] != mark[other]) & ((group[at] != group[other]) | (group[at] == 0)) & ((chain[at] != chain[other]) | (chain[at] == 0))
+        found = apart & (np.bitwise_count(low[at] ^ low[other]) + np.bitwise_count(high[at] ^ high[other]) < _PARTS)
+        near[at[found]] = near[other[found]] = True
+    many = np.flatnonzero(size > BITMAPS)
     with np.errstate(over="ignore"):
-        for part in range(_PARTS):
+        for part in range(_PARTS if len(many) else 0):
             mask = np.uint64(sum(1 << i for i in range(64) if i % _PARTS == part))
-            key = _mix(own + _mix((maps & mask) * _MIX))
+            key = _mix(own[many] + _mix((low[many] & mask) * _MIX))
             order = np.argsort(key)
             same = np.diff(key[order]) == 0
-            near[order[1:][same]] = near[order[:-1][same]] = True
+            near[many[order[1:][same]]] = near[many[order[:-1][same]]] = True
     return rows[near]
 
 
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (band, mark, bits) sorted by band and mark: (band, mark) of those near another of their band."""
-    held, passed = np.empty((3, 0), dtype=np.int64), None
+    """Rows (band, mark, bits, more, group, chain), sorted by all but the bitmaps: (band, mark) of those near another of their band, and (mark, chain) of chains.
+
+    Columns ``more``, ``group`` and ``chain`` may be missing.
+    """
+    held, passed = np.empty((6, 0), dtype=np.int64), None
 
     def pack(rows: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(rows[0]), pa.array(rows[1])], names=["band", "mark"])
+        rows = rows[:, np.append(True, np.diff(rows[:2], axis=1).any(axis=0))[: rows.shape[1]]]
+        return pa.RecordBatch.from_arrays([pa.array(rows[0]), pa.array(rows[1]), pa.nulls(rows.shape[1], pa.int64())], names=["band", "mark", "chain"])
 
     for batch in (b for b in batches if b.num_rows):
-        rows = np.concatenate([held, np.stack([batch.column(c).to_numpy() for c in ("band", "mark", "bits")])], axis=1)
+        come = np.stack([batch.column(c).to_numpy() if c in batch.schema.names else np.zeros(batch.num_rows, dtype=np.int64) for c in ("band", "mark", "bits", "more", "group", "chain")])
+        # A passage stands in all bands; its chain is told once.
+        chained = come[:, (come[5] != 0) & (come[0] % BANDS == 0)]
+        chained = chained[:, np.append(True, np.diff(chained[[1, 5]], axis=1).any(axis=0))[: chained.shape[1]]]
+        if chained.shape[1]:
+            yield pa.RecordBatch.from_arrays([pa.nulls(chained.shape[1], pa.int64()), pa.array(chained[1]), pa.array(chained[5])], names=["band", "mark", "chain"])
+        rows = np.concatenate([held, come], axis=1)
         last = int(np.searchsorted(rows[0], rows[0, -1]))
         # A band that was too large to hold goes on.
         first = int(np.searchsorted(rows[0, :last], passed, "right")) if passed is not None and rows[0, 0] == passed else 0
@@ -294,7 +377,7 @@ def _codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asked = pa.compute.list_flatten(batch.column("asked"))
         band, mark = (asked.field(c).to_numpy(zero_copy_only=False) for c in ("band", "mark"))
         with np.errstate(over="ignore"):
-            marks, sets = _distinct(batch, mark.view(np.uint64))
+            marks, sets = _sets(batch, mark.view(np.uint64))
         marks = marks.view(np.int64)
         order = np.argsort(marks)
         at = order[np.minimum(np.searchsorted(marks[order], mark), len(marks) - 1)] if len(marks) else np.empty(0, dtype=np.int64)
@@ -418,18 +501,20 @@ def placed(met: DataFrame, block: int = BLOCK) -> DataFrame:
 
 
 def met_in_bands(docs: DataFrame) -> DataFrame:
-    """``(band, mark)`` of passages that share a band with one that may be similar."""
-    return docs.mapInArrow(_bands, "band long, mark long, bits long").repartition("band").sortWithinPartitions("band", "mark").mapInArrow(_met, "band long, mark long")
+    """``(band, mark, chain)``: of passages that share a band with one that may be similar, without a chain; and of those in a chain, without a band."""
+    bands = docs.mapInArrow(_bands, "band long, mark long, bits long, more long, group long, chain long")
+    return bands.repartition("band").sortWithinPartitions("band", "mark", "group", "chain").mapInArrow(_met, "band long, mark long, chain long")
 
 
 def links(docs: DataFrame, met: DataFrame, sites: DataFrame) -> DataFrame:
-    """Links ``(a, b)`` between marks of passages that share a band in ``met(band, mark)`` and are similar.
+    """Links ``(a, b)`` between marks of passages that share a band in ``met(band, mark, chain)`` and are similar, and those of chains.
 
-    ``sites(mark, doc_id)`` names a document that holds each, of which the shingles are read.
+    ``sites(mark, doc_id)`` names a document that holds each with a band, of which the shingles are read.
     """
-    asked = placed(met).join(sites, "mark").groupBy("doc_id").agg(F.collect_list(F.struct("band", "mark")).alias("asked"))
+    asked = placed(met.filter("band is not null").select("band", "mark")).join(sites, "mark").groupBy("doc_id").agg(F.collect_list(F.struct("band", "mark")).alias("asked"))
     codes = docs.join(asked, "doc_id").mapInArrow(_codes, "band long, mark long, codes binary")
-    return codes.repartition("band").sortWithinPartitions("band").mapInArrow(_compare, "a long, b long")
+    compared = codes.repartition("band").sortWithinPartitions("band").mapInArrow(_compare, "a long, b long")
+    return compared.unionByName(met.filter("chain is not null").select(F.col("mark").alias("a"), F.col("chain").alias("b")))
 
 
 def repeated(docs: DataFrame) -> DataFrame:
@@ -453,17 +538,21 @@ def repeated(docs: DataFrame) -> DataFrame:
     free(docs.sparkSession)
     # Combined before the shuffle: a paragraph with a third of all places is a row a task here.
     held = docs.mapInArrow(_marks, "mark long, doc_id long").groupBy("mark").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
-    near = met.select("mark").distinct().withColumn("met", F.lit(True))
-    shared = written(held.join(near, "mark", "left").filter(F.when(passage, F.col("met")).otherwise(F.col("low") != F.col("high"))).select("mark", F.col("low").alias("doc_id")))
+    near = met.groupBy("mark").agg(F.bool_or(F.col("band").isNotNull()).alias("met"))
+    several = F.col("low") != F.col("high")
+    shared = written(held.join(near.hint("shuffle_hash"), "mark", "left").filter(several & (~passage | F.col("met").isNotNull()) | passage & F.col("met")).select("mark", F.col("low").alias("doc_id")))
     free(docs.sparkSession)
-    linked = written(links(docs, met, shared.filter(passage)))
+    # A chain of which no mark stands in another document or is near one that isn't of it makes no class that spans documents.
+    chained, known = met.filter("chain is not null"), shared.filter(passage)
+    reached = chained.join(known, "mark").select("chain").distinct()
+    linked = written(links(docs, met.filter("band is not null").unionByName(chained.join(reached, "chain", "left_semi")), known))
     free(docs.sparkSession)
     joined = components(linked)
-    # What many places are joined with is written first, so that Spark can split a hot paragraph's or class's rows.
+    # The few marks are hashed, so that the many places aren't sorted. What many places are joined with is written first, so that Spark can split a hot paragraph's or class's rows.
     named = written(joined.select(F.col("node").alias("mark"), F.col("component").alias("class_id")).unionByName(shared.filter(~passage).select("mark", F.col("mark").alias("class_id"))))
     free(docs.sparkSession)
     places = docs.mapInArrow(_places, "doc_id long, text_crc long, start int, words int, mark long")
-    classed = written(places.join(named, "mark").select("doc_id", "text_crc", "start", "words", "class_id"))
+    classed = written(places.join(named.hint("shuffle_hash"), "mark").select("doc_id", "text_crc", "start", "words", "class_id"))
     free(docs.sparkSession)
     at = F.shiftleft(F.col("start").cast("long"), 32).bitwiseOR(F.col("text_crc"))
     firsts = classed.groupBy("class_id", "doc_id").agg(F.min(at).alias("at"))

@@ -573,6 +573,37 @@ def test_links_equal_all_pairs_that_share_a_band(spark):
     assert near and sorted(x["count"] for x in got) == want
 
 
+def test_passages_that_overlap_are_compared_where_their_text_is_read(spark):
+    """So they don't meet in bands; links are those of all pairs of a text that share a band."""
+    r = random.Random(15)
+    word = lambda: "".join(r.choice("abdeilnorst") for _ in range(r.randint(2, 8)))
+    texts = [" ".join([word() for _ in range(400)] + ["la"] * r.randrange(90) + [word() for _ in range(400)]) for _ in range(30)]
+    want, rows, n = set(), 0, substring_dedup.LENGTH
+    with np.errstate(over="ignore"):
+        for text in texts:
+            words = substring_dedup.word_hashes(text.split())
+            _, starts, marks, sizes = substring_dedup.passages(words, np.array([len(words)]))
+            sets = substring_dedup.shingles(words, starts, sizes)
+            bands = substring_dedup.bands_of(sets)
+            rows += bands.size
+            parent = {int(m): int(m) for m in marks.view(np.int64)}
+            for i, j in itertools.combinations(range(len(starts)), 2):
+                a, b = set(sets[i].tolist()), set(sets[j].tolist())
+                if (bands[i] == bands[j]).any() and len(a & b) >= 0.8 * len(a | b):
+                    old, new = parent[int(marks.view(np.int64)[i])], parent[int(marks.view(np.int64)[j])]
+                    parent = {k: new if v == old else v for k, v in parent.items()}
+            named = {}
+            for k, v in parent.items():
+                named.setdefault(v, set()).add(k)
+            want |= {frozenset(x) for x in named.values() if len(x) > 1}
+    table = docs(spark, texts).select("doc_id", "text")
+    met = substring_dedup.met_in_bands(table)
+    assert met.filter("band is not null").count() < rows / 10
+    sites = table.mapInArrow(substring_dedup._marks, "mark long, doc_id long").filter("mark & 1 = 1").dropDuplicates(["mark"])
+    found = components.components(substring_dedup.links(table, met, sites)).groupBy("component").agg(F.collect_list("node").alias("nodes")).collect()
+    assert want and {frozenset(x.nodes) for x in found} == want
+
+
 def test_large_bands_are_split_without_loss(spark):
     rows = [(1, m) for m in range(200)] + [(2, m) for m in range(3)]
     groups = {}
