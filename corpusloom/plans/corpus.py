@@ -40,6 +40,14 @@ def _tagged(s, d):
     return words.withColumn("tags", F.transform("words", lambda w: F.substring(w, 1, 1)))
 
 
+
+def rare_words(docs, cutoff):
+    """How many rare words each document with a word has."""
+    rare = C.rare_word_switch(docs.select(F.col("doc_id").alias("id"), letters(F.col("text")).alias("words")), cutoff)
+    none = docs.filter(F.lower("text").rlike("[a-z]")).select("doc_id", F.lit(0).alias("n"))
+    return none.unionByName(rare.select(F.col("id").alias("doc_id"), F.lit(1).alias("n"))).groupBy("doc_id").agg(F.sum("n").alias("rare"))
+
+
 QUERIES = {
     "C01_lexicon": (lambda s, d: C.lexicon(tokens(s, d)), _TK + " SELECT token, count(*) AS n FROM tokens GROUP BY token"),
     "C02_ngram_counts": (
@@ -93,7 +101,7 @@ QUERIES = {
         _TK
         + f", a AS (SELECT doc_id AS sentence, place, token AS word, left(token, 1) AS tag FROM tokens) SELECT sentence, place, lag(word, 2, '{C.SENTINEL}') OVER w AS wm2, lag(word, 1, '{C.SENTINEL}') OVER w AS wm1, word AS w0, lead(word, 1, '{C.SENTINEL}') OVER w AS w1, lead(word, 2, '{C.SENTINEL}') OVER w AS w2, lag(tag, 1, '{C.SENTINEL}') OVER w AS tm1, lag(tag, 2, '{C.SENTINEL}') OVER w || ':' || lag(tag, 1, '{C.SENTINEL}') OVER w AS tm2m1 FROM a WINDOW w AS (PARTITION BY sentence ORDER BY place)",
     ),
-    "C14_rare_word_switch": (lambda s, d: C.rare_word_switch(tokens(s, d), 5).groupBy("doc_id").agg(F.count_if("rare").alias("rare")), _TK + ", c AS (SELECT token, count(*) AS n FROM tokens GROUP BY 1) SELECT doc_id, count(*) FILTER (n < 5) AS rare FROM tokens JOIN c USING (token) GROUP BY 1"),
+    "C14_rare_word_switch": (lambda s, d: rare_words(table(s, d, "documents"), 5), _TK + ", c AS (SELECT token, count(*) AS n FROM tokens GROUP BY 1) SELECT doc_id, count(*) FILTER (n < 5) AS rare FROM tokens JOIN c USING (token) GROUP BY 1"),
     "C15_distribute": (lambda s, d: C.distribute(orders(s, d).select("o_orderkey"), "o_orderkey", 7), "SELECT o_orderkey, floor(o_orderkey * 7 / (SELECT count(*) FROM orders))::INT AS bucket FROM orders"),
     "C16_batch_lines": (
         lambda s, d: C.batch_lines(table(s, d, "nation").select((F.col("n_nationkey") + 1).alias("id"), F.col("n_name").alias("line")), 4).select(F.col("key").cast("long").alias("key"), "lines"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 import itertools
 import math
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
@@ -310,3 +310,16 @@ def test_sources_and_sinks(spark, tmp_path):
     assert spark.read.csv(str(tmp_path / "b"), sep="\t", header=True).columns == ["instance", "entailment", "relatedness"]
     with pytest.raises(Exception, match="unknown label"):
         rows.select(readers.map_labels(F.col("y"), {"yes": "ENTAILMENT"})).collect()
+
+
+def test_rare_words_are_counted_by_task_first(spark, monkeypatch):
+    """Words are shuffled once a task, not at each place; null ids and repeated rows count as any other."""
+    rows = [(None if k == 7 else k // 2, [f"w{k * j % 97}" for j in range(k % 40)] + ["the"] * 30 + ([None] if k % 5 == 0 else [])) for k in range(120)] + [(1, None), (2, [])]
+    table = spark.createDataFrame(rows, "id long, words array<string>").repartition(3)
+    n = Counter(w for _, words in rows for w in words or () if w)
+    want = Counter((i, w) for i, words in rows for w in words or () if w and n[w] < 40)
+    for held in (corpus.HELD_WORDS, 3):
+        monkeypatch.setattr(corpus, "HELD_WORDS", held)
+        found = corpus.rare_word_switch(table, 40)
+        assert want and Counter((x.id, x.word) for x in found.collect()) == want
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
