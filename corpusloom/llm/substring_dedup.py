@@ -60,7 +60,7 @@ BLOCK = 4096
 #: Passages of a text that each start at most so many words after the one before make a group, of so many at most, and are compared where the text is read.
 GAP, GROUP = 10, 8
 #: Rows of a band whose bitmaps are compared all with all up to here; beyond, those count as near that have a part in common.
-BITMAPS = 256
+BITMAPS = 1024
 #: Rows of a band that a task holds to look for near ones; of a larger band all rows count as near.
 HELD = 1 << 20
 
@@ -72,6 +72,8 @@ LONG = 4096
 _SHINGLES = LENGTH - SHINGLE_WORDS + 1
 #: Sets that reach SIMILARITY differ in fewer shingles than this, so of this many parts one is left untouched.
 _PARTS = 2 * (_SHINGLES - int(np.ceil(SIMILARITY / (1 + SIMILARITY) * 2 * _SHINGLES))) + 1
+#: The bit of a bitmap's second column from where on a passage's number of shingles stands.
+_COUNT = 58
 #: Passages of one text that start so few words apart may still be similar.
 _SHIFT = int(_SHINGLES * (1 - SIMILARITY) / (1 + SIMILARITY))
 _SEEDS = np.random.default_rng(8).integers(1, 1 << 63, size=(BANDS * ROWS, 2), dtype=np.uint64) | np.uint64(1)
@@ -224,15 +226,21 @@ def bands_of(sets: np.ndarray) -> np.ndarray:
 
 
 def bitmaps(sets: np.ndarray) -> np.ndarray:
-    """128 bits, as two columns, for each row of shingle hashes, those its shingles name: a shingle more or less changes one at most."""
-    bit, upper = np.uint64(1) << (sets & np.uint64(63)), (sets & np.uint64(64)) != 0
-    return np.stack([np.bitwise_or.reduce(np.where(upper == x, bit, np.uint64(0)), axis=1) for x in (False, True)], axis=1)
+    """122 bits for each row of shingle hashes, those its shingles name, and how many these are, as two columns: a shingle more or less changes one bit at most."""
+    at = sets % np.uint64(64 + _COUNT)
+    bit, upper = np.uint64(1) << (at & np.uint64(63)), at > 63
+    low, high = (np.bitwise_or.reduce(np.where(upper == x, bit, np.uint64(0)), axis=1) for x in (False, True))
+    return np.stack([low, high | _different(sets).astype(np.uint64) << np.uint64(_COUNT)], axis=1)
+
+
+def _different(sets: np.ndarray) -> np.ndarray:
+    """How many different hashes each row has."""
+    return (np.diff(np.sort(sets, axis=1), axis=1) != 0).sum(axis=1) + 1
 
 
 def _reach(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Which rows of shingle hashes reach SIMILARITY with the row at the same place in the other array."""
-    count = lambda x: (np.diff(np.sort(x, axis=1), axis=1) != 0).sum(axis=1) + 1
-    own, either = count(a) + count(b), count(np.concatenate([a, b], axis=1))
+    own, either = _different(a) + _different(b), _different(np.concatenate([a, b], axis=1))
     return own - either >= SIMILARITY * either
 
 
@@ -308,7 +316,7 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def near_in_band(bands: np.ndarray, marks: np.ndarray, bits: np.ndarray, more: np.ndarray, groups: np.ndarray, chains: np.ndarray) -> np.ndarray:
     """Which rows, sorted by band and mark, may be similar to another mark of their band, of another group and chain; no such pair is lost.
 
-    Their bitmaps differ in fewer bits than there are parts, so one part is equal.
+    Their bitmaps differ in no more bits than similar sets of their sizes in shingles, so in fewer than there are parts, and one part is equal.
     """
     fresh = np.append(True, (np.diff(bands) != 0) | (np.diff(marks) != 0) | (np.diff(groups) != 0) | (np.diff(chains) != 0))
     rows = np.flatnonzero(fresh)
@@ -316,6 +324,7 @@ def near_in_band(bands: np.ndarray, marks: np.ndarray, bits: np.ndarray, more: n
     size = np.repeat(sizes, sizes)
     near = np.zeros(len(rows), dtype=bool)
     own, mark, low, high, group, chain = (x[rows].view(np.uint64) for x in (bands, marks, bits, more, groups, chains))
+    count, high = (high >> np.uint64(_COUNT)).astype(np.int64), high & np.uint64((1 << _COUNT) - 1)
     at = np.flatnonzero((size > 1) & (size <= BITMAPS))
     for k in range(1, BITMAPS):
         at = at[at < len(rows) - k]
@@ -324,7 +333,8 @@ def near_in_band(bands: np.ndarray, marks: np.ndarray, bits: np.ndarray, more: n
             break
         other = at + k
         apart = (mark[at] != mark[other]) & ((group[at] != group[other]) | (group[at] == 0)) & ((chain[at] != chain[other]) | (chain[at] == 0))
-        found = apart & (np.bitwise_count(low[at] ^ low[other]) + np.bitwise_count(high[at] ^ high[other]) < _PARTS)
+        differ = np.bitwise_count(low[at] ^ low[other]) + np.bitwise_count(high[at] ^ high[other])
+        found = apart & (differ * (1 + SIMILARITY) <= (count[at] + count[other]) * (1 - SIMILARITY) + 1e-6)
         near[at[found]] = near[other[found]] = True
     many = np.flatnonzero(size > BITMAPS)
     with np.errstate(over="ignore"):
@@ -343,13 +353,14 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     Columns ``more``, ``group`` and ``chain`` may be missing.
     """
     held, passed = np.empty((6, 0), dtype=np.int64), None
+    full = np.uint64(_SHINGLES << _COUNT).view(np.int64)
 
     def pack(rows: np.ndarray) -> pa.RecordBatch:
         rows = rows[:, np.append(True, np.diff(rows[:2], axis=1).any(axis=0))[: rows.shape[1]]]
         return pa.RecordBatch.from_arrays([pa.array(rows[0]), pa.array(rows[1]), pa.nulls(rows.shape[1], pa.int64())], names=["band", "mark", "chain"])
 
     for batch in (b for b in batches if b.num_rows):
-        come = np.stack([batch.column(c).to_numpy() if c in batch.schema.names else np.zeros(batch.num_rows, dtype=np.int64) for c in ("band", "mark", "bits", "more", "group", "chain")])
+        come = np.stack([batch.column(c).to_numpy() if c in batch.schema.names else np.full(batch.num_rows, full if c == "more" else 0) for c in ("band", "mark", "bits", "more", "group", "chain")])
         # A passage stands in all bands; its chain is told once.
         chained = come[:, (come[5] != 0) & (come[0] % BANDS == 0)]
         chained = chained[:, np.append(True, np.diff(chained[[1, 5]], axis=1).any(axis=0))[: chained.shape[1]]]
