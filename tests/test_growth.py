@@ -144,6 +144,28 @@ def test_equal_groups_of_verbs_are_made_once(spark):
     assert {r["class"] for r in members.filter("verb < 30").collect()} == {0, 1, 2}
 
 
+def test_pairs_of_verbs_are_no_rows(spark, monkeypatch):
+    """600 verbs in three hundreds that share a node each, two of which a last verb joins: no table has more rows than the arguments."""
+    rows = [(v, n) for v in range(600) for n in (v // 200 + 1000, v)] + [(600, 1000), (600, 1001)]
+    df = spark.createDataFrame(rows, "verb long, node long")
+    sizes, written = [], graph.written
+    monkeypatch.setattr(graph, "written", lambda x: (y := written(x), sizes.append(y.count()))[0])
+    for rounds in (1, 2):
+        sizes.clear()
+        groups = {v: {n for u, n in rows if u == v} for v in range(601)}
+        by_node = collections.defaultdict(set)
+        for v, n in rows:
+            by_node[n].add(v)
+        for _ in range(rounds):
+            groups = {v: {m for u in set().union(*(by_node[n] for n in ns)) for m in (u // 200 + 1000, u) if u < 600} | ({1000, 1001} if 600 in set().union(*(by_node[n] for n in ns)) else set()) for v, ns in groups.items()}
+        members, made = graph.verb_groups(df, rounds)
+        by_class = collections.defaultdict(set)
+        for r in made.collect():
+            by_class[r["class"]].add(r.node)
+        assert {r.verb: by_class[r["class"]] for r in members.collect()} == groups
+        assert max(sizes[:-1]) <= len(rows)
+
+
 def test_word_proximity_makes_no_pairs_of_places(spark):
     """A word that a context repeats 3,000 times, asked for 200 times: 1.8 billion pairs of places."""
     context = spark.createDataFrame([("q", i, "a" if i % 2 else "b") for i in range(6000)], "qid string, place int, token string")
